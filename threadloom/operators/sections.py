@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import fixed
+from threadloom.functions.metadata import metadata
 from threadloom.functions.text import py_strip
 from threadloom.operators.ordered import global_index
 
@@ -81,10 +82,8 @@ def section_documents(
     else:
         numbered = kept
         doc_id = F.sha2(F.concat_ws("|", F.lit("doc"), "source_path", "section_no"), 256)
-    metadata = F.struct(
-        F.lit(fixed.DOCS_TYPE).alias("type"),
-        F.col("title"),
-        F.col("path").alias("file_path"),
-        F.lit(fixed.DOCS_SOURCE).alias("source"),
+    described = metadata(
+        type=F.lit(fixed.DOCS_TYPE), title=F.col("title"), file_path=F.col("path"),
+        source=F.lit(fixed.DOCS_SOURCE),
     )
-    return numbered.select(doc_id.alias("id"), "document", metadata.alias("metadata"))
+    return numbered.select(doc_id.alias("id"), "document", described.alias("metadata"))

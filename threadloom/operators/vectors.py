@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import fixed
+from threadloom.functions.metadata import metadata
 from threadloom.functions.text import is_blank, line, py_strip
 from threadloom.operators.messages import from_person
 from threadloom.operators.ordered import global_index
@@ -356,7 +357,7 @@ def message_documents(messages: DataFrame, positional_ids: bool = False,
     order first, so gaps stay where rows are left out.
     """
     def filled(column: str, default: str) -> Column:
-        return F.coalesce(F.col(column), F.lit(default)).alias(column)
+        return F.coalesce(F.col(column), F.lit(default))
 
     if positional_ids:
         messages = global_index(messages, ["source", "file_name", "ordinal"], "_n")
@@ -375,18 +376,18 @@ def message_documents(messages: DataFrame, positional_ids: bool = False,
         other = F.col("source") == "instagram"
         kind = F.when(other, "instagram_message").otherwise(kind)
         channel = F.coalesce(channel, F.col("conversation_name"))
-    metadata = F.struct(
-        message_id.alias("message_id"), filled("author_id", ""),
-        filled("author_name", "Unknown"),
-        F.coalesce(channel, F.lit("Unknown")).alias("channel_name"),
-        filled("guild_name", "Unknown"),
-        F.coalesce("ts_raw", F.lit("")).alias("timestamp"), kind.alias("type"),
+    described = metadata(
+        message_id=message_id, author_id=filled("author_id", ""),
+        author_name=filled("author_name", "Unknown"),
+        channel_name=F.coalesce(channel, F.lit("Unknown")),
+        guild_name=filled("guild_name", "Unknown"),
+        timestamp=F.coalesce("ts_raw", F.lit("")), type=kind,
     )
     kept = messages.where(from_person() & ~is_blank(F.col("content")))
     return kept.select(
         doc_id.alias("id"),
         line(F.col("author_name"), py_strip(F.col("content"))).alias("document"),
-        metadata.alias("metadata"),
+        described.alias("metadata"),
     )
 
 

@@ -224,8 +224,9 @@ def parse_html_records(records: DataFrame) -> DataFrame:
     return placed.select(*messages.columns).unionByName(preambles)
 
 
-def html_records(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Splittable read: (file_name, file_size, ordinal, value).
+def html_records(spark: SparkSession, path: str, name: str = "_metadata.file_name",
+                 **options) -> DataFrame:
+    """Splittable read: (file_name, file_size, ordinal, value); ``name`` tells files apart.
 
     ``ordinal`` is the block's offset plus the record's place in its task, which
     grows in document order: a task reads less of one block than a block is long.
@@ -233,7 +234,7 @@ def html_records(spark: SparkSession, path: str, **options) -> DataFrame:
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     found = spark.read.options(**options).text(path, lineSep=_RECORD_END)
     return found.select(
-        F.col("_metadata.file_name").alias("file_name"),
+        F.col(name).alias("file_name"),
         F.col("_metadata.file_size").alias("file_size"),
         (F.col("_metadata.file_block_start") + place).alias("ordinal"),
         unix_newlines(F.col("value")).alias("value"),

@@ -12,7 +12,7 @@ from threadloom.operators.ordered import global_index
 
 # --- fixed values: a heading is 1-6 hashes, white space, text, up to a line feed ---
 _GAP = r"[\s\x1c-\x1f&&[^\n]]+"
-_HEADING = rf"(?dU)\A(#{{1,6}}){_GAP}(.+)"
+_HEADING_LINE = rf"(?dU)\A(#{{1,6}}){_GAP}(.+)"
 _HEADING_AHEAD = rf"(?mdU)^(?=#{{1,6}}{_GAP}.)"
 
 
@@ -37,31 +37,24 @@ def doc_sections(files: DataFrame) -> DataFrame:
     shuffle is needed. Text before the first heading is section 0, titled after
     the file. Sections without body text are dropped, their number is not reused.
     """
-    ahead = F.split(F.col("value"), _HEADING_AHEAD, -1)
+    # The line feed in front makes the first piece what precedes any heading; the
+    # one behind ends the last line as all the others end.
+    framed = F.concat(F.lit("\n"), F.col("value"), F.lit("\n"))
     pieces = files.select(
-        "path", F.size(ahead).alias("_pieces"),
-        F.when(F.rlike(F.col("value"), F.lit(_HEADING)), 1).otherwise(0).alias("_first"),
-        F.posexplode(ahead).alias("_pos", "_text"),
-    )
-    marks = F.regexp_extract("_text", _HEADING, 1)
-    heading = F.length(marks) > 0
-    # The body starts after the heading's line feed; a heading at the end has none.
-    after = F.when(
-        F.contains(F.col("_text"), F.lit("\n")),
-        F.substr(F.col("_text"), F.locate("\n", F.col("_text")) + 1),
-    )
-    body = F.when(heading, after).otherwise(F.col("_text"))
-    last = F.col("_pos") == F.col("_pieces") - 1
-    content = F.when(last, F.concat(body, F.lit("\n"))).otherwise(body)
-    return pieces.select(
+        "path", F.posexplode(F.split(framed, _HEADING_AHEAD, -1)).alias("section_no", "_text")
+    ).withColumn(
+        "_line",
+        F.when(F.col("section_no") > 0, F.substring_index("_text", "\n", 1)).otherwise(""),
+    ).withColumn("content", F.substr(F.col("_text"), F.length("_line") + 2))
+    return pieces.where(F.length(py_strip(F.col("content"))) > 0).select(
         F.col("path").alias("source_path"),
         _last_three(F.col("path")).alias("path"),
-        (F.col("_pos") + F.col("_first")).alias("section_no"),
-        F.length(marks).alias("level"),
-        F.when(heading, py_strip(F.regexp_extract("_text", _HEADING, 2)))
+        "section_no",
+        F.length(F.regexp_extract("_line", _HEADING_LINE, 1)).alias("level"),
+        F.when(F.col("section_no") > 0, py_strip(F.regexp_extract("_line", _HEADING_LINE, 2)))
         .otherwise(file_stem(F.col("path"))).alias("title"),
-        content.alias("content"),
-    ).where(F.length(py_strip(F.col("content"))) > 0)
+        "content",
+    )
 
 
 def section_documents(

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import HashingTF, Tokenizer
+from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,19 +58,12 @@ def hashed_term_counts(df: DataFrame, text: str, name: str, dimensions: int = 25
     return counts.transform(words.transform(filled)).drop("_text", "_words")
 
 
-def unit(vector: Column) -> Column:
-    """An array scaled to length one; a zero vector stays zero."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
-
-
 def embed_hashed(df: DataFrame, text: str, name: str = "embedding",
                  dimensions: int = 256) -> DataFrame:
     """Adds a model-free embedding; the same call serves documents and queries."""
     counted = hashed_term_counts(df, text, "_counts", dimensions)
-    return counted.withColumn("_dense", vector_to_array("_counts")).withColumn(
-        name, unit(F.col("_dense"))
-    ).drop("_counts", "_dense")
+    scaled = Normalizer(inputCol="_counts", outputCol="_unit").transform(counted)
+    return scaled.withColumn(name, vector_to_array("_unit", "float32")).drop("_counts", "_unit")
 
 
 # --- top-k inside a task ----------------------------------------------------------
@@ -307,19 +300,22 @@ def search_by_type(collection: DataFrame, queries: DataFrame, limits: dict[str,
 
 # --- approximate top-k over k-means cells ---------------------------------------------
 
+def _unit_vectors(vectors: DataFrame) -> DataFrame:
+    dense = vectors.where(F.col("embedding").isNotNull()).withColumn(
+        "_dense", array_to_vector("embedding")
+    )
+    return Normalizer(inputCol="_dense", outputCol="features").transform(dense).drop("_dense")
+
+
 def fit_cells(vectors: DataFrame, n_cells: int, seed: int = 0):
     """K-means cells of unit vectors; ``vectors`` may be any part of the collection."""
-    features = vectors.where(F.col("embedding").isNotNull()).select(
-        array_to_vector(unit(F.col("embedding"))).alias("features")
-    )
-    return KMeans(k=n_cells, seed=seed, maxIter=10, featuresCol="features",
-                  predictionCol="cell").fit(features)
+    cells = KMeans(k=n_cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell")
+    return cells.fit(_unit_vectors(vectors).select("features"))
 
 
 def assign_cells(vectors: DataFrame, model) -> DataFrame:
     """Adds ``cell``; write the result partitioned by it to prune later searches."""
-    features = vectors.withColumn("features", array_to_vector(unit(F.col("embedding"))))
-    return model.transform(features).drop("features")
+    return model.transform(_unit_vectors(vectors)).drop("features")
 
 
 def search_cells(celled: DataFrame, queries: DataFrame, model, k: int, probes: int,

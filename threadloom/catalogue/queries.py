@@ -143,7 +143,9 @@ def html_export_files(spark, sf):
 def html_export_records(spark, sf):
     path = exports.write_html(spark, sf)
     records = html_export.html_records(spark, path, name="file_name")
-    parsed = html_export.parse_html_records(records)
+    stored = scratch_path(spark, "parsed")
+    html_export.parse_html_records(records).write.parquet(stored)
+    parsed = html_export.with_channels(spark.read.parquet(stored))
     return html_export.html_messages(parsed).select(*_HTML_COLUMNS)
 
 

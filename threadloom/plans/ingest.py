@@ -7,7 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from threadloom.operators.messages import MESSAGE_COLUMNS, conversation_summary, corpus_totals
 from threadloom.runtime import scratch_path
 from threadloom.sinks.tables import write_by_conversation, write_messages, write_summary
-from threadloom.sources.html_export import html_channels, html_messages, read_html_exports
+from threadloom.sources.html_export import (
+    html_channels,
+    html_errors,
+    html_messages,
+    read_html_exports,
+    with_channels,
+)
 from threadloom.sources.inbox import inbox_files, inbox_messages, inbox_participants
 from threadloom.sources.tables import read_messages
 
@@ -20,12 +26,14 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def ingest_html(spark: SparkSession, exports: str, out: str) -> DataFrame:
-    """HTML exports to ``out/messages``, ``out/by_conversation``, ``out/channels``, ``out/totals``."""
-    parsed = _stored(read_html_exports(spark, exports), "parsed-html")
+    """HTML exports to ``out/messages`` with summaries, conversations and errors beside it."""
+    raw = _stored(read_html_exports(spark, exports), "parsed-html")
+    parsed = with_channels(raw)
     messages = html_messages(parsed)
     write_messages(messages, f"{out}/messages")
     write_by_conversation(messages, f"{out}/by_conversation")
     write_summary(html_channels(parsed), f"{out}/channels")
+    write_summary(html_errors(raw), f"{out}/errors")
     write_summary(corpus_totals(messages), f"{out}/totals")
     return read_messages(spark, f"{out}/messages")
 

@@ -12,25 +12,24 @@ def unix_newlines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def whole_files(spark: SparkSession, path: str, **options) -> DataFrame:
-    """(path, file_name, file_size, value) with one row per file."""
-    found = spark.read.options(**options).text(path, wholetext=True)
-    return found.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_size").alias("file_size"),
-        unix_newlines(F.col("value")).alias("value"),
-    )
+def decoded(name: Column) -> Column:
+    """A file name or path as it was written; metadata columns hold it percent-encoded."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
-def readable(files: DataFrame) -> DataFrame:
-    """Files that are valid UTF-8; the others are skipped, see ``unreadable``."""
-    return files.where(F.is_valid_utf8("value"))
+def valid_text(value: Column) -> Column:
+    """The text with unix line ends, null when it is not valid UTF-8."""
+    return F.when(F.is_valid_utf8(value), unix_newlines(value))
 
 
-def unreadable(files: DataFrame) -> DataFrame:
-    return files.where(~F.is_valid_utf8("value")).select(
-        "file_name", F.lit("not valid UTF-8").alias("error")
+def whole_files(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(path, file_name, file_size, value), one row per file; invalid files have no value."""
+    found = spark.read.options(**options).text(path, wholetext=True)
+    return found.select(
+        decoded(F.col("_metadata.file_path")).alias("path"),
+        decoded(F.col("_metadata.file_name")).alias("file_name"),
+        F.col("_metadata.file_size").alias("file_size"),
+        valid_text(F.col("value")).alias("value"),
     )
 
 
@@ -41,4 +40,4 @@ def doc_files(spark: SparkSession, root: str) -> DataFrame:
     if folder is None:
         raise FileNotFoundError(f"neither source nor docs below {root}")
     files = whole_files(spark, folder, recursiveFileLookup=True, pathGlobFilter="*.{md,rst}")
-    return readable(files).select("path", "value")
+    return files.where(F.col("value").isNotNull()).select("path", "value")

@@ -2,7 +2,10 @@
 
 Files up to ``SPLIT_ABOVE`` bytes are parsed one by one. Larger ones are read as
 text records that end where a message's id attribute begins, so that one export
-is parsed by many tasks. Both ways give the same rows.
+is parsed by many tasks. Both ways give the same messages in the same order.
+
+The raw rows of either way are meant to be stored once; ``with_channels``,
+``html_messages``, ``html_channels`` and ``html_errors`` then read them.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.times import iso_text, parse_export_time
 from threadloom.operators.messages import MESSAGE_COLUMNS, conversation_key
-from threadloom.sources.files import readable, unix_newlines, whole_files
+from threadloom.sources.files import decoded, valid_text, whole_files
 
 SPLIT_ABOVE = 32 << 20
 
@@ -154,48 +157,47 @@ def _message(container: _Element) -> dict | None:
     return fields
 
 
+_NOT_TEXT = "not valid UTF-8"
+
+
 def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole files: a row without ordinal per file, then its messages."""
     for batch in batches:
         for file in batch.to_pylist():
             name = {"file_name": file["file_name"]}
-            try:
+            if file["value"] is None:
+                rows = [name | {"error": _NOT_TEXT}]
+            else:
                 tree = _tree(file["value"])
                 channel = name | _channel(tree)
                 found = [_message(c) for c in tree.all("div", _CONTAINER)]
                 rows = [channel] + [
                     channel | m | {"ordinal": i} for i, m in enumerate(found) if m
                 ]
-            except Exception as failure:  # a failing file is reported and skipped
-                rows = [name | {"error": repr(failure)}]
             yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
 
 
 def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of split files, each the rest of one container behind its id attribute."""
+    """Records of split files, each the rest of one container behind its id attribute.
+
+    The record at a file's start holds the preamble and becomes the file's own row.
+    """
     for batch in batches:
         rows = []
         for record in batch.to_pylist():
-            text = record["value"]
-            # The start of the next container's tag belongs to the next record.
-            text = text[: text.rfind("<")] if text.rfind("<") > text.rfind(">") else text
-            base = {"file_name": record["file_name"]}
-            try:
+            base, text = {"file_name": record["file_name"]}, record["value"]
+            if text is None:
+                rows.append(base | {"error": _NOT_TEXT})
+            elif record["first"]:
+                rows.append(base | _channel(_tree(text)))
+            else:
+                # The start of the next container's tag belongs to the next record.
+                cut = text.rfind("<")
+                text = text[:cut] if cut > text.rfind(">") else text
                 tree = _tree(f'<div class="{_CONTAINER}" {_RECORD_END}{text}')
-                container = tree.first("div", _CONTAINER)
-                message = container and _message(container)
+                message = _message(tree.first("div", _CONTAINER))
                 if message:
                     rows.append(base | message | {"ordinal": record["ordinal"]})
-            except Exception as failure:
-                rows.append(base | {"error": repr(failure)})
-        yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
-
-
-def _parse_preambles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [
-            {"file_name": r["file_name"]} | _channel(_tree(r["value"])) for r in batch.to_pylist()
-        ]
         yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
 
 
@@ -205,39 +207,54 @@ def parse_html_files(files: DataFrame) -> DataFrame:
 
 
 def parse_html_records(records: DataFrame) -> DataFrame:
-    """(file_name, ordinal, value) records, as ``html_records`` reads them, to raw rows."""
-    messages = records.mapInArrow(_parse_records, _PARSED_SQL)
-    # The record with a file's smallest ordinal is what precedes its first message.
-    preambles = records.groupBy("file_name").agg(
-        F.min_by(
-            F.when(F.contains("value", F.lit("preamble__entry")), F.col("value")).otherwise(""),
-            "ordinal",
-        ).alias("value")
-    ).mapInArrow(_parse_preambles, _PARSED_SQL)
-    channels = preambles.select(
+    """``html_records`` to raw rows whose messages do not know their channel yet."""
+    columns = ("file_name", "ordinal", "first", "value")
+    return records.select(*columns).mapInArrow(_parse_records, _PARSED_SQL)
+
+
+def with_channels(parsed: DataFrame) -> DataFrame:
+    """Gives the messages of split files their channel and leaves out files with errors.
+
+    ``parsed`` is read three times, so it should be a stored table. The joins are
+    by file with one row per file on the other side: broadcast when that is
+    small, else an adaptive skew join splits a file that holds most of the rows.
+    """
+    own = parsed.where(F.col("ordinal").isNull() & F.col("channel_path").isNotNull()).select(
         "file_name", F.col("guild").alias("_guild"), F.col("channel_path").alias("_path")
     )
-    # A hot file is split by the adaptive skew join; the other side has one row per file.
-    placed = messages.join(channels, "file_name", "left").withColumns(
-        {"guild": F.col("_guild"), "channel_path": F.col("_path")}
-    )
-    return placed.select(*messages.columns).unionByName(preambles)
+    failed = parsed.where(F.col("error").isNotNull()).select("file_name").distinct()
+    sound = parsed.join(failed, "file_name", "left_anti")
+    return sound.join(own, "file_name", "left").withColumns({
+        "guild": F.coalesce("guild", "_guild"),
+        "channel_path": F.coalesce("channel_path", "_path"),
+    }).select(*parsed.columns)
+
+
+def html_errors(parsed: DataFrame) -> DataFrame:
+    """The files that could not be read, with the reason."""
+    return parsed.where(F.col("error").isNotNull()).select("file_name", "error").distinct()
 
 
 def html_records(spark: SparkSession, path: str, name: str = "_metadata.file_name",
-                 **options) -> DataFrame:
-    """Splittable read: (file_name, file_size, ordinal, value); ``name`` tells files apart.
+                 above: int = -1, **options) -> DataFrame:
+    """Splittable read: (file_name, ordinal, first, value); ``name`` tells files apart.
+
+    Files of ``above`` bytes or less are left out. ``first`` marks the record
+    with which a file begins: all others follow an id attribute.
 
     ``ordinal`` is the block's offset plus the record's place in its task, which
     grows in document order: a task reads less of one block than a block is long.
     """
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     found = spark.read.options(**options).text(path, lineSep=_RECORD_END)
+    # Below the record number, which no condition can be pushed past.
+    found = found.where(F.col("_metadata.file_size") > above)
     return found.select(
-        F.col(name).alias("file_name"),
-        F.col("_metadata.file_size").alias("file_size"),
+        decoded(F.col(name)).alias("file_name"),
         (F.col("_metadata.file_block_start") + place).alias("ordinal"),
-        unix_newlines(F.col("value")).alias("value"),
+        # Anything else starts with the rest of an attribute value.
+        (~F.rlike("value", F.lit(r'\A[^"<>]*"'))).alias("first"),
+        valid_text(F.col("value")).alias("value"),
     )
 
 
@@ -293,7 +310,6 @@ def read_html_exports(spark: SparkSession, path: str, split_above: int = SPLIT_A
     The size conditions prune whole files before anything is read.
     """
     whole = whole_files(spark, path, pathGlobFilter=glob)
-    small = readable(whole.where(F.col("file_size") <= split_above))
-    records = html_records(spark, path, pathGlobFilter=glob)
-    large = records.where(F.col("file_size") > split_above)
-    return parse_html_files(small).unionByName(parse_html_records(readable(large)))
+    small = parse_html_files(whole.where(F.col("file_size") <= split_above))
+    large = html_records(spark, path, above=split_above, pathGlobFilter=glob)
+    return small.unionByName(parse_html_records(large))

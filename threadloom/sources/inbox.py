@@ -13,7 +13,7 @@ from threadloom.operators.messages import (
     is_attachment_note,
     is_reaction_note,
 )
-from threadloom.sources.files import readable, whole_files
+from threadloom.sources.files import whole_files
 
 _FILE_SCHEMA = "participants array<struct<name:string>>, messages array<string>"
 _MESSAGE_SCHEMA = "sender_name string, timestamp_ms bigint, content string"
@@ -21,8 +21,8 @@ _MESSAGE_SCHEMA = "sender_name string, timestamp_ms bigint, content string"
 
 def inbox_files(spark: SparkSession, inbox: str) -> DataFrame:
     """(conversation_dir, file_name, value); dot directories are not part of an inbox."""
-    files = readable(whole_files(spark, f"{inbox.rstrip('/')}/*/message_*.json"))
-    folder = F.url_decode(F.element_at(F.split("path", "/"), -2))
+    files = whole_files(spark, f"{inbox.rstrip('/')}/*/message_*.json")
+    folder = F.element_at(F.split("path", "/"), -2)
     named = files.select(folder.alias("conversation_dir"), "file_name", "value")
     return named.where(~F.col("conversation_dir").startswith("."))
 

@@ -1,0 +1,184 @@
+"""History, memory, prompts, triggers and replies, in batches and live."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from threadloom.functions import fixed
+from threadloom.functions.metadata import metadata
+from threadloom.operators import prompts
+from threadloom.plans import replies
+from threadloom.streaming import live
+
+SCHEMA = (
+    "message_id string, channel string, ts timestamp_ntz, n int, author_id string, "
+    "author_name string, content string, is_bot boolean"
+)
+
+
+def feed(n=90, seed=0):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        who = rng.choice(["ann", "bob", "bot"])
+        rows.append((
+            f"m{i}", rng.choice(["x", "x", "y", "z"]), datetime(2024, 1, 1) + timedelta(minutes=i),
+            i, f"id-{who}", who, rng.choice([f"says {i}", f"<@9> asks {i}", f"!go draw {i}"]),
+            who == "bot",
+        ))
+    return rows
+
+
+def history(rows, row, limit):
+    before = [r for r in rows if r[1] == row[1] and (r[2], r[3]) < (row[2], row[3])]
+    return [f"{r[5]}: {r[6]}" for r in sorted(before, key=lambda r: (r[2], r[3]))[-limit:] if not r[7]]
+
+
+@pytest.mark.parametrize("hot", [{}, {"hot_rows": 6, "small_bytes": -1}])
+def test_history(spark, hot):
+    rows = feed()
+    found = prompts.with_history(
+        spark.createDataFrame(rows, SCHEMA).repartition(4), ["channel"], ["ts", "n"], 5, **hot
+    )
+    assert {r["message_id"]: r["history"] for r in found.collect()} == {
+        r[0]: history(rows, r, 5) for r in rows
+    }
+
+
+def test_memory_keeps_ten_entries(spark):
+    rows = [("s", i, i % 2 == 0, f"t{i}") for i in range(14)]
+    turns = spark.createDataFrame(rows, "session string, n int, is_user boolean, text string")
+    found = prompts.with_memory(turns, ["session"], ["n"], F.col("is_user"), F.col("text"))
+    memory = {r["n"]: r["memory"] for r in found.collect()}
+    assert memory[0] == [] and memory[2] == ["You: t0", "Bot: t1"]
+    assert memory[12] == [f"{'You' if i % 2 == 0 else 'Bot'}: t{i}" for i in range(2, 12)]
+
+
+@pytest.mark.parametrize("past,found", [
+    (["a: 1", "b: 2"], ["c1", "c2"]), ([], ["c"]), (["a: 1"], []), (None, None), ([], []),
+])
+def test_prompt(spark, past, found):
+    want = "<|im_start|>system\nSYS"
+    if past:
+        want += "\n\nRecent conversation:\n" + "".join(f"{p}\n" for p in past)
+    if found:
+        want += "\n\nRelevant context:\n" + "".join(f"- {c}\n" for c in found)
+    want += "<|im_end|>\n<|im_start|>user\nhey<|im_end|>\n<|im_start|>assistant\n"
+    row = spark.createDataFrame([("hey", past, found)], "u string, h array<string>, c array<string>")
+    made = row.select(prompts.prompt(F.col("u"), F.col("h"), F.col("c"), "SYS")).collect()[0][0]
+    assert made == want
+
+
+def test_system_text():
+    assert prompts.system_text("Max").startswith("You are Max, a helpful AI assistant.")
+
+
+def test_triggers(spark):
+    rows = [
+        ("m1", "id-a", False, "<@9> hi"), ("m2", "9", True, "<@9> own"), ("m3", "id-b", True, "!go x"),
+        ("m4", "id-b", True, "<@!9>"), ("m5", "id-a", False, "!go <@9> both"), ("m6", None, False, "!go y"),
+        ("m7", "id-a", False, "nothing"), ("m8", "id-a", None, "!go z"), ("m9", "id-a", False, None),
+    ]
+    df = spark.createDataFrame(rows, "message_id string, author_id string, is_bot boolean, content string")
+    found = replies.triggers(df, "9", "!go").collect()
+    assert sorted((r["message_id"], r["trigger"], r["user_text"]) for r in found) == [
+        ("m1", "mention", "hi"), ("m4", "mention", fixed.BLANK_MENTION_PROMPT),
+        ("m5", "command", "<@9> both"), ("m5", "mention", "!go  both"), ("m6", "command", "y"),
+        ("m8", "command", "z"),
+    ]
+
+
+def test_replies_and_image_jobs(spark):
+    raw = [
+        ("r1", "sure /imagine a Cat, now! <|im_end|> x"), ("r2", "y" * 2100), ("r3", "You are Max ok"),
+        ("r4", "z" * 2000 + " /imagine late one"),
+    ]
+    df = spark.createDataFrame(raw, "request_id string, raw_reply string")
+    made = replies.replies(df, "Max")
+    found = {r["request_id"]: (r["reply"], r["image_prompt"]) for r in made.collect()}
+    assert found["r1"] == ("sure /imagine a Cat, now!", "a Cat, now!")
+    assert found["r2"] == ("y" * 1997 + "...", None) and found["r3"] == ("what", None)
+    assert found["r4"] == ("z" * 1997 + "...", "late one")
+    jobs = sorted(tuple(r) for r in replies.image_jobs(made).collect())
+    assert jobs == [("r1", "a Cat, now!", "a-Cat-now.png"), ("r4", "late one", "late-one.png")]
+
+
+def stream_of(spark, folder, batches):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(spark.createDataFrame([], SCHEMA).schema)
+    return source.option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def run(writer):
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+@pytest.mark.parametrize("hot", [{}, {"hot_rows": 4, "small_bytes": -1}])
+def test_live_history_equals_batch(spark, tmp_path, hot):
+    rows = feed(60, seed=3)
+    base = str(tmp_path)
+
+    def writer(messages):
+        return live.history_stream(
+            messages, F.contains("content", F.lit("<@9>")), f"{base}/state", f"{base}/out",
+            f"{base}/check", ["channel"], ["ts", "n"], 4, **hot,
+        )
+
+    run(writer(stream_of(spark, f"{base}/feed", [rows[:10], rows[10:11], rows[11:30]])))
+    # A later start goes on from the stored state.
+    run(writer(stream_of(spark, f"{base}/feed", [rows[30:55], rows[55:]])))
+    found = spark.read.parquet(f"{base}/out")
+    assert {r["message_id"]: r["history"] for r in found.collect()} == {
+        r[0]: history(rows, r, 4) for r in rows if "<@9>" in r[6]
+    }
+    assert found.count() == len([r for r in rows if "<@9>" in r[6]])
+
+
+def test_repeated_batch_changes_nothing(spark, tmp_path):
+    rows = feed(40, seed=5)
+    state = str(tmp_path / "state")
+    parts = [spark.createDataFrame(rows[:15], SCHEMA), spark.createDataFrame(rows[15:], SCHEMA)]
+
+    def step(number):
+        seen = live.history_step(parts[number], number, state, ["channel"], ["ts", "n"], 3)
+        return sorted((r["message_id"], r["history"]) for r in seen.collect())
+
+    step(0)
+    first = step(1)
+    assert step(1) == first == sorted((r[0], history(rows, r, 3)) for r in rows[15:])
+
+
+def test_live_replies(spark, tmp_path):
+    rows = feed(30, seed=8)
+    base = str(tmp_path)
+    known = spark.createDataFrame(
+        [(1, "ann: old news", [1.0, 0.0]), (2, "bob: more", [0.0, 1.0])],
+        "id int, document string, embedding array<float>",
+    ).withColumn("metadata", metadata(type=F.lit(fixed.MESSAGE_TYPE), channel_name=F.lit("x")))
+
+    def embed(asked):
+        return asked.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.5)).cast("array<float>"))
+
+    def generate(prompted):
+        draws = F.when(F.col("trigger") == "command", "/imagine ").otherwise("")
+        return prompted.withColumn("raw_reply", F.concat(draws, "user_text", F.lit("<|im_end|>")))
+
+    run(live.reply_stream(
+        stream_of(spark, f"{base}/feed", [rows[:12], rows[12:]]), known, embed, generate, "9",
+        "!go", "Max", f"{base}/state", base, f"{base}/check", ["channel"], ["ts", "n"],
+    ))
+    sent = {r["message_id"]: r for r in spark.read.parquet(f"{base}/replies").collect()}
+    expected = {
+        r[0]: r for r in rows if r[6].startswith("<@9>") or (r[6].startswith("!go") and not r[7])
+    }
+    assert set(sent) == set(expected)
+    for number, row in expected.items():
+        past = history(rows, row, fixed.HISTORY_LIMIT)
+        assert sent[number]["history"] == past
+        assert ("Recent conversation" in sent[number]["prompt"]) == bool(past)
+        assert "- [x] ann: old news\n- [x] bob: more\n" in sent[number]["prompt"]
+    jobs = {r["request_id"] for r in spark.read.parquet(f"{base}/image_jobs").collect()}
+    assert jobs == {f"{m}/command" for m, r in expected.items() if r[6].startswith("!go")}

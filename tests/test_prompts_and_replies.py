@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import fixed
 from threadloom.functions.metadata import metadata
 from threadloom.operators import prompts
+from threadloom.operators.retrieval import mixed_context
 from threadloom.plans import replies
 from threadloom.streaming import live
 
@@ -151,6 +152,25 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     assert step(1) == first == sorted((r[0], history(rows, r, 3)) for r in rows[15:])
 
 
+def test_state_over_many_batches(spark, tmp_path):
+    """Full tables are written, old tables dropped, and quiet channels remembered."""
+    rows = [r for r in feed(60, seed=11) if r[1] != "z"]
+    rows.insert(0, ("old", "z", datetime(2023, 1, 1), 0, "id-ann", "ann", "long ago", False))
+    rows.append(("new", "z", datetime(2024, 2, 1), 0, "id-ann", "ann", "hi", False))
+    state, found = str(tmp_path / "state"), {}
+    cuts = [0, 5, 6, 15, 20, 22, 30, 31, 40, len(rows)]
+    for number, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        for _ in range(2):
+            seen = live.history_step(
+                spark.createDataFrame(rows[low:high], SCHEMA), number, state, ["channel"],
+                ["ts", "n"], 3, full_every=2,
+            )
+            found |= {r["message_id"]: r["history"] for r in seen.collect()}
+    assert found == {r[0]: history(rows, r, 3) for r in rows}
+    assert {p.name for p in (tmp_path / "state" / "full").iterdir()} == {"batch=5", "batch=7"}
+    assert len(list((tmp_path / "state" / "tails").iterdir())) <= 4
+
+
 def test_live_replies(spark, tmp_path):
     rows = feed(30, seed=8)
     base = str(tmp_path)
@@ -159,15 +179,16 @@ def test_live_replies(spark, tmp_path):
         "id int, document string, embedding array<float>",
     ).withColumn("metadata", metadata(type=F.lit(fixed.MESSAGE_TYPE), channel_name=F.lit("x")))
 
-    def embed(asked):
-        return asked.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.5)).cast("array<float>"))
+    def contexts(asked):
+        embedding = F.array(F.lit(1.0), F.lit(0.5)).cast("array<float>")
+        return mixed_context(known, asked.withColumn("embedding", embedding))
 
     def generate(prompted):
         draws = F.when(F.col("trigger") == "command", "/imagine ").otherwise("")
         return prompted.withColumn("raw_reply", F.concat(draws, "user_text", F.lit("<|im_end|>")))
 
     run(live.reply_stream(
-        stream_of(spark, f"{base}/feed", [rows[:12], rows[12:]]), known, embed, generate, "9",
+        stream_of(spark, f"{base}/feed", [rows[:12], rows[12:]]), contexts, generate, "9",
         "!go", "Max", f"{base}/state", base, f"{base}/check", ["channel"], ["ts", "n"],
     ))
     sent = {r["message_id"]: r for r in spark.read.parquet(f"{base}/replies").collect()}

@@ -92,7 +92,10 @@ def test_ingest(spark, tmp_path):
     assert sorted((r["channel_name"], r["message_count"]) for r in read(f"{out}/channels").collect()) == [
         ("empty", 0), ("general", 2),
     ]
-    assert read(f"{out}/totals").first().asDict() == {"total_messages": 2, "processed_files": 1}
+    assert read(f"{out}/totals").first().asDict() == {"total_messages": 2, "processed_files": 2}
+    assert read(f"{out}/inbox_totals").first().asDict() == {
+        "total_messages": 4, "processed_conversations": 2,
+    }
     assert [r["file_name"] for r in read(f"{out}/errors").collect()] == ["c.html"]
     assert sorted((r["conversation_name"], r["message_count"]) for r in read(f"{out}/conversations").collect()) == [
         ("one", 2), ("two", 2),

@@ -141,6 +141,23 @@ def test_cells(spark):
     assert len(pairs & wanted) / len(wanted) > 0.6
 
 
+def test_probed_cells_prune_directories(spark, tmp_path):
+    collection, queries, made, asked, name = tables(spark)
+    model = vectors.fit_cells(collection, 6, seed=2)
+    path = str(tmp_path / "celled")
+    vectors.assign_cells(collection, model).write.partitionBy("type", "cell").parquet(path)
+    celled = spark.read.parquet(path)
+    one = queries.where("query_id = 30").withColumn("types", F.array(F.lit("a")))
+    hits = vectors.search_cells_by_type(celled, one, model, {"a": 3, "b": 2}, 1)
+    assert hits.rows.count() == 3
+    plan = hits.rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    every = queries.withColumn("types", F.array(F.lit("a"), F.lit("b")))
+    wide = vectors.search_cells_by_type(celled, every, model, {"a": 3, "b": 2}, 6)
+    exact = vectors.search_by_type(celled, every, {"a": 3, "b": 2})
+    assert sorted(map(tuple, wide.rows.collect())) == sorted(map(tuple, exact.rows.collect()))
+
+
 def test_hashed_embedding(spark):
     rows = spark.createDataFrame(
         [(0, "a b"), (1, "B  A"), (2, ""), (3, None), (4, "c d e")], "i int, text string"

@@ -260,6 +260,8 @@ def _mixed(glue: str, header: str = "''") -> str:
 ORACLE["mixed_context"] = f"""WITH {_COLLECTION}, {_QUESTIONS},
 {_mixed("chr(10) || '---' || chr(10)")} SELECT query_id, contexts FROM mixed"""
 
+ORACLE["mixed_context_cells"] = ORACLE["mixed_context"]
+
 # --- history, memory and prompts
 
 ORACLE["channel_history"] = """WITH seen AS (

@@ -310,9 +310,7 @@ def search_tiles(spark, sf):
 
 @query
 def search_filtered(spark, sf):
-    part = views.collection(spark, sf).where(
-        vectors.metadata_filter(fixed.MESSAGE_TYPE, "ch3")
-    )
+    part = vectors.filter_documents(views.collection(spark, sf), fixed.MESSAGE_TYPE, "ch3")
     found = vectors.search(part, views.vector_queries(spark, sf), 3, min_similarity=0.05)
     return _rounded(found.rows)
 
@@ -406,6 +404,19 @@ def mixed_context(spark, sf):
     return found.select("query_id", F.array_join("contexts", "\n---\n").alias("contexts"))
 
 
+@query
+def mixed_context_cells(spark, sf):
+    """The same from a collection stored by type and cell, every cell probed."""
+    path = scratch_path(spark, "celled")
+    every = views.collection(spark, sf).withColumn("type", F.col("metadata.type"))
+    model = vectors.fit_cells(every, 8)
+    vectors.assign_cells(every, model).write.partitionBy("type", "cell").parquet(path)
+    found = retrieval.mixed_context(
+        spark.read.parquet(path), views.questions(spark, sf), model=model, probes=8
+    )
+    return found.select("query_id", F.array_join("contexts", "\n---\n").alias("contexts"))
+
+
 # --- history, memory and prompts --------------------------------------------------------------------
 
 @query
@@ -617,10 +628,14 @@ def stream_replies(spark, sf):
             drawn, "user_text", F.lit(" / "), size, F.lit(fixed.IM_END + "more")
         ))
 
+    def contexts(asked: DataFrame) -> DataFrame:
+        return retrieval.mixed_context(
+            views.collection(spark, sf), _embedded(spark, sf, asked)
+        )
+
     base = scratch_path(spark, "replies")
     _finish(live.reply_stream(
-        feed, views.collection(spark, sf), lambda asked: _embedded(spark, sf, asked), generate,
-        BOT_ID, COMMAND, BOT_NAME, f"{base}/state", base, f"{base}/checkpoint",
+        feed, contexts, generate, BOT_ID, COMMAND, BOT_NAME, f"{base}/state", base, f"{base}/checkpoint",
         ["channel"], ["ts", "turn"], max_chars=300,
     ))
     sent = spark.read.parquet(f"{base}/replies").select("request_id", "reply")

@@ -90,6 +90,14 @@ def corpus_totals(messages: DataFrame) -> DataFrame:
     )
 
 
+def summary_totals(summary: DataFrame, name: str) -> DataFrame:
+    """Totals of a per-file or per-conversation summary; ``name`` names the number of rows."""
+    return summary.agg(
+        F.coalesce(F.sum("message_count"), F.lit(0)).alias("total_messages"),
+        F.count(F.lit(1)).alias(name),
+    )
+
+
 def channel_summary(messages: DataFrame) -> DataFrame:
     """Message count per exported file with its guild and channel."""
     return messages.groupBy("file_name", "guild_name", "channel_name").agg(

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from threadloom.functions import fixed
 from threadloom.operators.vectors import (
     MAX_BROADCAST_QUERIES,
-    metadata_filter,
+    document_type,
+    filter_documents,
     search,
     search_by_type,
+    search_cells_by_type,
 )
 
 # Results up to this many rows are joined back by broadcast.
@@ -84,7 +86,7 @@ def retrieve(collection: DataFrame, queries: DataFrame, n: int = fixed.DEFAULT_H
     ``filtered`` selects the line format of the filtered form; type and channel
     restrict the collection before the search.
     """
-    part = collection.where(metadata_filter(doc_type, channel))
+    part = filter_documents(collection, doc_type, channel)
     hits, few = search(part, queries, n, min_similarity, max_queries)
     small = few and n * max_queries <= _BROADCAST_RESULTS
     text = filtered_context_line() if filtered else default_context_line()
@@ -99,12 +101,13 @@ def context_lists(rows: DataFrame) -> DataFrame:
 
 def mixed_context(collection: DataFrame, queries: DataFrame,
                   messages: int = fixed.MESSAGE_HITS, docs: int = fixed.DOCS_HITS,
-                  keywords: list[str] | None = None,
+                  keywords: list[str] | None = None, model=None, probes: int = 8,
                   max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """(query_id, contexts): nearest messages, then nearest docs for queries that want them.
 
     ``queries`` has (query_id, text, embedding). Both types are searched in one
-    pass over the collection.
+    pass. With a cell ``model`` only the closest cells of a collection with a
+    ``cell`` column are read, which is how a large one serves live requests.
     """
     message_type, docs_type = F.lit(fixed.MESSAGE_TYPE), F.lit(fixed.DOCS_TYPE)
     typed = queries.select(
@@ -113,11 +116,16 @@ def mixed_context(collection: DataFrame, queries: DataFrame,
         .otherwise(F.array(message_type)).alias("types"),
     )
     limits = {fixed.MESSAGE_TYPE: messages, fixed.DOCS_TYPE: docs}
-    searched = collection.select("id", F.col("metadata.type").alias("type"), "embedding")
-    hits, few = search_by_type(searched, typed, limits, max_queries)
+    kind = document_type(collection).alias("type")
+    if model is None:
+        searched = collection.select("id", kind, "embedding")
+        hits, few = search_by_type(searched, typed, limits, max_queries)
+    else:
+        searched = collection.select("id", kind, "cell", "embedding")
+        hits, few = search_cells_by_type(searched, typed, model, limits, probes, max_queries)
     small = few and (messages + docs) * max_queries <= _BROADCAST_RESULTS
-    branch = F.when(F.col("type") == fixed.MESSAGE_TYPE, 0).otherwise(1)
-    lines = _with_documents(hits, collection, small).select(
+    branch = F.when(F.col("metadata.type") == fixed.MESSAGE_TYPE, 0).otherwise(1)
+    lines = _with_documents(hits.drop("type"), collection, small).select(
         "query_id", branch.alias("branch"), "rank", filtered_context_line().alias("context")
     )
     return _lists(lines, ["branch", "rank"])

@@ -197,9 +197,12 @@ def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_que
     if head.num_rows == 0:
         return Hits(queries.sparkSession.createDataFrame([], out), True)
     if head.num_rows <= max_queries:
+        groups = _wanted(head["groups"].to_pylist())
+        if _ANY not in groups:
+            # On a table partitioned by what makes up the group this skips directories.
+            collection = collection.where(F.col("grp").isin(list(groups)))
         block = queries.sparkSession.sparkContext.broadcast((
-            head["query_id"].to_pylist(), _matrix(head["embedding"].combine_chunks()),
-            _wanted(head["groups"].to_pylist()),
+            head["query_id"].to_pylist(), _matrix(head["embedding"].combine_chunks()), groups,
         ))
 
         def scan(batches):
@@ -247,14 +250,19 @@ def _ranked(candidates: DataFrame, keys: list[str], limit: Column) -> DataFrame:
 
 # --- top-k operators ----------------------------------------------------------------
 
-def metadata_filter(doc_type: str | None = None, channel: str | None = None) -> Column:
-    """Equality on type and channel; apply it to the collection before a search."""
-    match = F.lit(True)
+def document_type(collection: DataFrame) -> Column:
+    """The type, from the partition column where the table has one."""
+    return F.col("type" if "type" in collection.columns else "metadata.type")
+
+
+def filter_documents(collection: DataFrame, doc_type: str | None = None,
+                     channel: str | None = None) -> DataFrame:
+    """Equality on type and channel, to be applied before a search."""
     if doc_type:
-        match = match & (F.col("metadata.type") == doc_type)
+        collection = collection.where(document_type(collection) == doc_type)
     if channel:
-        match = match & (F.col("metadata.channel_name") == channel)
-    return match
+        collection = collection.where(F.col("metadata.channel_name") == channel)
+    return collection
 
 
 def search(collection: DataFrame, queries: DataFrame, k: int,
@@ -291,11 +299,14 @@ def search_by_type(collection: DataFrame, queries: DataFrame, limits: dict[str,
         queries.select("query_id", "embedding", F.col("types").alias("groups")),
         limits, max_queries, tile_rows,
     )
-    allowed = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])[F.col("grp")]
-    ranked = _ranked(found, ["query_id", "grp"], allowed).select(
-        "query_id", F.col("grp").alias("type"), "id", "similarity", "rank"
+    return Hits(_ranked_by_type(found.withColumnRenamed("grp", "type"), limits), few)
+
+
+def _ranked_by_type(found: DataFrame, limits: dict[str, int]) -> DataFrame:
+    allowed = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])[F.col("type")]
+    return _ranked(found, ["query_id", "type"], allowed).select(
+        "query_id", "type", "id", "similarity", "rank"
     )
-    return Hits(ranked, few)
 
 
 # --- approximate top-k over k-means cells ---------------------------------------------
@@ -318,31 +329,58 @@ def assign_cells(vectors: DataFrame, model) -> DataFrame:
     return model.transform(_unit_vectors(vectors)).drop("features")
 
 
-def search_cells(celled: DataFrame, queries: DataFrame, model, k: int, probes: int,
-                 max_queries: int = MAX_BROADCAST_QUERIES, tile_rows: int = TILE_ROWS) -> Hits:
-    """Top-k among the rows of each query's ``probes`` closest cells.
-
-    Cells are read in place, never gathered: a cell with a third of the rows is
-    searched by all the tasks that hold a part of it.
-    """
+def _probed(model, probes: int, vector: Column) -> Column:
+    """The ``probes`` cells whose centres are closest, as text."""
     centres = np.array(model.clusterCenters())
 
     @F.pandas_udf("array<string>")
     def probe(vectors: pd.Series) -> pd.Series:
         points = _unit_rows(np.array(vectors.tolist(), dtype=np.float64))
-        distance = ((centres**2).sum(axis=1) - 2 * points @ centres.T)
+        distance = (centres**2).sum(axis=1) - 2 * points @ centres.T
         order = np.argsort(distance, axis=1, kind="stable")[:, :probes]
         return pd.Series([[str(c) for c in row] for row in order])
 
+    return probe(vector)
+
+
+def search_cells(celled: DataFrame, queries: DataFrame, model, k: int, probes: int,
+                 max_queries: int = MAX_BROADCAST_QUERIES, tile_rows: int = TILE_ROWS) -> Hits:
+    """Top-k among the rows of each query's ``probes`` closest cells.
+
+    Cells are read in place, never gathered: a cell with a third of the rows is
+    searched by all the tasks that hold a part of it.
+    """
     found, few = _candidates(
         celled.select("id", F.col("cell").cast("string").alias("grp"), "embedding"),
-        queries.select("query_id", "embedding", probe("embedding").alias("groups")),
+        queries.select(
+            "query_id", "embedding", _probed(model, probes, F.col("embedding")).alias("groups")
+        ),
         {_ANY: k}, max_queries, tile_rows,
     )
     ranked = _ranked(found, ["query_id"], F.lit(k))
     return Hits(ranked.select("query_id", "id", "similarity", "rank"), few)
 
 
+def search_cells_by_type(celled: DataFrame, queries: DataFrame, model, limits: dict[str, int],
+                         probes: int, max_queries: int = MAX_BROADCAST_QUERIES,
+                         tile_rows: int = TILE_ROWS) -> Hits:
+    """``search_by_type`` within each query's closest cells; ``celled`` has type and cell."""
+    cells = _probed(model, probes, F.col("embedding"))
+    asked = queries.select("query_id", "embedding", "types", cells.alias("cells"))
+    groups = F.flatten(F.transform(
+        "types", lambda t: F.transform("cells", lambda c: F.concat(t, F.lit("/"), c))
+    ))
+    found, few = _candidates(
+        celled.where(F.col("type").isin(list(limits))).select(
+            "id", F.concat("type", F.lit("/"), "cell").alias("grp"), "embedding"
+        ),
+        asked.select("query_id", "embedding", groups.alias("groups")),
+        {_ANY: max(limits.values())}, max_queries, tile_rows,
+    )
+    typed = found.withColumn("type", F.substring_index("grp", "/", 1)).drop("grp")
+    return Hits(_ranked_by_type(typed, limits), few)
+
+
 # --- collection upkeep ------------------------------------------------------------------
 
 def message_documents(messages: DataFrame, positional_ids: bool = False,

@@ -2,8 +2,10 @@
 
 Each micro-batch is an ordinary batch job, so a busy channel is split between
 tasks like any hot group. What must survive between batches, the last messages
-of every channel, is a table per batch in the state folder. Results and state
-are written under the batch's number: a repeated batch overwrites its own output.
+of every channel, is kept in tables in the state folder: a batch writes the tails
+of its own channels, and now and then one that covers all channels. Results and
+state are written under the batch's number: a repeated batch overwrites its own
+output and reads nothing that is newer.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import fixed
-from threadloom.operators.prompts import with_history
+from threadloom.operators.prompts import assemble_prompts, system_text, with_history
 from threadloom.plans import replies as reply_plan
 from threadloom.runtime import drop_path, path_exists
 
@@ -23,31 +25,53 @@ def _batch(path: str, number: int) -> str:
     return f"{path}/batch={number}"
 
 
-def _read_if_there(spark, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if path_exists(spark, path) else None
+def _newest(rows: DataFrame, channel: list[str], order: list[str], limit: int) -> DataFrame:
+    """The channels' last rows; every task cuts its share before anything is shuffled."""
+    last = Window.partitionBy(*channel).orderBy(*[F.desc(c) for c in order])
+    ranked = rows.withColumn("_rank", F.row_number().over(last))
+    return ranked.where(F.col("_rank") <= limit).drop("_rank")
+
+
+def _tails_before(spark, state: str, number: int, channel: list[str], every: int) -> DataFrame | None:
+    """Each channel's last messages before a batch: its newest entry since the last full table."""
+    full = number // every * every - 1
+    paths = [_batch(f"{state}/full", full)] if full >= 0 else []
+    paths += [_batch(f"{state}/tails", n) for n in range(full + 1, number)]
+    paths = [p for p in paths if path_exists(spark, p)]
+    if not paths:
+        return None
+    written = Window.partitionBy(*channel).orderBy(F.desc("_written"))
+    found = spark.read.parquet(*paths).withColumn("_age", F.rank().over(written))
+    return found.where(F.col("_age") == 1).drop("_age")
 
 
 def history_step(batch: DataFrame, number: int, state: str, channel: list[str],
-                 order: list[str], limit: int = fixed.HISTORY_LIMIT, **options) -> DataFrame:
+                 order: list[str], limit: int = fixed.HISTORY_LIMIT, full_every: int = 20,
+                 **options) -> DataFrame:
     """The batch's messages with ``history``, taking up and passing on the channels' tails."""
     spark = batch.sparkSession
-    columns = [*channel, *order, "author_name", "content", "is_bot"]
-    columns = list(dict.fromkeys(columns))
-    fresh = batch.withColumn("_fresh", F.lit(True))
-    earlier = _read_if_there(spark, _batch(state, number - 1))
-    known = fresh if earlier is None else fresh.unionByName(
-        earlier.withColumn("_fresh", F.lit(False)), allowMissingColumns=True
-    )
-    newest = Window.partitionBy(*channel).orderBy(*[F.desc(c) for c in order])
-    # Every task keeps its last rows per channel before anything is shuffled.
-    tails = (
-        known.select(*columns).withColumn("_rank", F.row_number().over(newest))
-        .where(F.col("_rank") <= limit).drop("_rank")
-    )
-    tails.write.mode("overwrite").parquet(_batch(state, number))
-    # A restart repeats the last batch at most, which needs the state before it.
-    if path_exists(spark, _batch(state, number - 2)):
-        drop_path(spark, _batch(state, number - 2))
+    columns = list(dict.fromkeys([*channel, *order, "author_name", "content", "is_bot"]))
+    known = batch.withColumn("_fresh", F.lit(True))
+    earlier = _tails_before(spark, state, number, channel, full_every)
+    if earlier is not None:
+        concerned = earlier.join(batch.select(*channel).distinct(), channel, "left_semi")
+        known = known.unionByName(
+            concerned.drop("_written").withColumn("_fresh", F.lit(False)), allowMissingColumns=True
+        )
+    _newest(known.select(*columns), channel, order, limit).withColumn(
+        "_written", F.lit(number).cast("bigint")
+    ).write.mode("overwrite").parquet(_batch(f"{state}/tails", number))
+    if number % full_every == full_every - 1:
+        everything = _tails_before(spark, state, number, channel, full_every)
+        own = spark.read.parquet(_batch(f"{state}/tails", number))
+        if everything is not None:
+            others = everything.join(own.select(*channel).distinct(), channel, "left_anti")
+            own = own.unionByName(others)
+        own.write.mode("overwrite").parquet(_batch(f"{state}/full", number))
+        # A restart repeats the last batch at most, which reads from the full table before.
+        for old in range(number - 2 * full_every + 1, number - full_every + 1):
+            drop_path(spark, _batch(f"{state}/tails", old))
+        drop_path(spark, _batch(f"{state}/full", number - 2 * full_every))
     return with_history(known, channel, order, limit, **options).where("_fresh").drop("_fresh")
 
 
@@ -65,8 +89,7 @@ def history_stream(messages: DataFrame, is_trigger, state: str, out: str, checkp
     return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-def reply_stream(messages: DataFrame, collection: DataFrame,
-                 embed: Callable[[DataFrame], DataFrame],
+def reply_stream(messages: DataFrame, contexts: Callable[[DataFrame], DataFrame],
                  generate: Callable[[DataFrame], DataFrame], bot_id: str, command: str,
                  assistant_name: str, state: str, out: str, checkpoint: str,
                  channel: list[str], order: list[str],
@@ -74,8 +97,9 @@ def reply_stream(messages: DataFrame, collection: DataFrame,
                  max_chars: int = fixed.MAX_REPLY_CHARS):
     """Live messages to ``out/replies`` and ``out/image_jobs``; returns the writer.
 
-    ``embed`` turns (query_id, text) into (query_id, text, embedding) rows and
-    ``generate`` adds ``raw_reply`` to rows with a ``prompt``.
+    ``contexts`` turns (query_id, text) requests into (query_id, contexts), as
+    ``mixed_context`` does after embedding them. ``generate`` adds ``raw_reply``
+    to rows with a ``prompt``.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -91,7 +115,7 @@ def reply_stream(messages: DataFrame, collection: DataFrame,
         asked = requests.select(
             F.col("request_id").alias("query_id"), F.col("user_text").alias("text")
         )
-        prompted = reply_plan.prompts(requests, collection, embed(asked), assistant_name)
+        prompted = assemble_prompts(requests, contexts(asked), system_text(assistant_name))
         replied = reply_plan.replies(generate(prompted), assistant_name, max_chars)
         replied.write.mode("overwrite").parquet(_batch(f"{out}/replies", number))
         sent = spark.read.parquet(_batch(f"{out}/replies", number))

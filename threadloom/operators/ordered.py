@@ -20,8 +20,8 @@ from threadloom.runtime import estimated_bytes
 
 # A plan estimated below this size cannot hold a group too large for one task.
 SMALL_PLAN_BYTES = 256 << 20
-HOT_ROWS = 5_000_000
-MAX_CHUNKS = 8192
+HOT_ROWS = 1_000_000
+MAX_CHUNKS = 16384
 _SAMPLES_PER_CHUNK = 32
 
 

@@ -10,8 +10,9 @@ The raw rows of either way are meant to be stored once; ``with_channels``,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +32,6 @@ _FILE_NAME = r"^(.+?) - .+? - (.+?) \[(\d+)\]"
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-_UNSEEN = frozenset(("script", "style", "template"))
 
 _PARSED = pa.schema([
     ("file_name", pa.string()), ("ordinal", pa.int64()), ("guild", pa.string()),
@@ -49,20 +49,19 @@ _PARSED_SQL = """
 class _Element:
     """A tag with its children; enough of a tree to look up classes and text."""
 
+    __slots__ = ("tag", "attributes", "classes", "children")
+
     def __init__(self, tag: str, attributes: dict):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.classes = attributes.get("class", "").split()
 
-    def descendants(self) -> Iterator[_Element]:
+    def all(self, tag: str, name: str) -> Iterator[_Element]:
         for child in self.children:
             if isinstance(child, _Element):
-                yield child
-                yield from child.descendants()
-
-    def all(self, tag: str, name: str) -> Iterator[_Element]:
-        return (
-            e for e in self.descendants()
-            if e.tag == tag and name in e.attributes.get("class", "").split()
-        )
+                if child.tag == tag and name in child.classes:
+                    yield child
+                if child.children:
+                    yield from child.all(tag, name)
 
     def first(self, tag: str, name: str) -> _Element | None:
         return next(self.all(tag, name), None)
@@ -71,56 +70,62 @@ class _Element:
         for child in self.children:
             if isinstance(child, str):
                 yield child
-            elif child.tag not in _UNSEEN:
+            else:
                 yield from child.texts()
 
 
-class _Reader(HTMLParser):
-    """Tolerant tree building: void tags never open, stray end tags do nothing."""
-
-    def __init__(self):
-        super().__init__()
-        self.open, self.text = [_Element("", {})], []
-
-    def settle(self) -> None:
-        text, self.text = "".join(self.text), []
-        if text and not text.strip(" \n\t\f\r") and not any(
-            e.tag in ("pre", "textarea") for e in self.open
-        ):
-            text = "\n" if "\n" in text else " "
-        if text:
-            self.open[-1].children.append(text)
-
-    def handle_starttag(self, tag, attrs):
-        self.settle()
-        element = _Element(tag, {name: value or "" for name, value in attrs})
-        self.open[-1].children.append(element)
-        if tag not in _VOID:
-            self.open.append(element)
+# Comments, declarations, scripts and styles as one piece each; else a tag.
+_TOKEN = re.compile(
+    r"<!--.*?-->|<[!?][^>]*>|<(script|style|template)\b.*?</\1\s*>"
+    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>",
+    re.DOTALL | re.IGNORECASE,
+)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        self.handle_endtag(tag)
 
-    def handle_endtag(self, tag):
-        self.settle()
-        depth = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), 0)
-        if depth and tag not in _VOID:
-            del self.open[depth:]
+def _attributes(text: str) -> dict:
+    return {
+        name.lower(): unescape(double or single or bare)
+        for name, double, single, bare in _ATTRIBUTE.findall(text)
+    }
 
-    def handle_data(self, data):
-        self.text.append(data)
 
-    def handle_comment(self, data):
-        self.settle()
+def _add_text(open_tags: list[_Element], pieces: list[str]) -> None:
+    text = "".join(pieces)
+    pieces.clear()
+    if not text.strip(" \n\t\f\r") and not any(e.tag in ("pre", "textarea") for e in open_tags):
+        text = "\n" if "\n" in text else " "
+    open_tags[-1].children.append(unescape(text) if "&" in text else text)
 
 
 def _tree(html: str) -> _Element:
-    reader = _Reader()
-    reader.feed(html)
-    reader.close()
-    reader.settle()
-    return reader.open[0]
+    """Tolerant tree building: void tags never open, stray end tags do nothing."""
+    open_tags, pieces, at = [_Element("", {})], [], 0
+    for token in _TOKEN.finditer(html):
+        if token.start() > at:
+            pieces.append(html[at:token.start()])
+        at = token.end()
+        if pieces:
+            _add_text(open_tags, pieces)
+        _, closing, tag, rest = token.groups()
+        if not tag:
+            continue
+        tag = tag.lower()
+        if not closing:
+            # Only the attributes of these two are ever looked at.
+            element = _Element(tag, _attributes(rest) if tag in ("div", "span") else {})
+            open_tags[-1].children.append(element)
+            if tag not in _VOID and not rest.endswith("/"):
+                open_tags.append(element)
+        elif tag not in _VOID:
+            depth = len(open_tags) - 1
+            while depth and open_tags[depth].tag != tag:
+                depth -= 1
+            if depth:
+                del open_tags[depth:]
+    if at < len(html):
+        _add_text(open_tags, [html[at:]])
+    return open_tags[0]
 
 
 def _plain(element: _Element) -> str:

@@ -168,6 +168,25 @@ def test_hashed_embedding(spark):
     assert np.allclose(np.dot(made[0], made[0]), 1)
 
 
+def test_weighted_embedding(spark):
+    """A word of every document weighs nothing."""
+    rows = spark.createDataFrame([(0, "all one"), (1, "all two"), (2, "all")], "i int, text string")
+    weights = vectors.fit_word_weights(rows, "text", 64)
+    made = {
+        r["i"]: np.array(r["embedding"])
+        for r in vectors.embed_hashed(rows, "text", dimensions=64, weights=weights).collect()
+    }
+    assert np.isclose(np.linalg.norm(made[0]), 1) and np.isclose(made[0] @ made[1], 0)
+    assert not made[2].any()
+
+
+def test_long_vectors_lower_the_broadcast_limit(spark, monkeypatch):
+    collection, queries, made, asked, name = tables(spark)
+    monkeypatch.setattr(vectors, "MAX_BROADCAST_VALUES", 8 * 10)
+    hits = vectors.search(collection, queries, 4, tile_rows=100)
+    assert not hits.few and triples(hits) == brute(made, asked, 4, name)
+
+
 def test_user_model(spark):
     def load():
         return lambda texts: np.array([[len(t), 1.0] for t in texts])

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.catalogue.views import stamp, table
+from threadloom.catalogue.views import markdown, stamp, table
 from threadloom.runtime import scratch_path
 
 
@@ -112,3 +112,17 @@ def write_inbox(spark: SparkSession, sf: str) -> str:
                  F.lit("]}")).alias("value"),
     ).write.partitionBy("conversation_dir", "file_name").text(path)
     return path
+
+
+def write_docs(spark: SparkSession, sf: str) -> str:
+    """A documentation tree below a new path: markdown of fifty documents per file."""
+    pages = markdown(spark, sf).select(
+        F.regexp_extract("path", r"d(\d+)\.md", 1).cast("bigint").alias("doc_id"), "value"
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("doc_id", "value")))
+    files = pages.groupBy(F.expr("doc_id div 50").alias("guide")).agg(
+        F.array_join(F.transform(ordered, lambda d: d["value"]), "\n").alias("value")
+    )
+    path = scratch_path(spark, "docs")
+    files.write.partitionBy("guide").text(f"{path}/source")
+    return path

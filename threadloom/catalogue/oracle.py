@@ -194,6 +194,19 @@ ORACLE["section_documents_numbered"] = f"""WITH {_SECTIONS}
 SELECT 'wpilib_doc_' || (row_number() OVER (ORDER BY source_path, section_no) - 1) AS id,
   document, title, path AS file_path FROM docs WHERE length(document) >= 50"""
 
+_MARKDOWN = "regexp_replace(text, '(?m)^([^\\n]{1,40}\\.)$', '## \\1', 'g')"
+ORACLE["doc_tree"] = f"""WITH guide AS (
+  SELECT doc_id // 50 AS guide, string_split(string_agg({_MARKDOWN}, chr(10) ORDER BY doc_id), chr(10)) AS lines
+  FROM documents GROUP BY 1), line AS (
+  SELECT guide, unnest(lines) AS t, generate_subscripts(lines, 1) AS n FROM guide), placed AS (
+  SELECT *, sum(regexp_matches(t, '^#{{1,6}}\\s+.')::INT) OVER (PARTITION BY guide ORDER BY n) AS s FROM line), cut AS (
+  SELECT guide, s::INTEGER AS section_no, CASE WHEN s > 0 THEN length(regexp_extract(min_by(t, n), '^#+')) ELSE 0 END::INTEGER AS level,
+    CASE WHEN s > 0 THEN trim(regexp_extract(min_by(t, n), '^#+\\s+(.+)$', 1), {_WS}) END AS title,
+    string_agg(t || chr(10), '' ORDER BY n) FILTER (NOT regexp_matches(t, '^#{{1,6}}\\s+.')) AS content
+  FROM placed GROUP BY guide, s)
+SELECT guide, section_no, level, title, trim(content, {_WS}) AS content FROM cut
+WHERE trim(content, {_WS}) <> ''"""
+
 # --- vectors
 
 _COLLECTION = """col AS (

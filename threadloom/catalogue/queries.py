@@ -14,7 +14,7 @@ from threadloom.operators import pairs, prompts, retrieval, sections, vectors
 from threadloom.plans import index, replies
 from threadloom.runtime import scratch_path
 from threadloom.sinks import tables as sinks
-from threadloom.sources import html_export, inbox, tables
+from threadloom.sources import files, html_export, inbox, tables
 from threadloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,8 +130,8 @@ _HTML_COLUMNS = [
 
 
 def _html_whole(spark, sf) -> DataFrame:
-    files = spark.read.text(exports.write_html(spark, sf), wholetext=True)
-    return html_export.parse_html_files(files)
+    found = spark.read.text(exports.write_html(spark, sf), wholetext=True)
+    return html_export.parse_html_files(found)
 
 
 @query
@@ -170,9 +170,9 @@ def inbox_messages(spark, sf):
 
 @query
 def inbox_conversations(spark, sf):
-    files = _inbox(spark, sf)
+    stored = _inbox(spark, sf)
     found = msg.conversation_summary(
-        inbox.inbox_messages(files), inbox.inbox_participants(files)
+        inbox.inbox_messages(stored), inbox.inbox_participants(stored)
     )
     names = F.transform("participants", lambda n: F.coalesce(n, F.lit("-")))
     return found.select(
@@ -274,6 +274,17 @@ def doc_sections(spark, sf):
     return sections.doc_sections(views.markdown(spark, sf)).drop("source_path")
 
 
+@query
+def doc_tree(spark, sf):
+    """Sections of files found below a documentation root; file names are the writer's."""
+    found = files.doc_files(spark, exports.write_docs(spark, sf), glob="*.txt")
+    return sections.doc_sections(found).select(
+        F.regexp_extract("source_path", r"guide=(\d+)", 1).cast("bigint").alias("guide"),
+        "section_no", "level", F.when(F.col("level") > 0, F.col("title")).alias("title"),
+        text.py_strip(F.col("content")).alias("content"),
+    )
+
+
 @query
 def section_documents(spark, sf):
     made = sections.section_documents(sections.doc_sections(views.markdown(spark, sf)))

@@ -12,6 +12,7 @@ The order columns must tell any two rows of a group apart; nulls sort first.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,9 +32,14 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     )
 
 
+class _Splits(NamedTuple):
+    points: DataFrame
+    steps: int
+
+
 def _hot_splits(
     df: DataFrame, keys: list[str], order: list[str], hot_rows: int, small_bytes: int
-) -> DataFrame | None:
+) -> _Splits | None:
     """Split points per hot group as a small local table, or None without hot groups.
 
     At most rows / hot_rows groups are hot and each has at most MAX_CHUNKS split
@@ -76,11 +82,14 @@ def _hot_splits(
     )
     splits = sampled.select(*hot_keys, F.array_distinct(F.array_compact(picked)).alias("_splits"))
     # Collected so that every later use sees the same split points, whatever is recomputed.
-    return spark.createDataFrame(splits.collect(), splits.schema)
+    fixed = splits.collect()
+    longest = max(len(row["_splits"]) for row in fixed)
+    return _Splits(spark.createDataFrame(fixed, splits.schema), longest.bit_length())
 
 
-def _with_chunk(df: DataFrame, keys: list[str], order: list[str], splits: DataFrame) -> DataFrame:
+def _with_chunk(df: DataFrame, keys: list[str], order: list[str], splits: _Splits) -> DataFrame:
     """Adds ``_chunk``: how many split points lie at or before the row; null in cold groups."""
+    points, n_steps = splits
     position = F.struct(*[F.col(c) for c in order])
 
     def halve(span: Column, _: Column) -> Column:
@@ -94,9 +103,9 @@ def _with_chunk(df: DataFrame, keys: list[str], order: list[str], splits: DataFr
         )
 
     start = F.struct(F.lit(0).alias("low"), F.size("_splits").alias("high"))
-    steps = F.sequence(F.lit(1), F.lit(MAX_CHUNKS.bit_length()))
+    steps = F.sequence(F.lit(1), F.lit(n_steps + 1))
     chunk = F.when(F.col("_splits").isNotNull(), F.aggregate(steps, start, halve)["low"])
-    joined = df.join(F.broadcast(splits), _same(df, splits, keys), "left")
+    joined = df.join(F.broadcast(points), _same(df, points, keys), "left")
     return joined.withColumn("_chunk", chunk).select(*df.columns, "_chunk")
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,11 +21,16 @@ from threadloom.functions.text import is_blank, line, py_strip
 from threadloom.operators.messages import from_person
 from threadloom.operators.ordered import global_index
 
-# At most this many query vectors travel to every task; larger sets go tile by tile.
+# At most this many query vectors, of this many numbers in all, travel to every task;
+# larger sets go tile by tile.
 MAX_BROADCAST_QUERIES = 8192
-# Collection rows per tile when both sides are large.
+MAX_BROADCAST_VALUES = 1 << 25
+# Per tile: this many collection rows against this many times the broadcast limit of queries.
 TILE_ROWS = 200_000
+_TILE_BLOCKS = 4
+# Similarities computed at a time: a strip of queries by a chunk of rows.
 _QUERY_STRIP = 512
+_ROW_CHUNK = 8192
 _DECIMALS = 9
 _ANY = "*"
 
@@ -58,12 +63,23 @@ def hashed_term_counts(df: DataFrame, text: str, name: str, dimensions: int = 25
     return counts.transform(words.transform(filled)).drop("_text", "_words")
 
 
-def embed_hashed(df: DataFrame, text: str, name: str = "embedding",
-                 dimensions: int = 256) -> DataFrame:
-    """Adds a model-free embedding; the same call serves documents and queries."""
-    counted = hashed_term_counts(df, text, "_counts", dimensions)
-    scaled = Normalizer(inputCol="_counts", outputCol="_unit").transform(counted)
-    return scaled.withColumn(name, vector_to_array("_unit", "float32")).drop("_counts", "_unit")
+def fit_word_weights(documents: DataFrame, text: str, dimensions: int = 256):
+    """Inverse document frequencies of the hashed words, for ``embed_hashed``."""
+    counted = hashed_term_counts(documents, text, "_counts", dimensions)
+    return IDF(inputCol="_counts", outputCol="_weighted").fit(counted.select("_counts"))
+
+
+def embed_hashed(df: DataFrame, text: str, name: str = "embedding", dimensions: int = 256,
+                 weights=None) -> DataFrame:
+    """Adds a model-free embedding of length one; the same call serves documents and queries."""
+    made = hashed_term_counts(df, text, "_counts", dimensions)
+    if weights is not None:
+        made = weights.transform(made)
+    source = "_counts" if weights is None else "_weighted"
+    scaled = Normalizer(inputCol=source, outputCol="_unit").transform(made)
+    return scaled.withColumn(name, vector_to_array("_unit", "float32")).drop(
+        "_counts", "_weighted", "_unit"
+    )
 
 
 # --- top-k inside a task ----------------------------------------------------------
@@ -129,7 +145,7 @@ def _scan(batches, query_ids, query_vectors, wanted, limits, schema):
     """Arrow batches of (id, group, embedding) to the local leaders per query and group."""
     leaders: dict = {}
     for batch in batches:
-        table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
+        table = pa.Table.from_batches([batch])
         table = table.filter(pc.is_valid(table["embedding"])).combine_chunks()
         if table.num_rows == 0:
             continue
@@ -196,6 +212,8 @@ def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_que
     head = queries.limit(max_queries + 1).toArrow()
     if head.num_rows == 0:
         return Hits(queries.sparkSession.createDataFrame([], out), True)
+    dimensions = pc.max(pc.list_value_length(head["embedding"])).as_py() or 1
+    max_queries = min(max_queries, max(MAX_BROADCAST_VALUES // dimensions, 1))
     if head.num_rows <= max_queries:
         groups = _wanted(head["groups"].to_pylist())
         if _ANY not in groups:
@@ -212,7 +230,7 @@ def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_que
         return Hits(collection.mapInArrow(scan, out), True)
 
     # Both sides large: tiles of bounded size, each query block against each slice.
-    n_blocks = -(-queries.count() // max_queries)
+    n_blocks = -(-queries.count() // (_TILE_BLOCKS * max_queries))
     n_slices = -(-max(collection.count(), 1) // tile_rows)
 
     def spread(n: int, column: str, salt: str) -> Column:
@@ -232,7 +250,7 @@ def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_que
         if block.num_rows == 0 or tile.num_rows == 0:
             return schema.empty_table()
         found = _scan(
-            [tile], block["_query"].to_pylist(), _matrix(block["_vector"].combine_chunks()),
+            tile.to_batches(max_chunksize=_ROW_CHUNK), block["_query"].to_pylist(), _matrix(block["_vector"].combine_chunks()),
             _wanted(block["_groups"].to_pylist()), limits, schema,
         )
         return pa.Table.from_batches(list(found), schema=schema)

@@ -33,11 +33,11 @@ def whole_files(spark: SparkSession, path: str, **options) -> DataFrame:
     )
 
 
-def doc_files(spark: SparkSession, root: str) -> DataFrame:
+def doc_files(spark: SparkSession, root: str, glob: str = "*.{md,rst}") -> DataFrame:
     """The ``.md`` and ``.rst`` files below ``source`` or, failing that, ``docs``."""
     folders = [f"{root.rstrip('/')}/{name}" for name in ("source", "docs")]
     folder = next((f for f in folders if path_exists(spark, f)), None)
     if folder is None:
         raise FileNotFoundError(f"neither source nor docs below {root}")
-    files = whole_files(spark, folder, recursiveFileLookup=True, pathGlobFilter="*.{md,rst}")
+    files = whole_files(spark, folder, recursiveFileLookup=True, pathGlobFilter=glob)
     return files.where(F.col("value").isNotNull()).select("path", "value")

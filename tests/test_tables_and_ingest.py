@@ -40,6 +40,18 @@ def test_sources_are_replaced_one_by_one(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(source" in plan
 
 
+def test_messages_as_a_stream(spark, tmp_path):
+    path = str(tmp_path / "feed")
+    for text in "abc":
+        rows(spark, {"content": text, "author_id": "x"}).coalesce(1).write.mode("append").parquet(path)
+    sizes = []
+    stream = tables.stream_messages(spark, path, max_files=2).writeStream.foreachBatch(
+        lambda batch, number: sizes.append(batch.count())
+    ).option("checkpointLocation", str(tmp_path / "check"))
+    stream.trigger(availableNow=True).start().awaitTermination()
+    assert sizes == [2, 1]
+
+
 def test_exchange_json(spark, tmp_path):
     messages = [
         {"message_id": "1", "author_id": "7", "author_name": "ann", "content": "hi",

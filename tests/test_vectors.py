@@ -143,9 +143,8 @@ def test_cells(spark):
 
 def test_probed_cells_prune_directories(spark, tmp_path):
     collection, queries, made, asked, name = tables(spark)
-    model = vectors.fit_cells(collection, 6, seed=2)
     path = str(tmp_path / "celled")
-    vectors.assign_cells(collection, model).write.partitionBy("type", "cell").parquet(path)
+    model = index.build_cells(collection, path, 6, fit_on=collection.where("id > 20"), seed=2)
     celled = spark.read.parquet(path)
     one = queries.where("query_id = 30").withColumn("types", F.array(F.lit("a")))
     hits = vectors.search_cells_by_type(celled, one, model, {"a": 3, "b": 2}, 1)

@@ -339,10 +339,8 @@ def search_by_type(spark, sf):
 
 
 def _in_cells(spark, sf, probes: int) -> DataFrame:
-    embedded = views.collection(spark, sf).select("id", "embedding")
-    model = vectors.fit_cells(embedded, 16)
     path = scratch_path(spark, "cells")
-    vectors.assign_cells(embedded, model).write.partitionBy("cell").parquet(path)
+    model = index.build_cells(views.collection(spark, sf), path, 16)
     asked = views.vector_queries(spark, sf)
     found = vectors.search_cells(spark.read.parquet(path), asked, model, 5, probes)
     return _rounded(found.rows)
@@ -419,9 +417,7 @@ def mixed_context(spark, sf):
 def mixed_context_cells(spark, sf):
     """The same from a collection stored by type and cell, every cell probed."""
     path = scratch_path(spark, "celled")
-    every = views.collection(spark, sf).withColumn("type", F.col("metadata.type"))
-    model = vectors.fit_cells(every, 8)
-    vectors.assign_cells(every, model).write.partitionBy("type", "cell").parquet(path)
+    model = index.build_cells(views.collection(spark, sf), path, 8)
     found = retrieval.mixed_context(
         spark.read.parquet(path), views.questions(spark, sf), model=model, probes=8
     )

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.sections import doc_sections, section_documents
-from threadloom.operators.vectors import embed_hashed, message_documents
-from threadloom.sinks.tables import add_to_collection, rebuild_collection
+from threadloom.operators.vectors import (
+    assign_cells,
+    document_type,
+    embed_hashed,
+    fit_cells,
+    message_documents,
+)
+from threadloom.sinks.tables import add_to_collection, rebuild_collection, write_cells
 from threadloom.sources.files import doc_files
 
 Embed = Callable[[DataFrame, str], DataFrame]
@@ -29,5 +35,18 @@ def add_docs(spark: SparkSession, docs_root: str, path: str,
     return spark.read.parquet(path)
 
 
+def build_cells(collection: DataFrame, path: str, n_cells: int, fit_on: DataFrame | None = None,
+                seed: int = 0):
+    """Stores a collection by type and k-means cell and returns the cell model.
+
+    ``fit_on`` may be a part of the collection when fitting on all of it takes too long;
+    every row gets its cell either way.
+    """
+    model = fit_cells(collection if fit_on is None else fit_on, n_cells, seed)
+    typed = collection.withColumn("type", document_type(collection))
+    write_cells(assign_cells(typed, model), path)
+    return model
+
+
 def collection_size(collection: DataFrame) -> DataFrame:
     return collection.agg(F.count(F.lit(1)).alias("n_documents"))

@@ -53,3 +53,14 @@ def add_to_collection(vectors: DataFrame, path: str) -> None:
     if path_exists(spark, path):
         vectors = new_vectors(spark.read.parquet(path), vectors)
     _typed(vectors).write.mode("append").partitionBy("type").parquet(path)
+
+
+def write_cells(celled: DataFrame, path: str) -> None:
+    """Replaces a collection stored by type and cell.
+
+    Rebalanced first: few files for small cells, several for one that holds much.
+    """
+    (
+        celled.hint("rebalance", "type", "cell")
+        .write.mode("overwrite").partitionBy("type", "cell").parquet(path)
+    )

@@ -21,6 +21,12 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MESSAGE_SCHEMA).parquet(path)
 
 
+def stream_messages(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """Messages as files of them arrive; ``max_files`` bounds a micro-batch."""
+    stream = spark.readStream.schema(MESSAGE_SCHEMA).option("maxFilesPerTrigger", max_files)
+    return stream.parquet(path)
+
+
 def read_message_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Exchange JSON (arrays, or one object per line with ``multi_line=False``).
 

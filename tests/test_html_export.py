@@ -1,5 +1,7 @@
 """HTML exports: markup cases, whole files against split records."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,23 @@ def test_unclosed_tags(spark):
     assert rows[0]["content"] == "bold \nboth"
 
 
+def test_unseen_text(spark):
+    """Scripts, styles and comments hide what looks like markup, closed or not."""
+    hidden = '<script>if (a < b) "</div>"</script><STYLE>div{}</style><!-- <div> -->'
+    rows = messages_of(spark, export(message(1, f"one{hidden}two", span=False)))
+    assert [r["content"] for r in rows] == ["one\ntwo"]
+    assert messages_of(spark, export("<!-- never closed", message(1, "a"))) == []
+    rows = messages_of(spark, export(message(1, "a"), "<script>", message(2, "b")))
+    assert [r["message_id"] for r in rows] == ["1"]
+
+
+@pytest.mark.parametrize("piece", ["<", "<script", "<!--", "<script>", '<a title="', "</", "<a", "<a '\">"])
+def test_odd_text_takes_linear_time(piece):
+    started = time.time()
+    html_export._tree(piece * 5_000)
+    assert time.time() - started < 1
+
+
 def test_class_is_matched_by_token(spark):
     odd = message(1, "a").replace('"chatlog__header"', '"chatlog__header-x"')
     assert messages_of(spark, export(odd)) == []

@@ -74,12 +74,13 @@ class _Element:
                 yield from child.texts()
 
 
-# Comments, declarations, scripts and styles as one piece each; else a tag.
+# The start of a comment, a declaration, or a tag; the loose form ignores quotes.
 _TOKEN = re.compile(
-    r"<!--.*?-->|<[!?][^>]*>|<(script|style|template)\b.*?</\1\s*>"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>",
-    re.DOTALL | re.IGNORECASE,
+    r"<!--|<[!?][^>]*>|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.IGNORECASE
 )
+_LOOSE = re.compile(r"<(/?)([a-z][^\s/>]*+)([^>]*)>", re.IGNORECASE)
+# What ends an element whose text is never shown.
+_UNSEEN = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "template")}
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -101,17 +102,32 @@ def _add_text(open_tags: list[_Element], pieces: list[str]) -> None:
 def _tree(html: str) -> _Element:
     """Tolerant tree building: void tags never open, stray end tags do nothing."""
     open_tags, pieces, at = [_Element("", {})], [], 0
-    for token in _TOKEN.finditer(html):
-        if token.start() > at:
-            pieces.append(html[at:token.start()])
+    while (start := html.find("<", at)) >= 0:
+        token = _TOKEN.match(html, start)
+        if not token and html.find(">", start) < 0:
+            break
+        # A tag with an unpaired quote ends at the next angle bracket; the rest is text.
+        token = token or _LOOSE.match(html, start)
+        if not token:
+            pieces.append(html[at:start + 1])
+            at = start + 1
+            continue
+        if start > at:
+            pieces.append(html[at:start])
         at = token.end()
         if pieces:
             _add_text(open_tags, pieces)
-        _, closing, tag, rest = token.groups()
+        closing, tag, rest = token.groups()
         if not tag:
+            if token.group() == "<!--":
+                end = html.find("-->", at)
+                at = end + 3 if end >= 0 else len(html)
             continue
         tag = tag.lower()
-        if not closing:
+        if tag in _UNSEEN and not closing:
+            end = _UNSEEN[tag].search(html, at)
+            at = end.end() if end else len(html)
+        elif not closing:
             # Only the attributes of these two are ever looked at.
             element = _Element(tag, _attributes(rest) if tag in ("div", "span") else {})
             open_tags[-1].children.append(element)
@@ -123,8 +139,8 @@ def _tree(html: str) -> _Element:
                 depth -= 1
             if depth:
                 del open_tags[depth:]
-    if at < len(html):
-        _add_text(open_tags, [html[at:]])
+    if at < len(html) or pieces:
+        _add_text(open_tags, [*pieces, html[at:]])
     return open_tags[0]
 
 

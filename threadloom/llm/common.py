@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from threadloom.runtime import scratch_path
 
-#: The separators of plain words.
-SPACE = r"[\x20\x09-\x0D]+"
-
 #: Upper-case ASCII becomes lower case, every other ASCII byte outside 0-9 a-z a blank.
 FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else 0x20
@@ -26,8 +23,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def plain_words(text: Column) -> Column:
-    """The words between ASCII white space; none for a null text."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+    """The words between ASCII white space; none for a null text.
+
+    Other white space becomes a blank first: splitting at a blank needs no pattern.
+    """
+    text = F.coalesce(text, F.lit(""))
+    for sign in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(sign), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def folded_words(text: str | None) -> list[bytes]:

@@ -25,7 +25,7 @@ from threadloom.llm.common import let
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: kind: pattern of the whole value. Matching tries them in this order.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w.]*\w)",
     "date": r"(?<![\w.])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]*\w)",
@@ -197,15 +197,17 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     ``key`` is the secret of the permutation: keep it out of the data.
     """
     text = F.col("text")
-    found = F.when(text.rlike(ANY), F.transform(
+    maybe = text.contains("@") | text.rlike("[0-9]")
+    found = F.when(maybe, F.transform(
         F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: pseudonym(v, F.lit(key))
     ))
     out = docs.drop(*(f"n_{k}" for k in COUNTED)).withColumn("_found", found)
-    gaps = F.split(text, ANY, -1)
     joined = F.array_join(F.zip_with(
-        gaps, "_found", lambda gap, f: F.concat(gap, F.coalesce(f["value"], F.lit("")))
+        F.split(text, ANY, -1), "_found", lambda gap, f: F.concat(gap, F.coalesce(f["value"], F.lit("")))
     ), "")
+    some = F.coalesce(F.size("_found"), F.lit(0)) > 0
+    count = lambda k: F.size(F.filter("_found", lambda f: f["kind"] == k))
     return out.withColumns({
-        **{f"n_{k}": F.coalesce(F.size(F.filter("_found", lambda f: f["kind"] == k)), F.lit(0)).cast("long") for k in COUNTED},
-        "text": F.when(F.col("_found").isNull(), text).otherwise(joined),
-    }).withColumns({f"n_{k}": F.greatest(F.col(f"n_{k}"), F.lit(0).cast("long")) for k in COUNTED}).drop("_found")
+        **{f"n_{k}": F.when(some, count(k)).otherwise(0).cast("long") for k in COUNTED},
+        "text": F.when(some, joined).otherwise(text),
+    }).drop("_found")

@@ -63,6 +63,11 @@ def _repeat_words(grams: Column) -> Column:
     return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(heavy)
 
 
+def _joined(a, b) -> Column:
+    """Hashes of runs from hashes of their parts; the surplus end is cut off by the caller."""
+    return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """Adds the measures. Columns of ``docs`` with the same names are replaced."""
     docs = docs.drop(*MEASURES)
@@ -72,23 +77,24 @@ def measure(docs: DataFrame) -> DataFrame:
         "_lines": F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
     })
     stage = stage.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    gram = F.transform(
-        "_hashes",
-        lambda h, i: F.xxhash64(h, *(F.get(F.col("_hashes"), i + k) for k in range(1, WINDOW))),
+    grams = let(
+        _joined("_hashes", F.slice("_hashes", F.lit(2), F.size("_hashes"))),
+        lambda two: _joined(_joined(two, F.slice(two, F.lit(3), F.size(two))), F.slice("_hashes", F.lit(5), F.size("_hashes"))),
     )
     stage = stage.withColumn(
-        "_grams", F.slice(gram, F.lit(1), F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0)))
-    )
+        "_grams", F.slice(grams, F.lit(1), F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0)))
+    ).withColumn("_marks", F.regexp_replace(text, r"[^A-Z#*$%&|<>]+", ""))
+    symbols = F.length("_marks") - F.length(F.regexp_replace("_marks", SYMBOLS, ""))
     long = lambda c: c.cast("long")
     return stage.withColumns({
         "n_words": long(F.size("_words")),
         "word_chars": long(F.length(F.array_join("_words", ""))),
-        "n_symbols": long(F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))),
+        "n_symbols": long(symbols),
         "n_lines": long(F.size("_lines")),
         "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
         "n_repeat_words": _repeat_words(F.col("_grams")),
-        "n_capitals": long(F.length(text) - F.length(F.regexp_replace(text, "[A-Z]", ""))),
-    }).drop("_words", "_lines", "_hashes", "_grams")
+        "n_capitals": long(F.length("_marks") - symbols),
+    }).drop("_words", "_lines", "_hashes", "_grams", "_marks")
 
 
 def base_failed() -> Column:

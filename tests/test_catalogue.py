@@ -4,13 +4,15 @@ import pytest
 
 import check_oracle
 from __spark_entry__ import entry, oracle_sql, queries
+from threadloom.catalogue.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_names():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"search_cells"}
+    assert set(QUERIES) <= set(queries())
+    assert set(QUERIES) - set(oracle_sql()) == {"search_cells"}
 
 
 def test_entry(spark):
@@ -19,7 +21,7 @@ def test_entry(spark):
     assert found.count() > 0
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, name):
     verdict = check_oracle.compare(spark, SF, name)
     assert verdict.startswith(("equal", "rows")), verdict

@@ -31,7 +31,8 @@ from threadloom.llm.common import folded_words, fresh, stored
 
 WINDOW = 10
 FOUND = "n_words bigint, hits array<struct<start:int,stop:int>>, items array<string>"
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of texts whose upper case still stands.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 class SuffixAutomaton:

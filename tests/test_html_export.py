@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.messages import MESSAGE_COLUMNS
 from threadloom.sources import files, html_export
+import pyarrow as pa
+
+from threadloom.sources import html_export
 from threadloom.sources.html_export import (
     html_channels,
     html_errors,
     html_messages,
     html_records,
     parse_html_files,
+    parse_html_records,
     read_html_exports,
     with_channels,
 )
@@ -186,28 +190,66 @@ def test_directory_scan(spark, folder):
     }
 
 
-@pytest.mark.parametrize("split_above", [0, 1 << 20])
-def test_bad_file_is_reported(spark, folder, split_above):
-    bad = html_errors(read_html_exports(spark, folder, split_above)).collect()
+def test_bad_file_is_reported(spark, folder):
+    bad = html_errors(read_html_exports(spark, folder)).collect()
     assert [tuple(r) for r in bad] == [("bad.html", "not valid UTF-8")]
 
 
-def test_split_equals_whole(spark, folder):
-    whole = contents(html_messages(read_html_exports(spark, folder)))
-    assert len(whole) == 342 + 25
+def test_records_of_a_well_formed_export(spark, folder):
+    whole = contents(html_messages(read_html_exports(spark, folder, glob="one.html")))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
-        for limit in (0, 20_000):
-            raw = read_html_exports(spark, folder, split_above=limit)
-            assert contents(html_messages(with_channels(raw))) == whole
         records = html_records(spark, folder, pathGlobFilter="one.html")
         assert records.select(F.spark_partition_id()).distinct().count() > 4
+        assert contents(html_messages(with_channels(parse_html_records(records)))) == whole
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_deep_nesting_and_odd_containers(spark):
+    box = '<div class="chatlog__message-container"{}><div class="chatlog__message"><div class="chatlog__message-primary"><div class="chatlog__header"><span class="chatlog__author">Ann</span></div><div class="chatlog__content">{}'
+    inner = [box.format(a, f"m{i}" + "</div>" * 4) for i, a in enumerate([' data-message-id="1"', "", " data-message-id='3'"])]
+    text = export(*inner, '<div data-message-id="9">no container</div>')
+    assert [m["content"] for m in messages_of(spark, text)] == ["m0", "m1", "m2"]
+    deep = export("<div>" * 5000, *inner)
+    assert [m["content"] for m in messages_of(spark, deep)] == ["m0", "m1", "m2"]
+    unclosed = export(*[box.format("", f"u{i}") for i in range(1200)])
+    assert len(messages_of(spark, unclosed)) == 1200
+
+
+def test_a_failing_file_leaves_the_others(spark, monkeypatch):
+    def parse(text):
+        if "boom" in text:
+            raise ValueError("boom")
+        return real(text)
+
+    real = html_export._tree
+    monkeypatch.setattr(html_export, "_tree", parse)
+    rows = [r for n, t in (("a", "boom"), ("b", export(message(1, "x")))) for b in html_export._files_parser(False)(
+        [pa.RecordBatch.from_pylist([{"file_name": n, "value": t}])]) for r in b.to_pylist()]
+    assert [(r["file_name"], r["error"], r["content"]) for r in rows] == [
+        ("a", "ValueError('boom')", None), ("b", None, None), ("b", None, "x")]
+
+
+def test_continuations_are_kept_on_demand(spark):
+    grouped = '<div class="chatlog__message-container" data-message-id="2"><div class="chatlog__message"><div class="chatlog__message-primary"><div class="chatlog__content">and more</div></div></div></div>'
+    text = export(grouped, message(1, "hi", title="ann.real"), grouped, grouped)
+    assert [m["content"] for m in messages_of(spark, text)] == ["hi"]
+    rows = spark.createDataFrame([("f.html", text)], "file_name string, value string")
+    kept = html_messages(parse_html_files(rows, keep_continuations=True)).orderBy("ordinal").collect()
+    assert [(m["content"], m["author_name"]) for m in kept] == [("hi", "ann.real"), ("and more", "ann.real"), ("and more", "ann.real")]
+    assert len({m["ts"] for m in kept}) == 1
+
+
+def test_iso_titles_have_a_time(spark):
+    rows = spark.createDataFrame([("f.html", export(message(1, "hi"))),], "file_name string, value string")
+    raw = parse_html_files(rows).withColumn("time_title", F.lit("2024-05-06T07:08:09"))
+    row = html_messages(raw).first()
+    assert str(row["ts"]) == "2024-05-06 07:08:09" and row["ts_raw"] == "2024-05-06T07:08:09"
+
+
 def files_read(df):
     df.collect()
     node = df._jdf.queryExecution().executedPlan()

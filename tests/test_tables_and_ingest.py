@@ -126,5 +126,20 @@ def test_hot_conversation_is_written_by_several_tasks(spark, tmp_path):
         sinks.write_by_conversation(made, str(tmp_path / "c"))
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    hot = list((tmp_path / "c" / "source=discord" / "conv_key=hot").glob("part-*"))
+    bucket = spark.range(1).select(sinks.conversation_bucket(F.lit("hot"))).first()[0]
+    hot = list((tmp_path / "c" / "source=discord" / f"bucket={bucket}").glob("part-*"))
     assert len(hot) > 1 and spark.read.json(str(tmp_path / "c")).count() == 60_000
+
+
+def test_conversation_keys_of_any_length(spark, tmp_path):
+    made = spark.createDataFrame([("s", "k" * 1000, "a"), ("s", "k" * 1000, "b"), ("s", "x/y", "c")], "source string, conv_key string, content string")
+    sinks.write_by_conversation(made, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "c")).where(F.length("conv_key") == 1000).count() == 2
+
+
+def test_ids_repeated_in_one_add(spark, tmp_path):
+    row = [("a", "x", {"type": "t"}), ("a", "x", {"type": "t"})]
+    made = spark.createDataFrame(row, "id string, document string, metadata struct<type:string>")
+    for _ in range(2):
+        sinks.add_to_collection(made, str(tmp_path / "v"))
+        assert spark.read.parquet(str(tmp_path / "v")).count() == 1

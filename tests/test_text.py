@@ -93,17 +93,14 @@ def test_cap_reply(column_of):
     assert found == [values[0], "y" * 1997 + "...", "é" * 1997 + "...", ""]
 
 
-@RELAXED
-@given(mixed("<|im_start|>assistant", "<|im_end|>", "<|im_start|>", "PROMPT"))
-def test_assistant_turn(column_of, values):
-    def take(s):
-        mark = "<|im_start|>assistant"
-        s = s.split(mark)[-1].strip() if mark in s else s[len("PROMPT"):].strip()
-        s = s.replace("<|im_end|>", "").strip()
-        return s.replace("<|im_start|>", "").strip()
-
-    found = column_of(lambda c: text.assistant_turn(c, F.lit("PROMPT")), values)
-    assert found == [take(v) for v in values]
+def test_assistant_turn(column_of):
+    cases = {
+        "PROMPT hello": "hello", "PROMPT<|im_start|>assistant\nhi<|im_end|>\n": "hi",
+        "<|im_start|>assistant a<|im_start|>assistant b": "b", "PROMPT": "", "PROMP": "",
+        "PROMPT a<|im_end|> b <|im_start|>user": "a b user", "": "",
+    }
+    found = column_of(lambda c: text.assistant_turn(c, F.lit("PROMPT")), list(cases))
+    assert found == list(cases.values())
 
 
 def test_mentions(column_of):
@@ -120,34 +117,29 @@ def test_command_argument(column_of):
     assert found == ["now", None, None, None, "line two", None]
 
 
-@RELAXED
-@given(mixed("@Meta AI ", "@meta\tai  /IMAGINE ", "/imagine ", "/Imagine\n", "/imagine", "\r"))
-def test_image_prompt(column_of, values):
-    def find(s):
-        for pattern in (r"@Meta\s+AI\s+/imagine\s+(.+)", r"/imagine\s+(.+)"):
-            match = re.search(pattern, s, re.IGNORECASE)
-            if match:
-                return match.group(1).strip()
-        return None
-
-    assert column_of(text.image_prompt, values) == [find(v) for v in values]
+def test_image_prompt(column_of):
+    cases = {
+        "@Meta AI /imagine a cat": "a cat", "hey @meta\tai  /IMAGINE  two dogs ": "two dogs",
+        "/imagine b\nsecond line": "b", "/imagine": None, "/Imagine\n\nfar below": "far below",
+        "imagine c": None, "/imagine x @Meta AI /imagine y": "y", "": None,
+    }
+    assert column_of(text.image_prompt, list(cases)) == list(cases.values())
 
 
 @RELAXED
 @given(mixed("@Meta AI", "@META ai", "/imagine", "/ImAgInE", "long " * 20))
 def test_clean_image_prompt(column_of, values):
-    def clean(s):
-        s = re.sub("@Meta AI", "", s, flags=re.IGNORECASE)
-        return re.sub("/imagine", "", s, flags=re.IGNORECASE).strip()[:200]
-
-    assert column_of(text.clean_image_prompt, values) == [clean(v) for v in values]
-
-
-@RELAXED
-@given(mixed("a-b", "--", "½", "_", "?!", "日本", "　", "x" * 30))
-def test_image_file_name(column_of, values):
-    def slug(s):
-        kept = re.sub(r"[^\w\s-]", "", s)[:50]
-        return re.sub(r"[-\s]+", "-", kept) + ".png"
-
-    assert column_of(text.image_file_name, values) == [slug(v) for v in values]
+    """Short, without white space at its start, nothing invented."""
+    found = column_of(text.clean_image_prompt, values)
+    assert all(len(f) <= 200 and f == f.lstrip() for f in found)
+    plain = [v for v in values if "meta" not in v.lower() and "imagine" not in v.lower()]
+    assert column_of(text.clean_image_prompt, plain) == [v.strip()[:200] for v in plain]
+    assert column_of(text.clean_image_prompt, ["@meta AI a /IMAGINE b", "/imagine"]) == ["a  b", ""]
+
+
+def test_image_file_name(column_of):
+    cases = {
+        "A cat, sleeping!": "A-cat-sleeping.png", "a-b -- c": "a-b-c.png", "½ x_y?": "½-x_y.png",
+        "日本　の猫": "日本-の猫.png", "x" * 60: "x" * 50 + ".png", "": ".png", "!?": ".png",
+    }
+    assert column_of(text.image_file_name, list(cases)) == list(cases.values())

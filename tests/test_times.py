@@ -8,21 +8,13 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import times
 
+# fixed values: the accepted shapes
 FORMATS = [
     "%A, %B %d, %Y %I:%M %p", "%A, %B %d, %Y %I:%M:%S %p", "%m/%d/%Y %I:%M %p",
     "%Y-%m-%d %H:%M:%S",
 ]
 
 
-def python_parse(value):
-    for form in FORMATS:
-        try:
-            return datetime.strptime(value, form)
-        except ValueError:
-            pass
-    return None
-
-
 @settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(
     st.tuples(st.datetimes(datetime(1000, 1, 1), datetime(2400, 1, 1)), st.sampled_from(FORMATS)),
@@ -30,19 +22,28 @@ def python_parse(value):
 ))
 def test_formats(column_of, drawn):
     values = [moment.strftime(form) for moment, form in drawn]
-    assert column_of(times.parse_export_time, values) == [python_parse(v) for v in values]
+    kept = [m.replace(microsecond=0, second=m.second if "%S" in form else 0) for m, form in drawn]
+    assert column_of(times.parse_export_time, values) == kept
+
+
+ODD = {
+    "thursday, october 13, 2022 5:07 pm": datetime(2022, 10, 13, 17, 7),
+    "Monday, October 13, 2022 12:00 AM": datetime(2022, 10, 13),
+    "Friday, October 13, 2022 12:30:15 PM": datetime(2022, 10, 13, 12, 30, 15),
+    "Thursday, October 13, 2022 5:07\u202fPM": datetime(2022, 10, 13, 17, 7),
+    "Thursday,\u00a0October 13, 2022 5:07\u00a0PM": datetime(2022, 10, 13, 17, 7),
+    "2/29/2024\u30001:00\u2009AM": datetime(2024, 2, 29, 1),
+    "2024-1-2\u00a03:04:05": datetime(2024, 1, 2, 3, 4, 5),
+    "October 13, 2022 5:07 PM": None, "Thursday, October 32, 2022 5:07 PM": None,
+    "Thursday, October 13, 2022 13:07 PM": None, "2/29/2023 1:00 AM": None,
+    "2024-01-02T03:04:05": None, "2024-01-02 24:00:00": None, "": None, "soon": None,
+    "Thursday, October 13, 2022 5:07 PM ": None, "0000-01-01 00:00:00": None,
+    "2024-01-01 10:10:60": None,
+}
 
 
 def test_odd_spellings(column_of):
-    values = [
-        "Thursday, October 13, 2022 5:07 PM", "thursday, october 13, 2022 5:07 pm",
-        "Monday, October 13, 2022 12:00 AM", "Friday, October 13, 2022 12:30:15 PM",
-        "October 13, 2022 5:07 PM", "Thursday, October 32, 2022 5:07 PM",
-        "Thursday, October 13, 2022 13:07 PM", "2/29/2023 1:00 AM", "2/29/2024 1:00 AM",
-        "2024-1-2 3:04:05", "2024-01-02T03:04:05", "2024-01-02 24:00:00", "", "soon",
-        "Thursday, October 13, 2022 5:07 PM ", "0000-01-01 00:00:00", "2024-01-01 10:10:60",
-    ]
-    assert column_of(times.parse_export_time, values) == [python_parse(v) for v in values]
+    assert column_of(times.parse_export_time, list(ODD)) == list(ODD.values())
 
 
 def test_iso_text(spark):

@@ -130,6 +130,7 @@ ORACLE["inbox_conversations"] = f"""WITH {_INBOX}, big AS (
   SELECT DISTINCT 'd' || block AS dir FROM turns WHERE number > 1)
 SELECT dir AS conversation_dir,
   CASE WHEN dir IN (SELECT dir FROM big) THEN replace(dir, 'd', 'block ') || '|-' END AS participants,
+  CASE WHEN dir IN (SELECT dir FROM big) THEN replace(dir, 'd', 'block ') || ', Unknown' ELSE '' END AS conversation_name,
   count(*) AS message_count FROM inbox GROUP BY dir"""
 _BOTH = f"{_HTML}, {_INBOX.replace('turns AS', 'turns2 AS', 1).replace('FROM turns ', 'FROM turns2 ')}"
 ORACLE["merged_messages"] = f"""WITH {_BOTH}

@@ -176,7 +176,8 @@ def inbox_conversations(spark, sf):
     )
     names = F.transform("participants", lambda n: F.coalesce(n, F.lit("-")))
     return found.select(
-        "conversation_dir", F.array_join(names, "|").alias("participants"), "message_count"
+        "conversation_dir", F.array_join(names, "|").alias("participants"), "conversation_name",
+        "message_count",
     )
 
 
@@ -240,6 +241,9 @@ def export_times(spark, sf):
         .when(F.col("event_type") == "purchase", F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
         .otherwise(F.concat(F.lit("soon "), "event_id"))
     )
+    # newer exports have a narrow no-break space before AM and PM, others a no-break space
+    spelled = F.regexp_replace(spelled, " (?=[AP]M$)", "\u202f")
+    spelled = F.when(F.col("event_id") % 3 == 0, F.replace(spelled, F.lit("\u202f"), F.lit("\u00a0"))).otherwise(spelled)
     events = views.table(spark, sf, "events").select("event_id", spelled.alias("spelled"))
     parsed = times.parse_export_time(F.col("spelled"))
     return events.select(

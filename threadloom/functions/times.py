@@ -10,14 +10,15 @@ _MONTHS = [
     "january", "february", "march", "april", "may", "june",
     "july", "august", "september", "october", "november", "december",
 ]
+_SPACES = r"[\s\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 _WEEKDAYS = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"
 _CLOCK12 = r"(1[0-2]|0?[1-9]):([0-5]?\d)"
 _LONG = (
-    rf"(?i)^(?:{_WEEKDAYS}),\s+({'|'.join(_MONTHS)})\s+(\d{{1,2}}),\s+(\d{{4}})\s+"
-    rf"{_CLOCK12}(?::([0-5]?\d))?\s+([AP]M)\z"
+    rf"(?i)^(?:{_WEEKDAYS}),{_SPACES}({'|'.join(_MONTHS)}){_SPACES}(\d{{1,2}}),{_SPACES}(\d{{4}}){_SPACES}"
+    rf"{_CLOCK12}(?::([0-5]?\d))?{_SPACES}([AP]M)\z"
 )
-_SLASHED = rf"(?i)^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})\s+{_CLOCK12}\s+([AP]M)\z"
-_DASHED = r"^(\d{4})-(\d{1,2})-(\d{1,2})\s+(\d{1,2}):([0-5]?\d):([0-5]?\d)\z"
+_SLASHED = rf"(?i)^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}){_SPACES}{_CLOCK12}{_SPACES}([AP]M)\z"
+_DASHED = rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}}){_SPACES}(\d{{1,2}}):([0-5]?\d):([0-5]?\d)\z"
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:

@@ -106,13 +106,11 @@ def channel_summary(messages: DataFrame) -> DataFrame:
 
 
 def conversation_summary(messages: DataFrame, participants: DataFrame) -> DataFrame:
-    """Count and participants per inbox directory that has any message."""
-    counts = messages.groupBy(F.col("conversation_dir")).agg(
-        F.first("conversation_name").alias("conversation_name"),
-        F.count(F.lit(1)).alias("message_count"),
-    )
-    return counts.join(
-        participants.select("conversation_dir", "participants"), "conversation_dir", "left"
+    """Count, participants and final name per inbox directory that has any message."""
+    counts = messages.groupBy("conversation_dir").agg(F.count(F.lit(1)).alias("message_count"))
+    people = participants.select("conversation_dir", "participants", "conversation_name")
+    return counts.join(people, "conversation_dir", "left").withColumn(
+        "conversation_name", F.coalesce("conversation_name", F.lit(""))
     )
 
 

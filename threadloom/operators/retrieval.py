@@ -87,7 +87,7 @@ def retrieve(collection: DataFrame, queries: DataFrame, n: int = fixed.DEFAULT_H
     restrict the collection before the search.
     """
     part = filter_documents(collection, doc_type, channel)
-    hits, few = search(part, queries, n, min_similarity, max_queries)
+    hits, few, _ = search(part, queries, n, min_similarity, max_queries)
     small = few and n * max_queries <= _BROADCAST_RESULTS
     text = filtered_context_line() if filtered else default_context_line()
     return _with_documents(hits, part, small).select(
@@ -102,7 +102,7 @@ def context_lists(rows: DataFrame) -> DataFrame:
 def mixed_context(collection: DataFrame, queries: DataFrame,
                   messages: int = fixed.MESSAGE_HITS, docs: int = fixed.DOCS_HITS,
                   keywords: list[str] | None = None, model=None, probes: int = 8,
-                  max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                  min_similarity: float | None = None, max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """(query_id, contexts): nearest messages, then nearest docs for queries that want them.
 
     ``queries`` has (query_id, text, embedding). Both types are searched in one
@@ -119,10 +119,18 @@ def mixed_context(collection: DataFrame, queries: DataFrame,
     kind = document_type(collection).alias("type")
     if model is None:
         searched = collection.select("id", kind, "embedding")
-        hits, few = search_by_type(searched, typed, limits, max_queries)
+        hits, few, _ = search_by_type(searched, typed, limits, max_queries)
     else:
         searched = collection.select("id", kind, "cell", "embedding")
-        hits, few = search_cells_by_type(searched, typed, model, limits, probes, max_queries)
+        hits, few, groups = search_cells_by_type(
+            searched, typed, model, limits, probes, max_queries
+        )
+        if groups is not None:
+            # the texts of the cells searched: the scan for them skips the other directories
+            place = F.concat(kind, F.lit("/"), F.col("cell").cast("string"))
+            collection = collection.where(place.isin(list(groups)))
+    if min_similarity is not None:
+        hits = hits.where(F.col("similarity") >= min_similarity)
     small = few and (messages + docs) * max_queries <= _BROADCAST_RESULTS
     branch = F.when(F.col("metadata.type") == fixed.MESSAGE_TYPE, 0).otherwise(1)
     lines = _with_documents(hits.drop("type"), collection, small).select(

@@ -195,6 +195,7 @@ class Hits(NamedTuple):
 
     rows: DataFrame
     few: bool
+    groups: tuple[str, ...] | None = None
 
 
 def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_queries: int,
@@ -209,10 +210,14 @@ def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_que
         ("id", _arrow_type(collection, "id")), ("similarity", pa.float64()),
     ])
     # Also the size check: one row more than may be broadcast.
+    queries = queries.where(F.col("embedding").isNotNull())
     head = queries.limit(max_queries + 1).toArrow()
     if head.num_rows == 0:
         return Hits(queries.sparkSession.createDataFrame([], out), True)
-    dimensions = pc.max(pc.list_value_length(head["embedding"])).as_py() or 1
+    lengths = pc.min_max(pc.list_value_length(head["embedding"])).as_py()
+    if lengths["min"] != lengths["max"]:
+        raise ValueError(f"query vectors of {lengths['min']} and of {lengths['max']} dimensions")
+    dimensions = lengths["max"] or 1
     max_queries = min(max_queries, max(MAX_BROADCAST_VALUES // dimensions, 1))
     if head.num_rows <= max_queries:
         groups = _wanted(head["groups"].to_pylist())
@@ -227,7 +232,8 @@ def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_que
             names, vectors, wanted = block.value
             yield from _scan(batches, names, vectors, wanted, limits, schema)
 
-        return Hits(collection.mapInArrow(scan, out), True)
+        searched = None if _ANY in groups else tuple(groups)
+        return Hits(collection.mapInArrow(scan, out), True, searched)
 
     # Both sides large: tiles of bounded size, each query block against each slice.
     n_blocks = -(-queries.count() // (_TILE_BLOCKS * max_queries))
@@ -291,7 +297,7 @@ def search(collection: DataFrame, queries: DataFrame, k: int,
     ``collection`` has unique (id, embedding), ``queries`` (query_id, embedding).
     The collection is scanned where it lies; a task sends on k rows per query.
     """
-    found, few = _candidates(
+    found, few, _ = _candidates(
         collection.select("id", F.lit(_ANY).alias("grp"), "embedding"),
         queries.select("query_id", "embedding", F.array(F.lit(_ANY)).alias("groups")),
         {_ANY: k}, max_queries, tile_rows,
@@ -310,7 +316,7 @@ def search_by_type(collection: DataFrame, queries: DataFrame, limits: dict[str,
     ``collection`` has (id, type, embedding). ``queries`` has (query_id, types,
     embedding); a query only searches the types it lists.
     """
-    found, few = _candidates(
+    found, few, _ = _candidates(
         collection.where(F.col("type").isin(list(limits))).select(
             "id", F.col("type").alias("grp"), "embedding"
         ),
@@ -368,7 +374,7 @@ def search_cells(celled: DataFrame, queries: DataFrame, model, k: int, probes: i
     Cells are read in place, never gathered: a cell with a third of the rows is
     searched by all the tasks that hold a part of it.
     """
-    found, few = _candidates(
+    found, few, _ = _candidates(
         celled.select("id", F.col("cell").cast("string").alias("grp"), "embedding"),
         queries.select(
             "query_id", "embedding", _probed(model, probes, F.col("embedding")).alias("groups")
@@ -388,7 +394,7 @@ def search_cells_by_type(celled: DataFrame, queries: DataFrame, model, limits: d
     groups = F.flatten(F.transform(
         "types", lambda t: F.transform("cells", lambda c: F.concat(t, F.lit("/"), c))
     ))
-    found, few = _candidates(
+    found, few, searched = _candidates(
         celled.where(F.col("type").isin(list(limits))).select(
             "id", F.concat("type", F.lit("/"), "cell").alias("grp"), "embedding"
         ),
@@ -396,7 +402,7 @@ def search_cells_by_type(celled: DataFrame, queries: DataFrame, model, limits: d
         {_ANY: max(limits.values())}, max_queries, tile_rows,
     )
     typed = found.withColumn("type", F.substring_index("grp", "/", 1)).drop("grp")
-    return Hits(_ranked_by_type(typed, limits), few)
+    return Hits(_ranked_by_type(typed, limits), few, searched)
 
 
 # --- collection upkeep ------------------------------------------------------------------

@@ -21,7 +21,12 @@ from threadloom.sources.html_export import (
     read_html_exports,
     with_channels,
 )
-from threadloom.sources.inbox import inbox_files, inbox_messages, inbox_participants
+from threadloom.sources.inbox import (
+    inbox_errors,
+    inbox_files,
+    inbox_messages,
+    inbox_participants,
+)
 from threadloom.sources.tables import read_messages
 
 
@@ -37,9 +42,11 @@ def _stored(df: DataFrame, name: str) -> Iterator[DataFrame]:
         drop_path(spark, path)
 
 
-def ingest_html(spark: SparkSession, exports: str, out: str) -> DataFrame:
+def ingest_html(spark: SparkSession, exports: str, out: str,
+                keep_continuations: bool = False) -> DataFrame:
     """HTML exports to ``out/messages`` with summaries, conversations and errors beside it."""
-    with _stored(read_html_exports(spark, exports), "parsed-html") as raw:
+    found = read_html_exports(spark, exports, keep_continuations=keep_continuations)
+    with _stored(found, "parsed-html") as raw:
         parsed = with_channels(raw)
         messages = html_messages(parsed)
         write_messages(messages, f"{out}/messages")
@@ -51,14 +58,18 @@ def ingest_html(spark: SparkSession, exports: str, out: str) -> DataFrame:
     return read_messages(spark, f"{out}/messages")
 
 
-def ingest_inbox(spark: SparkSession, inbox: str, out: str) -> DataFrame:
-    """An inbox into the same message table, with conversation summaries beside it."""
+def ingest_inbox(spark: SparkSession, inbox: str, out: str, by_directory: bool = False) -> DataFrame:
+    """An inbox into the same message table, with summaries and errors beside it.
+
+    ``by_directory`` keeps conversations of equal names in different directories apart.
+    """
     files = inbox_files(spark, inbox)
-    with _stored(inbox_messages(files), "parsed-inbox") as messages:
+    with _stored(inbox_messages(files, by_directory), "parsed-inbox") as messages:
         write_messages(messages.select(*MESSAGE_COLUMNS), f"{out}/messages")
         write_by_conversation(messages.select(*MESSAGE_COLUMNS), f"{out}/by_inbox_conversation")
         summary = conversation_summary(messages, inbox_participants(files))
         write_summary(summary, f"{out}/conversations")
+        write_summary(inbox_errors(files), f"{out}/inbox_errors")
     conversations = spark.read.json(f"{out}/conversations")
     write_summary(
         summary_totals(conversations, "processed_conversations"), f"{out}/inbox_totals"

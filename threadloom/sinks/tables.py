@@ -6,7 +6,7 @@ hold the rows, or after a rebalance that splits a hot directory over several fil
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.vectors import new_vectors
@@ -21,14 +21,27 @@ def write_messages(messages: DataFrame, path: str) -> None:
     )
 
 
-def write_by_conversation(messages: DataFrame, path: str) -> None:
-    """One directory per source and conversation; hot ones get several files."""
+CONVERSATION_BUCKETS = 64
+
+
+def write_by_conversation(messages: DataFrame, path: str, buckets: int = CONVERSATION_BUCKETS) -> None:
+    """Conversations kept together: a directory per source and bucket of keys, sorted inside.
+
+    A reader of one conversation reads its bucket (``conversation_bucket``). Keys may be of
+    any length and number; a bucket with much in it gets several files.
+    """
+    bucketed = messages.withColumn("bucket", conversation_bucket(F.col("conv_key"), buckets))
+    order = [c for c in ("source", "bucket", "conv_key", "ts", "file_name", "ordinal") if c in bucketed.columns]
     (
-        messages.hint("rebalance", "source", "conv_key")
-        .write.mode("overwrite").partitionBy("source", "conv_key").json(path)
+        bucketed.hint("rebalance", "source", "bucket").sortWithinPartitions(*order)
+        .write.mode("overwrite").partitionBy("source", "bucket").json(path)
     )
 
 
+def conversation_bucket(key: Column, buckets: int = CONVERSATION_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)
 
@@ -50,6 +63,7 @@ def rebuild_collection(vectors: DataFrame, path: str) -> None:
 def add_to_collection(vectors: DataFrame, path: str) -> None:
     """Appends the rows whose id is new, creating the collection when missing."""
     spark = vectors.sparkSession
+    vectors = vectors.dropDuplicates(["id"])
     if path_exists(spark, path):
         vectors = new_vectors(spark.read.parquet(path), vectors)
     _typed(vectors).write.mode("append").partitionBy("type").parquet(path)

@@ -33,11 +33,20 @@ def whole_files(spark: SparkSession, path: str, **options) -> DataFrame:
     )
 
 
-def doc_files(spark: SparkSession, root: str, glob: str = "*.{md,rst}") -> DataFrame:
-    """The ``.md`` and ``.rst`` files below ``source`` or, failing that, ``docs``."""
+def _doc_tree(spark: SparkSession, root: str, glob: str) -> DataFrame:
     folders = [f"{root.rstrip('/')}/{name}" for name in ("source", "docs")]
     folder = next((f for f in folders if path_exists(spark, f)), None)
     if folder is None:
         raise FileNotFoundError(f"neither source nor docs below {root}")
-    files = whole_files(spark, folder, recursiveFileLookup=True, pathGlobFilter=glob)
-    return files.where(F.col("value").isNotNull()).select("path", "value")
+    return whole_files(spark, folder, recursiveFileLookup=True, pathGlobFilter=glob)
+
+
+def doc_files(spark: SparkSession, root: str, glob: str = "*.{md,rst}") -> DataFrame:
+    """The ``.md`` and ``.rst`` files below ``source`` or, failing that, ``docs``."""
+    return _doc_tree(spark, root, glob).where(F.col("value").isNotNull()).select("path", "value")
+
+
+def doc_errors(spark: SparkSession, root: str, glob: str = "*.{md,rst}") -> DataFrame:
+    """(path, error) of the files that ``doc_files`` leaves out."""
+    bad = _doc_tree(spark, root, glob).where(F.col("value").isNull())
+    return bad.select("path", F.lit("not valid UTF-8").alias("error"))

@@ -1,16 +1,19 @@
 """Messages from HTML channel exports.
 
-Files up to ``SPLIT_ABOVE`` bytes are parsed one by one. Larger ones are read as
-text records that end where a message's id attribute begins, so that one export
-is parsed by many tasks. Both ways give the same messages in the same order.
+``read_html_exports`` parses every file whole, whatever its size. ``html_records`` is a
+separate way for exports too large for one task, to be chosen by the caller: it cuts a file
+where a message's id attribute begins, and so finds only containers that have that
+attribute, in double quotes, and takes any element that has it for one.
 
-The raw rows of either way are meant to be stored once; ``with_channels``,
+A file that cannot be parsed, and a message that cannot, becomes an error row; the others
+are not affected. The raw rows of either way are meant to be stored once; ``with_channels``,
 ``html_messages``, ``html_channels`` and ``html_errors`` then read them.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -18,16 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions.times import iso_text, parse_export_time
+from threadloom.functions.times import iso_text, parse_export_time, parse_iso
 from threadloom.operators.messages import MESSAGE_COLUMNS, conversation_key
 from threadloom.sources.files import decoded, valid_text, whole_files
 
-SPLIT_ABOVE = 32 << 20
-
 # --- fixed values: the export's markup ---
 _CONTAINER = "chatlog__message-container"
 _ID_ATTRIBUTE = "data-message-id"
 _RECORD_END = f'{_ID_ATTRIBUTE}="'
+_AUTHOR, _AUTHOR_TAG, _USER_ID = "chatlog__author", "chatlog__author-tag", "data-user-id"
+_MESSAGE, _PRIMARY, _HEADER = "chatlog__message", "chatlog__message-primary", "chatlog__header"
+_TIMESTAMP, _CONTENT, _MARKED = "chatlog__timestamp", "chatlog__content", "chatlog__markdown-preserve"
+_PREAMBLE = "preamble__entry"
 _FILE_NAME = r"^(.+?) - .+? - (.+?) \[(\d+)\]"
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -56,22 +61,30 @@ class _Element:
         self.classes = attributes.get("class", "").split()
 
     def all(self, tag: str, name: str) -> Iterator[_Element]:
-        for child in self.children:
-            if isinstance(child, _Element):
+        waiting = [iter(self.children)]
+        while waiting:
+            child = next(waiting[-1], None)
+            if child is None:
+                waiting.pop()
+            elif isinstance(child, _Element):
                 if child.tag == tag and name in child.classes:
                     yield child
                 if child.children:
-                    yield from child.all(tag, name)
+                    waiting.append(iter(child.children))
 
     def first(self, tag: str, name: str) -> _Element | None:
         return next(self.all(tag, name), None)
 
     def texts(self) -> Iterator[str]:
-        for child in self.children:
-            if isinstance(child, str):
+        waiting = [iter(self.children)]
+        while waiting:
+            child = next(waiting[-1], None)
+            if child is None:
+                waiting.pop()
+            elif isinstance(child, str):
                 yield child
             else:
-                yield from child.texts()
+                waiting.append(iter(child.children))
 
 
 # The start of a comment, a declaration, or a tag; the loose form ignores quotes.
@@ -91,10 +104,10 @@ def _attributes(text: str) -> dict:
     }
 
 
-def _add_text(open_tags: list[_Element], pieces: list[str]) -> None:
+def _add_text(open_tags: list[_Element], opened: Counter, pieces: list[str]) -> None:
     text = "".join(pieces)
     pieces.clear()
-    if not text.strip(" \n\t\f\r") and not any(e.tag in ("pre", "textarea") for e in open_tags):
+    if not text.strip(" \n\t\f\r") and not (opened["pre"] or opened["textarea"]):
         text = "\n" if "\n" in text else " "
     open_tags[-1].children.append(unescape(text) if "&" in text else text)
 
@@ -102,6 +115,7 @@ def _add_text(open_tags: list[_Element], pieces: list[str]) -> None:
 def _tree(html: str) -> _Element:
     """Tolerant tree building: void tags never open, stray end tags do nothing."""
     open_tags, pieces, at = [_Element("", {})], [], 0
+    opened: Counter = Counter()
     while (start := html.find("<", at)) >= 0:
         token = _TOKEN.match(html, start)
         if not token and html.find(">", start) < 0:
@@ -116,7 +130,7 @@ def _tree(html: str) -> _Element:
             pieces.append(html[at:start])
         at = token.end()
         if pieces:
-            _add_text(open_tags, pieces)
+            _add_text(open_tags, opened, pieces)
         closing, tag, rest = token.groups()
         if not tag:
             if token.group() == "<!--":
@@ -133,14 +147,14 @@ def _tree(html: str) -> _Element:
             open_tags[-1].children.append(element)
             if tag not in _VOID and not rest.endswith("/"):
                 open_tags.append(element)
-        elif tag not in _VOID:
-            depth = len(open_tags) - 1
-            while depth and open_tags[depth].tag != tag:
-                depth -= 1
-            if depth:
-                del open_tags[depth:]
+                opened[tag] += 1
+        elif opened[tag]:
+            ended = None
+            while ended != tag:
+                ended = open_tags.pop().tag
+                opened[ended] -= 1
     if at < len(html) or pieces:
-        _add_text(open_tags, [*pieces, html[at:]])
+        _add_text(open_tags, opened, [*pieces, html[at:]])
     return open_tags[0]
 
 
@@ -149,30 +163,39 @@ def _plain(element: _Element) -> str:
 
 
 def _channel(tree: _Element) -> dict:
-    entries = [_plain(e) for e in tree.all("div", "preamble__entry")]
+    entries = [_plain(e) for e in tree.all("div", _PREAMBLE)]
     return dict(zip(("guild", "channel_path"), entries)) if len(entries) > 1 else {}
 
 
-def _message(container: _Element) -> dict | None:
-    """The fields of one container; null without message, primary part or header."""
-    inner = container.first("div", "chatlog__message")
-    primary = inner and inner.first("div", "chatlog__message-primary")
-    header = primary and primary.first("div", "chatlog__header")
-    if not header:
+def _message(container: _Element, before: dict | None = None) -> dict | None:
+    """The fields of one container; null without message, primary part or header.
+
+    With ``before``, the header's fields of the last message that had one, a container
+    without a header continues that message's author and time.
+    """
+    inner = container.first("div", _MESSAGE)
+    primary = inner and inner.first("div", _PRIMARY)
+    header = primary and primary.first("div", _HEADER)
+    if not header and not (primary and before):
         return None
-    author = header.first("span", "chatlog__author")
-    time = header.first("span", "chatlog__timestamp")
-    box = primary.first("div", "chatlog__content")
-    marked = box and box.first("span", "chatlog__markdown-preserve")
+    box = primary.first("div", _CONTENT)
+    marked = box and box.first("span", _MARKED)
+    if not header:
+        return before | {
+            "message_id": container.attributes.get(_ID_ATTRIBUTE),
+            "content": "\n".join((marked or box).texts()).strip() if box else "",
+        }
+    author = header.first("span", _AUTHOR)
+    time = header.first("span", _TIMESTAMP)
     fields = {
         "message_id": container.attributes.get(_ID_ATTRIBUTE),
         "content": "\n".join((marked or box).texts()).strip() if box else "",
-        "is_bot": primary.first("span", "chatlog__author-tag") is not None,
+        "is_bot": primary.first("span", _AUTHOR_TAG) is not None,
         "time_title": time.attributes.get("title") if time else None,
     }
     if author:
         fields |= {
-            "author_text": _plain(author), "author_id": author.attributes.get("data-user-id"),
+            "author_text": _plain(author), "author_id": author.attributes.get(_USER_ID),
             "author_title": author.attributes.get("title"),
         }
     return fields
@@ -181,21 +204,42 @@ def _message(container: _Element) -> dict | None:
 _NOT_TEXT = "not valid UTF-8"
 
 
-def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole files: a row without ordinal per file, then its messages."""
-    for batch in batches:
-        for file in batch.to_pylist():
-            name = {"file_name": file["file_name"]}
-            if file["value"] is None:
-                rows = [name | {"error": _NOT_TEXT}]
-            else:
-                tree = _tree(file["value"])
-                channel = name | _channel(tree)
-                found = [_message(c) for c in tree.all("div", _CONTAINER)]
-                rows = [channel] + [
-                    channel | m | {"ordinal": i} for i, m in enumerate(found) if m
-                ]
-            yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
+_HEADER_FIELDS = ("author_text", "author_id", "author_title", "time_title", "is_bot")
+
+
+def _file_rows(name: dict, text: str, keep_continuations: bool) -> Iterator[dict]:
+    """A row without ordinal for the file, then its messages, or why one of them failed."""
+    tree = _tree(text)
+    channel = name | _channel(tree)
+    yield channel
+    before: dict | None = None
+    for i, container in enumerate(tree.all("div", _CONTAINER)):
+        try:
+            found = _message(container, before)
+        except Exception as failure:
+            yield channel | {"ordinal": i, "error": f"message {i}: {failure!r}"}
+            continue
+        if found:
+            yield channel | found | {"ordinal": i}
+            if keep_continuations:
+                before = {k: found.get(k) for k in _HEADER_FIELDS}
+
+
+def _files_parser(keep_continuations: bool):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.to_pylist():
+                name = {"file_name": file["file_name"]}
+                if file["value"] is None:
+                    rows = [name | {"error": _NOT_TEXT}]
+                else:
+                    try:
+                        rows = list(_file_rows(name, file["value"], keep_continuations))
+                    except Exception as failure:
+                        rows = [name | {"error": repr(failure)}]
+                yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
+
+    return parse
 
 
 def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,16 +259,26 @@ def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 # The start of the next container's tag belongs to the next record.
                 cut = text.rfind("<")
                 text = text[:cut] if cut > text.rfind(">") else text
-                tree = _tree(f'<div class="{_CONTAINER}" {_RECORD_END}{text}')
-                message = _message(tree.first("div", _CONTAINER))
+                here = base | {"ordinal": record["ordinal"]}
+                try:
+                    tree = _tree(f'<div class="{_CONTAINER}" {_RECORD_END}{text}')
+                    message = _message(tree.first("div", _CONTAINER))
+                except Exception as failure:
+                    rows.append(here | {"error": f"message: {failure!r}"})
+                    continue
                 if message:
-                    rows.append(base | message | {"ordinal": record["ordinal"]})
+                    rows.append(here | message)
         yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
 
 
-def parse_html_files(files: DataFrame) -> DataFrame:
-    """(file_name, value) whole files to raw rows; ``ordinal`` is null on the file's own row."""
-    return files.select("file_name", "value").mapInArrow(_parse_files, _PARSED_SQL)
+def parse_html_files(files: DataFrame, keep_continuations: bool = False) -> DataFrame:
+    """(file_name, value) whole files to raw rows; ``ordinal`` is null on the file's own row.
+
+    ``keep_continuations`` gives grouped messages, which have no header of their own,
+    the author and time of the last message with one.
+    """
+    parse = _files_parser(keep_continuations)
+    return files.select("file_name", "value").mapInArrow(parse, _PARSED_SQL)
 
 
 def parse_html_records(records: DataFrame) -> DataFrame:
@@ -243,7 +297,8 @@ def with_channels(parsed: DataFrame) -> DataFrame:
     own = parsed.where(F.col("ordinal").isNull() & F.col("channel_path").isNotNull()).select(
         "file_name", F.col("guild").alias("_guild"), F.col("channel_path").alias("_path")
     )
-    failed = parsed.where(F.col("error").isNotNull()).select("file_name").distinct()
+    failed = parsed.where(F.col("error").isNotNull() & F.col("ordinal").isNull())
+    failed = failed.select("file_name").distinct()
     sound = parsed.join(failed, "file_name", "left_anti")
     return sound.join(own, "file_name", "left").withColumns({
         "guild": F.coalesce("guild", "_guild"),
@@ -252,7 +307,7 @@ def with_channels(parsed: DataFrame) -> DataFrame:
 
 
 def html_errors(parsed: DataFrame) -> DataFrame:
-    """The files that could not be read, with the reason."""
+    """The files, and the messages of files, that could not be read, with the reason."""
     return parsed.where(F.col("error").isNotNull()).select("file_name", "error").distinct()
 
 
@@ -303,10 +358,9 @@ def html_messages(parsed: DataFrame) -> DataFrame:
         .withColumns({"guild_name": guild, "channel_name": channel, "author_name": author})
         .withColumns({
             "source": F.lit("discord"), "conversation_name": F.lit(None).cast("string"),
-            "ts": parse_export_time(stated),
-        })
-        .withColumns({
-            "conv_key": conversation_key(), "ts_raw": F.coalesce(iso_text(F.col("ts")), stated),
+            "ts": F.coalesce(parse_export_time(stated), parse_iso(stated)),
+            "conv_key": conversation_key(),
+            "ts_raw": F.coalesce(iso_text(parse_export_time(stated)), stated),
         })
     )
     return named.select(*MESSAGE_COLUMNS)
@@ -324,13 +378,7 @@ def html_channels(parsed: DataFrame) -> DataFrame:
     )
 
 
-def read_html_exports(spark: SparkSession, path: str, split_above: int = SPLIT_ABOVE,
-                      glob: str = "*.html") -> DataFrame:
-    """Raw rows of every matching file directly below ``path``.
-
-    The size conditions prune whole files before anything is read.
-    """
-    whole = whole_files(spark, path, pathGlobFilter=glob)
-    small = parse_html_files(whole.where(F.col("file_size") <= split_above))
-    large = html_records(spark, path, above=split_above, pathGlobFilter=glob)
-    return small.unionByName(parse_html_records(large))
+def read_html_exports(spark: SparkSession, path: str, glob: str = "*.html",
+                      keep_continuations: bool = False) -> DataFrame:
+    """Raw rows of every matching file directly below ``path``, each parsed whole."""
+    return parse_html_files(whole_files(spark, path, pathGlobFilter=glob), keep_continuations)

@@ -27,6 +27,18 @@ def inbox_files(spark: SparkSession, inbox: str) -> DataFrame:
     return named.where(~F.col("conversation_dir").startswith("."))
 
 
+def inbox_errors(files: DataFrame) -> DataFrame:
+    """(file_name, error) of the files that are no valid JSON text."""
+    marked = F.from_json(
+        "value", _FILE_SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}
+    )
+    reason = F.when(F.col("value").isNull(), "not valid UTF-8").when(
+        F.col("_read").isNull() | F.col("_read._bad").isNotNull(), "not valid JSON")
+    return files.withColumn("_read", marked).select(
+        F.concat_ws("/", "conversation_dir", "file_name").alias("file_name"), reason.alias("error")
+    ).where(F.col("error").isNotNull())
+
+
 def inbox_participants(files: DataFrame) -> DataFrame:
     """Per directory: participants and joined name, from the first file that lists any."""
     people = F.from_json("value", "participants array<struct<name:string>>")["participants"]

@@ -113,11 +113,14 @@ def shard_counts(plan: DataFrame, shards: int, seed: int, chunk: int = 50_000) -
     return draws.groupBy(shard.alias("shard"), "rank", "pass").agg(F.count("*").alias("n"))
 
 
-def slots_of(plan: DataFrame, counts: DataFrame, block_words: int) -> DataFrame:
-    """(shard, source, rank, pass, block, take): every slot with its block and words to take."""
+def slots_of(plan: DataFrame, counts: DataFrame, block_words: int, tasks: int = 1) -> DataFrame:
+    """(shard, source, rank, pass, block, take): every slot with its block and words to take.
+
+    Counts are small and slots many: the counts are dealt to ``tasks`` before they unfold.
+    """
     by_shard = Window.partitionBy("rank", "pass").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("before", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
-    opened = placed.join(plan, ["rank", "pass"])
+    opened = placed.join(plan, ["rank", "pass"]).repartition(tasks, "rank", "pass", "shard")
     opened = opened.withColumn("slot", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
     start = F.col("slot") * block_words - F.when(
         F.col("slot") > F.col("short_at"), block_words - F.col("tail")
@@ -132,7 +135,7 @@ def slots_of(plan: DataFrame, counts: DataFrame, block_words: int) -> DataFrame:
 
 def mix(
     docs: DataFrame, block_words: int = 256, shard_slots: int = 4096, seed: int = 17,
-    weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, bucket_docs: int = 5000,
+    weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, bucket_docs: int = 5000, task_slots: int = 50_000,
     columns: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The documents with size, source_size, target and taken, and the mix's slots."""
@@ -158,7 +161,7 @@ def mix(
     plan = stored(plan_of(goals, block_words, seed), "mix-plan")
     slot_total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-slot_total // shard_slots))
-    slots = slots_of(plan, shard_counts(plan, shards, seed), block_words)
+    slots = slots_of(plan, shard_counts(plan, shards, seed), block_words, max(1, -(-slot_total // task_slots)))
 
     inside = Window.partitionBy("source", bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))

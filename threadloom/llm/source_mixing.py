@@ -29,6 +29,7 @@ from threadloom.llm.common import fresh, plain_words, stored
 WEIGHTS = (3, 1, 2)
 MOST_REPEATS = 2
 ROUNDS = 16
+RESULTS = ("size", "source_size", "target", "taken")
 SHARE_PERCENT = 150
 
 
@@ -139,8 +140,7 @@ def mix(
     columns: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The documents with size, source_size, target and taken, and the mix's slots."""
-    results = ["size", "source_size", "target", "taken"]
-    carry = [c for c in (columns or docs.columns) if c.lower() not in results]
+    carry = [c for c in (columns or docs.columns) if c.lower() not in RESULTS]
     key = next((c for c in ("doc_id",) if c in docs.columns), None)
     rank, start, bucket, offset = (fresh(docs, n) for n in ("rank", "start", "bucket", "offset"))
     keyed = [c for c in ("source", key) if c and c not in carry]
@@ -185,12 +185,22 @@ def mix(
     whole = placed.join(
         taken, (F.col(rank) == F.col("_r")) & (F.col(start) == F.col("_at")) & (F.col("size") > 0), "left"
     ).withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
-    return whole.select(*carry, *(c for c in results)), slots
+    return whole.select(*carry, *RESULTS), slots
 
 
 def mixing_stage(docs: DataFrame) -> DataFrame:
-    """Every document of the mix with its columns and the words the mix takes of it."""
-    mixed, _ = mix(docs)
-    return mixed.filter("taken > 0")
-
+    """Every document of the mix with its columns and the words the mix takes of it.
 
+    The mix runs over sizes and row hashes; texts move once, to meet its rows. Equal rows
+    share a hash; then one of their copies stands for all, and each keeps its own words.
+    """
+    names = [c for c in docs.columns if c.lower() not in RESULTS]
+    row = fresh(docs, "row")
+    hashed = docs.withColumn(row, F.xxhash64(*names))
+    keys = [c for c in ("doc_id", "source") if c in names]
+    mixed, _ = mix(hashed.select(*keys, "text", row), columns=[*keys, row])
+    mixed = stored(mixed.filter("taken > 0").select(F.col(row).alias("_row"), *RESULTS), "mixed")
+    texts = hashed.select(*names, row)
+    if not mixed.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        texts = texts.dropDuplicates([row])
+    return mixed.join(texts, F.col("_row") == F.col(row)).select(*names, *RESULTS)

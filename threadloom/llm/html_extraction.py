@@ -62,6 +62,7 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([
 TOKENS = re.compile(r"[^\W_]+")
 DIGITS = re.compile(r"\d+")
 WINNING_SHARE = 0.2
+SALTS = 64
 
 
 class Page:
@@ -261,11 +262,19 @@ def host_paths(pages: DataFrame) -> DataFrame:
     return ranked.select("host", F.transform("w", lambda w: w["path"]).alias("paths"))
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``text`` and ``n_chars``."""
+def extracted(pages: DataFrame, salts: int = SALTS) -> DataFrame:
+    """``pages`` with ``text`` and ``n_chars``.
+
+    A host's pages meet its paths in ``salts`` shares, so that a host with many pages
+    is dealt to many tasks; the paths, five a host at most, are repeated for each share.
+    """
     pages = pages.drop("text", "n_chars")
-    host, paths = fresh(pages, "host"), fresh(pages, "paths")
-    winning = host_paths(pages).select(F.col("host").alias("_won"), F.col("paths").alias(paths))
-    joined = pages.withColumn(host, host_of(F.col("url"))).join(winning, F.col(host) == F.col("_won"), "left")
-    out = joined.withColumn("text", page_text("html", paths)).drop(host, paths, "_won")
+    host, paths, salt = fresh(pages, "host"), fresh(pages, "paths"), fresh(pages, "salt")
+    shares = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    winning = host_paths(pages).select(F.col("host").alias("_won"), F.col("paths").alias(paths), shares.alias("_share"))
+    dealt = pages.withColumns({
+        host: host_of(F.col("url")), salt: (F.monotonically_increasing_id() % salts).cast("int"),
+    })
+    joined = dealt.join(winning, (F.col(host) == F.col("_won")) & (F.col(salt) == F.col("_share")), "left")
+    out = joined.withColumn("text", page_text("html", paths)).drop(host, paths, salt, "_won", "_share")
     return out.withColumn("n_chars", F.length("text").cast("long"))

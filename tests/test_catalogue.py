@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_names():
     assert set(oracle_sql()) <= set(queries())
     assert set(QUERIES) <= set(queries())
-    assert set(QUERIES) - set(oracle_sql()) == {"search_cells"}
+    assert set(QUERIES) - set(oracle_sql()) == set()
 
 
 def test_entry(spark):

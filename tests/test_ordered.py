@@ -62,7 +62,7 @@ def test_hot_group_is_spread(spark):
 @pytest.mark.parametrize("hot_rows", [None, 10, 90])
 def test_global_index(spark, hot_rows):
     rows, df = made(spark, 250, 9)
-    options = {} if hot_rows is None else {"hot_rows": hot_rows, "small_bytes": -1}
+    options = {} if hot_rows is None else {"hot_rows": hot_rows}
     found = global_index(df, ["t", "id"], "place", **options)
     order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
     assert {r["id"]: r["place"] for r in found.collect()} == {

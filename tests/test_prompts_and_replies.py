@@ -167,8 +167,39 @@ def test_state_over_many_batches(spark, tmp_path):
             )
             found |= {r["message_id"]: r["history"] for r in seen.collect()}
     assert found == {r[0]: history(rows, r, 3) for r in rows}
-    assert {p.name for p in (tmp_path / "state" / "full").iterdir()} == {"batch=5", "batch=7"}
-    assert len(list((tmp_path / "state" / "tails").iterdir())) <= 4
+    assert {p.name for p in (tmp_path / "state" / "_kind=full").iterdir()} == {"_batch=5", "_batch=7"}
+    assert len(list((tmp_path / "state" / "_kind=tails").iterdir())) <= 4
+
+
+def test_state_forgets_idle_channels(spark, tmp_path):
+    """With ``keep`` a full table leaves out channels idle for longer; without it none."""
+    def said(name, channel, day):
+        row = (name, channel, datetime(2024, 1, day), 0, "id-ann", "ann", name, False)
+        return spark.createDataFrame([row], SCHEMA)
+
+    parts = [said("a", "x", 1), said("b", "y", 20), said("c", "x", 21), said("d", "y", 22)]
+    for keep, expected in (("10 days", [[], [], [], ["ann: b"]]), (None, [[], [], ["ann: a"], ["ann: b"]])):
+        seen = [
+            live.history_step(
+                part, number, str(tmp_path / f"state-{keep}"), ["channel"], ["ts", "n"], 3,
+                full_every=2, keep=keep,
+            ).collect()[0]["history"]
+            for number, part in enumerate(parts)
+        ]
+        assert seen == expected
+
+
+def test_only_buckets_of_the_batch_are_read(spark, tmp_path):
+    state = str(tmp_path / "state")
+    rows = [(f"m{i}", f"c{i}", datetime(2024, 1, 1), i, "id-ann", "ann", "x", False) for i in range(40)]
+    live.history_step(spark.createDataFrame(rows, SCHEMA), 0, state, ["channel"], ["ts", "n"], 3)
+    later = [("new", "c7", datetime(2024, 1, 2), 0, "id-ann", "ann", "y", False)]
+    seen = live.history_step(spark.createDataFrame(later, SCHEMA), 1, state, ["channel"], ["ts", "n"], 3)
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    assert [r["history"] for r in seen.collect()] == [["ann: x"]]
+    used = {f.split("_bucket=")[1].split("/")[0] for f in seen.inputFiles() if "_bucket=" in f}
+    assert len(used) <= live.BUCKETS
 
 
 def test_live_replies(spark, tmp_path):

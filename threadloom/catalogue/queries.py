@@ -342,9 +342,9 @@ def search_by_type(spark, sf):
     return _rounded(vectors.search_by_type(typed, asked, limits).rows)
 
 
-def _in_cells(spark, sf, probes: int) -> DataFrame:
+def _in_cells(spark, sf, probes: int, centres: vectors.Centres | None = None) -> DataFrame:
     path = scratch_path(spark, "cells")
-    model = index.build_cells(views.collection(spark, sf), path, 16)
+    model = index.build_cells(views.collection(spark, sf), path, 16, centres=centres)
     asked = views.vector_queries(spark, sf)
     found = vectors.search_cells(spark.read.parquet(path), asked, model, 5, probes)
     return _rounded(found.rows)
@@ -352,7 +352,9 @@ def _in_cells(spark, sf, probes: int) -> DataFrame:
 
 @query
 def search_cells(spark, sf):
-    return _in_cells(spark, sf, 4)
+    """Four of sixteen cells around given points, the vectors with the least numbers."""
+    first = views.vector_queries(spark, sf).orderBy("query_id").limit(16).collect()
+    return _in_cells(spark, sf, 4, vectors.Centres([r["embedding"] for r in first]))
 
 
 @query

@@ -2,111 +2,43 @@
 
 ``previous_rows`` is a ROWS BETWEEN k PRECEDING AND 1 PRECEDING frame and
 ``global_index`` a running row number. A plain window sorts each group in one
-task. Here a group above ``hot_rows`` is cut into consecutive chunks at sampled
-split points; a chunk receives the last k rows (or the row count) of what lies
-before it, so the result is exactly that of the plain window.
+task. Beyond ``hot_rows`` the rows are range-partitioned by their whole order
+and stored instead: each partition is a chunk of consecutive rows, numbered in
+place. A chunk receives the last k rows (or the row count) of what lies before
+it, so the result is exactly that of the plain window.
 
 The order columns must tell any two rows of a group apart; nulls sort first.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.runtime import estimated_bytes
+from threadloom.runtime import estimated_bytes, scratch_path
 
-# A plan estimated below this size cannot hold a group too large for one task.
+# Groups are not counted where the plan's estimated size is below this.
 SMALL_PLAN_BYTES = 256 << 20
 HOT_ROWS = 1_000_000
-MAX_CHUNKS = 16384
-_SAMPLES_PER_CHUNK = 32
-
-
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(right[f"_hot_{k}"]) for k in keys], F.lit(True)
-    )
-
+# Offsets, one row per chunk, are broadcast up to this many chunks.
+_BROADCAST_CHUNKS = 100_000
+# The row's place inside its partition, in the lower bits of Spark's increasing ids.
+_PLACE_BITS = 33
 
-class _Splits(NamedTuple):
-    points: DataFrame
-    steps: int
 
+def _laid_out(df: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """``df`` stored in ``parts`` chunks of consecutive rows, with ``_chunk`` and ``_place``.
 
-def _hot_splits(
-    df: DataFrame, keys: list[str], order: list[str], hot_rows: int, small_bytes: int
-) -> _Splits | None:
-    """Split points per hot group as a small local table, or None without hot groups.
-
-    At most rows / hot_rows groups are hot and each has at most MAX_CHUNKS split
-    points, which bounds both the driver's share and the later broadcast.
+    Stored, so that every later use sees the same chunks, whatever is recomputed.
     """
-    if estimated_bytes(df) <= small_bytes:
-        return None
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hot = [row.asDict() for row in counts.collect()]
-    if not hot:
-        return None
-    spark = df.sparkSession
-    key_types = df.select(*keys).schema.fields
-    schema = [f"_hot_{f.name} {f.dataType.simpleString()}" for f in key_types]
-    chunk_rows = max(hot_rows // 2, 1)
-    sized = [
-        tuple(row[k] for k in keys)
-        + (
-            min(MAX_CHUNKS, -(-row["_n"] // chunk_rows)),
-            min(1.0, _SAMPLES_PER_CHUNK * min(MAX_CHUNKS, -(-row["_n"] // chunk_rows)) / row["_n"]),
-        )
-        for row in hot
-    ]
-    groups = spark.createDataFrame(
-        sized, ", ".join(schema + ["_chunks int", "_rate double"])
-    )
-    position = F.struct(*[F.col(c) for c in order])
-    hot_keys = [f"_hot_{k}" for k in keys]
-    sampled = (
-        df.select(*keys, *[c for c in order if c not in keys])
-        .join(F.broadcast(groups), _same(df, groups, keys))
-        .where(F.rand(17) < F.col("_rate"))
-        .groupBy(*hot_keys, "_chunks")
-        .agg(F.sort_array(F.collect_list(position)).alias("_sample"))
+    path = scratch_path(df.sparkSession, "ordered")
+    ranged = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    ranged.withColumn("_number", F.monotonically_increasing_id()).write.parquet(path)
+    number = F.col("_number")
+    return df.sparkSession.read.parquet(path).select(
+        *df.columns, F.shiftright(number, _PLACE_BITS).alias("_chunk"),
+        (number % (1 << _PLACE_BITS)).alias("_place"),
     )
-    every = F.size("_sample") / F.col("_chunks")
-    picked = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.col("_chunks") - 1, F.lit(1))),
-        lambda i: F.get("_sample", F.floor(i * every).cast("int")),
-    )
-    splits = sampled.select(*hot_keys, F.array_distinct(F.array_compact(picked)).alias("_splits"))
-    # Collected so that every later use sees the same split points, whatever is recomputed.
-    fixed = splits.collect()
-    longest = max(len(row["_splits"]) for row in fixed)
-    return _Splits(spark.createDataFrame(fixed, splits.schema), longest.bit_length())
-
-
-def _with_chunk(df: DataFrame, keys: list[str], order: list[str], splits: _Splits) -> DataFrame:
-    """Adds ``_chunk``: how many split points lie at or before the row; null in cold groups."""
-    points, n_steps = splits
-    position = F.struct(*[F.col(c) for c in order])
-
-    def halve(span: Column, _: Column) -> Column:
-        low, high = span["low"], span["high"]
-        middle = ((low + high) / 2).cast("int")
-        at_or_before = F.get("_splits", middle) <= position
-        done = low >= high
-        return F.struct(
-            F.when(done | ~at_or_before, low).otherwise(middle + 1).alias("low"),
-            F.when(done | at_or_before, high).otherwise(middle).alias("high"),
-        )
-
-    start = F.struct(F.lit(0).alias("low"), F.size("_splits").alias("high"))
-    steps = F.sequence(F.lit(1), F.lit(n_steps + 1))
-    chunk = F.when(F.col("_splits").isNotNull(), F.aggregate(steps, start, halve)["low"])
-    joined = df.join(F.broadcast(points), _same(df, points, keys), "left")
-    return joined.withColumn("_chunk", chunk).select(*df.columns, "_chunk")
 
 
 def previous_rows(
@@ -124,30 +56,37 @@ def previous_rows(
     A row whose value is null uses up one of the k slots and adds nothing.
     """
     valued = df.withColumn("_value", value)
-    splits = _hot_splits(df, keys, order, hot_rows, small_bytes)
-    if splits is None:
+    most = total = 0
+    if estimated_bytes(df) > small_bytes:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        most, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    if not most or most <= hot_rows:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-k, -1)
         return valued.withColumn(name, F.collect_list("_value").over(frame)).drop("_value")
 
-    chunked = _with_chunk(valued, keys, order, splits)
-    slim = chunked.where(F.col("_chunk").isNotNull()).select(
-        *keys, *[c for c in order if c not in keys], "_value", "_chunk"
-    )
-    newest_first = Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(c) for c in order])
-    # The rank filter also runs before the shuffle (WindowGroupLimit), so each task sends k rows per chunk.
-    tails = slim.withColumn("_rank", F.row_number().over(newest_first)).where(F.col("_rank") <= k)
-    row = F.struct(*[F.col(c) for c in order], F.col("_value"))
+    chunk_rows = max(hot_rows // 2, 1)
+    laid = _laid_out(valued, [*keys, *order], -(-total // chunk_rows))
+    others = [c for c in order if c not in keys]
+    # The rank filter also runs before the shuffle (WindowGroupLimit), so k rows per chunk move.
+    from_end = F.row_number().over(Window.partitionBy("_chunk").orderBy(F.desc("_place")))
+    tails = laid.select(*keys, *others, "_value", "_chunk", "_place").withColumn(
+        "_rank", from_end
+    ).where(F.col("_rank") <= k)
+    row = F.struct(*[F.col(c) for c in others], F.col("_value"))
     in_group = Window.partitionBy(*keys).orderBy(*order)
+    # One row per chunk. Rows carried into a chunk without their group are dropped below.
+    following = tails.where(F.col("_rank") == 1).select(
+        "_chunk", F.lead("_chunk").over(Window.orderBy("_chunk")).alias("_next")
+    )
     carried = (
         tails.withColumn("_carry", F.collect_list(row).over(in_group.rowsBetween(1 - k, 0)))
         .where(F.col("_rank") == 1)
-        .withColumn("_next", F.lead("_chunk").over(in_group))
-        .where(F.col("_next").isNotNull())
+        .join(following.where(F.col("_next").isNotNull()), "_chunk")
         .select(*keys, F.col("_next").alias("_chunk"), F.explode("_carry").alias("_row"))
-        .select(*keys, "_chunk", *[F.col("_row")[c].alias(c) for c in order if c not in keys],
+        .select(*keys, "_chunk", *[F.col("_row")[c].alias(c) for c in others],
                 F.col("_row")["_value"].alias("_value"), F.lit(True).alias("_carried"))
     )
-    both = chunked.withColumn("_carried", F.lit(False)).unionByName(
+    both = laid.drop("_place").withColumn("_carried", F.lit(False)).unionByName(
         carried, allowMissingColumns=True
     )
     frame = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(-k, -1)
@@ -163,29 +102,20 @@ def global_index(
     order: list[str],
     name: str,
     hot_rows: int = HOT_ROWS,
-    small_bytes: int = SMALL_PLAN_BYTES,
 ) -> DataFrame:
     """Adds ``name``: the row's position (from 0) in the total order, without one global sort."""
-    every = df.withColumn("_all", F.lit(0))
-    splits = _hot_splits(every, ["_all"], order, hot_rows, small_bytes)
-    if splits is None:
-        # Small by estimate or by count: one task can number it.
-        index = F.row_number().over(Window.partitionBy("_all").orderBy(*order)) - 1
-        return every.withColumn(name, index.cast("bigint")).drop("_all")
-    chunked = _with_chunk(every, ["_all"], order, splits)
-    before = Window.partitionBy("_all").orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    # At most MAX_CHUNKS rows.
-    offsets = (
-        chunked.groupBy("_all", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select("_chunk", "_offset")
+    parts = -(-df.count() // hot_rows)
+    if parts <= 1:
+        # Counted: one task can number them.
+        index = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
+        return df.withColumn(name, index.cast("bigint"))
+    laid = _laid_out(df, order, parts)
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = laid.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    within = F.row_number().over(Window.partitionBy("_chunk").orderBy(*order)) - 1
-    return (
-        chunked.withColumn("_within", within)
-        .join(F.broadcast(offsets), "_chunk")
-        .withColumn(name, (F.col("_offset") + F.col("_within")).cast("bigint"))
-        .select(*df.columns, name)
+    if parts <= _BROADCAST_CHUNKS:
+        offsets = F.broadcast(offsets)
+    return laid.join(offsets, "_chunk").select(
+        *df.columns, (F.col("_offset") + F.col("_place")).cast("bigint").alias(name)
     )

@@ -12,6 +12,7 @@ from threadloom.functions.text import line, py_strip
 from threadloom.functions.times import in_year
 from threadloom.operators.messages import TIME_ORDER, from_author, has_text
 from threadloom.operators.ordered import HOT_ROWS, SMALL_PLAN_BYTES, previous_rows
+from threadloom.runtime import stored
 
 CHAT_SCHEMA = "example_id string, conversations array<struct<role:string,content:string>>"
 
@@ -97,12 +98,13 @@ def exact_split(
 ) -> DataFrame:
     """Adds ``split`` with exactly ``int(n * ratio)`` rows in ``train``.
 
-    The order is that of a seeded digest. Counts per four-digit digest prefix
-    (65,536 rows at most) say which prefix holds the cut; only its rows, one in
-    65,536 of the table, are ranked.
+    The order is that of a seeded digest. The input is evaluated once and stored with
+    its digests. Counts per four-digit digest prefix (65,536 rows at most) say which
+    prefix holds the cut; only its rows, one in 65,536 of the table, are ranked.
     """
-    keyed = examples.withColumn("_digest", _digest(seed)).withColumn(
-        "_bin", F.substring("_digest", 1, 4)
+    digest = _digest(seed)
+    keyed = stored(
+        examples.withColumns({"_digest": digest, "_bin": F.substring(digest, 1, 4)}), "digests"
     )
     every = Window.partitionBy(F.lit(0))
     bins = (

@@ -348,8 +348,20 @@ def fit_cells(vectors: DataFrame, n_cells: int, seed: int = 0):
     return cells.fit(_unit_vectors(vectors).select("features"))
 
 
+class Centres(NamedTuple):
+    """Cells around given points, in place of a fitted model."""
+
+    points: list[list[float]]
+
+    def clusterCenters(self) -> np.ndarray:
+        return _unit_rows(np.array(self.points, dtype=np.float64))
+
+
 def assign_cells(vectors: DataFrame, model) -> DataFrame:
     """Adds ``cell``; write the result partitioned by it to prune later searches."""
+    if isinstance(model, Centres):
+        known = vectors.where(F.col("embedding").isNotNull())
+        return known.withColumn("cell", _probed(model, 1, F.col("embedding"))[0].cast("int"))
     return model.transform(_unit_vectors(vectors)).drop("features")
 
 
@@ -360,7 +372,8 @@ def _probed(model, probes: int, vector: Column) -> Column:
     @F.pandas_udf("array<string>")
     def probe(vectors: pd.Series) -> pd.Series:
         points = _unit_rows(np.array(vectors.tolist(), dtype=np.float64))
-        distance = (centres**2).sum(axis=1) - 2 * points @ centres.T
+        # Rounded, so that equal centres tie and the smaller number comes first.
+        distance = np.round((centres**2).sum(axis=1) - 2 * points @ centres.T, _DECIMALS)
         order = np.argsort(distance, axis=1, kind="stable")[:, :probes]
         return pd.Series([[str(c) for c in row] for row in order])
 

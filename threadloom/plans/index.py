@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.sections import doc_sections, section_documents
 from threadloom.operators.vectors import (
+    Centres,
     assign_cells,
     document_type,
     embed_hashed,
@@ -36,13 +37,13 @@ def add_docs(spark: SparkSession, docs_root: str, path: str,
 
 
 def build_cells(collection: DataFrame, path: str, n_cells: int, fit_on: DataFrame | None = None,
-                seed: int = 0):
+                seed: int = 0, centres: Centres | None = None):
     """Stores a collection by type and k-means cell and returns the cell model.
 
-    ``fit_on`` may be a part of the collection when fitting on all of it takes too long;
+    With ``centres`` nothing is fitted. ``fit_on`` may be a part of the collection when fitting on all of it takes too long;
     every row gets its cell either way.
     """
-    model = fit_cells(collection if fit_on is None else fit_on, n_cells, seed)
+    model = centres or fit_cells(collection if fit_on is None else fit_on, n_cells, seed)
     typed = collection.withColumn("type", document_type(collection))
     write_cells(assign_cells(typed, model), path)
     return model

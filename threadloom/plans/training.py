@@ -17,13 +17,10 @@ def prepare_datasets(messages: DataFrame, author_ids: Sequence[str], year: int,
                      exact: bool = False) -> DataFrame:
     """Writes ``out/split=train`` and ``out/split=val`` and returns both as one table.
 
-    ``exact`` cuts at exactly ``int(n * ratio)``; it reads the pairs twice, so
-    they are written first.
+    ``exact`` cuts at exactly ``int(n * ratio)``.
     """
     examples = chat_examples(training_pairs(messages, author_ids, year))
     if exact:
-        examples.write.mode("overwrite").json(f"{out}-unsplit")
-        examples = read_chat(messages.sparkSession, f"{out}-unsplit")
         split = exact_split(examples, ratio, seed)
     else:
         split = hash_split(examples, ratio, seed)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import fixed
@@ -21,10 +21,22 @@ from threadloom.plans import replies as reply_plan
 from threadloom.runtime import drop_path, path_exists
 
 
+#: Tables of the state are partitioned by channel into this many buckets.
+BUCKETS = 16
+
+
 def _batch(path: str, number: int) -> str:
     return f"{path}/batch={number}"
 
 
+def _table(state: str, kind: str, number: int) -> str:
+    return f"{state}/_kind={kind}/_batch={number}"
+
+
+def _bucket(channel: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*channel), F.lit(BUCKETS)).cast("int")
+
+
 def _newest(rows: DataFrame, channel: list[str], order: list[str], limit: int) -> DataFrame:
     """The channels' last rows; every task cuts its share before anything is shuffled."""
     last = Window.partitionBy(*channel).orderBy(*[F.desc(c) for c in order])
@@ -32,46 +44,80 @@ def _newest(rows: DataFrame, channel: list[str], order: list[str], limit: int) -
     return ranked.where(F.col("_rank") <= limit).drop("_rank")
 
 
-def _tails_before(spark, state: str, number: int, channel: list[str], every: int) -> DataFrame | None:
-    """Each channel's last messages before a batch: its newest entry since the last full table."""
+def _entries(spark, state: str, number: int, schema: str, every: int,
+             own: bool = False) -> DataFrame | None:
+    """Entries written before a batch, or with ``own`` also by it, since the full table before it."""
     full = number // every * every - 1
-    paths = [_batch(f"{state}/full", full)] if full >= 0 else []
-    paths += [_batch(f"{state}/tails", n) for n in range(full + 1, number)]
+    paths = [_table(state, "full", full)] if full >= 0 else []
+    paths += [_table(state, "tails", n) for n in range(full + 1, number + own)]
     paths = [p for p in paths if path_exists(spark, p)]
     if not paths:
         return None
+    return spark.read.schema(f"{schema}, _written bigint, _bucket int").option(
+        "basePath", state
+    ).parquet(*paths)
+
+
+def _latest(entries: DataFrame, channel: list[str], columns: list[str]) -> DataFrame:
+    """Of every channel, the entry written last."""
     written = Window.partitionBy(*channel).orderBy(F.desc("_written"))
-    found = spark.read.parquet(*paths).withColumn("_age", F.rank().over(written))
-    return found.where(F.col("_age") == 1).drop("_age")
+    found = entries.withColumn("_age", F.rank().over(written))
+    return found.where(F.col("_age") == 1).select(*columns, "_written")
+
+
+def _write_state(rows: DataFrame, channel: list[str], path: str) -> None:
+    rows.withColumn("_bucket", _bucket(channel)).repartition("_bucket").write.mode(
+        "overwrite"
+    ).partitionBy("_bucket").parquet(path)
+
+
+def _recent(rows: DataFrame, channel: list[str], time: str, keep: str) -> DataFrame:
+    """Without channels whose last message is older, by ``keep``, than the last of all."""
+    cut = rows.agg((F.max(time) - F.expr(f"INTERVAL {keep}")).cast("string").alias("cut")).first()
+    last = F.max(time).over(Window.partitionBy(*channel))
+    since = F.lit(cut["cut"]).cast(rows.schema[time].dataType)
+    return rows.withColumn("_last", last).where(F.col("_last") >= since).drop("_last")
 
 
 def history_step(batch: DataFrame, number: int, state: str, channel: list[str],
                  order: list[str], limit: int = fixed.HISTORY_LIMIT, full_every: int = 20,
-                 **options) -> DataFrame:
-    """The batch's messages with ``history``, taking up and passing on the channels' tails."""
+                 keep: str | None = None, **options) -> DataFrame:
+    """The batch's messages with ``history``, taking up and passing on the channels' tails.
+
+    Only the buckets of the batch's channels are read, and only those channels' entries
+    are ranked. ``keep`` ("30 days") forgets channels idle for longer, by the first order
+    column, whenever a full table is written; without it every channel is kept.
+    """
     spark = batch.sparkSession
     columns = list(dict.fromkeys([*channel, *order, "author_name", "content", "is_bot"]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.select(*columns).schema)
     known = batch.withColumn("_fresh", F.lit(True))
-    earlier = _tails_before(spark, state, number, channel, full_every)
-    if earlier is not None:
-        concerned = earlier.join(batch.select(*channel).distinct(), channel, "left_semi")
+    entries = _entries(spark, state, number, schema, full_every)
+    if entries is not None:
+        here = batch.select(*channel).distinct()
+        # BUCKETS numbers at most.
+        buckets = [r["b"] for r in here.select(_bucket(channel).alias("b")).distinct().collect()]
+        concerned = entries.where(F.col("_bucket").isin(buckets)).join(here, channel, "left_semi")
+        earlier = _latest(concerned, channel, columns).drop("_written")
         known = known.unionByName(
-            concerned.drop("_written").withColumn("_fresh", F.lit(False)), allowMissingColumns=True
+            earlier.withColumn("_fresh", F.lit(False)), allowMissingColumns=True
         )
-    _newest(known.select(*columns), channel, order, limit).withColumn(
-        "_written", F.lit(number).cast("bigint")
-    ).write.mode("overwrite").parquet(_batch(f"{state}/tails", number))
+    tails = _newest(known.select(*columns), channel, order, limit)
+    _write_state(
+        tails.withColumn("_written", F.lit(number).cast("bigint")), channel,
+        _table(state, "tails", number),
+    )
     if number % full_every == full_every - 1:
-        everything = _tails_before(spark, state, number, channel, full_every)
-        own = spark.read.parquet(_batch(f"{state}/tails", number))
-        if everything is not None:
-            others = everything.join(own.select(*channel).distinct(), channel, "left_anti")
-            own = own.unionByName(others)
-        own.write.mode("overwrite").parquet(_batch(f"{state}/full", number))
+        everything = _latest(
+            _entries(spark, state, number, schema, full_every, own=True), channel, columns
+        )
+        if keep is not None:
+            everything = _recent(everything, channel, order[0], keep)
+        _write_state(everything, channel, _table(state, "full", number))
         # A restart repeats the last batch at most, which reads from the full table before.
         for old in range(number - 2 * full_every + 1, number - full_every + 1):
-            drop_path(spark, _batch(f"{state}/tails", old))
-        drop_path(spark, _batch(f"{state}/full", number - 2 * full_every))
+            drop_path(spark, _table(state, "tails", old))
+        drop_path(spark, _table(state, "full", number - 2 * full_every))
     return with_history(known, channel, order, limit, **options).where("_fresh").drop("_fresh")
 
 
@@ -82,9 +128,11 @@ def history_stream(messages: DataFrame, is_trigger, state: str, out: str, checkp
 
     def step(batch: DataFrame, number: int) -> None:
         batch.persist()
-        seen = history_step(batch, number, state, channel, order, limit, **options)
-        seen.where(is_trigger).write.mode("overwrite").parquet(_batch(out, number))
-        batch.unpersist()
+        try:
+            seen = history_step(batch, number, state, channel, order, limit, **options)
+            seen.where(is_trigger).write.mode("overwrite").parquet(_batch(out, number))
+        finally:
+            batch.unpersist()
 
     return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 

@@ -108,6 +108,19 @@ _HTML_COLUMNS = """source, conv_key, guild_name, channel_name, message_id, autho
   author_name, content, ts_raw, is_bot"""
 ORACLE["html_export_files"] = f"WITH {_HTML} SELECT {_HTML_COLUMNS} FROM html"
 ORACLE["html_export_records"] = ORACLE["html_export_files"]
+ORACLE["html_continuations"] = f"""WITH turns AS (
+  SELECT *, conv_id // 25 AS block, turn // 1000 AS part, {_STAMP} AS ts,
+    CASE WHEN turn < 6 THEN role END AS head FROM conversations),
+carried AS (SELECT *, last_value(head IGNORE NULLS) OVER w AS author,
+    last_value(CASE WHEN turn < 6 THEN ts END IGNORE NULLS) OVER w AS said
+  FROM turns WINDOW w AS (PARTITION BY block, part ORDER BY conv_id, turn)),
+html AS (SELECT 'discord' AS source, 'discord_Guild_block-' || block AS conv_key,
+    'Guild' AS guild_name, 'block-' || block AS channel_name,
+    conv_id || '-' || turn AS message_id, 'u-' || author AS author_id, author AS author_name,
+    trim(text, {_WS}) || chr(10) || 'end' AS content, {_ISO.format('said')} AS ts_raw,
+    author = 'system' AS is_bot
+  FROM carried WHERE author IS NOT NULL)
+SELECT {_HTML_COLUMNS} FROM html"""
 ORACLE["html_export_channels"] = f"""WITH {_HTML}
 SELECT 'Guild - Talk - block-' || block || ' [' || part || '].html' AS file_name,
   guild_name, channel_name, count(*) AS message_count FROM html
@@ -245,6 +258,7 @@ sims AS (SELECT query_id, col.id, round(list_cosine_similarity(qv, v), 9) AS s
   JOIN near held ON held.cell = probed.cell AND held.place = 1 JOIN col ON col.id = held.id),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INTEGER AS rank FROM sims)
 SELECT query_id, id, round(s, 4) AS similarity, rank FROM hits WHERE rank <= 5"""
+ORACLE["search_cell_tiles"] = ORACLE["search_cells"]
 ORACLE["search_filtered"] = f"""WITH {_COLLECTION}, {_VECTOR_QUERIES},
 {_hits("type = 'discord_message' AND channel_name = 'ch3'")}
 SELECT query_id, id, round(s, 4) AS similarity, rank FROM hits WHERE rank <= 3 AND s >= 0.05"""
@@ -254,6 +268,17 @@ WHERE rank <= CASE WHEN type = 'discord_message' THEN 3 ELSE 2 END"""
 ORACLE["embed_hashed"] = f"""
 SELECT doc_id, 256::INTEGER AS dimensions, 1.0::DOUBLE AS squares,
   len(string_split_regex(rtrim(lower(text), {_WS}), '\\s')) AS n_words FROM documents"""
+_LETTERS = "[" + ", ".join(
+    f"len(coalesce(text, '')) - len(replace(replace(coalesce(text, ''), '{c}', ''), '{c.upper()}', ''))"
+    for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+ORACLE["embed_model"] = f"SELECT doc_id, array_to_string({_LETTERS}, ',') AS vector FROM documents"
+ORACLE["search_embedded"] = f"""WITH
+col AS (SELECT doc_id AS id, {_LETTERS}::DOUBLE[] AS v FROM documents),
+q AS (SELECT item_id AS query_id, {_LETTERS}::DOUBLE[] AS qv FROM benchmark),
+sims AS (SELECT query_id, id, CASE WHEN list_sum(v) = 0 OR list_sum(qv) = 0 THEN 0
+    ELSE round(list_cosine_similarity(qv, v), 9) END AS s FROM q, col),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INTEGER AS rank FROM sims)
+SELECT query_id, id, round(s, 4) AS similarity, rank FROM hits WHERE rank <= 3"""
 ORACLE["rebuilt_collection"] = f"""WITH {_MSG}
 SELECT count(*) AS n_documents FROM msg WHERE NOT is_bot AND trim(content, {_WS}) <> ''"""
 ORACLE["incremental_add"] = f"WITH {_COLLECTION} SELECT id, type, document FROM col"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,9 +130,9 @@ _HTML_COLUMNS = [
 ]
 
 
-def _html_whole(spark, sf) -> DataFrame:
+def _html_whole(spark, sf, keep_continuations: bool = False) -> DataFrame:
     found = spark.read.text(exports.write_html(spark, sf), wholetext=True)
-    return html_export.parse_html_files(found)
+    return html_export.parse_html_files(found, keep_continuations)
 
 
 @query
@@ -139,6 +140,12 @@ def html_export_files(spark, sf):
     return html_export.html_messages(_html_whole(spark, sf)).select(*_HTML_COLUMNS)
 
 
+@query
+def html_continuations(spark, sf):
+    """Grouped messages kept, with the author and time of the last header before them."""
+    return html_export.html_messages(_html_whole(spark, sf, True)).select(*_HTML_COLUMNS)
+
+
 @query
 def html_export_records(spark, sf):
     path = exports.write_html(spark, sf)
@@ -342,19 +349,23 @@ def search_by_type(spark, sf):
     return _rounded(vectors.search_by_type(typed, asked, limits).rows)
 
 
-def _in_cells(spark, sf, probes: int, centres: vectors.Centres | None = None) -> DataFrame:
+def _in_cells(spark, sf, probes: int, centres: vectors.Centres | None = None, **limits) -> DataFrame:
     path = scratch_path(spark, "cells")
     model = index.build_cells(views.collection(spark, sf), path, 16, centres=centres)
     asked = views.vector_queries(spark, sf)
-    found = vectors.search_cells(spark.read.parquet(path), asked, model, 5, probes)
+    found = vectors.search_cells(spark.read.parquet(path), asked, model, 5, probes, **limits)
     return _rounded(found.rows)
 
 
+def _first_cells(spark, sf, **limits) -> DataFrame:
+    first = views.vector_queries(spark, sf).orderBy("query_id").limit(16).collect()
+    return _in_cells(spark, sf, 4, vectors.Centres([r["embedding"] for r in first]), **limits)
+
+
 @query
 def search_cells(spark, sf):
     """Four of sixteen cells around given points, the vectors with the least numbers."""
-    first = views.vector_queries(spark, sf).orderBy("query_id").limit(16).collect()
-    return _in_cells(spark, sf, 4, vectors.Centres([r["embedding"] for r in first]))
+    return _first_cells(spark, sf)
 
 
 @query
@@ -376,6 +387,42 @@ def embed_hashed(spark, sf):
     )
 
 
+def _letters():
+    """A stand-in for a user's model: counts of the letters a to z, in either case."""
+    def encode(texts: list[str]) -> np.ndarray:
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        return np.array([[t.count(c) + t.count(c.upper()) for c in letters] for t in texts])
+
+    return encode
+
+
+@query
+def embed_model(spark, sf):
+    """Documents through a given model, all numbers of each vector."""
+    made = vectors.embed_with(_letters, F.col("text"))
+    whole = F.transform(made, lambda x: x.cast("int").cast("string"))
+    return views.table(spark, sf, "documents").select("doc_id", F.array_join(whole, ",").alias("vector"))
+
+
+@query
+def search_embedded(spark, sf):
+    """Benchmark texts searched among the documents, both embedded by one model."""
+    def embedded(name: str, key: str, as_key: str) -> DataFrame:
+        made = vectors.embed_with(_letters, F.col("text"))
+        return views.table(spark, sf, name).select(F.col(key).alias(as_key), made.alias("embedding"))
+
+    found = vectors.search(
+        embedded("documents", "doc_id", "id"), embedded("benchmark", "item_id", "query_id"), 3
+    )
+    return _rounded(found.rows)
+
+
+@query
+def search_cell_tiles(spark, sf):
+    """``search_cells`` where the queries of a cell are too many to broadcast."""
+    return _first_cells(spark, sf, max_queries=50, tile_rows=50)
+
+
 @query
 def rebuilt_collection(spark, sf):
     """Message documents embedded and stored; a second build replaces the first."""
@@ -595,8 +642,8 @@ def _live(spark, sf) -> DataFrame:
     )
 
 
-def _as_stream(spark, rows: DataFrame, order: Column, cuts: list) -> DataFrame:
-    """The rows as a stream of consecutive files, one micro-batch each."""
+def _arrivals(spark, rows: DataFrame, order: Column, cuts: list, writer) -> None:
+    """The rows arrive in parts; the stream of ``writer`` is taken up after each, for one batch."""
     path = scratch_path(spark, "feed")
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows
@@ -604,22 +651,17 @@ def _as_stream(spark, rows: DataFrame, order: Column, cuts: list) -> DataFrame:
             part = part.where(order >= low)
         if high is not None:
             part = part.where(order < high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def _finish(writer) -> None:
-    running = writer.trigger(availableNow=True).start()
-    running.awaitTermination()
+        part.write.mode("append").parquet(path)
+        feed = spark.readStream.schema(rows.schema).parquet(path)
+        writer(feed).trigger(availableNow=True).start().awaitTermination()
 
 
 @query
 def stream_history(spark, sf):
     """Channel history from live batches; equal to the batch result."""
     cuts = [F.lit(f"2024-01-{day:02d}").cast("timestamp_ntz") for day in (8, 15, 22)]
-    feed = _as_stream(spark, views.channels(spark, sf), F.col("ts"), cuts)
     base = scratch_path(spark, "history")
-    _finish(live.history_stream(
+    _arrivals(spark, views.channels(spark, sf), F.col("ts"), cuts, lambda feed: live.history_stream(
         feed, F.col("author_name") == "purchase", f"{base}/state", f"{base}/out",
         f"{base}/checkpoint", ["channel"], ["ts", "event_id"],
     ))
@@ -632,7 +674,6 @@ def stream_history(spark, sf):
 def stream_replies(spark, sf):
     """Live messages to replies and image jobs, with a stand-in for the model."""
     rows = _live(spark, sf)
-    feed = _as_stream(spark, rows, F.col("turn"), [F.lit(2), F.lit(4)])
 
     def generate(prompted: DataFrame) -> DataFrame:
         drawn = F.when(F.col("trigger") == "command", "/imagine ").otherwise("")
@@ -647,7 +688,7 @@ def stream_replies(spark, sf):
         )
 
     base = scratch_path(spark, "replies")
-    _finish(live.reply_stream(
+    _arrivals(spark, rows, F.col("turn"), [F.lit(2), F.lit(4)], lambda feed: live.reply_stream(
         feed, contexts, generate, BOT_ID, COMMAND, BOT_NAME, f"{base}/state", base, f"{base}/checkpoint",
         ["channel"], ["ts", "turn"], max_chars=300,
     ))

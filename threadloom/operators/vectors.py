@@ -20,12 +20,14 @@ from threadloom.functions.metadata import metadata
 from threadloom.functions.text import is_blank, line, py_strip
 from threadloom.operators.messages import from_person
 from threadloom.operators.ordered import global_index
+from threadloom.runtime import stored
 
 # At most this many query vectors, of this many numbers in all, travel to every task;
 # larger sets go tile by tile.
 MAX_BROADCAST_QUERIES = 8192
 MAX_BROADCAST_VALUES = 1 << 25
-# Per tile: this many collection rows against this many times the broadcast limit of queries.
+# Per tile: this many collection rows against this many times the broadcast limit of queries,
+# and on either side no more numbers than may be broadcast.
 TILE_ROWS = 200_000
 _TILE_BLOCKS = 4
 # Similarities computed at a time: a strip of queries by a chunk of rows.
@@ -235,33 +237,54 @@ def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_que
         searched = None if _ANY in groups else tuple(groups)
         return Hits(collection.mapInArrow(scan, out), True, searched)
 
-    # Both sides large: tiles of bounded size, each query block against each slice.
-    n_blocks = -(-queries.count() // (_TILE_BLOCKS * max_queries))
-    n_slices = -(-max(collection.count(), 1) // tile_rows)
+    # Both sides large: tiles of bounded size, within each group its query blocks against its
+    # slices. A crowded cell gets more slices, and rows of cells nobody asked for move nowhere.
+    values = max(MAX_BROADCAST_VALUES // dimensions, 1)
+    # New names on this side: both may stem from one table, and a cogroup needs distinct columns.
+    asked = queries.select(
+        F.col("query_id").alias("_query"), F.col("embedding").alias("_vector"),
+        F.explode("groups").alias("_grp"),
+    )
 
-    def spread(n: int, column: str, salt: str) -> Column:
-        return F.pmod(F.xxhash64(F.lit(salt), F.col(column)), F.lit(n)).cast("int")
+    def parts(df: DataFrame, group: str, rows: int, name: str) -> DataFrame:
+        counted = F.ceil(F.count(F.lit(1)) / rows).cast("int")
+        return df.groupBy(F.col(group).alias("_of")).agg(counted.alias(name))
 
-    # New names on this side: both may stem from one table, and a cogroup needs distinct columns.
-    left = queries.select(
-        F.col("query_id").alias("_query"), F.col("groups").alias("_groups"),
-        F.col("embedding").alias("_vector"), spread(n_blocks, "query_id", "q").alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("_slice"),
+    # One row per group, stored because both sides are laid out by it.
+    sizes = stored(
+        parts(asked, "_grp", min(_TILE_BLOCKS * max_queries, values), "_blocks").join(
+            parts(collection, "grp", min(tile_rows, values), "_slices"), "_of"
+        ), "tiles",
+    )
+
+    def share(n: str, column: str, salt: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(salt), F.col(column)), F.col(n)).cast("int")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = asked.join(sizes, F.col("_grp") == F.col("_of")).select(
+        "_query", "_vector", "_grp", share("_blocks", "_query", "q").alias("_block"),
+        each("_slices").alias("_slice"),
     )
-    right = collection.withColumn("_slice", spread(n_slices, "id", "c")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    right = collection.join(sizes, F.col("grp") == F.col("_of")).select(
+        "id", "grp", "embedding", share("_slices", "id", "c").alias("_slice"),
+        each("_blocks").alias("_block"),
     )
 
     def scan_tile(block: pa.Table, tile: pa.Table) -> pa.Table:
         if block.num_rows == 0 or tile.num_rows == 0:
             return schema.empty_table()
         found = _scan(
-            tile.to_batches(max_chunksize=_ROW_CHUNK), block["_query"].to_pylist(), _matrix(block["_vector"].combine_chunks()),
-            _wanted(block["_groups"].to_pylist()), limits, schema,
+            tile.to_batches(max_chunksize=_ROW_CHUNK), block["_query"].to_pylist(),
+            _matrix(block["_vector"].combine_chunks()),
+            {block["_grp"][0].as_py(): np.arange(block.num_rows)}, limits, schema,
         )
         return pa.Table.from_batches(list(found), schema=schema)
 
-    tiles = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice"))
+    tiles = left.groupBy("_grp", "_block", "_slice").cogroup(
+        right.groupBy("grp", "_block", "_slice")
+    )
     return Hits(tiles.applyInArrow(scan_tile, out), False)
 
 

@@ -150,8 +150,7 @@ def reply_stream(messages: DataFrame, contexts: Callable[[DataFrame], DataFrame]
     to rows with a ``prompt``.
     """
 
-    def step(batch: DataFrame, number: int) -> None:
-        batch.persist()
+    def answer(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         seen = history_step(batch, number, state, channel, order, limit)
         pulled = reply_plan.triggers(seen, bot_id, command).withColumn(
@@ -170,6 +169,12 @@ def reply_stream(messages: DataFrame, contexts: Callable[[DataFrame], DataFrame]
         reply_plan.image_jobs(sent).write.mode("overwrite").parquet(
             _batch(f"{out}/image_jobs", number)
         )
-        batch.unpersist()
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            answer(batch, number)
+        finally:
+            batch.unpersist()
 
     return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -266,6 +266,36 @@ def test_extraction_of_broken_pages(broken):
     assert isinstance(html.Page(broken).main_text([]), str)
 
 
+BODY = "Words of the article, many of them. " * 8
+
+
+@pytest.mark.parametrize("opening, closing", [
+    ('<div style="overflow:hidden">', "</div>"), ('<div title="a hidden gem" data-id="search" data-class=ad>', "</div>"),
+    ('<div class="overflow-hidden with-sidebar">', "</div>"), ('<div class="content-sidebar-wrap">', "</div>"), ("<div id='no-search'>", "</div>"),
+    ('<div class="page sidebar"><article>', "</article></div>"), ('<div class="left-menu"><main>', "</main></div>"),
+    ('<div class="ad"><main>', "</main></div>"), ('<div class="builder-widget">', "</div>"),
+])
+def test_wrappers_keep_their_article(opening, closing):
+    assert html.read(f"<body>{opening}<h1>Title</h1><p>{BODY}</p>{closing}</body>").main_text([]) == "Title " + BODY.strip()
+
+
+@pytest.mark.parametrize("noise", [
+    'class="cookie-notice"', 'class="comments-area"', 'id=sidebar-left', 'role="search"', "hidden", 'aria-hidden="true"', 'class="x ad-container"',
+    'class="is-hidden"', 'CLASS="site-nav"',
+])
+def test_noise_stays_out(noise):
+    assert "No" not in html.read(f"<body><article><p>{BODY}</p><div {noise}>No</div></article></body>").main_text([])
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize("inner", ["content", "entry", "body"])
+def test_lead_parts_stay(spark, tag, inner):
+    page = f"<body><p>Outside</p><{tag}><h1>Title</h1><p>A lead.</p><div class={inner}><p>{BODY}</p></div><p>An end.</p></{tag}></body>"
+    assert html.read(page).main_text([]) == f"Title A lead. {BODY.strip()} An end."
+    voted = html.extracted(spark.createDataFrame([(i, "http://a.org", page) for i in range(3)], "page_id long, url string, html string"))
+    assert {r["text"] for r in voted.collect()} == {f"Title A lead. {BODY.strip()} An end."}
+
+
 def test_hosts_vote(spark):
     usual = lambda i: f"<body><div class=box-{i}><p>{'good words here ' * 20}</p></div><div class=other><p>less</p></div></body>"
     odd = "<body><div class=box-9><p>short</p></div><div class=other><p>" + "boiler plate " * 30 + "</p></div></body>"

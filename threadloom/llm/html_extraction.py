@@ -9,7 +9,12 @@ taken from the containers at the first winning path that has text on it, else fr
 best container.
 
 Left out: scripts, styles, forms, menus, headers, footers, asides, adverts, notices,
-comments of readers. Character references are decoded, white space inside a block becomes
+comments of readers. Elements are known as such by their tag or by a whole class, id or role,
+its last word, or its first word before words like list and box; a word inside a longer name
+says nothing. A main element below a noisy wrapper counts again, an article does below
+wrappers named for the layout (with a sidebar, a menu). A page that would have no text is
+read again without the words of layouts. Of an article or main element the whole kept text
+is taken, also what stands outside its best scored part. Character references are decoded, white space inside a block becomes
 one space, blocks are joined by one space. Broken markup is read in one pass: an end tag
 closes what is open inside its element, one without a start is ignored, the end of the page
 closes everything.
@@ -50,6 +55,15 @@ NOISE = frozenset(
     " comment comments disqus respond replies widget widgets pagination pager toolbar hidden"
     " complementary contentinfo search".split()
 )
+#: Noise words that wrappers of whole pages bear as well.
+LAYOUT = frozenset("banner nav navigation navbar menu sidebar sidebars masthead widget widgets toolbar search hidden notice".split())
+#: Words after which a name's last word says what surrounds an element or what it has.
+STATES = frozenset("with without has have no not non is overflow show hide".split())
+FURNITURE = frozenset(
+    "area list box bar block section item items link links post posts article articles slot unit left right top bottom"
+    " primary secondary form button buttons icon icons title signup panel overlay".split()
+)
+WRAPPERS = frozenset("wrap wrapper container inner".split())
 GOOD = frozenset("article content main post entry body text story blog page hentry".split())
 CLOSES = {  # an opening tag that ends an open one of these
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}),
@@ -58,23 +72,43 @@ CLOSES = {  # an opening tag that ends an open one of these
 ENDS_PARAGRAPH = BLOCKS - {"br", "td", "th", "tr", "option", "html", "head", "body"}
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 STOP = re.compile(r"[>\"']")
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 TOKENS = re.compile(r"[^\W_]+")
 DIGITS = re.compile(r"\d+")
 WINNING_SHARE = 0.2
 SALTS = 64
 
 
+def noise_of(name: str) -> str | None:
+    """The word that marks a class, id or role (in lower case) as noise, if any."""
+    words = [w for w in TOKENS.findall(name) if not w.isdigit()]
+    if not words:
+        return None
+    first, last = words[0], words[-1]
+    if len(words) == 1 or last in NOISE:
+        stated = len(words) > 1 and not STATES.isdisjoint(words[:-1])
+        return last if last in NOISE and (not stated or name == "is-hidden") else None
+    if first in NOISE and all(w in FURNITURE or (w in WRAPPERS and first not in LAYOUT) for w in words[1:]):
+        return first
+    return None
+
+
 class Page:
-    """One pass over a page: its containers, and its text pieces with their container."""
+    """One pass over a page: its containers, and its text pieces with their container.
+
+    ``LAYOUT`` words count as noise unless ``layouts`` is false.
+    """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, layouts: bool = True):
+        self.layouts = layouts
+        self.main: list[str] = [""]  # per container its tag, where that is article or main
         self.paths: list[str] = [""]
         self.parent: list[int] = [-1]
         self.good: list[float] = [1.0]
         self.end: list[int] = [0]
         self.pieces: list[tuple[int, int, str, bool]] = []  # container, block, text, in a link
-        self._stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, left out, in a link
+        # tag, container, left out (1 in a layout wrapper, 2 in other noise, 3 for good), in a link
+        self._stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
         self._open: dict[str, int] = {}
         self._block = 0
         self._read(text)
@@ -167,20 +201,33 @@ class Page:
         _, container, left_out, link = self._stack[-1]
         classes: list[str] = []
         words: set[str] = set()
+        noise = 3 if tag in LEFT_OUT else 0
         if attributes and not attributes.isspace():
+            seen: set[str] = set()
             for found in ATTRIBUTE.finditer(attributes):
                 name, value = found.group(1).lower(), found.group(2) or found.group(3) or found.group(4) or ""
+                if name in seen:
+                    continue
+                seen.add(name)
                 if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                    words.add("hidden")
-                elif name != "aria-hidden":
+                    noise = 3
+                elif name in ("class", "id", "role"):
+                    parts = value.lower().split()
                     words.update(TOKENS.findall(value.lower()))
                     if name == "class":
-                        classes = sorted({DIGITS.sub("#", c) for c in value.lower().split()})
-        left_out = left_out or tag in LEFT_OUT or (tag not in ("body", "html", "article", "main") and not words.isdisjoint(NOISE))
+                        classes = sorted({DIGITS.sub("#", c) for c in parts})
+                    for word in filter(None, map(noise_of, parts)):
+                        noise = max(noise, (1 if self.layouts else 0) if word in LAYOUT else 2)
+        whole = tag in ("article", "main")
+        if whole and left_out == (1 if tag == "article" else min(left_out, 2)):
+            left_out = 0
+        if noise == 3 or (noise and not whole and tag not in ("body", "html")):
+            left_out = max(left_out, noise)
         if tag in CONTAINERS and not left_out:
             self.paths.append(self.paths[container] + ">" + ".".join([tag, *classes]))
             self.parent.append(container)
             self.good.append(2.0 if tag in ("article", "main") else 1.5 if words & GOOD else 1.0)
+            self.main.append(tag if whole else "")
             self.end.append(0)
             container = len(self.paths) - 1
         self._stack.append((tag, container, left_out, link or tag == "a"))
@@ -198,9 +245,18 @@ class Page:
         for i in range(len(own) - 1, 0, -1):  # children follow their parents
             inside[self.parent[i]] += inside[i]
             score[self.parent[i]] += 0.6 * score[i]
-        chosen = max(range(len(own)), key=lambda i: (score[i] * self.good[i], -i))
+        chosen = self._whole(max(range(len(own)), key=lambda i: (score[i] * self.good[i], -i)), inside)
         return chosen, (inside[chosen] / inside[0] if inside[0] > 0 else 0.0)
 
+    def _whole(self, chosen: int, inside: list[float]) -> int:
+        """The article, or else the main element, around a container, if it has further text."""
+        above, main = chosen, chosen
+        while above >= 0 and self.main[above] != "article":
+            main = above if self.main[above] else main
+            above = self.parent[above]
+        above = main if above < 0 else above
+        return above if inside[above] > inside[chosen] else chosen
+
     def text_of(self, containers: list[int]) -> str:
         """Text of the containers, in page order, each piece once."""
         blocks: dict[int, list[str]] = {}
@@ -226,6 +282,14 @@ class Page:
         return self.text_of([self.best()[0]])
 
 
+def read(text: str | None) -> Page:
+    """The page, its layout words being no noise where they leave no text."""
+    page = Page(text or "")
+    if not any(piece.strip() for _, _, piece, _ in page.pieces):
+        page = Page(text or "", layouts=False)
+    return page
+
+
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -235,7 +299,7 @@ def page_vote(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in pages:
         votes = []
         for text in batch:
-            page = Page(text or "")
+            page = read(text)
             chosen, share = page.best()
             votes.append((page.paths[chosen], max(share, 0.0)))
         yield pd.DataFrame(votes, columns=["path", "share"])
@@ -245,7 +309,7 @@ def page_vote(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def page_text(pages: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for batch, winning in pages:
         yield pd.Series(
-            [Page(text or "").main_text([] if paths is None else list(paths)) for text, paths in zip(batch, winning, strict=True)],
+            [read(text).main_text([] if paths is None else list(paths)) for text, paths in zip(batch, winning, strict=True)],
             dtype=object,
         )
 

@@ -28,18 +28,28 @@ _KEYS = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "toke
 ASSIGN = rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 LEAST_VALUE = 12
 
+#: A private key: from its BEGIN line to its END line or, without one, through the header lines and
+#: runs of base64 that follow. Between lines may stand white space, quote marks and written \n.
+_GAP = r"""[\s>|#*"',;+-]*+(?:\\[nrt][\s>|#*"',;+-]*+){0,8}+"""
+PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+){0,400}+-?-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_GAP}(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*+){{0,8}}+"
+    rf"""(?:(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+){{1,400}}+(?:{_GAP}[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[\s\\"',;]|$))?+)?+)"""
+)
+
 #: kind: (pattern, cheap literal or pattern that a text with a match contains)
 RULES = {
     "assign": (ASSIGN, None),
     "access": (r"AKIA[A-Z0-9]{14,}", "AKIA"),
     "hex": (r"[0-9a-f]{16,}", None),
-    "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "PRIVATE KEY-----"),
+    "pem": (PEM, "PRIVATE KEY-----"),
     "hosted": (r"gh[pousr]_[A-Za-z0-9]{36,}", "gh"),
     "chat": (r"xox[abprs]-[A-Za-z0-9-]{10,}", "xox"),
     "jwt": (r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}", "eyJ"),
 }
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 
 _SPANS = "array<struct<start:int,kind:int,stop:int>>"
 

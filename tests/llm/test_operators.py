@@ -106,6 +106,28 @@ def test_jaccard_join_of_odd_rows(spark, words):
     assert nj.jaccard_join(df.limit(0)).count() == 0 and nj.jaccard_stage(df.limit(0)).count() == 0
 
 
+def test_stage_keeps_one_document_of_each_group_of_equal_ids(spark, words):
+    def near(text):
+        return " ".join(text.split()[:-1] + ["zz"])
+
+    a, b, c, d = (words(60, n) for n in (11, 12, 13, 14))
+    rows = [(None, a), (None, near(a)), (None, b), (None, near(b)), (3, c), (3, near(c)), (3, d), (3, near(d)), (3, d)]
+    kept = [r["text"] for r in nj.jaccard_stage(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 4 and all(len({t, near(t)} & set(kept)) == 1 for t in (a, b, c, d))
+
+
+def test_links_of_few_long_classes(spark, words, monkeypatch):
+    """Blocks by bytes, some of them empty."""
+    monkeypatch.setattr(nj, "BLOCK_BYTES", 2000)
+    texts = []
+    for g in range(12):
+        base = words(120, 70 + g)
+        texts += [base, base + " zz", "zz " + base][:2 + g % 2]
+    near = brute.links(dict(enumerate(texts)))
+    got = {r["doc_id"]: r["n_links"] for r in nj.jaccard_join(frame(spark, texts)).collect()}
+    assert got == {i: len(near[i]) for i in near} and max(got.values()) == 2
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     needed = nj.least_matches(0.8, nj.TOLERANCE)
     rng = np.random.default_rng(1)

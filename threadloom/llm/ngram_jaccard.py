@@ -243,10 +243,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, class_id, n_links, set_size), one row per row of ``docs``.
+    """(doc_id, row_key, comp, class_id, n_links, set_size), one row per row of ``docs``.
 
     ``class_id`` is the least id among the documents connected by links, ``n_links`` the
-    documents linked with this one, copies included. ``row_key`` hashes id and text.
+    documents linked with this one, copies included. ``row_key`` hashes id and text. ``comp`` names the connected documents
+    also where ids are null or repeated; it is null for a document without links.
     """
     signed = stored(_keyed(docs).mapInPandas(_signed, SIGNED), "signed")
     rows = signed.select("row_key", "doc_id", "set_key", "n")
@@ -294,11 +295,11 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     joined = joined.withColumn("comp", F.coalesce("comp", "set_key")).filter("weight > 1 or links > 0")
     named = joined.groupBy("comp").agg(F.min("least_id").alias("class_id"))
     answers = joined.join(named, "comp").select(
-        F.col("set_key").alias("_set"), "class_id",
+        F.col("set_key").alias("_set"), "comp", "class_id",
         (F.col("weight") - 1 + F.coalesce("links", F.lit(0).cast("long"))).alias("n_links"),
     )
     return rows.join(answers, F.col("set_key") == F.col("_set"), "left").select(
-        "doc_id", "row_key", F.coalesce("class_id", "doc_id").alias("class_id"),
+        "doc_id", "row_key", "comp", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("n").alias("set_size"),
     )
 
@@ -315,14 +316,14 @@ def jaccard_stage(docs: DataFrame) -> DataFrame:
         going.select(F.col("row_key").alias("_row")).distinct(), "_row", "left_anti"
     )
     # rows with equal ids that are linked: the one with the least key stays
-    ties = joined.filter("n_links > 0 and doc_id <=> class_id").groupBy("class_id").agg(
+    ties = joined.filter("n_links > 0 and doc_id <=> class_id").groupBy("comp").agg(
         F.count("*").alias("rows"), F.min("row_key").alias("first")
     ).filter("rows > 1")
     ties = stored(ties, "ties")
     if ties.isEmpty():
         return kept.select(*docs.columns)
-    tied = ties.select(F.col("class_id").alias("_class"), "first")
-    in_tie = joined.filter("n_links > 0 and doc_id <=> class_id").join(tied, F.col("class_id").eqNullSafe(F.col("_class")))
+    tied = ties.select(F.col("comp").alias("_comp"), "first")
+    in_tie = joined.filter("n_links > 0 and doc_id <=> class_id").join(tied, F.col("comp") == F.col("_comp"))
     marks = in_tie.select(F.col("row_key").alias("_row"), (F.col("row_key") == F.col("first")).alias("_first")).distinct()
     marked = kept.join(marks, "_row", "left")
     single = marked.filter("_first").dropDuplicates(["_row"])

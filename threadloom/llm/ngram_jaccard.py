@@ -185,13 +185,15 @@ def _root(parent: dict, x):
 def _links_of(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     """Links within one group of whole connected groups, or between two blocks of one."""
     out = []
-    for _, rows in group.groupby("comp", sort=False):
+    for (_, i, j), rows in group.groupby(["comp", "i", "j"], sort=False):
+        if i != j and rows["side"].nunique() < 2:
+            continue  # one of the two blocks is empty
         rows = rows.sort_values(["side", "set_key"], kind="stable")
         keys, weights, sides = rows["set_key"].tolist(), rows["weight"].to_numpy(), rows["side"].to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
         signatures = np.stack([np.frombuffer(b, np.uint32) for b in rows["signature"]])
         first = int((sides == 0).sum())
-        left, right = range(first), range(first, len(keys)) if first < len(keys) else range(first)
+        left, right = range(first), range(first) if i == j else range(first, len(keys))
         links = np.zeros(len(keys), np.int64)
         parent = {i: i for i in range(len(keys))}
         for i, others in similar_pairs(left, right, signatures, sets, THRESHOLD):
@@ -283,7 +285,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         "piece", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(packs)))
         .otherwise(F.xxhash64("comp", "pair.i", "pair.j")),
     )
-    linked = dealt.select("piece", "set_key", "comp", "weight", "blocks", F.col("pair.side").alias("side"), "shingles", "signature")
+    linked = dealt.select("piece", "set_key", "comp", "weight", "blocks", "pair.i", "pair.j", "pair.side", "shingles", "signature")
     schema = "set_key binary, links bigint, root binary, whole boolean"
     found = stored(linked.groupBy("piece").applyInPandas(_links_of, schema), "links")
     links = found.groupBy("set_key").agg(F.sum("links").alias("links"))

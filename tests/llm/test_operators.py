@@ -231,6 +231,17 @@ def test_decontamination_cases(spark, words):
     assert deco.contamination(df, items.limit(0)).filter(F.size("hits") > 0).count() == 0
 
 
+def test_short_items_leave_long_documents(spark, words):
+    item = "Nine words of an item that nobody writes alone"
+    for n in (3, 6, 9):
+        quoted = " ".join(item.split()[:n])
+        df = frame(spark, [f"{words(100, 1)}. {quoted.upper()}! {words(100, 2)}", words(200, 3), f"{words(20, 4)} {quoted.rsplit(' ', 1)[0]}"])
+        items = spark.createDataFrame([(1, quoted), (2, words(30, 5))], "item_id long, text string")
+        kept = {r["doc_id"]: r for r in deco.decontaminated(df, items).collect()}
+        assert brute.folded(kept[0]["text"]) == brute.folded(words(100, 1) + " " + words(100, 2))
+        assert kept[0]["n_chars"] == len(kept[0]["text"]) and kept[1]["text"] == words(200, 3) and kept[2]["text"].endswith(quoted.split()[-2])
+
+
 # ---- quality rules
 
 def test_base_rules_by_hand(spark, words):

@@ -244,21 +244,19 @@ def without_runs(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Se
 
 
 def decontaminated(
-    docs: DataFrame, items: DataFrame, least_run: int = WINDOW, most_coverage: float = 0.5
+    docs: DataFrame, items: DataFrame, most_coverage: float = 0.5
 ) -> DataFrame:
-    """``docs`` without the hit runs of ``least_run`` words or more.
+    """``docs`` without their hit runs: windows of items, and whole items of fewer words.
 
-    Runs of fewer words, from short items, go when they cover over ``most_coverage`` of
-    the document; a document that the hits cover beyond that limit goes altogether.
-    ``n_chars`` follows the text.
+    A document that the hits cover over ``most_coverage`` goes altogether. ``n_chars``
+    follows the text.
     """
     found = contamination(docs, items)
     covered = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, h: acc + (h["stop"] - h["start"]))
     kept = found.filter((covered == 0) | (covered <= most_coverage * F.col("n_words")))
-    long_runs = F.filter("hits", lambda h: h["stop"] - h["start"] >= least_run)
     cut = kept.withColumn("text", F.when(
-        F.size(long_runs) > 0, without_runs("text", long_runs["start"], long_runs["stop"])
+        F.size("hits") > 0, without_runs("text", F.col("hits")["start"], F.col("hits")["stop"])
     ).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.size(long_runs) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.size("hits") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)

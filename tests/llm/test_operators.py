@@ -179,6 +179,30 @@ def test_mix_meets_targets_and_repeats(spark, words):
     assert [(r["size"], r["target"], r["taken"]) for r in empty] == [(0, 0.0, 0)] * 2
 
 
+def test_mixed_texts_hold_the_words_drawn(spark, words):
+    texts = [words(n * 7 % 900, n).replace(" ", "\n ", 3) + "\t " for n in range(90)] + ["  " + words(3000, 99)]
+    df = frame(spark, texts)
+    rows = mixing.mixing_stage(df).collect()
+    by_source, some_cut, some_twice = {}, 0, 0
+    for r in rows:
+        own, want = texts[r["doc_id"]].split(), []
+        for p in r["pieces"]:
+            want += own[p["start"]:p["stop"]]
+        assert r["text"].split() == want and len(want) == r["taken"] and r["n_chars"] == len(r["text"])
+        by_source.setdefault((r["source"], r["target"]), []).append(len(want))
+        some_cut += 0 < r["taken"] < r["size"]
+        some_twice += r["taken"] > r["size"]
+        assert r["taken"] != r["size"] or len({p["pass"] for p in r["pieces"]}) > 1 or r["text"] == texts[r["doc_id"]]
+    assert some_cut and some_twice and all(abs(sum(n) - target) <= 1 for (_, target), n in by_source.items())
+    blocks = mixing.mixed_blocks(df).collect()
+    assert sum(len(b["text"].split()) for b in blocks) == sum(r["taken"] for r in rows)
+    size = {}
+    for b in blocks:
+        assert b["text"].split() == texts[b["doc_id"]].split()[b["start"]:b["stop"]]
+        size.setdefault((b["shard"], b["source"], b["pass"], b["slot"]), []).append(b["stop"] - b["start"])
+    assert max(map(sum, size.values())) == 256 and len(size) > 50
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 100, 1023])
 def test_permutations_and_their_inverse(spark, size):
     df = spark.range(size).select("id", mixing.permuted(F.col("id"), F.lit(size).cast("long"), F.lit(5).cast("long")).alias("p"))

@@ -36,7 +36,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     mixed, _ = source_mixing.mix(documents(spark, sf), columns=["doc_id", "source"])
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "pieces")
 
 
 def op4(spark: SparkSession, sf: str) -> DataFrame:

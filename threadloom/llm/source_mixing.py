@@ -7,9 +7,11 @@ blocks in the order of a pseudorandom permutation of the block numbers, no block
 the last block visited is cut where the target is reached. For every block to take, a draw
 names its output shard; the draws of a source are multinomial over shards, and a shard's
 counts per source are the sums of its draws. The counts open slots; a slot's number goes
-through the source's permutation to a block number, and slots join documents by block.
+through the source's permutation to a block number, and slots join documents by block. What a
+slot takes of a document is a piece: a range of its words, at a place in a shard. A mixed text
+is its pieces' words as drawn, cut or repeated; ``mixed_blocks`` gives the pieces by shard.
 
-Only sizes and numbers are shuffled, never texts. A source of any size is spread by its
+Only sizes and numbers are shuffled in the draws; texts move once, to meet their pieces. A source of any size is spread by its
 document buckets, slots and blocks; no step gathers a source in one task.
 
 Null texts have no words and take none. Sources come in code point order, null last. Equal
@@ -24,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import fresh, plain_words, stored
+from threadloom.llm.common import fresh, let, plain_words, stored
 
 WEIGHTS = (3, 1, 2)
 MOST_REPEATS = 2
 ROUNDS = 16
-RESULTS = ("size", "source_size", "target", "taken")
+RESULTS = ("size", "source_size", "target", "taken", "pieces")
+#: Behind every word: pieces of a text split there hold a word and the white space before it.
+BEHIND_WORD = r"(?<=[^ \t\n\x0B\f\r])(?=[ \t\n\x0B\f\r])"
 SHARE_PERCENT = 150
 
 
@@ -115,7 +119,7 @@ def shard_counts(plan: DataFrame, shards: int, seed: int, chunk: int = 50_000) -
 
 
 def slots_of(plan: DataFrame, counts: DataFrame, block_words: int, tasks: int = 1) -> DataFrame:
-    """(shard, source, rank, pass, block, take): every slot with its block and words to take.
+    """(shard, source, rank, pass, slot, block, take): every slot with its block and words to take.
 
     Counts are small and slots many: the counts are dealt to ``tasks`` before they unfold.
     """
@@ -128,7 +132,7 @@ def slots_of(plan: DataFrame, counts: DataFrame, block_words: int, tasks: int =
     ).otherwise(F.lit(0))
     length = F.when(F.col("slot") == F.col("short_at"), F.col("tail")).otherwise(F.lit(block_words).cast("long"))
     return opened.select(
-        "shard", "source", "rank", "pass",
+        "shard", "source", "rank", "pass", "slot",
         permuted(F.col("slot"), F.col("blocks"), F.col("key")).alias("block"),
         F.least(length, F.col("take") - start).alias("take"),
     ).filter("take > 0")
@@ -139,7 +143,11 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, bucket_docs: int = 5000, task_slots: int = 50_000,
     columns: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The documents with size, source_size, target and taken, and the mix's slots."""
+    """The documents with size, source_size, target, taken and pieces, and the mix's slots.
+
+    ``pieces`` are (pass, block, shard, slot, start, stop): words start to stop, exclusive, of
+    the document, at a slot of a shard.
+    """
     carry = [c for c in (columns or docs.columns) if c.lower() not in RESULTS]
     key = next((c for c in ("doc_id",) if c in docs.columns), None)
     rank, start, bucket, offset = (fresh(docs, n) for n in ("rank", "start", "bucket", "offset"))
@@ -174,22 +182,57 @@ def mix(
     pieces = placed.filter("size > 0").select(
         F.col(rank).alias("rank"), F.col(start).alias("start"), "size", F.explode(F.sequence(first, last)).alias("block")
     )
-    takes = slots.groupBy("rank", "block").agg(F.collect_list("take").alias("takes"))  # at most one a pass
+    takes = slots.groupBy("rank", "block").agg(  # at most one a pass
+        F.collect_list(F.struct("pass", "shard", "slot", "take")).alias("takes")
+    )
     at = F.col("block") * block_words
-    overlap = lambda take: F.greatest(
-        F.least(F.col("start") + F.col("size"), at + take) - F.greatest(F.col("start"), at), F.lit(0)
+    drawn = F.filter(F.transform("takes", lambda t: F.struct(
+        t["pass"].alias("pass"), F.col("block").alias("block"), t["shard"].alias("shard"), t["slot"].alias("slot"),
+        (F.greatest(F.col("start"), at) - F.col("start")).alias("start"),
+        (F.least(F.col("start") + F.col("size"), at + t["take"]) - F.col("start")).alias("stop"),
+    )), lambda p: p["stop"] > p["start"])
+    taken = pieces.join(takes, ["rank", "block"]).groupBy("rank", "start").agg(
+        F.sort_array(F.flatten(F.collect_list(drawn))).alias("pieces")
     )
-    words = F.aggregate("takes", F.lit(0).cast("long"), lambda acc, t: acc + overlap(t))
-    taken = pieces.join(takes, ["rank", "block"]).groupBy("rank", "start").agg(F.sum(words).alias("taken"))
-    taken = taken.select(F.col("rank").alias("_r"), F.col("start").alias("_at"), "taken")
+    taken = taken.select(F.col("rank").alias("_r"), F.col("start").alias("_at"), "pieces", F.aggregate(
+        "pieces", F.lit(0).cast("long"), lambda acc, p: acc + p["stop"] - p["start"]).alias("taken"))
     whole = placed.join(
         taken, (F.col(rank) == F.col("_r")) & (F.col(start) == F.col("_at")) & (F.col("size") > 0), "left"
     ).withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
     return whole.select(*carry, *RESULTS), slots
 
 
-def mixing_stage(docs: DataFrame) -> DataFrame:
-    """Every document of the mix with its columns and the words the mix takes of it.
+def _ranges(pieces: Column) -> Column:
+    """(pass, start, stop): pieces in order, adjoining ones of a pass as one."""
+    def step(acc: Column, p: Column) -> Column:
+        one = F.struct(p["pass"].alias("pass"), p["start"].alias("start"), p["stop"].alias("stop"))
+        def put(last: Column) -> Column:
+            longer = F.struct(p["pass"].alias("pass"), last["start"].alias("start"), p["stop"].alias("stop"))
+            joins = (last["pass"] == p["pass"]) & (last["stop"] == p["start"])
+            return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(one)))
+        return F.when(F.size(acc) == 0, F.array(one)).otherwise(let(F.get(acc, F.size(acc) - 1), put))
+
+    return F.aggregate(pieces, F.array().cast("array<struct<pass:int,start:bigint,stop:bigint>>"), step)
+
+
+def _words_of(parts: Column, r: Column) -> Column:
+    """The words of a range, as they were spelt and spaced."""
+    own = F.slice(parts, (r["start"] + 1).cast("int"), (r["stop"] - r["start"]).cast("int"))
+    return F.ltrim(F.array_join(own, ""), F.lit(" \t\n\x0b\x0c\r"))
+
+
+def drawn_text(text: Column, size: Column, pieces: Column) -> Column:
+    """The words that the pieces take, ranges apart from each other in lines of their own."""
+    def made(ranges: Column) -> Column:
+        whole = F.forall(ranges, lambda r: r["stop"] - r["start"] == size)
+        cut = let(F.split(text, BEHIND_WORD, -1), lambda parts: F.array_join(F.transform(ranges, lambda r: _words_of(parts, r)), "\n"))
+        return F.when(whole, F.array_join(F.array_repeat(text, F.size(ranges)), "\n")).otherwise(cut)
+
+    return let(_ranges(pieces), made)
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
+    """Every document of the mix with its columns, whole text and pieces.
 
     The mix runs over sizes and row hashes; texts move once, to meet its rows. Equal rows
     share a hash; then one of their copies stands for all, and each keeps its own words.
@@ -204,3 +247,28 @@ def mixing_stage(docs: DataFrame) -> DataFrame:
     if not mixed.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         texts = texts.dropDuplicates([row])
     return mixed.join(texts, F.col("_row") == F.col(row)).select(*names, *RESULTS)
+
+
+def mixing_stage(docs: DataFrame) -> DataFrame:
+    """The documents of the mix, one row each, with the words drawn of them as ``text``.
+
+    A document of which words are drawn twice holds them twice; ``n_chars`` follows the text.
+    """
+    mixed = _mixed(docs)
+    out = mixed.withColumn("text", drawn_text(F.col("text"), F.col("size"), F.col("pieces")))
+    if "n_chars" in mixed.columns:
+        whole = (F.size("pieces") > 0) & (F.size(_ranges(F.col("pieces"))) == 1) & (F.col("taken") == F.col("size"))
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out
+
+
+def mixed_blocks(docs: DataFrame) -> DataFrame:
+    """(shard, slot, source, pass, block, doc_id, start, stop, text): the mix's pieces by place.
+
+    The pieces of a slot, in order of their rows' places in the source, are its block.
+    """
+    keys = [c for c in ("source", "doc_id") if c in docs.columns]
+    texts = let(F.split("text", BEHIND_WORD, -1), lambda parts: F.transform("pieces", lambda p: F.struct(
+        *(p[c].alias(c) for c in ("shard", "slot", "pass", "block", "start", "stop")), _words_of(parts, p).alias("text"))))
+    return _mixed(docs).select(*keys, F.explode(texts).alias("_p")).select(
+        "_p.shard", "_p.slot", *keys, "_p.pass", "_p.block", "_p.start", "_p.stop", "_p.text")

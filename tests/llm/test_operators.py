@@ -453,6 +453,31 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert ps.pseudonymised(df.limit(0), "k").count() == 0
 
 
+def mod97(iban):
+    plain = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def test_pseudonyms_of_long_numbers_ibans_and_dates(spark):
+    runs = ["1234567890" * 2, "9876543210" * 5 + "12", "1234 5678 9012 3456 789 01", "7" * 30_000]
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    dates = ["25/12/1980", "5.3.1980", "5/3/1980", "05/03/1980"]
+    kept = ["31/31/1980", "99.99.2000", "30/02/2000"]
+    texts = [*(f"x {v}, y" for v in runs + ibans + dates + kept), "DE89370400440532013001", "4111111111111111 4222222222222", "AB12CDEFGHIJKLMN"]
+    rows = ps.pseudonymised(frame(spark, texts), "k").orderBy("doc_id").collect()
+    out = [r["text"][2:-3] for r in rows[:-3]]
+    for v, new, r in zip(runs, out, rows, strict=False):
+        assert len(new) == len(v) and new != v and r["n_number"] in (1, 2) and new[-6:] != v[-6:]
+        assert [c.isdigit() for c in new] == [c.isdigit() for c in v]
+    for v, new, r in zip(ibans, out[4:7], rows[4:7], strict=True):
+        assert mod97(v) == mod97(new) == 1 and new != v and [c.isdigit() for c in new] == [c.isdigit() for c in v] and r["n_iban"] == 1
+    assert out[5].replace(" ", "") == out[4]
+    assert all(new != v and r["n_date"] == 1 for v, new, r in zip(dates, out[7:11], rows[7:11], strict=True))
+    assert [int(x) for x in out[9].split("/")] == [int(x) for x in out[10].split("/")] and len(out[10]) == 10
+    assert out[11:14] == kept and all(r["n_date"] == 0 for r in rows[11:14])
+    assert rows[14]["text"] != texts[14] and rows[14]["n_number"] == 1 and rows[15]["n_card"] == 2 and rows[16]["text"] == texts[16]
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(27 * 100).select(ps.feistel(F.floor(F.col("id") / 100), F.col("id") % 100, F.lit(27).cast("long"), F.lit(100).cast("long"), F.lit("k"), "t").alias("x"))
     assert df.distinct().count() == 2700

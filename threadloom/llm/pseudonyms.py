@@ -5,10 +5,16 @@ by a keyed Feistel network, so that a value has the same pseudonym in every docu
 values never share one, and the form stays: length, separators, check digit, calendar.
 
 * card: 13 to 19 digits passing the Luhn check; all but the check digit are permuted and the
-  check digit is renewed. Digit runs of 9 or more failing it are ``number``: all permuted.
+  check digit is renewed. Digit runs of 9 or more failing it are ``number``: all permuted,
+  long ones in pieces of 9 to 18 digits.
+* iban: the digits behind the check digits are permuted, those are renewed (mod 97). One that
+  fails the check is a number if it has 9 digits or more, else it stays.
 * phone: the last ten digits are permuted, the country code stays.
 * ssn: nine digits in the usual grouping. * ip: four octets, permuted as one 32-bit number.
-* date: days of the years 1800 to 2199, in three spellings. Other dates do not exist: kept.
+* date: days of the years 1800 to 2199, as yyyy-MM-dd, dd.MM.yyyy, MM/dd/yyyy, or dd/MM/yyyy
+  where MM/dd is no date, the latter three with one-digit days and months too. One day has one
+  pseudonym in all spellings, each keeps its own. Other dates do not exist: kept, not counted.
+  Dates with month names are not found.
 * email: letters and digits of the local part move within their class; the domain stays.
 
 Null texts stay null; empty texts, texts without finds and all other columns stay as they
@@ -26,13 +32,15 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: kind: pattern of the whole value. Matching tries them in this order.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w.]*\w)",
-    "date": r"(?<![\w.])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\w)",
+    "date": r"(?<![\w.])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]*\w)",
     "phone": r"(?<!\w)(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
-    "number": r"(?<!\w)\d(?:[ -]?\d){8,18}(?!\w)",
+    # up to 19 digits unless fewer than nine would be left behind them, else the whole run
+    "number": r"(?<!\w)\d(?:(?:[ -]?\d){8,18}(?!\w)(?:(?![ -]\d)|(?=[ -]\d(?:[ -]?\d){8}))|(?:[ -]?\d){8}[\d -]*(?<=\d)(?!\w))",
 }
-COUNTED = ("email", "ip", "date", "ssn", "phone", "card", "number")
+COUNTED = ("email", "ip", "date", "ssn", "phone", "card", "iban", "number")
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 ROUNDS = 8
 #: Days of 400 years as a product, and the first of them.
@@ -78,6 +86,47 @@ def _digits_permuted(digits: Column, key: Column, label: str) -> Column:
     ))
 
 
+def _number(digits: Column, key: Column) -> Column:
+    """A digit string of any length permuted, above 19 digits in pieces."""
+    n = F.length(digits)
+    many = F.ceil(n / 18).cast("int")
+
+    def piece(i: Column) -> Column:
+        start, stop = F.floor(i * n / many).cast("int"), F.floor((i + 1) * n / many).cast("int")
+        own = F.concat_ws("|", key, n.cast("string"), i.cast("string"))
+        return _digits_permuted(F.substring(digits, start + 1, stop - start), own, "number")
+
+    pieces = F.array_join(F.transform(F.sequence(F.lit(0), many - 1), piece), "")
+    return F.when(n > 19, pieces).otherwise(_digits_permuted(digits, key, "number"))
+
+
+def _mod97(text: Column) -> Column:
+    """Letters and digits as a decimal number, A being 10, modulo 97."""
+    def step(acc: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code < 65, (acc * 10 + code - 48) % 97).otherwise((acc * 100 + code - 55) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _is_iban(value: Column) -> Column:
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substring(plain, 5, 34), F.substring(plain, 1, 4))
+    return value.rlike(f"^(?:{KINDS['iban']})$") & F.length(plain).between(15, 34) & (_mod97(moved) == 1)
+
+
+def _iban(value: Column, digits: Column, key: Column) -> Column:
+    country = F.substring(value, 1, 2)
+
+    def checked(body: Column) -> Column:
+        plain = F.replace(_refilled(value, F.concat(F.lit("00"), body)), F.lit(" "), F.lit(""))
+        check = F.lpad((98 - _mod97(F.concat(F.substring(plain, 5, 34), country, F.lit("00")))).cast("string"), 2, "0")
+        return _refilled(value, F.concat(check, body))
+
+    body = F.substring(digits, F.lit(3), F.length(digits))
+    return let(F.when(F.length(body) > 1, _number(body, F.concat(key, F.lit("|iban")))).otherwise(body), checked)
+
+
 def luhn_sum(digits: Column, doubled_first: Column) -> Column:
     """The Luhn sum; ``doubled_first`` says whether the first digit counts double."""
     def worth(d: Column, i: Column) -> Column:
@@ -109,9 +158,11 @@ def _refilled(shape: Column, digits: Column) -> Column:
 
 
 def _date(value: Column, key: Column) -> Column:
-    """Dates in three spellings; what is no day of the range stays."""
+    """Dates in their spelling; null for what is no day of the range."""
+    month_first = F.try_to_date(value, "M/d/yyyy")
     read = F.when(value.contains("-"), F.try_to_date(value, "yyyy-MM-dd")).when(
-        value.contains("."), F.try_to_date(value, "dd.MM.yyyy")).otherwise(F.try_to_date(value, "MM/dd/yyyy"))
+        value.contains("."), F.try_to_date(value, "d.M.yyyy")).otherwise(F.coalesce(month_first, F.try_to_date(value, "d/M/yyyy")))
+    padded = value.rlike(r"^\d\d[./]\d\d[./]")
 
     def moved(parsed: Column) -> Column:
         day = F.datediff(parsed, F.lit(FIRST_DAY).cast("date"))
@@ -121,9 +172,13 @@ def _date(value: Column, key: Column) -> Column:
             F.lit(DAY_RADIX[1]).cast("long"), key, "date",
         )
         new = let(parts, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["high"] * DAY_RADIX[1] + p["low"]).cast("int")))
+        def as_in(wide: str, narrow: str) -> Column:
+            return F.when(padded, F.date_format(new, wide)).otherwise(F.date_format(new, narrow))
+
         spelt = F.when(value.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(
-            value.contains("."), F.date_format(new, "dd.MM.yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
-        return F.when(inside, spelt).otherwise(value)
+            value.contains("."), as_in("dd.MM.yyyy", "d.M.yyyy")).when(
+            month_first.isNotNull(), as_in("MM/dd/yyyy", "M/d/yyyy")).otherwise(as_in("dd/MM/yyyy", "d/M/yyyy"))
+        return F.when(inside, spelt)
 
     return let(read, moved)
 
@@ -166,26 +221,27 @@ def _email(value: Column, key: Column) -> Column:
 
 def kind_of(value: Column, digits: Column) -> Column:
     return (
-        F.when(value.contains("@"), "email").when(value.rlike(f"^(?:{KINDS['ip']})$"), "ip")
+        F.when(value.contains("@"), "email").when(_is_iban(value), "iban").when(value.rlike(f"^(?:{KINDS['ip']})$"), "ip")
         .when(value.rlike(f"^(?:{KINDS['date']})$"), "date").when(value.rlike(f"^(?:{KINDS['ssn']})$"), "ssn")
-        .when(value.rlike(f"^(?:{KINDS['phone']})$"), "phone").when(_is_card(digits), "card").otherwise("number")
+        .when(value.rlike(f"^(?:{KINDS['phone']})$"), "phone").when(value.rlike("^[0-9]") & _is_card(digits), "card")
+        .when(value.rlike("^[0-9]") | (F.length(digits) >= 9), "number")
     )
 
 
 def pseudonym(value: Column, key: Column) -> Column:
-    """struct(kind, value): what was found and what replaces it."""
+    """struct(kind, value): what was found and what replaces it; no kind where the value stays."""
     def made(digits: Column) -> Column:
         phone = F.concat(
             F.substring(digits, F.lit(1), F.length(digits) - 10),
             _digits_permuted(F.substring(digits, F.length(digits) - 9, F.lit(10)), key, "phone"),
         )
-        return let(kind_of(value, digits), lambda kind: F.struct(
-            kind.alias("kind"),
+        return let(kind_of(value, digits), lambda kind: let(
             F.when(kind == "email", _email(value, key)).when(kind == "ip", _ip(value, key))
             .when(kind == "date", _date(value, key)).when(kind == "phone", _refilled(value, phone))
             .when(kind == "ssn", _refilled(value, _digits_permuted(digits, key, "ssn")))
-            .when(kind == "card", _refilled(value, _card(digits, key)))
-            .otherwise(_refilled(value, _digits_permuted(digits, key, "number"))).alias("value"),
+            .when(kind == "card", _refilled(value, _card(digits, key))).when(kind == "iban", _iban(value, digits, key))
+            .when(kind == "number", _refilled(value, _number(digits, key))),
+            lambda new: F.struct(F.when(new.isNotNull(), kind).alias("kind"), F.coalesce(new, value).alias("value")),
         ))
 
     return let(F.regexp_replace(value, r"\D", ""), made)

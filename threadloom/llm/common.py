@@ -53,6 +53,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def joined_by_weight(rows: DataFrame, lookup: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
+    """Inner join with a table of one row per key and the number of ``rows`` each key has.
+
+    A key may hold any share of the rows: those above one in ``share`` of all, fewer than
+    ``share`` keys by their definition, are broadcast, and the rest is shuffled.
+    """
+    total = lookup.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("total")).first()["total"]
+    heavy = F.col(weight).cast("decimal(38,0)") * share > total
+    often = F.broadcast(lookup.filter(heavy).drop(weight))
+    seldom = rows.join(often.select(key), key, "left_anti").join(lookup.filter(~heavy).drop(weight), key)
+    return rows.join(often, key).unionByName(seldom)
+
+
 def documents(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import (
-    decontamination, html_extraction, ngram_jaccard, preferences, pseudonyms, quality_classifier,
-    quality_rules, secret_scan, source_mixing, token_counts,
+    decontamination, embedding_whitening, html_extraction, ngram_jaccard, preferences, pseudonyms,
+    quality_classifier, quality_rules, secret_scan, source_mixing, spelling_variants, token_counts, url_filters,
 )
 from threadloom.llm.common import documents
 
@@ -17,6 +17,10 @@ VOCABULARY = "byte_bpe_50k.json"
 #: The key of the catalogue's pseudonyms. A real run passes its own secret.
 PSEUDONYM_KEY = "catalogue"
 
+URL_RULES = [url_filters.Rule(*r) for r in (
+    ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
+)]
+
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -75,6 +79,21 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return quality_classifier.classified(documents(spark, sf), documents(spark, sf, "labels"))
 
 
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants.spelling_variants(documents(spark, sf))
+
+
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    made = embedding_whitening.whitened(documents(spark, sf, "embeddings").select("vec_id", "embedding"))
+    whole = F.col("deviation").try_cast("long")
+    return made.drop("embedding").withColumn("deviation", whole).select("vec_id", *embedding_whitening.RESULTS)
+
+
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    pages = url_filters.judged(documents(spark, sf, "pages"), URL_RULES)
+    return pages.select("page_id", *url_filters.RESULTS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1,
     "op2_token_counts": op2,
@@ -86,4 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudonyms": op8,
     "op9_preferences": op9,
     "op10_quality_classifier": op10,
+    "op11_spelling_variants": op11,
+    "op12_embedding_whitening": op12,
+    "op13_url_filters": op13,
 }

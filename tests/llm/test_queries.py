@@ -16,7 +16,7 @@ def test_twin(spark, name):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "ngram_jaccard", "decontamination", "secret_scan", "source_mixing"]
 

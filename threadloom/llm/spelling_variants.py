@@ -8,9 +8,10 @@ error. Both indexes hold the words between delimiters; a match is an interval of
 Where an interval leaves several symbols, only these are followed.
 
 Words meet by their exact half: each goes to the shards of its halves, and a shard, of bounded
-size, gets its own pair of indexes. A half that more than ``BLOCK`` words share is indexed in
-several blocks, and searched in each. A shard returns one row per word: how many it found and the
-most frequent. Forms are followed by doubling the steps, in rounds over tables.
+size, gets its own index. A half whose words have more than ``BLOCK`` letters together is cut
+into blocks, and each block of words searched in the index of each. A shard returns one row
+per word: how many it found and the most frequent. Forms are followed by doubling the steps,
+in rounds over tables.
 
 Null or empty texts have no words; a null id counts as empty text. Copies and repeated rows
 count each. An empty table gives an empty one. Extra columns are ignored.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ MIN_COUNT = 3
 SLIP = 97
 #: A form is at least so many times as frequent.
 RATIO = 2
-#: Records of a shard, about; words of one half that an index holds at most.
-SHARD, BLOCK = 40_000, 40_000
+#: Letters of the words of a shard, about; letters of one half's words that one index holds, about.
+SHARD, BLOCK = 400_000, 800_000
 #: Words counted before a task hands them on; queries searched at a time.
 FLUSH, CHUNK = 500_000, 4096
 
@@ -55,10 +56,15 @@ def slipped(word: str, start: int) -> str:
     return word[:at] + word[at + 1:]
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _batch(counts: dict[str, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, int] = {}
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             start = crc32(f"{doc_id or ''}:".encode())
             found: dict[str, int] = {}
             for run in RUN.findall(text or ""):
@@ -68,15 +74,15 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(word) >= MIN_LENGTH:
                     counts[word] = counts.get(word, 0) + n
             if len(counts) > FLUSH:
-                yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+                yield _batch(counts)
                 counts = {}
-    yield pd.DataFrame({"word": list(counts), "n": pd.Series(list(counts.values()), dtype="int64")})
+    yield _batch(counts)
 
 
 def vocabulary(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """(word, n): the words of all texts, slips applied, that occur ``min_count`` times or more."""
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    counted = texts.mapInPandas(_counted, "word string, n long")
+    counted = texts.mapInArrow(_counted, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 
@@ -193,13 +199,14 @@ def one_edit(index: Index, patterns: np.ndarray, exact: int) -> tuple[np.ndarray
 
 # --- shards -------------------------------------------------------------------------
 
-def _searched(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+def _searched(key: tuple, group: pa.Table) -> pa.Table:
     """Per word of a shard: the number of near words found and the most frequent one."""
-    forward = key[0] == "s"
-    merged = group.groupby("word", sort=True).agg({"n": "first", "asked": "max", "held": "max"})
-    names, n = merged.index.to_numpy(dtype=object), merged["n"].to_numpy()
-    held = np.flatnonzero(merged["held"].to_numpy())
-    asked = np.flatnonzero(merged["asked"].to_numpy())
+    forward = key[0].as_py() == "s"
+    # numbers in the order of the words' code points
+    names, place = np.unique(np.array(group["word"].to_pylist(), dtype=object), return_inverse=True)
+    n = np.zeros(len(names), np.int64)
+    n[place] = group["n"].to_numpy()
+    held, asked = (np.unique(place[group[c].to_numpy()]) for c in ("held", "asked"))
     points = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
     alphabet, codes = np.unique(points, return_inverse=True)
     lengths = np.array([len(w) for w in names])
@@ -229,9 +236,9 @@ def _searched(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((source, -n[source], target))
     target, source = target[order], source[order]
     first = np.flatnonzero(np.concatenate(([True], np.diff(target) != 0))[:len(target)])
-    return pd.DataFrame({
-        "word": names[target[first]], "n_near": np.diff(np.append(first, len(target))).astype(np.int64),
-        "best_n": n[source[first]], "best": names[source[first]],
+    return pa.table({
+        "word": pa.array(names[target[first]], pa.string()), "n_near": np.diff(np.append(first, len(target))).astype(np.int64),
+        "best_n": n[source[first]], "best": pa.array(names[source[first]], pa.string()),
     })
 
 
@@ -253,18 +260,25 @@ def near_words(words: DataFrame, shard: int = SHARD, block: int = BLOCK) -> Data
     """(word, n_near, best_n, best) of the words of (word, n) that have words one edit apart."""
     records = _records(words)
     key = ["side", "length", "half"]
-    counted = stored(records.groupBy(*key).agg(F.count("*").alias("many")), "halves")
-    total = counted.agg(F.coalesce(F.sum("many"), F.lit(0)).alias("t")).first()["t"]
-    crowded = counted.filter(F.col("many") > block).select(*key, F.ceil(F.col("many") / block).cast("int").alias("blocks"))
-    # a crowded half is searched in all its blocks and indexed in one of them
-    dealt = records.join(crowded, key, "left").withColumn("own", F.pmod(F.xxhash64("word"), F.coalesce("blocks", F.lit(1))))
-    every = F.when(F.col("blocks").isNotNull() & F.col("asked"), F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("block", F.explode(F.coalesce(every, F.array(F.col("own").cast("int")))))
+    counted = stored(records.groupBy(*key).agg(F.sum(F.length("word")).alias("letters")), "halves")
+    total = counted.agg(F.coalesce(F.sum("letters"), F.lit(0)).alias("t")).first()["t"]
+    crowded = counted.filter(F.col("letters") > block).select(*key, F.ceil(F.col("letters") / block).cast("int").alias("blocks"))
+    # a crowded half has a shard for each block that is asked for and each block that is held
+    own = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+
+    def tile(held, asked, part: Column, role_held: bool | Column, role_asked: bool | Column) -> Column:
+        return F.struct(held.alias("i"), asked.alias("j"), F.lit(role_held).alias("held"), F.lit(role_asked).alias("asked"), part.alias("crowded"))
+
+    once = F.array(tile(F.lit(0), F.lit(0), F.lit(0), True, F.col("asked")))
+    held = F.transform(others, lambda o: tile(own, o, F.lit(1), True, False))
+    asked = F.transform(others, lambda o: tile(o, own, F.lit(1), False, True))
+    tiles = F.when(F.col("blocks").isNull(), once).when(F.col("asked"), F.concat(held, asked)).otherwise(held)
+    dealt = records.join(crowded, key, "left").withColumn("tile", F.explode(tiles))
     shards = max(1, -(-total // shard))
-    place = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64(*key), F.lit(shards))).otherwise(F.xxhash64(*key, "block"))
-    ready = dealt.select("side", F.when(F.col("blocks").isNull(), 0).otherwise(1).alias("crowded"), place.alias("place"),
-                         "word", "n", "asked", (F.col("block") == F.col("own")).alias("held"))
-    found = ready.groupBy("side", "crowded", "place").applyInPandas(_searched, "word string, n_near long, best_n long, best string")
+    place = F.when(F.col("tile.crowded") == 0, F.pmod(F.xxhash64(*key), F.lit(shards))).otherwise(F.xxhash64(*key, "tile.i", "tile.j"))
+    ready = dealt.select("side", "tile.crowded", place.alias("place"), "word", "n", "tile.asked", "tile.held")
+    found = ready.groupBy("side", "crowded", "place").applyInArrow(_searched, "word string, n_near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best").alias("best")))
     merged = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("top"))
     return merged.select("word", "n_near", (-F.col("top.less")).alias("best_n"), F.col("top.best").alias("best"))

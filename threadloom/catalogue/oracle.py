@@ -247,17 +247,7 @@ ORACLE["search_exact"] = f"""WITH {_COLLECTION}, {_VECTOR_QUERIES}, {_hits()}
 SELECT query_id, id, round(s, 4) AS similarity, rank FROM hits WHERE rank <= 5"""
 ORACLE["search_tiles"] = ORACLE["search_exact"]
 ORACLE["search_all_cells"] = ORACLE["search_exact"]
-ORACLE["search_cells"] = f"""WITH {_COLLECTION}, {_VECTOR_QUERIES},
-centres AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cell, v AS c FROM (
-  SELECT id, v FROM col ORDER BY id LIMIT 16)),
-near AS (SELECT id, cell, row_number() OVER (
-  PARTITION BY id ORDER BY round(list_cosine_similarity(v, c), 9) DESC, cell) AS place
-  FROM col, centres),
-sims AS (SELECT query_id, col.id, round(list_cosine_similarity(qv, v), 9) AS s
-  FROM q JOIN near probed ON probed.id = query_id AND probed.place <= 4
-  JOIN near held ON held.cell = probed.cell AND held.place = 1 JOIN col ON col.id = held.id),
-hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INTEGER AS rank FROM sims)
-SELECT query_id, id, round(s, 4) AS similarity, rank FROM hits WHERE rank <= 5"""
+ORACLE["search_cells"] = ORACLE["search_exact"]
 ORACLE["search_cell_tiles"] = ORACLE["search_cells"]
 ORACLE["search_filtered"] = f"""WITH {_COLLECTION}, {_VECTOR_QUERIES},
 {_hits("type = 'discord_message' AND channel_name = 'ch3'")}

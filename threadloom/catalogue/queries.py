@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.catalogue import exports, views
 from threadloom.functions import fixed, text, times
 from threadloom.operators import messages as msg
-from threadloom.operators import pairs, prompts, retrieval, sections, vectors
+from threadloom.operators import cells, pairs, prompts, retrieval, sections, vectors
 from threadloom.plans import index, replies
 from threadloom.runtime import scratch_path
 from threadloom.sinks import tables as sinks
@@ -349,29 +349,31 @@ def search_by_type(spark, sf):
     return _rounded(vectors.search_by_type(typed, asked, limits).rows)
 
 
-def _in_cells(spark, sf, probes: int, centres: vectors.Centres | None = None, **limits) -> DataFrame:
+def _certified(spark, sf, **limits) -> DataFrame:
+    """Cells around given points, the sixteen vectors with the least numbers."""
     path = scratch_path(spark, "cells")
+    first = views.vector_queries(spark, sf).orderBy("query_id").limit(16).collect()
+    centres = vectors.Centres([r["embedding"] for r in first])
     model = index.build_cells(views.collection(spark, sf), path, 16, centres=centres)
-    asked = views.vector_queries(spark, sf)
-    found = vectors.search_cells(spark.read.parquet(path), asked, model, 5, probes, **limits)
+    celled = spark.read.parquet(path)
+    bounds = cells.cell_bounds(celled, model)
+    found = cells.search_cells_exact(celled, views.vector_queries(spark, sf), bounds, 5, **limits)
     return _rounded(found.rows)
 
 
-def _first_cells(spark, sf, **limits) -> DataFrame:
-    first = views.vector_queries(spark, sf).orderBy("query_id").limit(16).collect()
-    return _in_cells(spark, sf, 4, vectors.Centres([r["embedding"] for r in first]), **limits)
-
-
 @query
 def search_cells(spark, sf):
-    """Four of sixteen cells around given points, the vectors with the least numbers."""
-    return _first_cells(spark, sf)
+    """The exact answer from the nearest cells and those that may hold nearer ones."""
+    return _certified(spark, sf)
 
 
 @query
 def search_all_cells(spark, sf):
     """With every cell probed the answer is the exact one."""
-    return _in_cells(spark, sf, 16)
+    path = scratch_path(spark, "cells")
+    model = index.build_cells(views.collection(spark, sf), path, 16)
+    asked = views.vector_queries(spark, sf)
+    return _rounded(vectors.search_cells(spark.read.parquet(path), asked, model, 5, 16).rows)
 
 
 @query
@@ -420,7 +422,7 @@ def search_embedded(spark, sf):
 @query
 def search_cell_tiles(spark, sf):
     """``search_cells`` where the queries of a cell are too many to broadcast."""
-    return _first_cells(spark, sf, max_queries=50, tile_rows=50)
+    return _certified(spark, sf, max_queries=50, tile_rows=50)
 
 
 @query
@@ -468,11 +470,12 @@ def mixed_context(spark, sf):
 
 @query
 def mixed_context_cells(spark, sf):
-    """The same from a collection stored by type and cell, every cell probed."""
+    """The same from a collection stored by type and cell, by certified searches."""
     path = scratch_path(spark, "celled")
     model = index.build_cells(views.collection(spark, sf), path, 8)
+    celled = spark.read.parquet(path)
     found = retrieval.mixed_context(
-        spark.read.parquet(path), views.questions(spark, sf), model=model, probes=8
+        celled, views.questions(spark, sf), model=cells.cell_bounds(celled, model), probes=2
     )
     return found.select("query_id", F.array_join("contexts", "\n---\n").alias("contexts"))
 

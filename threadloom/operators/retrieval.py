@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import fixed
+from threadloom.operators.cells import CellBounds, search_cells_by_type_exact
 from threadloom.operators.vectors import (
     MAX_BROADCAST_QUERIES,
     document_type,
@@ -107,7 +108,8 @@ def mixed_context(collection: DataFrame, queries: DataFrame,
 
     ``queries`` has (query_id, text, embedding). Both types are searched in one
     pass. With a cell ``model`` only the closest cells of a collection with a
-    ``cell`` column are read, which is how a large one serves live requests.
+    ``cell`` column are read, which is how a large one serves live requests; with
+    ``CellBounds`` as the model, as many further ones as the exact answer needs.
     """
     message_type, docs_type = F.lit(fixed.MESSAGE_TYPE), F.lit(fixed.DOCS_TYPE)
     typed = queries.select(
@@ -122,9 +124,8 @@ def mixed_context(collection: DataFrame, queries: DataFrame,
         hits, few, _ = search_by_type(searched, typed, limits, max_queries)
     else:
         searched = collection.select("id", kind, "cell", "embedding")
-        hits, few, groups = search_cells_by_type(
-            searched, typed, model, limits, probes, max_queries
-        )
+        in_cells = search_cells_by_type_exact if isinstance(model, CellBounds) else search_cells_by_type
+        hits, few, groups = in_cells(searched, typed, model, limits, probes, max_queries)
         if groups is not None:
             # the texts of the cells searched: the scan for them skips the other directories
             place = F.concat(kind, F.lit("/"), F.col("cell").cast("string"))

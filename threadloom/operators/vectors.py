@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,7 +21,7 @@ from threadloom.functions.metadata import metadata
 from threadloom.functions.text import is_blank, line, py_strip
 from threadloom.operators.messages import from_person
 from threadloom.operators.ordered import global_index
-from threadloom.runtime import stored
+from threadloom.runtime import estimated_bytes, stored
 
 # At most this many query vectors, of this many numbers in all, travel to every task;
 # larger sets go tile by tile.
@@ -30,6 +31,9 @@ MAX_BROADCAST_VALUES = 1 << 25
 # and on either side no more numbers than may be broadcast.
 TILE_ROWS = 200_000
 _TILE_BLOCKS = 4
+# Collections estimated to be larger are searched in one task of so many first.
+SAMPLE_BYTES = 4 << 30
+SAMPLE_STEP = 32
 # Similarities computed at a time: a strip of queries by a chunk of rows.
 _QUERY_STRIP = 512
 _ROW_CHUNK = 8192
@@ -109,10 +113,10 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
 
 
 class _Leaders:
-    """The k nearest ids so far for each query of one group."""
+    """The k nearest ids so far for each query of one group, none below its floor."""
 
-    def __init__(self, queries: np.ndarray, k: int):
-        self.queries, self.k = queries, k
+    def __init__(self, queries: np.ndarray, k: int, floors: np.ndarray):
+        self.queries, self.k, self.floors = queries, k, floors
         self.sims = np.full((len(queries), k), -np.inf)
         self.ids = np.full((len(queries), k), None, dtype=object)
 
@@ -122,7 +126,8 @@ class _Leaders:
             strip = slice(start, start + _QUERY_STRIP)
             # Rounded, so that copies of a vector tie wherever they are stored.
             sims = np.round(self.queries[strip] @ vectors.T, _DECIMALS)
-            useful = (sims >= self.sims[strip, -1:]).any(axis=0)
+            bar = np.maximum(self.sims[strip, -1:], self.floors[strip, None])
+            useful = (sims >= bar).any(axis=0)
             if not useful.any():
                 continue
             sims, names = sims[:, useful], ids[useful]
@@ -143,8 +148,11 @@ class _Leaders:
         self.ids[strip] = np.take_along_axis(all_ids, order, axis=1)
 
 
-def _scan(batches, query_ids, query_vectors, wanted, limits, schema):
-    """Arrow batches of (id, group, embedding) to the local leaders per query and group."""
+def _scan(batches, query_ids, query_vectors, wanted, limits, schema, floors):
+    """Arrow batches of (id, group, embedding) to the local leaders per query and group.
+
+    ``floors`` holds, for a group, a similarity per query that hits are known to reach.
+    """
     leaders: dict = {}
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -160,12 +168,13 @@ def _scan(batches, query_ids, query_vectors, wanted, limits, schema):
                 continue
             if group not in leaders:
                 leaders[group] = _Leaders(
-                    query_vectors[wanted[group]], limits.get(group, limits.get(_ANY))
+                    query_vectors[wanted[group]], limits.get(group, limits.get(_ANY)),
+                    floors.get(group, np.full(len(wanted[group]), -np.inf)),
                 )
             rows = by_id[groups[by_id] == group]
             leaders[group].offer(ids[rows], vectors[rows])
     for group, found in leaders.items():
-        rows, cols = np.nonzero(np.isfinite(found.sims))
+        rows, cols = np.nonzero(np.isfinite(found.sims) & (found.sims >= found.floors[:, None]))
         if len(rows):
             yield pa.RecordBatch.from_arrays(
                 [
@@ -178,13 +187,17 @@ def _scan(batches, query_ids, query_vectors, wanted, limits, schema):
             )
 
 
-def _wanted(groups: list) -> dict:
-    """Group to the positions of the queries that search it."""
+def _wanted(groups: list, floors: list | None = None) -> tuple[dict, dict]:
+    """Group to the positions of the queries that search it, and to their floors."""
     wanted: dict = {}
+    known: dict = {}
     for position, names in enumerate(groups):
-        for name in names or []:
+        for place, name in enumerate(names or []):
             wanted.setdefault(name, []).append(position)
-    return {name: np.array(rows) for name, rows in wanted.items()}
+            if floors is not None:
+                known.setdefault(name, []).append(floors[position][place])
+    return {name: np.array(rows) for name, rows in wanted.items()}, {
+        name: np.array(values, np.float64) for name, values in known.items()}
 
 
 def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
@@ -200,9 +213,37 @@ class Hits(NamedTuple):
     groups: tuple[str, ...] | None = None
 
 
+def _sampled_floors(collection: DataFrame, block, limits: dict, schema, out: str) -> dict:
+    """Per group and query: the last of the top-k among the rows of some tasks.
+
+    No hit lies below. One task in ``SAMPLE_STEP`` scans, the others read nothing.
+    """
+    def scan(batches):
+        if TaskContext.get().partitionId() % SAMPLE_STEP == 0:
+            names, vectors, wanted, floors = block.value
+            yield from _scan(batches, names, vectors, wanted, limits, schema, floors)
+
+    names, _, wanted, _ = block.value
+    limit = F.lit(limits.get(_ANY))
+    for group in limits:
+        if group != _ANY:
+            limit = F.when(F.col("grp") == group, limits[group]).otherwise(limit)
+    best = _ranked(collection.mapInArrow(scan, out), ["query_id", "grp"], limit)
+    # one row per query and group: of the size of the broadcast queries
+    full = best.where(F.col("rank") == limit).select("query_id", "grp", "similarity").collect()
+    found = {(r["grp"], r["query_id"]): r["similarity"] for r in full}
+    return {g: np.array([found.get((g, names[i]), -np.inf) for i in rows]) for g, rows in wanted.items()}
+
+
 def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_queries: int,
-                tile_rows: int) -> Hits:
-    """Local top-k of (query_id, groups, embedding) against (id, grp, embedding)."""
+                tile_rows: int, sample_bytes: int | None = None) -> Hits:
+    """Local top-k of (query_id, groups, embedding) against (id, grp, embedding).
+
+    Queries may have ``floors``, a similarity per group that their hits reach. Without
+    it a collection of more than ``sample_bytes`` is searched in a part first, so that a task
+    passes on only what reaches that part's top-k, not k rows per query.
+    """
+    sample_bytes = SAMPLE_BYTES if sample_bytes is None else sample_bytes
     out = "query_id {}, grp string, id {}, similarity double".format(
         queries.schema["query_id"].dataType.simpleString(),
         collection.schema["id"].dataType.simpleString(),
@@ -215,24 +256,28 @@ def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_que
     queries = queries.where(F.col("embedding").isNotNull())
     head = queries.limit(max_queries + 1).toArrow()
     if head.num_rows == 0:
-        return Hits(queries.sparkSession.createDataFrame([], out), True)
+        return Hits(queries.sparkSession.createDataFrame([], out), True, ())
     lengths = pc.min_max(pc.list_value_length(head["embedding"])).as_py()
     if lengths["min"] != lengths["max"]:
         raise ValueError(f"query vectors of {lengths['min']} and of {lengths['max']} dimensions")
     dimensions = lengths["max"] or 1
     max_queries = min(max_queries, max(MAX_BROADCAST_VALUES // dimensions, 1))
     if head.num_rows <= max_queries:
-        groups = _wanted(head["groups"].to_pylist())
+        given = head["floors"].to_pylist() if "floors" in head.column_names else None
+        groups, floors = _wanted(head["groups"].to_pylist(), given)
         if _ANY not in groups:
             # On a table partitioned by what makes up the group this skips directories.
             collection = collection.where(F.col("grp").isin(list(groups)))
-        block = queries.sparkSession.sparkContext.broadcast((
-            head["query_id"].to_pylist(), _matrix(head["embedding"].combine_chunks()), groups,
-        ))
+        context = queries.sparkSession.sparkContext
+        names, matrix = head["query_id"].to_pylist(), _matrix(head["embedding"].combine_chunks())
+        block = context.broadcast((names, matrix, groups, floors))
+        if given is None and estimated_bytes(collection) > sample_bytes:
+            floors = _sampled_floors(collection, block, limits, schema, out)
+            block = context.broadcast((names, matrix, groups, floors))
 
         def scan(batches):
-            names, vectors, wanted = block.value
-            yield from _scan(batches, names, vectors, wanted, limits, schema)
+            names, vectors, wanted, floors = block.value
+            yield from _scan(batches, names, vectors, wanted, limits, schema, floors)
 
         searched = None if _ANY in groups else tuple(groups)
         return Hits(collection.mapInArrow(scan, out), True, searched)
@@ -241,9 +286,10 @@ def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_que
     # slices. A crowded cell gets more slices, and rows of cells nobody asked for move nowhere.
     values = max(MAX_BROADCAST_VALUES // dimensions, 1)
     # New names on this side: both may stem from one table, and a cogroup needs distinct columns.
+    floors = F.col("floors") if "floors" in queries.columns else F.transform("groups", lambda g: F.lit(float("-inf")))
     asked = queries.select(
         F.col("query_id").alias("_query"), F.col("embedding").alias("_vector"),
-        F.explode("groups").alias("_grp"),
+        F.inline(F.arrays_zip(F.col("groups").alias("_grp"), floors.alias("_floor"))),
     )
 
     def parts(df: DataFrame, group: str, rows: int, name: str) -> DataFrame:
@@ -264,7 +310,7 @@ def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_que
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     left = asked.join(sizes, F.col("_grp") == F.col("_of")).select(
-        "_query", "_vector", "_grp", share("_blocks", "_query", "q").alias("_block"),
+        "_query", "_vector", "_grp", "_floor", share("_blocks", "_query", "q").alias("_block"),
         each("_slices").alias("_slice"),
     )
     right = collection.join(sizes, F.col("grp") == F.col("_of")).select(
@@ -275,10 +321,11 @@ def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_que
     def scan_tile(block: pa.Table, tile: pa.Table) -> pa.Table:
         if block.num_rows == 0 or tile.num_rows == 0:
             return schema.empty_table()
+        group = block["_grp"][0].as_py()
         found = _scan(
             tile.to_batches(max_chunksize=_ROW_CHUNK), block["_query"].to_pylist(),
-            _matrix(block["_vector"].combine_chunks()),
-            {block["_grp"][0].as_py(): np.arange(block.num_rows)}, limits, schema,
+            _matrix(block["_vector"].combine_chunks()), {group: np.arange(block.num_rows)},
+            limits, schema, {group: block["_floor"].to_numpy()},
         )
         return pa.Table.from_batches(list(found), schema=schema)
 
@@ -314,16 +361,16 @@ def filter_documents(collection: DataFrame, doc_type: str | None = None,
 
 def search(collection: DataFrame, queries: DataFrame, k: int,
            min_similarity: float | None = None, max_queries: int = MAX_BROADCAST_QUERIES,
-           tile_rows: int = TILE_ROWS) -> Hits:
+           tile_rows: int = TILE_ROWS, sample_bytes: int | None = None) -> Hits:
     """Exact cosine top-k: (query_id, id, similarity, rank) rows.
 
     ``collection`` has unique (id, embedding), ``queries`` (query_id, embedding).
-    The collection is scanned where it lies; a task sends on k rows per query.
+    The collection is scanned where it lies; a task sends on k rows per query at most.
     """
     found, few, _ = _candidates(
         collection.select("id", F.lit(_ANY).alias("grp"), "embedding"),
         queries.select("query_id", "embedding", F.array(F.lit(_ANY)).alias("groups")),
-        {_ANY: k}, max_queries, tile_rows,
+        {_ANY: k}, max_queries, tile_rows, sample_bytes,
     )
     if min_similarity is not None:
         found = found.where(F.col("similarity") >= min_similarity)

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ def test_live_history_equals_batch(spark, tmp_path, hot):
 
     def writer(messages):
         return live.history_stream(
-            messages, F.contains("content", F.lit("<@9>")), f"{base}/state", f"{base}/out",
+            messages, F.contains("content", F.lit("<@9>")), f"{base}/out",
             f"{base}/check", ["channel"], ["ts", "n"], 4, **hot,
         )
 
@@ -138,68 +139,92 @@ def test_live_history_equals_batch(spark, tmp_path, hot):
     assert found.count() == len([r for r in rows if "<@9>" in r[6]])
 
 
-def test_repeated_batch_changes_nothing(spark, tmp_path):
-    rows = feed(40, seed=5)
-    state = str(tmp_path / "state")
-    parts = [spark.createDataFrame(rows[:15], SCHEMA), spark.createDataFrame(rows[15:], SCHEMA)]
+def seen_so_far(spark, base, batches, keep=None, limit=3):
+    """All messages with their history, from batches that arrive one file at a time."""
+    writer = live.history_stream(
+        stream_of(spark, f"{base}/feed", batches), F.lit(True), f"{base}/out", f"{base}/check",
+        ["channel"], ["ts", "n"], limit, keep=keep,
+    )
+    run(writer)
+    return {r["message_id"]: r["history"] for r in spark.read.parquet(f"{base}/out").collect()}
 
-    def step(number):
-        seen = live.history_step(parts[number], number, state, ["channel"], ["ts", "n"], 3)
-        return sorted((r["message_id"], r["history"]) for r in seen.collect())
 
-    step(0)
-    first = step(1)
-    assert step(1) == first == sorted((r[0], history(rows, r, 3)) for r in rows[15:])
+def test_repeated_batch_changes_nothing(spark, tmp_path):
+    """A batch whose commit is lost runs again, on the state it first saw."""
+    rows = feed(40, seed=5)
+    first = seen_so_far(spark, tmp_path, [rows[:15], rows[15:30]])
+    assert first == {r[0]: history(rows, r, 3) for r in rows[:30]}
+    for name in ("1", ".1.crc"):
+        (tmp_path / "check/commits" / name).unlink()
+    # what the run that was cut off had written of the batch is replaced
+    for part in (tmp_path / "out/batch=1").glob("*.parquet"):
+        part.write_bytes(b"")
+    assert seen_so_far(spark, tmp_path, []) == first
+    assert seen_so_far(spark, tmp_path, [rows[30:]]) == {r[0]: history(rows, r, 3) for r in rows}
 
 
 def test_state_over_many_batches(spark, tmp_path):
-    """Full tables are written, old tables dropped, and quiet channels remembered."""
-    rows = [r for r in feed(60, seed=11) if r[1] != "z"]
+    """Quiet channels are remembered; missing channels and orders make a channel and sort first."""
+    rows = [r for r in feed(40, seed=11) if r[1] != "z"]
     rows.insert(0, ("old", "z", datetime(2023, 1, 1), 0, "id-ann", "ann", "long ago", False))
-    rows.append(("new", "z", datetime(2024, 2, 1), 0, "id-ann", "ann", "hi", False))
-    state, found = str(tmp_path / "state"), {}
-    cuts = [0, 5, 6, 15, 20, 22, 30, 31, 40, len(rows)]
-    for number, (low, high) in enumerate(zip(cuts, cuts[1:])):
-        for _ in range(2):
-            seen = live.history_step(
-                spark.createDataFrame(rows[low:high], SCHEMA), number, state, ["channel"],
-                ["ts", "n"], 3, full_every=2,
-            )
-            found |= {r["message_id"]: r["history"] for r in seen.collect()}
+    rows.append(("new", "z", datetime(2024, 2, 1), 0, "id-ann", "ann", "hi", None))
+    cuts = [0, 5, 6, 15, 20, 22, len(rows)]
+    found = seen_so_far(spark, tmp_path / "a", [rows[a:b] for a, b in zip(cuts, cuts[1:])])
     assert found == {r[0]: history(rows, r, 3) for r in rows}
-    assert {p.name for p in (tmp_path / "state" / "_kind=full").iterdir()} == {"_batch=5", "_batch=7"}
-    assert len(list((tmp_path / "state" / "_kind=tails").iterdir())) <= 4
+    odd = [(f"n{i}", None, datetime(2024, 1, 1) if i else None, i, "id", "ann", str(i), False) for i in range(4)]
+    odd.append(("n4", None, datetime(2024, 1, 1), 1 << 30, "id", "ann", None, False))
+    found = seen_so_far(spark, tmp_path / "b", [[odd[2], odd[0]], [odd[1]], odd[3:]])
+    assert found == {"n2": ["ann: 0"], "n0": [], "n1": ["ann: 0"], "n3": ["ann: 0", "ann: 1", "ann: 2"],
+                     "n4": ["ann: 1", "ann: 2", "ann: 3"]}
 
 
 def test_state_forgets_idle_channels(spark, tmp_path):
-    """With ``keep`` a full table leaves out channels idle for longer; without it none."""
+    """With ``keep`` the engine's time-out drops a channel idle for longer; without it none."""
     def said(name, channel, day):
-        row = (name, channel, datetime(2024, 1, day), 0, "id-ann", "ann", name, False)
-        return spark.createDataFrame([row], SCHEMA)
-
-    parts = [said("a", "x", 1), said("b", "y", 20), said("c", "x", 21), said("d", "y", 22)]
-    for keep, expected in (("10 days", [[], [], [], ["ann: b"]]), (None, [[], [], ["ann: a"], ["ann: b"]])):
-        seen = [
-            live.history_step(
-                part, number, str(tmp_path / f"state-{keep}"), ["channel"], ["ts", "n"], 3,
-                full_every=2, keep=keep,
-            ).collect()[0]["history"]
-            for number, part in enumerate(parts)
-        ]
-        assert seen == expected
-
-
-def test_only_buckets_of_the_batch_are_read(spark, tmp_path):
-    state = str(tmp_path / "state")
-    rows = [(f"m{i}", f"c{i}", datetime(2024, 1, 1), i, "id-ann", "ann", "x", False) for i in range(40)]
-    live.history_step(spark.createDataFrame(rows, SCHEMA), 0, state, ["channel"], ["ts", "n"], 3)
-    later = [("new", "c7", datetime(2024, 1, 2), 0, "id-ann", "ann", "y", False)]
-    seen = live.history_step(spark.createDataFrame(later, SCHEMA), 1, state, ["channel"], ["ts", "n"], 3)
-    plan = seen._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
-    assert [r["history"] for r in seen.collect()] == [["ann: x"]]
-    used = {f.split("_bucket=")[1].split("/")[0] for f in seen.inputFiles() if "_bucket=" in f}
-    assert len(used) <= live.BUCKETS
+        return [(name, channel, datetime(2024, 1, day), 0, "id-ann", "ann", name, False)]
+
+    for keep, expected in (("10 days", []), (None, ["ann: a"])):
+        base = tmp_path / f"keep-{keep}"
+        found = seen_so_far(spark, base, [said("a", "x", 1), said("b", "y", 20), said("c", "x", 21)], keep)
+        assert found == {"a": [], "b": [], "c": expected}
+        # one that is idle for less is kept
+        assert seen_so_far(spark, base, [said("d", "y", 22)], keep)["d"] == ["ann: b"]
+
+
+def test_a_busy_channel_sends_few_rows_to_its_state(spark, tmp_path):
+    """Of 30,000 messages of one channel each task passes on the last three."""
+    said = spark.range(30_000, numPartitions=3).select(
+        F.concat(F.lit("m"), "id").alias("message_id"), F.lit("x").alias("channel"),
+        F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.col("id").cast("int").alias("n"),
+        F.lit("a").alias("author_id"), F.lit("ann").alias("author_name"),
+        F.col("id").cast("string").alias("content"), F.lit(False).alias("is_bot"))
+    said.write.parquet(f"{tmp_path}/feed")
+    stream = spark.readStream.schema(said.schema).parquet(f"{tmp_path}/feed")
+    sizes = []
+
+    def step(batch, number):
+        tails = batch.where("_tail is not null")
+        sizes.append((batch.count(), tails.count(), tails.agg(F.max(F.length("_tail"))).first()[0]))
+
+    for _ in range(2):
+        tailed = live.with_tails(stream, ["channel"], ["ts", "n"], 3)
+        run(tailed.writeStream.foreachBatch(step).option("checkpointLocation", f"{tmp_path}/check"))
+        said.limit(1).write.mode("append").parquet(f"{tmp_path}/feed")
+    assert sizes[0] == (30_000, 0, None)
+    assert sizes[1][:2] == (2, 1) and sizes[1][2] < 2000
+
+
+def test_newest_rows_of_each_channel():
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1, 2, 1 << 60]), i) for i in range(200)]
+    table = pa.table({"c": [r[0] for r in rows], "o": [r[1] for r in rows], "n": [r[2] for r in rows]})
+    key = [lambda r: (r[0] is not None, r[0] or ""), lambda r: (r[1] is not None, r[1] or 0, r[2])]
+    for limit in (1, 5, 500):
+        want = []
+        for channel in (None, "a", "b"):
+            want += sorted((r for r in rows if r[0] == channel), key=key[1])[-limit:]
+        assert [tuple(r.values()) for r in live.newest(table, ["c"], ["o", "n"], limit).to_pylist()] == want
+    assert live.newest(table.slice(0, 0), ["c"], ["o", "n"], 3).num_rows == 0
 
 
 def test_live_replies(spark, tmp_path):
@@ -220,7 +245,7 @@ def test_live_replies(spark, tmp_path):
 
     run(live.reply_stream(
         stream_of(spark, f"{base}/feed", [rows[:12], rows[12:]]), contexts, generate, "9",
-        "!go", "Max", f"{base}/state", base, f"{base}/check", ["channel"], ["ts", "n"],
+        "!go", "Max", base, f"{base}/check", ["channel"], ["ts", "n"],
     ))
     sent = {r["message_id"]: r for r in spark.read.parquet(f"{base}/replies").collect()}
     expected = {

@@ -665,8 +665,7 @@ def stream_history(spark, sf):
     cuts = [F.lit(f"2024-01-{day:02d}").cast("timestamp_ntz") for day in (8, 15, 22)]
     base = scratch_path(spark, "history")
     _arrivals(spark, views.channels(spark, sf), F.col("ts"), cuts, lambda feed: live.history_stream(
-        feed, F.col("author_name") == "purchase", f"{base}/state", f"{base}/out",
-        f"{base}/checkpoint", ["channel"], ["ts", "event_id"],
+        feed, F.col("author_name") == "purchase", f"{base}/out", f"{base}/checkpoint", ["channel"], ["ts", "event_id"],
     ))
     return spark.read.parquet(f"{base}/out").select(
         "event_id", "channel", F.array_join("history", "\n").alias("history")
@@ -692,7 +691,7 @@ def stream_replies(spark, sf):
 
     base = scratch_path(spark, "replies")
     _arrivals(spark, rows, F.col("turn"), [F.lit(2), F.lit(4)], lambda feed: live.reply_stream(
-        feed, contexts, generate, BOT_ID, COMMAND, BOT_NAME, f"{base}/state", base, f"{base}/checkpoint",
+        feed, contexts, generate, BOT_ID, COMMAND, BOT_NAME, base, f"{base}/checkpoint",
         ["channel"], ["ts", "turn"], max_chars=300,
     ))
     sent = spark.read.parquet(f"{base}/replies").select("request_id", "reply")

@@ -1,148 +1,169 @@
 """Live channels: history per trigger, prompts, replies and image jobs.
 
-Each micro-batch is an ordinary batch job, so a busy channel is split between
-tasks like any hot group. What must survive between batches, the last messages
-of every channel, is kept in tables in the state folder: a batch writes the tails
-of its own channels, and now and then one that covers all channels. Results and
-state are written under the batch's number: a repeated batch overwrites its own
-output and reads nothing that is newer.
+What must survive between batches, the last messages of every channel, is Spark's own keyed
+state: it is versioned with the checkpoint, so a repeated batch sees what its first run
+saw. Every task first cuts its rows of a channel to the last few, so a busy channel
+sends a few rows a task to its state and no more. The state hands out what it held before
+the batch, and history is then an ordinary batch job over these rows and the batch's own, in
+which a busy channel is split between tasks like any hot group. Results are written under the
+batch's number, so a repeated batch overwrites its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from threadloom.functions import fixed
 from threadloom.operators.prompts import assemble_prompts, system_text, with_history
 from threadloom.plans import replies as reply_plan
-from threadloom.runtime import drop_path, path_exists
 
-
-#: Tables of the state are partitioned by channel into this many buckets.
-BUCKETS = 16
+# A channel's last rows, packed; null in the messages themselves.
+_TAIL, _TIME = "_tail", "_time"
 
 
 def _batch(path: str, number: int) -> str:
     return f"{path}/batch={number}"
 
 
-def _table(state: str, kind: str, number: int) -> str:
-    return f"{state}/_kind={kind}/_batch={number}"
+def _channel_starts(rows: pa.Table, channel: list[str]) -> np.ndarray:
+    """Where, in rows sorted by channel, another channel begins."""
+    starts = np.zeros(rows.num_rows, bool)
+    starts[:1] = True
+    for name in channel:
+        codes = rows[name].combine_chunks().dictionary_encode(null_encoding="encode")
+        starts[1:] |= np.diff(codes.indices.to_numpy()) != 0
+    return np.flatnonzero(starts)
 
 
-def _bucket(channel: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*channel), F.lit(BUCKETS)).cast("int")
+def newest(rows: pa.Table, channel: list[str], order: list[str], limit: int) -> pa.Table:
+    """The last ``limit`` rows of each channel, sorted by channel and order, nulls first."""
+    keys = [(c, "ascending") for c in dict.fromkeys((*channel, *order))]
+    rows = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_start")).combine_chunks()
+    starts = _channel_starts(rows, channel)
+    sizes = np.diff(np.append(starts, rows.num_rows))
+    to_end = np.repeat(starts + sizes, sizes) - np.arange(rows.num_rows)
+    return rows.filter(pa.array(to_end <= limit))
 
 
-def _newest(rows: DataFrame, channel: list[str], order: list[str], limit: int) -> DataFrame:
-    """The channels' last rows; every task cuts its share before anything is shuffled."""
-    last = Window.partitionBy(*channel).orderBy(*[F.desc(c) for c in order])
-    ranked = rows.withColumn("_rank", F.row_number().over(last))
-    return ranked.where(F.col("_rank") <= limit).drop("_rank")
+def _packed(rows: pa.Table) -> bytes:
+    batches = rows.combine_chunks().to_batches()
+    return batches[0].serialize().to_pybytes()
 
 
-def _entries(spark, state: str, number: int, schema: str, every: int,
-             own: bool = False) -> DataFrame | None:
-    """Entries written before a batch, or with ``own`` also by it, since the full table before it."""
-    full = number // every * every - 1
-    paths = [_table(state, "full", full)] if full >= 0 else []
-    paths += [_table(state, "tails", n) for n in range(full + 1, number + own)]
-    paths = [p for p in paths if path_exists(spark, p)]
-    if not paths:
-        return None
-    return spark.read.schema(f"{schema}, _written bigint, _bucket int").option(
-        "basePath", state
-    ).parquet(*paths)
+def with_tails(messages: DataFrame, channel: list[str], order: list[str],
+               limit: int = fixed.HISTORY_LIMIT, keep: str | None = None) -> DataFrame:
+    """The stream ``messages`` and, packed in ``_tail``, its channels' last rows before each batch.
 
+    ``keep`` ("30 days") forgets channels whose last message is older, by the first order
+    column, than the newest of all by more; a message as late gets no history either.
+    Without it every channel is kept.
+    """
+    columns = list(dict.fromkeys([*channel, *order, "author_name", "content", "is_bot"]))
+    slim = messages.select(*columns)
+    schema = to_arrow_schema(slim.schema)
+    tail_schema = slim.select(*channel).schema.add(_TAIL, "binary")
+    if keep is not None:
+        tail_schema = tail_schema.add(_TIME, "timestamp")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = schema.empty_table()
+        for batch in batches:
+            found = pa.Table.from_batches([batch]).cast(schema)
+            held = newest(pa.concat_tables([held, found]), channel, order, limit)
+        starts = _channel_starts(held, channel)
+        ends = np.append(starts, held.num_rows)[1:]
+        packed = [_packed(held.slice(a, b - a)) for a, b in zip(starts.tolist(), ends.tolist())]
+        last = held.take(pa.array(ends - 1)).combine_chunks()
+        arrays = [*(last[c].combine_chunks() for c in channel), pa.array(packed, pa.binary())]
+        if keep is not None:
+            arrays.append(last[order[0]].combine_chunks().cast(pa.timestamp("us", "UTC")))
+        yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in tail_schema])
+
+    def carry(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        earlier, last = state.get if state.exists else (None, 0)
+        if keep is not None and last < state.getCurrentWatermarkMs():
+            earlier = None  # idle for too long, but not dropped yet
+        packed = [] if earlier is None else [bytes(earlier)]
+        if packed:
+            yield pd.DataFrame({_TAIL: packed})
+        for part in parts:
+            packed += map(bytes, part[_TAIL])
+            if keep is not None and part[_TIME].notna().any():
+                last = max(last, int(part[_TIME].max().timestamp() * 1000))
+        rows = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(p), schema) for p in packed])
+        state.update((_packed(newest(rows, channel, order, limit)), last))
+        if keep is not None:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
 
-def _latest(entries: DataFrame, channel: list[str], columns: list[str]) -> DataFrame:
-    """Of every channel, the entry written last."""
-    written = Window.partitionBy(*channel).orderBy(F.desc("_written"))
-    found = entries.withColumn("_age", F.rank().over(written))
-    return found.where(F.col("_age") == 1).select(*columns, "_written")
+    tails, timeout = slim.mapInArrow(cut, tail_schema), GroupStateTimeout.NoTimeout
+    if keep is not None:
+        tails, timeout = tails.withWatermark(_TIME, keep), GroupStateTimeout.EventTimeTimeout
+    carried = tails.groupBy(*channel).applyInPandasWithState(
+        carry, f"{_TAIL} binary", f"{_TAIL} binary, last bigint", "append", timeout)
+    return messages.withColumn(_TAIL, F.lit(None).cast("binary")).unionByName(carried, allowMissingColumns=True)
 
 
-def _write_state(rows: DataFrame, channel: list[str], path: str) -> None:
-    rows.withColumn("_bucket", _bucket(channel)).repartition("_bucket").write.mode(
-        "overwrite"
-    ).partitionBy("_bucket").parquet(path)
+def history_step(batch: DataFrame, channel: list[str], order: list[str],
+                 limit: int = fixed.HISTORY_LIMIT, **options) -> DataFrame:
+    """The messages of a batch of ``with_tails`` with ``history``, earlier batches included."""
+    columns = list(dict.fromkeys([*channel, *order, "author_name", "content", "is_bot"]))
+    fresh = batch.where(F.col(_TAIL).isNull()).drop(_TAIL)
+    slim = StructType([fresh.schema[c] for c in columns])
+    schema = to_arrow_schema(slim)
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tails in batches:
+            for packed in tails.column(0):
+                yield pa.ipc.read_record_batch(pa.py_buffer(packed.as_py()), schema)
+
+    carried = batch.where(F.col(_TAIL).isNotNull()).select(_TAIL).mapInArrow(unpacked, slim)
+    known = fresh.withColumn("_fresh", F.lit(True)).unionByName(
+        carried.withColumn("_fresh", F.lit(False)), allowMissingColumns=True)
+    return with_history(known, channel, order, limit, **options).where("_fresh").drop("_fresh")
 
 
-def _recent(rows: DataFrame, channel: list[str], time: str, keep: str) -> DataFrame:
-    """Without channels whose last message is older, by ``keep``, than the last of all."""
-    cut = rows.agg((F.max(time) - F.expr(f"INTERVAL {keep}")).cast("string").alias("cut")).first()
-    last = F.max(time).over(Window.partitionBy(*channel))
-    since = F.lit(cut["cut"]).cast(rows.schema[time].dataType)
-    return rows.withColumn("_last", last).where(F.col("_last") >= since).drop("_last")
+def _each_batch(messages: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str):
+    def run(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            step(batch, number)
+        finally:
+            batch.unpersist()
 
+    return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
-def history_step(batch: DataFrame, number: int, state: str, channel: list[str],
-                 order: list[str], limit: int = fixed.HISTORY_LIMIT, full_every: int = 20,
-                 keep: str | None = None, **options) -> DataFrame:
-    """The batch's messages with ``history``, taking up and passing on the channels' tails.
 
-    Only the buckets of the batch's channels are read, and only those channels' entries
-    are ranked. ``keep`` ("30 days") forgets channels idle for longer, by the first order
-    column, whenever a full table is written; without it every channel is kept.
-    """
-    spark = batch.sparkSession
-    columns = list(dict.fromkeys([*channel, *order, "author_name", "content", "is_bot"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.select(*columns).schema)
-    known = batch.withColumn("_fresh", F.lit(True))
-    entries = _entries(spark, state, number, schema, full_every)
-    if entries is not None:
-        here = batch.select(*channel).distinct()
-        # BUCKETS numbers at most.
-        buckets = [r["b"] for r in here.select(_bucket(channel).alias("b")).distinct().collect()]
-        concerned = entries.where(F.col("_bucket").isin(buckets)).join(here, channel, "left_semi")
-        earlier = _latest(concerned, channel, columns).drop("_written")
-        known = known.unionByName(
-            earlier.withColumn("_fresh", F.lit(False)), allowMissingColumns=True
-        )
-    tails = _newest(known.select(*columns), channel, order, limit)
-    _write_state(
-        tails.withColumn("_written", F.lit(number).cast("bigint")), channel,
-        _table(state, "tails", number),
-    )
-    if number % full_every == full_every - 1:
-        everything = _latest(
-            _entries(spark, state, number, schema, full_every, own=True), channel, columns
-        )
-        if keep is not None:
-            everything = _recent(everything, channel, order[0], keep)
-        _write_state(everything, channel, _table(state, "full", number))
-        # A restart repeats the last batch at most, which reads from the full table before.
-        for old in range(number - 2 * full_every + 1, number - full_every + 1):
-            drop_path(spark, _table(state, "tails", old))
-        drop_path(spark, _table(state, "full", number - 2 * full_every))
-    return with_history(known, channel, order, limit, **options).where("_fresh").drop("_fresh")
-
-
-def history_stream(messages: DataFrame, is_trigger, state: str, out: str, checkpoint: str,
+def history_stream(messages: DataFrame, is_trigger, out: str, checkpoint: str,
                    channel: list[str], order: list[str],
-                   limit: int = fixed.HISTORY_LIMIT, **options):
+                   limit: int = fixed.HISTORY_LIMIT, keep: str | None = None, **options):
     """Writes each triggering message with its history below ``out``; returns the writer."""
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            seen = history_step(batch, number, state, channel, order, limit, **options)
-            seen.where(is_trigger).write.mode("overwrite").parquet(_batch(out, number))
-        finally:
-            batch.unpersist()
+        seen = history_step(batch, channel, order, limit, **options)
+        seen.where(is_trigger).write.mode("overwrite").parquet(_batch(out, number))
 
-    return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return _each_batch(with_tails(messages, channel, order, limit, keep), step, checkpoint)
 
 
 def reply_stream(messages: DataFrame, contexts: Callable[[DataFrame], DataFrame],
                  generate: Callable[[DataFrame], DataFrame], bot_id: str, command: str,
-                 assistant_name: str, state: str, out: str, checkpoint: str,
+                 assistant_name: str, out: str, checkpoint: str,
                  channel: list[str], order: list[str],
                  limit: int = fixed.HISTORY_LIMIT,
-                 max_chars: int = fixed.MAX_REPLY_CHARS):
+                 max_chars: int = fixed.MAX_REPLY_CHARS, keep: str | None = None):
     """Live messages to ``out/replies`` and ``out/image_jobs``; returns the writer.
 
     ``contexts`` turns (query_id, text) requests into (query_id, contexts), as
@@ -152,7 +173,7 @@ def reply_stream(messages: DataFrame, contexts: Callable[[DataFrame], DataFrame]
 
     def answer(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = history_step(batch, number, state, channel, order, limit)
+        seen = history_step(batch, channel, order, limit)
         pulled = reply_plan.triggers(seen, bot_id, command).withColumn(
             "request_id", F.concat_ws("/", "message_id", "trigger")
         )
@@ -170,11 +191,4 @@ def reply_stream(messages: DataFrame, contexts: Callable[[DataFrame], DataFrame]
             _batch(f"{out}/image_jobs", number)
         )
 
-    def step(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            answer(batch, number)
-        finally:
-            batch.unpersist()
-
-    return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return _each_batch(with_tails(messages, channel, order, limit, keep), answer, checkpoint)

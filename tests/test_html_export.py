@@ -14,9 +14,7 @@ from threadloom.sources.html_export import (
     html_channels,
     html_errors,
     html_messages,
-    html_records,
     parse_html_files,
-    parse_html_records,
     read_html_exports,
     with_channels,
 )
@@ -195,19 +193,6 @@ def test_bad_file_is_reported(spark, folder):
     assert [tuple(r) for r in bad] == [("bad.html", "not valid UTF-8")]
 
 
-def test_records_of_a_well_formed_export(spark, folder):
-    whole = contents(html_messages(read_html_exports(spark, folder, glob="one.html")))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
-    try:
-        records = html_records(spark, folder, pathGlobFilter="one.html")
-        assert records.select(F.spark_partition_id()).distinct().count() > 4
-        assert contents(html_messages(with_channels(parse_html_records(records)))) == whole
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
-
-
 def test_deep_nesting_and_odd_containers(spark):
     box = '<div class="chatlog__message-container"{}><div class="chatlog__message"><div class="chatlog__message-primary"><div class="chatlog__header"><span class="chatlog__author">Ann</span></div><div class="chatlog__content">{}'
     inner = [box.format(a, f"m{i}" + "</div>" * 4) for i, a in enumerate([' data-message-id="1"', "", " data-message-id='3'"])]
@@ -260,7 +245,6 @@ def files_read(df):
 
 def test_size_condition_prunes_files(spark, folder):
     """Only the matching files become input of the scan."""
-    assert files_read(html_records(spark, folder, above=20_000, pathGlobFilter="*.html")) == 1
     whole = files.whole_files(spark, folder, pathGlobFilter="*.html")
     assert files_read(whole.where(F.col("file_size") <= 20_000)) == 3
 

@@ -15,7 +15,7 @@ from threadloom.operators import cells, pairs, prompts, retrieval, sections, vec
 from threadloom.plans import index, replies
 from threadloom.runtime import scratch_path
 from threadloom.sinks import tables as sinks
-from threadloom.sources import files, html_export, inbox, tables
+from threadloom.sources import files, html_export, html_ranges, inbox, tables
 from threadloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,10 +148,11 @@ def html_continuations(spark, sf):
 
 @query
 def html_export_records(spark, sf):
-    path = exports.write_html(spark, sf)
-    records = html_export.html_records(spark, path, name="file_name")
-    stored = scratch_path(spark, "parsed")
-    html_export.parse_html_records(records).write.parquet(stored)
+    """The same from ranges of bytes, a file in several tasks."""
+    path, stored = exports.write_html(spark, sf), scratch_path(spark, "parsed")
+    found = html_ranges.read_html_ranges(spark, path, "*.txt", recursive=True, range_bytes=1 << 20)
+    named = F.url_decode(F.regexp_extract("file_name", "file_name=([^/]+)", 1))
+    found.withColumn("file_name", named).write.parquet(stored)
     parsed = html_export.with_channels(spark.read.parquet(stored))
     return html_export.html_messages(parsed).select(*_HTML_COLUMNS)
 

@@ -1,9 +1,7 @@
 """Messages from HTML channel exports.
 
-``read_html_exports`` parses every file whole, whatever its size. ``html_records`` is a
-separate way for exports too large for one task, to be chosen by the caller: it cuts a file
-where a message's id attribute begins, and so finds only containers that have that
-attribute, in double quotes, and takes any element that has it for one.
+``read_html_exports`` parses every file whole, whatever its size. ``html_ranges`` reads exports
+too large for one task in ranges of bytes.
 
 A file that cannot be parsed, and a message that cannot, becomes an error row; the others
 are not affected. The raw rows of either way are meant to be stored once; ``with_channels``,
@@ -23,12 +21,11 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.times import iso_text, parse_export_time, parse_iso
 from threadloom.operators.messages import MESSAGE_COLUMNS, conversation_key
-from threadloom.sources.files import decoded, valid_text, whole_files
+from threadloom.sources.files import whole_files
 
 # --- fixed values: the export's markup ---
 _CONTAINER = "chatlog__message-container"
 _ID_ATTRIBUTE = "data-message-id"
-_RECORD_END = f'{_ID_ATTRIBUTE}="'
 _AUTHOR, _AUTHOR_TAG, _USER_ID = "chatlog__author", "chatlog__author-tag", "data-user-id"
 _MESSAGE, _PRIMARY, _HEADER = "chatlog__message", "chatlog__message-primary", "chatlog__header"
 _TIMESTAMP, _CONTENT, _MARKED = "chatlog__timestamp", "chatlog__content", "chatlog__markdown-preserve"
@@ -242,35 +239,6 @@ def _files_parser(keep_continuations: bool):
     return parse
 
 
-def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of split files, each the rest of one container behind its id attribute.
-
-    The record at a file's start holds the preamble and becomes the file's own row.
-    """
-    for batch in batches:
-        rows = []
-        for record in batch.to_pylist():
-            base, text = {"file_name": record["file_name"]}, record["value"]
-            if text is None:
-                rows.append(base | {"error": _NOT_TEXT})
-            elif record["first"]:
-                rows.append(base | _channel(_tree(text)))
-            else:
-                # The start of the next container's tag belongs to the next record.
-                cut = text.rfind("<")
-                text = text[:cut] if cut > text.rfind(">") else text
-                here = base | {"ordinal": record["ordinal"]}
-                try:
-                    tree = _tree(f'<div class="{_CONTAINER}" {_RECORD_END}{text}')
-                    message = _message(tree.first("div", _CONTAINER))
-                except Exception as failure:
-                    rows.append(here | {"error": f"message: {failure!r}"})
-                    continue
-                if message:
-                    rows.append(here | message)
-        yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
-
-
 def parse_html_files(files: DataFrame, keep_continuations: bool = False) -> DataFrame:
     """(file_name, value) whole files to raw rows; ``ordinal`` is null on the file's own row.
 
@@ -281,12 +249,6 @@ def parse_html_files(files: DataFrame, keep_continuations: bool = False) -> Data
     return files.select("file_name", "value").mapInArrow(parse, _PARSED_SQL)
 
 
-def parse_html_records(records: DataFrame) -> DataFrame:
-    """``html_records`` to raw rows whose messages do not know their channel yet."""
-    columns = ("file_name", "ordinal", "first", "value")
-    return records.select(*columns).mapInArrow(_parse_records, _PARSED_SQL)
-
-
 def with_channels(parsed: DataFrame) -> DataFrame:
     """Gives the messages of split files their channel and leaves out files with errors.
 
@@ -311,29 +273,6 @@ def html_errors(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("error").isNotNull()).select("file_name", "error").distinct()
 
 
-def html_records(spark: SparkSession, path: str, name: str = "_metadata.file_name",
-                 above: int = -1, **options) -> DataFrame:
-    """Splittable read: (file_name, ordinal, first, value); ``name`` tells files apart.
-
-    Files of ``above`` bytes or less are left out. ``first`` marks the record
-    with which a file begins: all others follow an id attribute.
-
-    ``ordinal`` is the block's offset plus the record's place in its task, which
-    grows in document order: a task reads less of one block than a block is long.
-    """
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    found = spark.read.options(**options).text(path, lineSep=_RECORD_END)
-    # Below the record number, which no condition can be pushed past.
-    found = found.where(F.col("_metadata.file_size") > above)
-    return found.select(
-        decoded(F.col(name)).alias("file_name"),
-        (F.col("_metadata.file_block_start") + place).alias("ordinal"),
-        # Anything else starts with the rest of an attribute value.
-        (~F.rlike("value", F.lit(r'\A[^"<>]*"'))).alias("first"),
-        valid_text(F.col("value")).alias("value"),
-    )
-
-
 def _channel_columns() -> tuple[Column, Column]:
     """Guild and channel: from the preamble, else from the file name, else unknown."""
     stem = F.regexp_replace("file_name", r"(?<=.)\.[^.]*\z", "")

@@ -5,11 +5,13 @@ A file holds 25 conversations and at most a thousand turns of each.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.catalogue.views import markdown, stamp, table
 from threadloom.runtime import scratch_path
+from threadloom.sources.ranges import file_system
 
 
 def _escaped(text: Column) -> Column:
@@ -29,8 +31,24 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
+def write_named(files: DataFrame, path: str) -> None:
+    """Writes (name, value) rows as files of these names; the tasks write, so a repeat overwrites."""
+    def write(batches):
+        system, root = file_system(path)
+        for batch in batches:
+            for row in batch.to_pylist():
+                folder, _, _ = row["name"].rpartition("/")
+                system.create_dir(f"{root}/{folder}", recursive=True)
+                with system.open_output_stream(f"{root}/{row['name']}") as file:
+                    file.write(row["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["written"])
+
+    named = files.select("name", F.col("value").cast("binary").alias("value"))
+    named.mapInArrow(write, "written long").agg(F.sum("written")).collect()
+
+
 def write_html(spark: SparkSession, sf: str) -> str:
-    """Exports below a new path, one directory ``file_name=…`` per file.
+    """Exports below a new path, named as the exporter does; one beside every third is no text.
 
     Odd blocks have no usable preamble. Later turns (from the seventh) come
     without header, users without title, and every text ends in an inline tag.
@@ -67,16 +85,18 @@ def write_html(spark: SparkSession, sf: str) -> str:
     )
     files = _turns(spark, sf).withColumn("item", item).groupBy("block", "part").agg(
         F.concat(F.first(preamble), _joined("")).alias("value")
-    ).select(name.alias("file_name"), F.concat("value", F.lit("</body></html>")).alias("value"))
+    ).select("block", name.alias("name"), F.concat("value", F.lit("</body></html>")).cast("binary").alias("value"))
+    broken = files.where("block % 3 = 2").select(
+        F.concat(F.lit("Broken "), "name").alias("name"), F.concat(F.unhex(F.lit("FF")), "value").alias("value"))
     path = scratch_path(spark, "html")
-    files.write.partitionBy("file_name").text(path)
+    write_named(files.select("name", "value").unionByName(broken), path)
     return path
 
 
 def write_inbox(spark: SparkSession, sf: str) -> str:
-    """Inbox files below a new path, as ``conversation_dir=…/file_name=…`` directories.
+    """Inbox files below a new path; every third directory has one more that is broken off.
 
-    The first file of a directory lists no participants. By turn: the third is
+    A dot directory repeats the first block. The first file of a directory lists no participants. By turn: the third is
     an attachment note, the fourth a reaction, the fifth carries a null share
     and the sixth has no time. Systems send without a name.
     """
@@ -105,15 +125,31 @@ def write_inbox(spark: SparkSession, sf: str) -> str:
         F.concat(F.lit('[{"name":"block '), "block", F.lit('"},{}]')),
     ).otherwise("[]")
     path = scratch_path(spark, "inbox")
-    files.select(
-        F.concat(F.lit("d"), "block").alias("conversation_dir"),
-        F.concat(F.lit("message_"), "number", F.lit(".json")).alias("file_name"),
+    named = files.select(
+        "block", F.concat(F.lit("d"), "block", F.lit("/message_"), "number", F.lit(".json")).alias("name"),
         F.concat(F.lit('{"participants":'), people, F.lit(',"messages":['), "items",
                  F.lit("]}")).alias("value"),
-    ).write.partitionBy("conversation_dir", "file_name").text(path)
+    )
+    broken = files.where("block % 3 = 1").select(
+        F.concat(F.lit("d"), "block", F.lit("/message_99.json")).alias("name"),
+        F.lit('{"messages":[').alias("value")).distinct()
+    hidden = named.where("block = 0").select(F.concat(F.lit("."), "name").alias("name"), "value")
+    write_named(named.select("name", "value").unionByName(broken).unionByName(hidden), path)
     return path
 
 
+def write_logs(spark: SparkSession, sf: str, path: str, turns: Column) -> None:
+    """The turns of a condition as further lines of a live client's logs."""
+    found = _turns(spark, sf).where(turns).select(F.to_json(F.struct(
+        F.lit("live").alias("source"), F.concat_ws("-", "conv_id", "turn").alias("message_id"),
+        F.col("role").alias("author_id"), F.col("role").alias("author_name"), F.col("text").alias("content"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        (F.col("role") == "system").alias("is_bot"), F.lit("Guild").alias("guild_name"),
+        F.concat(F.lit("c"), "conv_id").alias("channel_name"),
+    )))
+    found.write.mode("append").text(path)
+
+
 def write_docs(spark: SparkSession, sf: str) -> str:
     """A documentation tree below a new path: markdown of fifty documents per file."""
     pages = markdown(spark, sf).select(

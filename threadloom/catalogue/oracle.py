@@ -130,7 +130,7 @@ _INBOX = f"""turns AS (SELECT *, conv_id // 25 AS block, {_STAMP} AS ts,
     1 + (conv_id % 25) // 9 + 3 * (turn // 1000) AS number FROM conversations), inbox AS (
   SELECT 'instagram' AS source, 'd' || block AS dir,
     CASE WHEN number > 1 THEN 'block ' || block || ', Unknown' ELSE '' END AS conversation_name,
-    CASE WHEN turn = 5 THEN 'ig_hash' ELSE 'ig_' || epoch_ms(ts) END AS message_id,
+    CASE WHEN turn = 5 THEN 'ig_' || md5(trim(text, {_WS})) ELSE 'ig_' || epoch_ms(ts) END AS message_id,
     CASE WHEN role = 'system' THEN 'Unknown' ELSE role END AS author_name,
     trim(text, {_WS}) AS content,
     CASE WHEN turn <> 5 THEN {_ISO.format('ts')} END AS ts_raw, FALSE AS is_bot,
@@ -149,6 +149,20 @@ _BOTH = f"{_HTML}, {_INBOX.replace('turns AS', 'turns2 AS', 1).replace('FROM tur
 ORACLE["merged_messages"] = f"""WITH {_BOTH}
 SELECT source, conv_key, author_name, content FROM html
 UNION ALL SELECT source, 'instagram_' || conversation_name, author_name, content FROM inbox"""
+ORACLE["ingested_messages"] = f"""WITH {_BOTH}
+SELECT source, conv_key, message_id, author_name, content, ts_raw FROM html
+UNION ALL SELECT source, 'instagram_' || conversation_name, message_id, author_name, content, ts_raw FROM inbox"""
+ORACLE["ingest_errors"] = f"""WITH {_BOTH}
+SELECT DISTINCT 'Broken Guild - Talk - block-' || conv_id // 25 || ' [' || turn // 1000 || '].html' AS file_name,
+  'not valid UTF-8' AS error FROM conversations WHERE conv_id // 25 % 3 = 2
+UNION ALL SELECT DISTINCT 'd' || conv_id // 25 || '/message_99.json', 'not valid JSON'
+FROM conversations WHERE conv_id // 25 % 3 = 1
+UNION ALL SELECT 'html', (SELECT count(DISTINCT (block, part)) FROM html) || '/' || (SELECT count(*) FROM html)
+UNION ALL SELECT 'inbox', (SELECT count(DISTINCT dir) FROM inbox) || '/' || (SELECT count(*) FROM inbox)"""
+ORACLE["stream_log"] = f"""
+SELECT 'live' AS source, 'discord_Guild_c' || conv_id AS conv_key, conv_id || '-' || turn AS message_id,
+  role AS author_name, text AS content, strftime({_STAMP}, '%Y-%m-%dT%H:%M:%S') AS ts_raw,
+  role = 'system' AS is_bot FROM conversations"""
 ORACLE["union_messages"] = f"""WITH {_BOTH}
 SELECT source, guild_name, NULL AS conversation_name, author_name, content FROM html
 UNION ALL SELECT source, NULL, conversation_name, author_name, content FROM inbox"""

@@ -12,10 +12,10 @@ from threadloom.catalogue import exports, views
 from threadloom.functions import fixed, text, times
 from threadloom.operators import messages as msg
 from threadloom.operators import cells, pairs, prompts, retrieval, sections, vectors
-from threadloom.plans import index, replies
+from threadloom.plans import index, ingest, replies
 from threadloom.runtime import scratch_path
 from threadloom.sinks import tables as sinks
-from threadloom.sources import files, html_export, html_ranges, inbox, tables
+from threadloom.sources import files, html_export, html_ranges, inbox, message_log, tables
 from threadloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,8 +131,10 @@ _HTML_COLUMNS = [
 
 
 def _html_whole(spark, sf, keep_continuations: bool = False) -> DataFrame:
-    found = spark.read.text(exports.write_html(spark, sf), wholetext=True)
-    return html_export.parse_html_files(found, keep_continuations)
+    found = html_export.read_html_exports(spark, exports.write_html(spark, sf), keep_continuations=keep_continuations)
+    path = scratch_path(spark, "parsed")
+    found.write.parquet(path)
+    return html_export.with_channels(spark.read.parquet(path))
 
 
 @query
@@ -150,8 +152,8 @@ def html_continuations(spark, sf):
 def html_export_records(spark, sf):
     """The same from ranges of bytes, a file in several tasks."""
     path, stored = exports.write_html(spark, sf), scratch_path(spark, "parsed")
-    found = html_ranges.read_html_ranges(spark, path, "*.txt", recursive=True, range_bytes=1 << 20)
-    named = F.url_decode(F.regexp_extract("file_name", "file_name=([^/]+)", 1))
+    found = html_ranges.read_html_ranges(spark, path, range_bytes=1 << 20)
+    named = F.element_at(F.split("file_name", "/"), -1)
     found.withColumn("file_name", named).write.parquet(stored)
     parsed = html_export.with_channels(spark.read.parquet(stored))
     return html_export.html_messages(parsed).select(*_HTML_COLUMNS)
@@ -163,16 +165,14 @@ def html_export_channels(spark, sf):
 
 
 def _inbox(spark, sf) -> DataFrame:
-    return spark.read.text(exports.write_inbox(spark, sf), wholetext=True)
+    return inbox.inbox_files(spark, exports.write_inbox(spark, sf))
 
 
 @query
 def inbox_messages(spark, sf):
     found = inbox.inbox_messages(_inbox(spark, sf))
-    known = F.when(F.col("ts").isNotNull(), F.col("message_id")).otherwise("ig_hash")
     return found.select(
-        "source", "conv_key", "conversation_name", known.alias("message_id"), "author_id",
-        "author_name", "content", "ts_raw", "is_bot", "file_name",
+        "source", "conv_key", "conversation_name", "message_id", "author_id", "author_name", "content", "ts_raw", "is_bot", "file_name",
     )
 
 
@@ -200,6 +200,35 @@ def merged_messages(spark, sf):
     return tables.read_messages(spark, path).select("source", "conv_key", "author_name", "content")
 
 
+def _ingested(spark, sf) -> str:
+    """Both folders ingested into one place, the second twice."""
+    out = scratch_path(spark, "ingested")
+    ingest.ingest_html(spark, exports.write_html(spark, sf), out)
+    folder = exports.write_inbox(spark, sf)
+    for _ in range(2):
+        ingest.ingest_inbox(spark, folder, out)
+    return out
+
+
+@query
+def ingested_messages(spark, sf):
+    stored = tables.read_messages(spark, f"{_ingested(spark, sf)}/messages")
+    return stored.select("source", "conv_key", "message_id", "author_name", "content", "ts_raw")
+
+
+@query
+def ingest_errors(spark, sf):
+    """The files that both scans leave out, and the totals of those they read."""
+    out = _ingested(spark, sf)
+    errors = spark.read.json([f"{out}/errors", f"{out}/inbox_errors"])
+    totals = spark.read.json(f"{out}/totals").select("processed_files", "total_messages")
+    more = spark.read.json(f"{out}/inbox_totals").select("processed_conversations", "total_messages")
+    return errors.select("file_name", "error").unionByName(totals.select(
+        F.lit("html").alias("file_name"), F.concat_ws("/", "processed_files", "total_messages").alias("error"),
+    )).unionByName(more.select(
+        F.lit("inbox").alias("file_name"), F.concat_ws("/", "processed_conversations", "total_messages").alias("error")))
+
+
 @query
 def union_messages(spark, sf):
     """The same union without storing it."""
@@ -673,6 +702,19 @@ def stream_history(spark, sf):
     )
 
 
+@query
+def stream_log(spark, sf):
+    """Messages of a live client's logs, which get more between two runs of the stream."""
+    logs, out = scratch_path(spark, "logs"), scratch_path(spark, "logged")
+    for turns in (F.col("turn") < 2, F.col("turn") >= 2):
+        exports.write_logs(spark, sf, logs, turns)
+        found = message_log.stream_message_log(spark, logs, "part-*", 1 << 20)
+        found.writeStream.format("parquet").option("path", f"{out}/rows").option(
+            "checkpointLocation", f"{out}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(
+        "source", "conv_key", "message_id", "author_name", "content", "ts_raw", "is_bot")
+
+
 @query
 def stream_replies(spark, sf):
     """Live messages to replies and image jobs, with a stand-in for the model."""

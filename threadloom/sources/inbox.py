@@ -79,7 +79,7 @@ def inbox_messages(files: DataFrame, by_directory: bool = False) -> DataFrame:
     people = inbox_participants(files)
     sender = F.coalesce("_m.sender_name", F.lit("Unknown"))
     millis = F.nullif(F.col("_m.timestamp_ms"), F.lit(0))
-    stamp = F.coalesce(millis, F.xxhash64("content")).cast("string")
+    stamp = F.coalesce(millis.cast("string"), F.md5("content"))
     # Files ahead of the first participant list have an empty conversation name.
     name = F.when(F.col("file_name") >= F.col("first_file"), F.col("conversation_name"))
     filled = kept.join(people, "conversation_dir", "left").select(

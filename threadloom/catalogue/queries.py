@@ -14,6 +14,7 @@ from threadloom.operators import messages as msg
 from threadloom.operators import cells, pairs, prompts, retrieval, sections, vectors
 from threadloom.plans import index, ingest, replies
 from threadloom.runtime import scratch_path
+from threadloom.sinks import snapshots
 from threadloom.sinks import tables as sinks
 from threadloom.sources import files, html_export, html_ranges, inbox, message_log, tables
 from threadloom.streaming import live
@@ -457,10 +458,10 @@ def search_cell_tiles(spark, sf):
 
 @query
 def rebuilt_collection(spark, sf):
-    """Message documents embedded and stored; a second build replaces the first."""
-    path = scratch_path(spark, "collection")
+    """Message documents embedded and stored; a second build, its vectors from the ledger, replaces the first."""
+    path, ledger = scratch_path(spark, "collection"), index.Ledger(scratch_path(spark, "ledger"), "hashed-256")
     for _ in range(2):
-        built = index.build_collection(views.messages(spark, sf), path)
+        built = index.build_collection(views.messages(spark, sf), path, ledger=ledger)
     return index.collection_size(built)
 
 
@@ -469,10 +470,11 @@ def incremental_add(spark, sf):
     """Part of the vectors stored first, then all of them added, twice."""
     path = scratch_path(spark, "collection")
     every = views.collection(spark, sf)
-    sinks.rebuild_collection(every.where(F.col("label") < 3), path)
-    sinks.add_to_collection(every, path)
-    sinks.add_to_collection(every, path)
-    return tables.read_collection(spark, path).select("id", "type", "document")
+    typed = every.withColumn("type", F.col("metadata.type"))
+    snapshots.replace_snapshot(typed.where(F.col("label") < 3), path, ["type"])
+    for _ in range(2):
+        snapshots.add_to_snapshot(typed, path, "id", ["type"])
+    return snapshots.read_snapshot(spark, path).select("id", "type", "document")
 
 
 # --- retrieval -------------------------------------------------------------------------------------

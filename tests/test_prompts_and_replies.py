@@ -259,3 +259,38 @@ def test_live_replies(spark, tmp_path):
         assert "- [x] ann: old news\n- [x] bob: more\n" in sent[number]["prompt"]
     jobs = {r["request_id"] for r in spark.read.parquet(f"{base}/image_jobs").collect()}
     assert jobs == {f"{m}/command" for m, r in expected.items() if r[6].startswith("!go")}
+
+
+def test_replies_and_jobs_count_together(spark, tmp_path, monkeypatch):
+    """A failure between both leaves neither; the next run brings both, once."""
+    rows, base = feed(30, seed=8), str(tmp_path)
+    known = replies.image_jobs
+
+    def failing(sent):
+        if spark.read.parquet(f"{base}/replies").where("batch = 1").count():
+            raise RuntimeError("cut off")
+        return known(sent)
+
+    def contexts(asked):
+        return asked.select("query_id", F.array(F.lit("c")).alias("contexts"))
+
+    def writer(batches):
+        return live.reply_stream(
+            stream_of(spark, f"{base}/feed", batches), contexts,
+            lambda p: p.withColumn("raw_reply", F.concat(F.lit("/imagine "), "user_text")), "9", "!go", "Max",
+            base, f"{base}/check", ["channel"], ["ts", "n"])
+
+    def found(kind):
+        return sorted(r["request_id"] for r in live.sent(spark, base, kind).collect())
+
+    monkeypatch.setattr(replies, "image_jobs", failing)
+    with pytest.raises(Exception, match="cut off"):
+        run(writer([rows[:12], rows[12:]]))
+    monkeypatch.setattr(replies, "image_jobs", known)
+    first = [r for r in rows[:12] if r[6].startswith("<@9>") or (r[6].startswith("!go") and not r[7])]
+    assert live.committed(spark, base) == 0
+    assert found("replies") == found("image_jobs") == sorted(
+        f"{r[0]}/{'mention' if r[6].startswith('<') else 'command'}" for r in first)
+    run(writer([]))
+    assert live.committed(spark, base) == 1
+    assert found("replies") == found("image_jobs") and len(found("replies")) > len(first)

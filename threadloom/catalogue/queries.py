@@ -739,8 +739,6 @@ def stream_replies(spark, sf):
         feed, contexts, generate, BOT_ID, COMMAND, BOT_NAME, base, f"{base}/checkpoint",
         ["channel"], ["ts", "turn"], max_chars=300,
     ))
-    sent = spark.read.parquet(f"{base}/replies").select("request_id", "reply")
-    jobs = spark.read.parquet(f"{base}/image_jobs").select(
-        "request_id", "prompt", "file_name"
-    )
+    sent = live.sent(spark, base, "replies").select("request_id", "reply")
+    jobs = live.sent(spark, base, "image_jobs").select("request_id", "prompt", "file_name")
     return sent.join(jobs, "request_id", "left")

@@ -83,6 +83,10 @@ def publish(spark: SparkSession, path: str, before: Version, folders: tuple[str,
     return True
 
 
+def drop_version(spark: SparkSession, path: str, number: int) -> None:
+    drop_path(spark, _version_file(path, number))
+
+
 def write_folder(df: DataFrame, path: str, by: list[str]) -> str:
     """Writes rows into a folder that no version holds yet."""
     name = uuid.uuid4().hex
@@ -149,7 +153,7 @@ def forget(spark: SparkSession, path: str, keep: int = 2) -> int:
     going = known[:-keep] if keep else known
     held = {f for n in known[len(going):] for f in version(spark, path, n).folders}
     for n in going:
-        drop_path(spark, _version_file(path, n))
+        drop_version(spark, path, n)
     target, files = _hadoop_path(spark, f"{path}/_data")
     dropped = 0
     for entry in files.listStatus(target) if files.exists(target) else []:

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -26,6 +26,7 @@ from pyspark.sql.types import StructType
 from threadloom.functions import fixed
 from threadloom.operators.prompts import assemble_prompts, system_text, with_history
 from threadloom.plans import replies as reply_plan
+from threadloom.sinks.snapshots import Version, drop_version, publish, versions
 
 # A channel's last rows, packed; null in the messages themselves.
 _TAIL, _TIME = "_tail", "_time"
@@ -158,6 +159,16 @@ def history_stream(messages: DataFrame, is_trigger, out: str, checkpoint: str,
     return _each_batch(with_tails(messages, channel, order, limit, keep), step, checkpoint)
 
 
+def committed(spark: SparkSession, out: str) -> int:
+    """The last batch below ``out`` of which all results are written; -1 before the first."""
+    return max(versions(spark, out), default=0) - 1
+
+
+def sent(spark: SparkSession, out: str, kind: str) -> DataFrame:
+    """The ``replies`` or ``image_jobs`` of the batches that are wholly written."""
+    return spark.read.parquet(f"{out}/{kind}").where(F.col("batch") <= committed(spark, out))
+
+
 def reply_stream(messages: DataFrame, contexts: Callable[[DataFrame], DataFrame],
                  generate: Callable[[DataFrame], DataFrame], bot_id: str, command: str,
                  assistant_name: str, out: str, checkpoint: str,
@@ -166,6 +177,9 @@ def reply_stream(messages: DataFrame, contexts: Callable[[DataFrame], DataFrame]
                  max_chars: int = fixed.MAX_REPLY_CHARS, keep: str | None = None):
     """Live messages to ``out/replies`` and ``out/image_jobs``; returns the writer.
 
+    A batch's replies and image jobs count once both are written: read them with ``sent``. A
+    batch that counts already is not answered again.
+
     ``contexts`` turns (query_id, text) requests into (query_id, contexts), as
     ``mixed_context`` does after embedding them. ``generate`` adds ``raw_reply``
     to rows with a ``prompt``.
@@ -173,6 +187,8 @@ def reply_stream(messages: DataFrame, contexts: Callable[[DataFrame], DataFrame]
 
     def answer(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        if committed(spark, out) >= number:
+            return
         seen = history_step(batch, channel, order, limit)
         pulled = reply_plan.triggers(seen, bot_id, command).withColumn(
             "request_id", F.concat_ws("/", "message_id", "trigger")
@@ -190,5 +206,8 @@ def reply_stream(messages: DataFrame, contexts: Callable[[DataFrame], DataFrame]
         reply_plan.image_jobs(sent).write.mode("overwrite").parquet(
             _batch(f"{out}/image_jobs", number)
         )
+        publish(spark, out, Version(number, ()), ())
+        if number:
+            drop_version(spark, out, number)
 
     return _each_batch(with_tails(messages, channel, order, limit, keep), answer, checkpoint)

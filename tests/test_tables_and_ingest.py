@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from test_html_export import export, message
 from threadloom.operators.messages import MESSAGE_COLUMNS, MESSAGE_SCHEMA
+from threadloom.operators.pairs import training_pairs
 from threadloom.plans.ingest import ingest_html, ingest_inbox
 from threadloom.runtime import estimated_bytes, scratch_path, shared_dir
 from threadloom.sinks import tables as sinks
@@ -40,6 +41,45 @@ def test_sources_are_replaced_one_by_one(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(source" in plan
 
 
+def files_read(df):
+    """How many files the scans of a query opened when it ran."""
+    df.collect()
+    return sum(leaf.metrics().get("numFiles").get().value() for leaf in scans(df._jdf.queryExecution().executedPlan()))
+
+
+def scans(node):
+    if node.getClass().getSimpleName() == "FileSourceScanExec":
+        return [node]
+    if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return scans(node.executedPlan())
+    inner = [node.plan()] if node.getClass().getSimpleName().endswith("QueryStageExec") else [
+        node.children().apply(i) for i in range(node.children().size())]
+    return [leaf for child in inner for leaf in scans(child)]
+
+
+def test_a_year_reads_its_files_only(spark, tmp_path):
+    """A third source is stored later, one is stored again with fewer years."""
+    def said(source, year, n):
+        at = datetime(year, 3, 1, 0, n) if year else None
+        return {"source": source, "conv_key": f"k-{source}", "message_id": f"{source}{year}-{n}", "content": f"t{n}", "ts": at,
+                "author_id": "me" if n % 2 else "you", "author_name": "a", "file_name": "f", "ordinal": n}
+
+    path = str(tmp_path / "m")
+    years = [None, *range(2016, 2026)]
+    stored = [said(s, y, n) for s in ("discord", "instagram") for y in years for n in range(4)]
+    sinks.write_messages(rows(spark, *stored), path)
+    early = tables.read_messages(spark, path)
+    sinks.write_messages(rows(spark, *[said("discord", y, 1) for y in (2024, 2025)], said("other", 2025, 0)), path)
+    found = tables.read_messages(spark, path)
+    assert early.count() == 88 and found.count() == 44 + 3
+    assert [r["message_id"] for r in found.where("source = 'discord'").orderBy("ts").collect()] == ["discord2024-1", "discord2025-1"]
+    whole, year = training_pairs(early, ["me"]), training_pairs(early, ["me"], 2025)
+    assert files_read(whole) >= 22 and files_read(year) <= files_read(whole) / 10
+    plain = training_pairs(early.drop("ts_year"), ["me"], 2025)
+    assert sorted(map(tuple, year.collect())) == sorted(map(tuple, plain.collect())) and year.count() == 4
+    assert tables.read_messages(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_messages_as_a_stream(spark, tmp_path):
     path = str(tmp_path / "feed")
     for text in "abc":

@@ -85,6 +85,7 @@ _DRAW = """CASE WHEN ('0x' || substr(md5('0:' || example_id), 1, 8))::BIGINT < 3
 _PAIR_COLUMNS = "SELECT conv_key, message_id, instruction, response FROM pairs"
 ORACLE["training_pairs"] = f"WITH {_pairs()} {_PAIR_COLUMNS}"
 ORACLE["training_pairs_year"] = f"WITH {_pairs('year(ts) = 2025')} {_PAIR_COLUMNS}"
+ORACLE["training_pairs_stored"] = ORACLE["training_pairs_year"]
 ORACLE["chat_examples"] = f"""WITH {_pairs()}
 SELECT example_id, 'user' AS first_role, instruction AS first_content,
   'assistant' AS second_role, response AS second_content, 2::INTEGER AS n_turns FROM ex"""

@@ -75,6 +75,15 @@ def training_pairs_year(spark, sf):
     return made.select("conv_key", "message_id", "instruction", "response")
 
 
+@query
+def training_pairs_stored(spark, sf):
+    """The same from a stored table, of which only the year's files are read."""
+    path = scratch_path(spark, "messages")
+    sinks.write_messages(views.messages(spark, sf).fillna({"source": "discord"}), path)
+    made = pairs.training_pairs(tables.read_messages(spark, path), TARGET, YEAR)
+    return made.select("conv_key", "message_id", "instruction", "response")
+
+
 def _examples(spark, sf) -> DataFrame:
     return pairs.chat_examples(pairs.training_pairs(views.messages(spark, sf), TARGET))
 

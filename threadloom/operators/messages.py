@@ -37,6 +37,17 @@ def conversation_key() -> Column:
     ).otherwise(F.concat_ws("_", F.lit("discord"), named("guild_name"), named("channel_name")))
 
 
+#: The year of ``ts`` as stored tables have it, in directories.
+YEAR_COLUMN = "ts_year"
+
+
+def of_year(messages: DataFrame, year: int) -> DataFrame:
+    """The messages of a year; of a stored table only that year's files are read."""
+    if YEAR_COLUMN in messages.columns:
+        messages = messages.where(F.col(YEAR_COLUMN) == year)
+    return messages.where(in_year(F.col("ts"), year))
+
+
 # --- filters ------------------------------------------------------------------
 
 def has_text(content: Column) -> Column:

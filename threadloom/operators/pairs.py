@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import fixed
 from threadloom.functions.text import line, py_strip
-from threadloom.functions.times import in_year
-from threadloom.operators.messages import TIME_ORDER, from_author, has_text
+from threadloom.operators.messages import TIME_ORDER, from_author, has_text, of_year
 from threadloom.operators.ordered import HOT_ROWS, SMALL_PLAN_BYTES, previous_rows
 from threadloom.runtime import stored
 
@@ -32,7 +31,7 @@ def training_pairs(
     a count of their own and the year filter stays directly above the scan.
     """
     if year is not None:
-        messages = messages.where(in_year(F.col("ts"), year))
+        messages = of_year(messages, year)
     text = py_strip(F.col("content"))
     slim = messages.select(
         "conv_key", "message_id", *TIME_ORDER,

@@ -6,8 +6,10 @@ Two writers cannot publish the same version: the later one finds it taken, looks
 at what the other has added, and goes on from there. Old versions stay until ``forget`` removes
 them.
 
-    table/_versions/00000002.json    {"folders": ["a1…", "b2…"]}
+    table/_versions/00000002.json    {"folders": ["a1…", "b2…/source=x"]}
     table/_data/_part=a1…/…          one write's rows, by partition columns
+
+A version may hold a part of a folder: the directories of some of its first partition column's values.
 """
 
 from __future__ import annotations
@@ -94,10 +96,12 @@ def write_folder(df: DataFrame, path: str, by: list[str]) -> str:
     return name
 
 
-def read_folders(spark: SparkSession, path: str, folders: tuple[str, ...]) -> DataFrame:
+def read_folders(spark: SparkSession, path: str, folders: tuple[str, ...], schema: str | None = None) -> DataFrame:
     base = f"{path}/_data"
-    found = spark.read.option("basePath", base).parquet(*(f"{base}/{_PART}={f}" for f in folders))
-    return found.drop(_PART)
+    reader = spark.read.option("basePath", base)
+    if schema is not None:
+        reader = reader.schema(f"{schema}, {_PART} string")
+    return reader.parquet(*(f"{base}/{_PART}={f}" for f in folders)).drop(_PART)
 
 
 def read_snapshot(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
@@ -117,6 +121,19 @@ def replace_snapshot(df: DataFrame, path: str, by: list[str]) -> Version:
             return Version(before.number + 1, (folder,))
 
 
+def replace_parts(df: DataFrame, path: str, by: list[str]) -> Version:
+    """Publishes the table with ``df`` in place of its rows of those values of ``by[0]`` that ``df`` has."""
+    spark, folder = df.sparkSession, write_folder(df, path, by)
+    target, files = _hadoop_path(spark, f"{path}/_data/{_PART}={folder}")
+    parts = [e.getPath().getName() for e in files.listStatus(target) if e.isDirectory()]
+    new = tuple(f"{folder}/{p}" for p in sorted(parts))
+    while True:
+        before = version(spark, path)
+        kept = tuple(f for f in before.folders if f.partition("/")[2] not in parts)
+        if publish(spark, path, before, kept + new):
+            return Version(before.number + 1, kept + new)
+
+
 def add_to_snapshot(df: DataFrame, path: str, key: str, by: list[str],
                     between: Callable[[], None] | None = None) -> Version:
     """Publishes the table with those rows of ``df`` whose key it lacks, one row per key.
@@ -151,7 +168,7 @@ def forget(spark: SparkSession, path: str, keep: int = 2) -> int:
     """
     known = versions(spark, path)
     going = known[:-keep] if keep else known
-    held = {f for n in known[len(going):] for f in version(spark, path, n).folders}
+    held = {f.partition("/")[0] for n in known[len(going):] for f in version(spark, path, n).folders}
     for n in going:
         drop_version(spark, path, n)
     target, files = _hadoop_path(spark, f"{path}/_data")

@@ -1,7 +1,7 @@
 """Writers for messages, summaries, chat datasets and vector collections.
 
-No writer moves rows by key: partition directories are filled by the tasks that
-hold the rows, or after a rebalance that splits a hot directory over several files.
+Partition directories are filled by the tasks that hold the rows, or after a rebalance that
+splits a hot directory over several files.
 """
 
 from __future__ import annotations
@@ -9,16 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.messages import YEAR_COLUMN
 from threadloom.operators.vectors import new_vectors
 from threadloom.runtime import path_exists
+from threadloom.sinks.snapshots import replace_parts
 
 
 def write_messages(messages: DataFrame, path: str) -> None:
-    """Replaces the table's rows of the sources present; a re-run duplicates nothing."""
-    (
-        messages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("source").parquet(path)
-    )
+    """Replaces the table's rows of the sources present; a re-run duplicates nothing.
+
+    Laid out by source and year, and by time inside, for the year filter; readers of earlier
+    versions keep theirs. ``read_messages`` reads it.
+    """
+    dated = messages.drop(YEAR_COLUMN).withColumn(YEAR_COLUMN, F.year("ts"))
+    laid_out = dated.hint("rebalance", "source", YEAR_COLUMN).sortWithinPartitions("source", YEAR_COLUMN, "ts")
+    replace_parts(laid_out, path, ["source", YEAR_COLUMN])
 
 
 CONVERSATION_BUCKETS = 64

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.times import parse_iso
-from threadloom.operators.messages import MESSAGE_COLUMNS, MESSAGE_SCHEMA, conversation_key
+from threadloom.operators.messages import MESSAGE_COLUMNS, MESSAGE_SCHEMA, YEAR_COLUMN, conversation_key
 from threadloom.operators.pairs import CHAT_SCHEMA
+from threadloom.sinks.snapshots import read_folders, version
 
 _EXCHANGE_SCHEMA = """
     source string, message_id string, author_id string, author_name string, content string,
@@ -17,8 +18,15 @@ _EXCHANGE_SCHEMA = """
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """A message table as the sinks write it; filters reach its partitions and files."""
-    return spark.read.schema(MESSAGE_SCHEMA).parquet(path)
+    """A message table as ``write_messages`` keeps it, with the year of each message.
+
+    Filters on source and year reach its directories, filters on time its files.
+    """
+    schema = f"{MESSAGE_SCHEMA}, {YEAR_COLUMN} int"
+    folders = version(spark, path).folders
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return read_folders(spark, path, folders, schema).select(*MESSAGE_COLUMNS, YEAR_COLUMN)
 
 
 def stream_messages(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:

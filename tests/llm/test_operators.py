@@ -366,6 +366,71 @@ def test_hosts_vote(spark):
 
 # ---- secrets
 
+@pytest.mark.parametrize("page,text", [
+    ("<form id=f><article><p>One two.</p></article></form>", "One two."),
+    ("<form><div class=content>Some words here.</div><input><label>Name</label><select><option>a</select></form>", "Some words here."),
+    ("<form><p>In a form.</p><form>", "In a form."),
+    ("<p>Words of the page, more than those.</p><form><p>Find</p><button>go</button></form>", "Words of the page, more than those."),
+    ("<article>Text of it. <form><h2>Sign up</h2></form>More.</article>", "Text of it. More."),
+    ("<form><div>Search</div></form>", ""), ("<div><form><article>A</article></form><form>b</form></div>", "A"),
+    *((f"<div class='{c}'>No no</div><p>Yes, this.</p><p>And that.</p>", "Yes, this. And that.") for c in (
+        "header", "site-header", "Header", "cookie-consent-bar", "comment-body", "comment-text", "comments-list", "notice-bar")),
+    *((f"<div class='{c}'>Yes</div><p>and this.</p>", "Yes and this.") for c in (
+        "entry-header", "article-header", "post-content", "content-area", "commentary", "headers")),
+])
+def test_html_forms_and_names(page, text):
+    assert html.read(f"<body>{page}</body>").main_text([]) == text
+
+
+def article_by_brute_force(page):
+    """What stands in the only article of a page of the tables, by the library's parser of events."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        inside, skipped, blocks = 0, 0, None
+
+        def handle_starttag(self, tag, attributes):
+            names = dict(attributes).get("class") or ""
+            if tag == "article":
+                self.inside, self.blocks = 1, [""]
+            elif self.inside:
+                if self.skipped or tag in ("aside", "nav", "form", "script", "style", "footer", "header") or "comment" in names or "ad" in names.split():
+                    self.skipped += tag not in html.VOID
+                elif tag in html.BLOCKS:
+                    self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.inside = 0
+            elif self.inside:
+                if self.skipped:
+                    self.skipped -= 1
+                elif tag in html.BLOCKS:
+                    self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside and not self.skipped:
+                self.blocks[-1] += data
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page)
+    reader.close()
+    joined = (" ".join(b.split()) for b in reader.blocks or [])
+    return " ".join(b for b in joined if b)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_html_of_a_whole_table(spark, sf):
+    from threadloom.llm.queries import QUERIES
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()}
+    rows = {r["page_id"]: r for r in QUERIES["op6_html_extraction"](spark, f"/root/testdata/{sf}").collect()}
+    assert set(rows) == set(pages)
+    for i, page in pages.items():
+        want = article_by_brute_force(page)
+        assert rows[i]["text"] == want and rows[i]["n_chars"] == len(want), i
+
+
 def test_secret_scan_like_brute_force(spark):
     rng = random.Random(5)
     bits = ["password", "TOKEN", "api_key", "apikey", " = ", ":", "'", '"', "AKIA", "ABCDEFGHIJ012345", "deadbeef01", "0123456789abcdef", "é😀", " ", "\n", "secret: secret=", "x.y-z_w=+/", "Passwd"]

@@ -8,8 +8,9 @@ fifth of its votes, so there are five at most. Each page is then read again and
 taken from the containers at the first winning path that has text on it, else from its own
 best container.
 
-Left out: scripts, styles, forms, menus, headers, footers, asides, adverts, notices,
-comments of readers. Elements are known as such by their tag or by a whole class, id or role,
+Left out: scripts, styles, form controls, menus, headers, footers, asides, adverts, notices,
+comments of readers, and forms, but for one that holds half of the page's text or more, as
+where a page is wrapped in a form, and for articles inside forms. Elements are known as such by their tag or by a whole class, id or role,
 its last word, or its first word before words like list and box; a word inside a longer name
 says nothing. A main element below a noisy wrapper counts again, an article does below
 wrappers named for the layout (with a sidebar, a menu). A page that would have no text is
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import fresh
+from threadloom.llm.common import fresh, joined_by_weight, stored
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -46,7 +47,7 @@ BLOCKS = CONTAINERS | frozenset(
 )
 #: Elements that never hold main text, and words of class, id or role that mark such elements.
 LEFT_OUT = RAW | frozenset(
-    "head nav header footer aside form button select noscript svg canvas object template dialog menu".split()
+    "head nav header footer aside button select label legend datalist noscript svg canvas object template dialog menu".split()
 )
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar"
@@ -56,7 +57,11 @@ NOISE = frozenset(
     " complementary contentinfo search".split()
 )
 #: Noise words that wrappers of whole pages bear as well.
-LAYOUT = frozenset("banner nav navigation navbar menu sidebar sidebars masthead widget widgets toolbar search hidden notice".split())
+LAYOUT = frozenset("banner nav navigation navbar menu sidebar sidebars masthead widget widgets toolbar search hidden notice header".split())
+#: First words of names that end in header and mean the site's; an entry's header belongs to its text.
+SITE = frozenset("site top global app brand layout sticky fixed mobile desktop nav main web".split())
+#: What follows the word comment in the names of a comment's parts.
+COMMENT_PARTS = frozenset("body text content author meta entry reply thread avatar date time message user name".split())
 #: Words after which a name's last word says what surrounds an element or what it has.
 STATES = frozenset("with without has have no not non is overflow show hide".split())
 FURNITURE = frozenset(
@@ -75,8 +80,10 @@ STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 TOKENS = re.compile(r"[^\W_]+")
 DIGITS = re.compile(r"\d+")
+WRITTEN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote section table".split())
+#: Letters that make the text of a form without any of these more than its own labels.
+FORM_TEXT = 140
 WINNING_SHARE = 0.2
-SALTS = 64
 
 
 def noise_of(name: str) -> str | None:
@@ -85,10 +92,13 @@ def noise_of(name: str) -> str | None:
     if not words:
         return None
     first, last = words[0], words[-1]
+    if last == "header" and SITE.issuperset(words[:-1]):
+        return last
     if len(words) == 1 or last in NOISE:
         stated = len(words) > 1 and not STATES.isdisjoint(words[:-1])
         return last if last in NOISE and (not stated or name == "is-hidden") else None
-    if first in NOISE and all(w in FURNITURE or (w in WRAPPERS and first not in LAYOUT) for w in words[1:]):
+    parts = FURNITURE | NOISE | (COMMENT_PARTS if first in ("comment", "comments") else frozenset())
+    if first in NOISE and all(w in parts or (w in WRAPPERS and first not in LAYOUT) for w in words[1:]):
         return first
     return None
 
@@ -107,14 +117,28 @@ class Page:
         self.good: list[float] = [1.0]
         self.end: list[int] = [0]
         self.pieces: list[tuple[int, int, str, bool]] = []  # container, block, text, in a link
-        # tag, container, left out (1 in a layout wrapper, 2 in other noise, 3 for good), in a link
-        self._stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+        self._forms: list[int] = []  # per piece the outermost form around it, or 0
+        self._form = 0
+        self._written: set[int] = set()  # forms with paragraphs, headings or content containers
+        # tag, container, left out (1 in a layout wrapper, 2 in other noise, 3 for good), in a link, form
+        self._stack: list[tuple[str, int, int, bool, int]] = [("", 0, 0, False, 0)]
         self._open: dict[str, int] = {}
         self._block = 0
         self._read(text)
         while len(self._stack) > 1:
             self._pop()
         self.end[0] = len(self.paths)
+        if self._form:
+            self._drop_forms()
+
+    def _drop_forms(self) -> None:
+        """Leaves out the forms that hold less than half of the page's text, or nothing but a few bare words."""
+        sizes = [0] * (self._form + 1)
+        for form, (_, _, text, _) in zip(self._forms, self.pieces):
+            sizes[form] += len(text) - sum(map(text.count, " \n\t\r"))
+        total = sum(sizes)
+        kept = {i for i, n in enumerate(sizes) if not i or (2 * n >= total and (i in self._written or n >= FORM_TEXT))}
+        self.pieces = [p for form, p in zip(self._forms, self.pieces) if form in kept]
 
     def _read(self, text: str) -> None:
         at, size = 0, len(text)
@@ -170,12 +194,13 @@ class Page:
         return -1
 
     def _text(self, piece: str) -> None:
-        tag, container, left_out, link = self._stack[-1]
+        tag, container, left_out, link, form = self._stack[-1]
         if not left_out:
+            self._forms.append(form)
             self.pieces.append((container, self._block, entities.unescape(piece) if "&" in piece else piece, link))
 
     def _pop(self) -> None:
-        tag, container, _, _ = self._stack.pop()
+        tag, container, *_ = self._stack.pop()
         self._open[tag] -= 1
         if tag in BLOCKS:
             self._block += 1
@@ -198,7 +223,7 @@ class Page:
         ends = CLOSES.get(tag, ())
         while self._stack[-1][0] in ends:
             self._pop()
-        _, container, left_out, link = self._stack[-1]
+        _, container, left_out, link, form = self._stack[-1]
         classes: list[str] = []
         words: set[str] = set()
         noise = 3 if tag in LEFT_OUT else 0
@@ -221,6 +246,13 @@ class Page:
         whole = tag in ("article", "main")
         if whole and left_out == (1 if tag == "article" else min(left_out, 2)):
             left_out = 0
+        if whole:
+            form = 0
+        elif tag == "form" and not form:
+            self._form += 1
+            form = self._form
+        if form and (tag in WRITTEN or (tag in CONTAINERS and words & GOOD)):
+            self._written.add(form)
         if noise == 3 or (noise and not whole and tag not in ("body", "html")):
             left_out = max(left_out, noise)
         if tag in CONTAINERS and not left_out:
@@ -230,7 +262,7 @@ class Page:
             self.main.append(tag if whole else "")
             self.end.append(0)
             container = len(self.paths) - 1
-        self._stack.append((tag, container, left_out, link or tag == "a"))
+        self._stack.append((tag, container, left_out, link or tag == "a", form))
         self._open[tag] = self._open.get(tag, 0) + 1
 
     def best(self) -> tuple[int, float]:
@@ -315,30 +347,26 @@ def page_text(pages: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the winning generalised paths of every host, most votes first."""
+    """(host, paths, many): a host's winning generalised paths, most votes first, and its number of pages."""
     votes = pages.select(host_of(F.col("url")).alias("host"), page_vote("html").alias("v"))
-    counted = votes.groupBy("host", F.col("v.path").alias("path")).agg(F.sum("v.share").alias("votes"))
-    totals = counted.groupBy("host").agg(F.sum("votes").alias("total")).withColumnRenamed("host", "_host")
-    won = counted.join(totals, F.col("host") == F.col("_host")).filter(
-        (F.col("votes") > 0) & (F.col("votes") >= WINNING_SHARE * F.col("total"))
-    )
+    counted = votes.groupBy("host", F.col("v.path").alias("path")).agg(F.sum("v.share").alias("votes"), F.count("*").alias("n"))
+    counted = stored(counted, "votes")
+    totals = counted.groupBy("host").agg(F.sum("votes").alias("total"), F.sum("n").alias("many"))
+    won = counted.join(totals, "host").filter((F.col("votes") > 0) & (F.col("votes") >= WINNING_SHARE * F.col("total")))
     ranked = won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))).alias("w"))
-    return ranked.select("host", F.transform("w", lambda w: w["path"]).alias("paths"))
+    paths = ranked.select("host", F.transform("w", lambda w: w["path"]).alias("paths"))
+    return totals.join(paths, "host", "left").select("host", "paths", "many")
 
 
-def extracted(pages: DataFrame, salts: int = SALTS) -> DataFrame:
+def extracted(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars``.
 
-    A host's pages meet its paths in ``salts`` shares, so that a host with many pages
-    is dealt to many tasks; the paths, five a host at most, are repeated for each share.
+    Pages of hosts with many pages meet the host's paths where they lie; only those of
+    hosts with less than a thousandth of all are shuffled to them.
     """
     pages = pages.drop("text", "n_chars")
-    host, paths, salt = fresh(pages, "host"), fresh(pages, "paths"), fresh(pages, "salt")
-    shares = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    winning = host_paths(pages).select(F.col("host").alias("_won"), F.col("paths").alias(paths), shares.alias("_share"))
-    dealt = pages.withColumns({
-        host: host_of(F.col("url")), salt: (F.monotonically_increasing_id() % salts).cast("int"),
-    })
-    joined = dealt.join(winning, (F.col(host) == F.col("_won")) & (F.col(salt) == F.col("_share")), "left")
-    out = joined.withColumn("text", page_text("html", paths)).drop(host, paths, salt, "_won", "_share")
+    host, paths, many = fresh(pages, "host"), fresh(pages, "paths"), fresh(pages, "many")
+    winning = stored(host_paths(pages), "paths").toDF(host, paths, many)
+    joined = joined_by_weight(pages.withColumn(host, host_of(F.col("url"))), winning, host, many)
+    out = joined.withColumn("text", page_text("html", paths)).select(*pages.columns, "text")
     return out.withColumn("n_chars", F.length("text").cast("long"))

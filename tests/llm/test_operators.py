@@ -366,6 +366,51 @@ def test_hosts_vote(spark):
 
 # ---- secrets
 
+def test_running_folds(spark):
+    from threadloom.llm.common import running
+
+    rng = random.Random(4)
+    lists = [[rng.randint(-5, 9) for _ in range(n)] for n in (0, 1, 2, 3, 4, 5, 16, 17, 99, 1000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, v array<int>")
+    got = df.select("i", running(F.col("v"), lambda a, x: a + x).alias("sums"),
+                    running(F.col("v"), lambda a, x: F.when(a > x, a).otherwise(x)).alias("tops")).collect()
+    for r in got:
+        assert r["sums"] == np.cumsum(lists[r["i"]], dtype=int).tolist()
+        assert r["tops"] == [max(lists[r["i"]][:k + 1]) for k in range(len(lists[r["i"]]))]
+
+
+def test_long_keys_go_whole(spark):
+    """Keys of any number of lines and headers, with and without an end, plain and as written in a string."""
+    line = "QUJD" * 16
+    head = "-----BEGIN RSA PRIVATE KEY-----"
+    bodies = [
+        "\n".join([head] + [line] * 5000), "\n".join([head] + [f"Comment: c{i}" for i in range(60)] + [line] * 3),
+        "\n".join([head] + ["a-b-c " * 900] + ["-----END RSA PRIVATE KEY-----"]), "\\n".join([head] + [line] * 2000),
+        head + " " + "\\n\\r\\t" * 40 + line,
+    ]
+    df = frame(spark, [f"before {b}\n. after it" for b in bodies] + [head + " " + f"{head}\n" * 3000])
+    clean = [r["text"] for r in sec.secret_stage(df).orderBy("doc_id").collect()]
+    assert all(t.startswith("before [secret]") and t.endswith(". after it") and len(t) < 60 for t in clean[:5]), [t[:80] for t in clean]
+    assert "PRIVATE" not in clean[5]
+
+
+def test_secrets_time_grows_with_the_text(spark):
+    """Twice the spans take at most two and a half times as long, overlapping ones included."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "é password=deadbeefdeadbeef01 x" * n)], "doc_id long, text string").coalesce(1)
+        best = 1e9
+        for _ in range(2):
+            began = time.time()
+            assert sec.secret_stage(df).collect()[0]["text"] == "é [secret] x" * n
+            best = min(best, time.time() - began)
+        return best
+
+    seconds(1000)
+    assert seconds(100_000) <= 2.5 * seconds(50_000) + 1
+
+
 @pytest.mark.parametrize("page,text", [
     ("<form id=f><article><p>One two.</p></article></form>", "One two."),
     ("<form><div class=content>Some words here.</div><input><label>Name</label><select><option>a</select></form>", "Some words here."),

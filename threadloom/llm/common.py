@@ -22,6 +22,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """The array of ``combine`` over each value and all before it.
+
+    In runs of about the square root of the length, so that no long array is copied per value.
+    """
+    def folded(run: Column) -> Column:
+        zero = F.struct(F.lit(None).cast(kind).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            return let(F.coalesce(combine(acc["at"], x), x), lambda now: F.struct(
+                now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out")))
+
+        return F.aggregate(run, zero, step, lambda acc: acc["out"])
+
+    def joined(runs: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast(kind)), folded(F.transform(runs, lambda r: F.element_at(r, -1))))
+        return F.flatten(F.zip_with(F.slice(before, 1, F.size(runs)), runs, lambda ahead, run: F.transform(
+            run, lambda x: F.coalesce(combine(ahead, x), x))))
+
+    def cut(known: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(known))).cast("int"), F.lit(1))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(known), F.lit(1)), width)
+        return let(F.transform(starts, lambda at: folded(F.slice(known, at, width))), joined)
+
+    return let(values, lambda known: F.when(F.size(known) > 0, cut(known)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
 def plain_words(text: Column) -> Column:
     """The words between ASCII white space; none for a null text.
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import fresh, let
+from threadloom.llm.common import fresh, let, running
 from threadloom.runtime import path_exists, scratch_path
 
 
@@ -30,12 +30,12 @@ LEAST_VALUE = 12
 
 #: A private key: from its BEGIN line to its END line or, without one, through the header lines and
 #: runs of base64 that follow. Between lines may stand white space, quote marks and written \n.
-_GAP = r"""[\s>|#*"',;+-]*+(?:\\[nrt][\s>|#*"',;+-]*+){0,8}+"""
+_GAP = r"""[\s>|#*"',;+-]*+(?:\\[nrt][\s>|#*"',;+-]*+)*+"""
 PEM = (
     r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-    r"(?:[^-]*+(?:-(?!----)[^-]*+){0,400}+-?-----END [A-Z ]{0,40}PRIVATE KEY-----"
-    rf"|(?:{_GAP}(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*+){{0,8}}+"
-    rf"""(?:(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+){{1,400}}+(?:{_GAP}[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[\s\\"',;]|$))?+)?+)"""
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-?-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_GAP}(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*+)*+"
+    rf"""(?:(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:{_GAP}[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[\s\\"',;]|$))?+)?+)"""
 )
 
 #: kind: (pattern, cheap literal or pattern that a text with a match contains)
@@ -49,7 +49,7 @@ RULES = {
     "jwt": (r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}", "eyJ"),
 }
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "3"
+RULE_VERSION = "4"
 
 _SPANS = "array<struct<start:int,kind:int,stop:int>>"
 
@@ -64,16 +64,10 @@ def _kind_spans(text: Column, kind: str) -> Column:
     )
 
     def place(parts: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-
-        def step(acc: Column, part: Column) -> Column:
-            start = acc["at"] + part["gap"]
-            stop = start + part["size"]
-            span = F.struct(start.alias("start"), F.lit(number).alias("kind"), stop.alias("stop"))
-            out = F.when(part["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-            return F.struct(stop.alias("at"), out.alias("out"))
-
-        return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+        stops = running(F.transform(parts, lambda p: p["gap"] + p["size"]), lambda a, x: a + x)
+        placed = F.zip_with(parts, stops, lambda p, stop: F.struct(
+            (stop - p["size"]).alias("start"), F.lit(number).alias("kind"), stop.alias("stop"), p["ok"].alias("ok")))
+        return F.transform(F.filter(placed, lambda s: s["ok"]), lambda s: F.struct(s["start"], s["kind"], s["stop"]))
 
     def located(bundle: Column) -> Column:
         parts = F.transform(bundle["hits"], lambda hit, i: F.struct(
@@ -139,8 +133,8 @@ def secret_scan(docs: DataFrame, ledger: str | None = None, rule_version: str =
     addressed = docs.drop("found").withColumn(blob, blob_of(F.col("text")))
     scan_new(addressed.select(F.col(blob).alias("blob"), "text"), ledger, rule_version)
     hits = read_ledger(spark, ledger, rule_version).filter(F.size("spans") > 0)
-    hits = hits.select(F.col("blob").alias("_hit"), F.col("spans").alias("found"))
-    joined = addressed.join(hits, F.col(blob) == F.col("_hit"), "left").drop(blob, "_hit")
+    hits = hits.select(F.col("blob").alias(blob), F.col("spans").alias("found"))
+    joined = addressed.join(hits, blob, "left").drop(blob)
     return joined.withColumn("found", F.coalesce("found", F.array().cast(_SPANS)))
 
 
@@ -156,22 +150,22 @@ def report(scanned: DataFrame) -> list[Column]:
 
 def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
     """The text with every span, overlapping ones as one, replaced by a mark."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["stop"] <= acc["at"]
-        gap = F.when(s["start"] > acc["at"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
-        mark_here = F.when((s["start"] >= acc["at"]), F.lit(mark)).otherwise(F.lit(""))
-        return F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, mark_here))).alias("out"),
-        )
-
-    def close(acc: Column) -> Column:
-        rest = F.substring(text, acc["at"] + 1, F.length(text))
-        return F.concat(F.array_join(acc["out"], ""), rest)
-
-    return F.when(F.size(found) > 0, F.aggregate(found, zero, step, close)).otherwise(text)
+    def joined(known: Column) -> Column:
+        points, reached = known["points"], known["reached"]
+
+        def piece(start: Column, stop: Column) -> Column:
+            return F.decode(F.substring(points, 4 * start + 1, 4 * F.greatest(stop - start, F.lit(0))), "UTF-32")
+
+        # of spans that overlap the first brings the mark, and each what lies between it and all before it
+        pieces = F.transform(found, lambda s, i: F.when(i == 0, F.concat(piece(F.lit(0), s["start"]), F.lit(mark))).when(
+            s["start"] >= F.get(reached, i - 1), F.concat(piece(F.get(reached, i - 1), s["start"]), F.lit(mark))
+        ).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), piece(F.element_at(reached, -1), F.length(text)))
+
+    # four bytes a code point: a piece is found without reading what precedes it
+    points = F.encode(text, "UTF-32").alias("points")
+    reached = running(F.transform(found, lambda s: s["stop"]), lambda a, x: F.when(a > x, a).otherwise(x)).alias("reached")
+    return F.when(F.size(found) > 0, let(F.struct(points, reached), joined)).otherwise(text)
 
 
 def secret_stage(docs: DataFrame) -> DataFrame:

@@ -364,6 +364,30 @@ def test_hosts_vote(spark):
     assert html.extracted(df.limit(0)).count() == 0
 
 
+def test_decontamination_time_grows_with_the_text():
+    """One word over and over, in the item and in the document: twice the words, at most two and a half times as long."""
+    import time
+
+    def seconds(n):
+        automaton = deco.SuffixAutomaton([("i", [b"a"] * n), ("j", [b"a", b"b"] * (n // 2))])
+        began = time.time()
+        hits, names = automaton.scan([b"a"] * n + [b"c"] + [b"a", b"b"] * (n // 2))
+        assert hits == [(0, n), (n + 1, 2 * n + 1)] and names == {"i", "j"}
+        return time.time() - began
+
+    assert seconds(200_000) <= 2.5 * seconds(100_000) + 0.3
+
+
+@pytest.mark.parametrize("most", [1, 10, 11, 25, 1000])
+def test_long_items_in_pieces(most):
+    words = [str(i).encode() for i in range(137)]
+    found = list(deco.pieces_of(words, most))
+    assert all(len(p) <= max(most, 10) and len(p) >= 10 for p in found)
+    windows = [tuple(p[i:i + 10]) for p in found for i in range(len(p) - 9)]
+    assert sorted(windows) == sorted(tuple(words[i:i + 10]) for i in range(128))
+    assert list(deco.pieces_of(words[:4], most)) == [words[:4]]
+
+
 # ---- secrets
 
 def test_running_folds(spark):

@@ -6,9 +6,9 @@ reaches ten, the last ten words are a window of an item; an item of fewer words
 all of it occurs. Runs of words that no item knows reset the automaton, so only runs of known
 words are walked.
 
-Items are read one by one into blocks of at most ``block_words`` words; each block's
-automaton is broadcast, which bounds it, and further blocks take further passes, each
-adding to what the passes before have found.
+Items are read one by one into blocks of at most ``block_words`` words, a longer item in pieces that
+share all but one word of a window; each block's automaton is broadcast, which bounds it, and
+further blocks take further passes, each adding to what the passes before have found.
 
 Null texts have no words and are clean; items without words never occur. Equal items are
 both reported; null item ids are reported as ''. Repeated rows are judged alike, an empty
@@ -51,6 +51,7 @@ class SuffixAutomaton:
         self.least = min((min(len(w), window) for _, w in coded), default=window)
         self.owners: dict[int, set[str]] = {}
         self.short: dict[int, dict[int, set[str]]] = {}
+        self.top = self._tops()
         self._own(coded)
         self.anchor = self._anchors()
 
@@ -91,11 +92,17 @@ class SuffixAutomaton:
             self.link[new] = there
         return new
 
-    def _up_to(self, state: int, length: int) -> int:
-        """The state whose runs include that of ``length`` words."""
-        while self.length[self.link[state]] >= length and state:
-            state = self.link[state]
-        return state
+    def _by_length(self) -> list[int]:
+        return sorted(range(1, len(self.next)), key=self.length.__getitem__)
+
+    def _tops(self) -> list[int]:
+        """Per state, the state whose runs are the last ``window`` words of its own; -1 for shorter runs."""
+        top = [-1] * len(self.next)
+        for state in self._by_length():
+            if self.length[state] >= self.window:
+                above = self.link[state]
+                top[state] = top[above] if self.length[above] >= self.window else state
+        return top
 
     def _own(self, coded: list[tuple[str, list[int]]]) -> None:
         for name, word_ids in coded:
@@ -103,16 +110,16 @@ class SuffixAutomaton:
             for i, word in enumerate(word_ids):
                 state = self.next[state][word]
                 if i + 1 >= self.window:
-                    state = self._up_to(state, self.window)
-                    self.owners.setdefault(state, set()).add(name)
+                    self.owners.setdefault(self.top[state], set()).add(name)
             if len(word_ids) < self.window:
-                own = self._up_to(state, len(word_ids))
-                self.short.setdefault(own, {}).setdefault(len(word_ids), set()).add(name)
+                while self.length[self.link[state]] >= len(word_ids):
+                    state = self.link[state]
+                self.short.setdefault(state, {}).setdefault(len(word_ids), set()).add(name)
 
     def _anchors(self) -> list[int]:
         """Per state, the nearest state, itself included, where a short item ends; else -1."""
         anchor = [-1] * len(self.next)
-        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+        for state in self._by_length():
             anchor[state] = state if state in self.short else anchor[self.link[state]]
         return anchor
 
@@ -121,14 +128,16 @@ class SuffixAutomaton:
         ids = np.fromiter(map(self.words.get, words, iter(lambda: -1, None)), np.int64, len(words))
         known = np.flatnonzero(np.diff(np.concatenate(([0], (ids >= 0).view(np.int8), [0]))))
         hits: list[tuple[int, int]] = []
+        full: set[int] = set()
         names: set[str] = set()
         for start, stop in known.reshape(-1, 2):
             if stop - start >= self.least:
-                self._walk(ids[start:stop].tolist(), int(start), hits, names)
-        return merged(hits), names
+                self._walk(ids[start:stop].tolist(), int(start), hits, full, names)
+        return merged(hits), names.union(*map(self.owners.__getitem__, full))
 
-    def _walk(self, ids: list[int], at: int, hits: list[tuple[int, int]], names: set[str]) -> None:
-        following, link, length, window = self.next, self.link, self.length, self.window
+    def _walk(self, ids: list[int], at: int, hits: list[tuple[int, int]], full: set[int], names: set[str]) -> None:
+        """Adds the hits of a run of known words, the states of its windows and the short items in it."""
+        following, link, length, window, top = self.next, self.link, self.length, self.window, self.top
         state = matched = 0
         for place, word in enumerate(ids, at + 1):
             to = following[state].get(word)
@@ -140,9 +149,11 @@ class SuffixAutomaton:
                 continue
             state, matched = to, matched + 1
             if matched >= window:
-                full = self._up_to(state, window)
-                hits.append((place - window, place))
-                names |= self.owners[full]
+                full.add(top[state])
+                if hits and place - window <= hits[-1][1] and hits[-1][0] <= place - window:
+                    hits[-1] = (hits[-1][0], place)
+                else:
+                    hits.append((place - window, place))
             anchor = self.anchor[state]
             while anchor >= 0:
                 for size, owners in self.short[anchor].items():
@@ -163,17 +174,27 @@ def merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def pieces_of(words: list[bytes], most: int, window: int = WINDOW) -> Iterator[list[bytes]]:
+    """A long item in pieces of ``most`` words that hold all its windows."""
+    if len(words) <= max(most, window):
+        yield words
+        return
+    step = max(most - window + 1, 1)
+    for start in range(0, len(words) - window + 1, step):
+        yield words[start:start + step + window - 1]
+
+
 def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items in blocks of bounded size, read one partition at a time."""
     block: list[tuple[str, list[bytes]]] = []
     held = 0
     for row in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").toLocalIterator():
-        words = folded_words(row["text"])
-        if block and held + len(words) > block_words:
-            yield block
-            block, held = [], 0
-        block.append((row["i"], words))
-        held += len(words)
+        for words in pieces_of(folded_words(row["text"]), block_words):
+            if block and held + len(words) > block_words:
+                yield block
+                block, held = [], 0
+            block.append((row["i"], words))
+            held += len(words)
     yield block
 
 

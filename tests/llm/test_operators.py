@@ -632,13 +632,30 @@ def test_preferences_by_hand(spark):
         for r in rows:
             joined[r["pair_id"], r["part"]] = joined.get((r["pair_id"], r["part"]), "") + r["text"]
             for s in r["loss_spans"]:
-                assert r["text"][s["start"]:s["stop"]] in ("good", "bad") and r["part"] != "prompt"
+                assert r["text"][s["start"]:s["stop"]] in ("good\n<|end|>", "bad\n<|end|>") and r["part"] != "prompt"
         assert joined[1, "prompt"] == "<|user|>\nhi\n<|end|>\n<|assistant|>\nyes\n<|end|>\n<|user|>\nmore\n<|end|>\n"
         assert joined[1, "chosen"] == "<|assistant|>\ngood\n<|end|>\n" and joined[1, "rejected"] == "<|assistant|>\nbad\n<|end|>\n"
         assert set(joined) == {(1, "prompt"), (1, "chosen"), (1, "rejected"), (2, "chosen"), (3, "rejected"), (4, "prompt")}
     assert pref.preference_parts(df.limit(0)).count() == 0
 
 
+def test_pairs_of_a_table_share_turns(spark):
+    """Most pairs of neighbours have a prompt; the sides make the conversations they come from."""
+    known = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    told = {}
+    for r in known.orderBy("conv_id", "turn").collect():
+        told.setdefault(r["conv_id"], []).append(f"<|{r['role']}|>\n{r['text']}\n<|end|>\n")
+    made = {}
+    rows = pref.preference_parts(pref.neighbours(known), 3).orderBy("pair_id", "part", "part_no").collect()
+    for r in rows:
+        made.setdefault(r["pair_id"], {}).setdefault(r["part"], []).append(r["text"])
+    assert sum("prompt" in sides for sides in made.values()) > 0.9 * len(told)
+    for k, turns in told.items():
+        prompt, chosen, rejected = ("".join(made[k].get(p, [])) for p in ("prompt", "chosen", "rejected"))
+        assert prompt + chosen == "".join(turns)
+        assert prompt + rejected == "".join(turns[:2] + told.get(k + 1, [])[2:])
+
+
 # ---- classifier
 
 def test_classifier_learns_and_handles_odd_rows(spark, words):

@@ -141,11 +141,14 @@ FROM d LEFT JOIN a USING (doc_id)
 """
 
 OP9 = """
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
-    coalesce(role, '') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos
+WITH s AS (
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT CASE WHEN coalesce(turn, -1) < 2 THEN conv_id ELSE conv_id - 1 END, 'rejected', turn, role, text
   FROM conversations WHERE conv_id IS NOT NULL),
+t AS (
+  SELECT pair_id, side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos
+  FROM s),
 b AS (
   SELECT pair_id, pos, count(*) < 2 OR min(role || chr(0) || text) <> max(role || chr(0) || text) AS differs FROM t GROUP BY 1, 2),
 l AS (SELECT pair_id, coalesce(min(pos) FILTER (WHERE differs), max(pos) + 1) AS prefix_turns FROM b GROUP BY 1),
@@ -160,7 +163,7 @@ p AS (
       + length(role) + 5 AS start FROM r)
 SELECT pair_id, part, part_no, count(*) AS n_turns, any_value(prefix_turns) AS prefix_turns,
   string_agg(shown, '' ORDER BY place) AS text,
-  coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(text) AS BIGINT), ',' ORDER BY place)
+  coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(text) + 8 AS BIGINT), ',' ORDER BY place)
     FILTER (WHERE part <> 'prompt' AND role = 'assistant'), '') AS loss_spans
 FROM p GROUP BY pair_id, part, part_no
 """

@@ -6,7 +6,7 @@ least differing turn, so no conversation is gathered for it. The prefix is rende
 ``prompt``, from the chosen side; what follows is ``chosen`` and ``rejected``. Rendered text
 comes in parts of at most ``part_turns`` turns each (one part, unless a conversation is
 longer), so that a conversation of any length stays in bounded rows. Each part has the
-character spans of assistant texts, on which a loss counts; prompts have none.
+character spans of assistant texts with their end marks, on which a loss counts; prompts have none.
 
 Turns order by (turn, role, text); their position, not their number, is compared, so gaps
 and repeated numbers are allowed. Null roles and texts count as empty. Rows without a
@@ -20,17 +20,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import stored
+from threadloom.llm.common import running, stored
 
-OPEN, MIDDLE, CLOSE = "<|", "|>\n", "\n<|end|>\n"
+OPEN, MIDDLE, END, LAST = "<|", "|>\n", "\n<|end|>", "\n"
+#: Turns that the two sides of a pair made from neighbours share.
+FORK = 2
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """Turns with pair and side: conversation 2k is the chosen, 2k+1 the rejected one of pair k."""
-    return conversations.filter("conv_id is not null").select(
-        F.expr("conv_id div 2").alias("pair_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"),
-        "conv_id", "turn", "role", "text",
-    )
+def neighbours(conversations: DataFrame, fork: int = FORK) -> DataFrame:
+    """Turns with pair and side, one pair per conversation.
+
+    Its chosen side is the conversation, its rejected side the turns numbered below ``fork``, which it
+    shares, and from there on the turns of the conversation with the next number.
+    """
+    turn = F.coalesce("turn", F.lit(-1))
+    own = F.struct(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"))
+    shared = F.struct(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"))
+    lent = F.struct((F.col("conv_id") - 1).alias("pair_id"), F.lit("rejected").alias("side"))
+    sides = F.explode(F.array(own, F.when(turn < fork, shared).otherwise(lent)))
+    return conversations.filter("conv_id is not null").select(sides.alias("s"), "turn", "role", "text").select(
+        "s.pair_id", "s.side", "turn", "role", "text")
 
 
 def positions(turns: DataFrame, chunk: int) -> DataFrame:
@@ -63,7 +72,7 @@ def common_prefix(placed: DataFrame) -> DataFrame:
 
 
 def _rendered(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(OPEN), role, F.lit(MIDDLE), text, F.lit(CLOSE))
+    return F.concat(F.lit(OPEN), role, F.lit(MIDDLE), text, F.lit(END + LAST))
 
 
 def preference_parts(turns: DataFrame, part_turns: int = 64) -> DataFrame:
@@ -84,19 +93,15 @@ def preference_parts(turns: DataFrame, part_turns: int = 64) -> DataFrame:
         F.first("prefix_turns").alias("prefix_turns"), F.count("*").alias("n_turns"),
         F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"),  # part_turns at most
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+    sizes = F.transform("turns", lambda t: len(OPEN + MIDDLE + END + LAST) + F.length(t["role"]) + F.length(t["text"]))
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + len(OPEN) + F.length(t["role"]) + len(MIDDLE)
-        stop = start + F.length(t["text"])
-        counted = (F.col("part") != "prompt") & (t["role"] == "assistant")
-        return F.struct(
-            (stop + len(CLOSE)).alias("at"),
-            F.when(counted, F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"))))).otherwise(acc["out"]).alias("out"),
-        )
+    def lost(t: Column, stop: Column) -> Column:
+        return F.struct((stop - len(END + LAST) - F.length(t["text"])).alias("start"), (stop - len(LAST)).alias("stop"),
+                        ((F.col("part") != "prompt") & (t["role"] == "assistant")).alias("counts"))
 
+    spans = F.filter(F.zip_with("turns", running(sizes, lambda a, x: a + x), lost), lambda s: s["counts"])
     return grouped.select(
         "pair_id", "part", "part_no", "n_turns", "prefix_turns",
         F.array_join(F.transform("turns", lambda t: _rendered(t["role"], t["text"])), "").alias("text"),
-        F.aggregate("turns", zero, step, lambda acc: acc["out"]).alias("loss_spans"),
+        F.transform(spans, lambda s: F.struct(s["start"], s["stop"])).alias("loss_spans"),
     )

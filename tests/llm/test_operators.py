@@ -128,6 +128,24 @@ def test_links_of_few_long_classes(spark, words, monkeypatch):
     assert got == {i: len(near[i]) for i in near} and max(got.values()) == 2
 
 
+def test_only_rows_that_share_a_band_are_compared(words):
+    """Groups of near copies among half-alike texts: the comparisons follow the shared bands, not the square."""
+    half = words(60, 0)
+    texts = [half + " " + words(80, 1 + i // 4) + (f" x{i}" if i % 4 else "") for i in range(600)]
+    signatures = np.stack([nj.signature(nj.shingles(t)) for t in texts])
+    keys = np.stack([nj.band_keys(s) for s in signatures])
+    n, cut, offered = len(texts), 350, 0
+    for left, right in ((range(n), range(n)), (range(cut), range(cut, n)), (range(cut, n), range(cut, n))):
+        for i, others in nj.band_sharers(left, right, signatures):
+            rows = np.arange(max(right.start, i + 1), right.stop)
+            sharing = rows[(keys[rows] == keys[i]).any(axis=1)]
+            assert set(sharing) <= set(others.tolist())
+            assert len(others) == len(sharing) or (keys[right.start:right.stop] == keys[i]).sum() >= len(right)
+            offered += len(others) if left == right == range(n) else 0
+    shared = sum(int((keys[i + 1:] == keys[i]).sum()) for i in range(n))
+    assert offered <= 2 * shared + nj.BANDS * n and offered < n * n / 20
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     needed = nj.least_matches(0.8, nj.TOLERANCE)
     rng = np.random.default_rng(1)

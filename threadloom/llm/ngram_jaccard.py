@@ -3,14 +3,16 @@
 Texts with the same set of five-word shingles form one class, so copies cost nothing
 further. Classes get MinHash values; 25 bands of five of them bring similar classes into
 common groups, whose least member stands for the group, and the connected groups are found
-by rounds of star joins. Within a connected group pairs are compared in blocks: MinHash values are
+by rounds of star joins. They only say where classes meet: a small group in one task, a larger one in
+blocks, where a class goes to its own and to those that hold a class it shares a band with. Of two
+classes only such are compared that share a band: MinHash values are
 compared sixteen at a time, and a pair is dropped as soon as the posterior probability that its
 similarity reaches the threshold, under a uniform prior, falls below ``TOLERANCE``. The rest
 is verified exactly on the shingles. Links are counted, not listed: a block reports, per
 class, the documents linked and the least class it is connected with.
 
 A pair of similarity s is missed by all bands with probability (1 - s^5)^25: 5e-5 at 0.8,
-2e-7 at 0.86. Shingles are compared by 64-bit hashes.
+2e-7 at 0.86. Shingles are compared by 64-bit hashes, rows by 128 bits of id and text.
 
 A text of one to four words has one shingle, all of its words. Null texts and texts without
 words have none and link with nothing. Repeated rows are copies. Null ids take part; a class of
@@ -26,10 +28,10 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import FOLD, mix64, stored
+from threadloom.llm.common import FOLD, fresh, mix64, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -118,18 +120,38 @@ def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     return tuple(needed)
 
 
+def band_sharers(left: range, right: range, signatures: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of ``left``, the later rows of ``right`` that have one of its bands.
+
+    Where its bands have more rows together than ``right`` has, all of these are given.
+    """
+    keys = np.stack([band_keys(s) for s in signatures]) if len(signatures) else np.empty((0, BANDS), np.int64)
+    order = right.start + np.argsort(keys[right.start:right.stop], axis=0, kind="stable")
+    ordered = np.take_along_axis(keys, order, axis=0)
+    own = keys[left.start:left.stop]
+    low = np.stack([np.searchsorted(ordered[:, b], own[:, b], "left") for b in range(BANDS)], axis=1)
+    high = np.stack([np.searchsorted(ordered[:, b], own[:, b], "right") for b in range(BANDS)], axis=1)
+    many = (high - low).sum(axis=1)
+    for n, i in enumerate(left):
+        first = max(right.start, i + 1)
+        if many[n] >= len(right):
+            yield i, np.arange(first, right.stop)
+            continue
+        found = np.unique(np.concatenate([order[low[n, b]:high[n, b], b] for b in range(BANDS)]))
+        yield i, found[found >= first]
+
+
 def similar_pairs(
     left: range, right: range, signatures: np.ndarray, sets: list[np.ndarray], threshold: float
 ) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of ``left``, the later rows of ``right`` that reach the threshold."""
+    """For each row of ``left``, the later rows of ``right`` that share a band and reach the threshold."""
     needed = least_matches(threshold, TOLERANCE)
     sizes = np.array([len(s) for s in sets], np.int64)
     numbers = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, np.int64)
     stops = np.cumsum(sizes)
     starts = stops - sizes
     marked = np.zeros(int(numbers.max()) + 1 if len(numbers) else 0, bool)
-    for i in left:
-        others = np.arange(max(right.start, i + 1), right.stop)
+    for i, others in band_sharers(left, right, signatures):
         small, large = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
         others = others[small >= threshold * large - 1e-9]
         equal = np.zeros(len(others), np.int64)
@@ -151,7 +173,7 @@ def similar_pairs(
             yield i, others[exact]
 
 
-SIGNED = "row_key bigint, doc_id bigint, set_key binary, n int, bands array<bigint>"
+SIGNED = "row_key binary, doc_id bigint, set_key binary, n int, bands array<bigint>"
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,8 +262,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
+def row_key() -> Column:
+    """128 bits that stand for a row's id and text; a null is told from an empty text."""
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    return F.unhex(F.md5(F.concat(number, F.when(F.col("text").isNull(), "|").otherwise(F.concat(F.lit("="), "text")))))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -272,12 +300,17 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     held = totals.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
     packs = max(1, -(-held // BATCH_BYTES))
     members = sized.join(totals.drop("bytes"), "comp").select("row_key", "set_key", "comp", "weight", "blocks")
-    texts = _keyed(docs).drop("doc_id").join(members, "row_key").dropDuplicates(["set_key"])
-    schema = "row_key bigint, set_key binary, comp binary, weight bigint, blocks int, shingles binary, signature binary"
+    own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
+    # in a group of several blocks, the blocks that hold a class sharing a band with this one
+    crowded = banded.join(members.filter("blocks > 1").select("set_key", own.alias("own")), "set_key")
+    present = crowded.groupBy("band").agg(F.collect_set("own").alias("there")).filter(F.size("there") > 1)
+    met = crowded.join(present, "band").groupBy("set_key").agg(F.array_distinct(F.flatten(F.collect_set("there"))).alias("there"))
+    texts = _keyed(docs).drop("doc_id").join(members.join(met, "set_key", "left"), "row_key").dropDuplicates(["set_key"])
+    schema = "row_key binary, set_key binary, comp binary, weight bigint, blocks int, there array<int>, shingles binary, signature binary"
     ready = texts.mapInPandas(_shingled, schema).drop("row_key")
 
-    own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
-    low = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
+    others = F.array_union(F.array(own), F.coalesce("there", F.array().cast("array<int>")))
+    low = F.transform(others, lambda other: F.struct(
         F.least(own, other).alias("i"), F.greatest(own, other).alias("j"),
         F.when(own <= other, 0).otherwise(1).alias("side"),
     ))
@@ -313,9 +346,9 @@ def jaccard_stage(docs: DataFrame) -> DataFrame:
     """
     joined = stored(jaccard_join(docs), "jaccard")
     going = joined.filter("doc_id <> class_id or (doc_id is null and class_id is not null)")
-    row_key = F.xxhash64("doc_id", "text")
-    kept = docs.withColumn("_row", row_key).join(
-        going.select(F.col("row_key").alias("_row")).distinct(), "_row", "left_anti"
+    row, first = fresh(docs, "row"), fresh(docs, "first_row")
+    kept = docs.withColumn(row, row_key()).join(
+        going.select(F.col("row_key").alias(row)).distinct(), row, "left_anti"
     )
     # rows with equal ids that are linked: the one with the least key stays
     ties = joined.filter("n_links > 0 and doc_id <=> class_id").groupBy("comp").agg(
@@ -324,9 +357,8 @@ def jaccard_stage(docs: DataFrame) -> DataFrame:
     ties = stored(ties, "ties")
     if ties.isEmpty():
         return kept.select(*docs.columns)
-    tied = ties.select(F.col("comp").alias("_comp"), "first")
-    in_tie = joined.filter("n_links > 0 and doc_id <=> class_id").join(tied, F.col("comp") == F.col("_comp"))
-    marks = in_tie.select(F.col("row_key").alias("_row"), (F.col("row_key") == F.col("first")).alias("_first")).distinct()
-    marked = kept.join(marks, "_row", "left")
-    single = marked.filter("_first").dropDuplicates(["_row"])
-    return marked.filter("_first is null").unionByName(single).select(*docs.columns)
+    in_tie = joined.filter("n_links > 0 and doc_id <=> class_id").join(ties.select("comp", "first"), "comp")
+    marks = in_tie.select(F.col("row_key").alias(row), (F.col("row_key") == F.col("first")).alias(first)).distinct()
+    marked = kept.join(marks, row, "left")
+    single = marked.filter(F.col(first)).dropDuplicates([row])
+    return marked.filter(F.col(first).isNull()).unionByName(single).select(*docs.columns)

@@ -637,6 +637,45 @@ def test_feistel_is_a_permutation(spark):
     assert pairs.distinct().count() == 1000 and pairs.filter("length(d) <> 3").count() == 0
 
 
+def test_every_day_of_400_years_keeps_its_own_pseudonym(spark):
+    """By brute force: no two days share a pseudonym in any mixture of spellings, and readings stay."""
+    days = spark.range(146097).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d")).repartition(8)
+    spelt = [("yyyy-MM-dd", None), ("dd.MM.yyyy", None), ("MM/dd/yyyy", None), ("dd/MM/yyyy", "day(d) > 12"), ("d/M/yyyy", "day(d) > 12"),
+             ("M/d/yyyy", None), ("yyyy/MM/dd", None), ("dd-MM-yyyy", None), ("MM-dd-yyyy", "day(d) > 12")]
+    made = days.select("d", *(ps._date(F.date_format("d", f), F.lit("k")).alias(f"p{i}") for i, (f, _) in enumerate(spelt))).toPandas()
+    by_sign: dict = {}
+    for i, (form, only) in enumerate(spelt):
+        rows = made[[d.day > 12 for d in made["d"]]] if only else made
+        assert rows[f"p{i}"].notna().all() and rows[f"p{i}"].nunique() == len(rows)
+        for d, p in zip(rows["d"], rows[f"p{i}"]):
+            owner = by_sign.setdefault(p, d)
+            assert owner == d, (p, d, owner)
+    first = dict(zip(made["d"], made["p0"]))
+    assert sum(str(d)[:7] == p[:7] for d, p in first.items()) < 200
+    assert all((d.day > 12) == (int(p[8:]) > 12) for d, p in first.items())
+    short = spark.range(36525).select(F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")), "M/d/yy").alias("v"))
+    assert short.select(ps._date(F.col("v"), F.lit("k")).alias("p")).filter("p is not null").distinct().count() == 36525
+
+
+@pytest.mark.parametrize("text,kind", [
+    ("1980-12-25T10:00:00", "date"), ("1980/12/25", "date"), ("25-12-1980", "date"), ("12-25-1980", "date"), ("12/25/80", "date"),
+    ("31/12/1999", "date"), ("de89370400440532013000", "iban"), ("DE89 3704 0044 0532 0130 00", "iban"),
+    ("+49 30 1234567", "phone"), ("+44 20 7946 0958", "phone"), ("+1 555 123 4567", "phone"),
+])
+def test_readable_forms_are_replaced(spark, text, kind):
+    df = frame(spark, [f"a {text} b"]).withColumn("_found", F.lit("mine"))
+    row = ps.pseudonymised(df, "k").first()
+    new = row["text"][2:-2]
+    assert row[f"n_{kind}"] == 1 and new != text and len(new) == len(text) and row["_found"] == "mine"
+    shape = lambda t: "".join("0" if c.isdigit() else c for c in t)
+    assert shape(new) == shape(text)
+    if text.startswith("+"):
+        assert new.split()[0] == text.split()[0]
+    if kind == "iban":
+        plain = new.upper().replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 # ---- preferences
 
 def test_preferences_by_hand(spark):

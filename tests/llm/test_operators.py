@@ -676,6 +676,24 @@ def test_readable_forms_are_replaced(spark, text, kind):
         assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+# ---- clashing names
+
+@pytest.mark.parametrize("operator", ["quality", "mix", "secrets", "stage", "html", "pseudonyms", "jaccard", "contamination"])
+def test_columns_with_inner_names_stay(spark, words, operator):
+    inner = ["_words", "_lang", "_source", "_lines", "_hashes", "_grams", "_marks", "_in", "_s", "_b", "_before", "_r", "_at", "_row",
+             "_from", "_hit", "_share", "_won", "_found", "_comp", "_length_low", "aside_in", "host", "paths", "many", "blob", "own"]
+    docs = frame(spark, [words(40 + i, i) for i in range(30)] + [words(45, 5), None, ""])
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in inner})
+    run = {
+        "quality": qr.quality_rules, "mix": lambda d: mixing.mix(d)[0], "secrets": sec.secret_scan, "stage": mixing.mixing_stage,
+        "html": lambda d: html.extracted(d.withColumns({"url": F.lit("http://a.org/x"), "html": F.col("text")})),
+        "pseudonyms": lambda d: ps.pseudonymised(d, "k"), "jaccard": nj.jaccard_stage,
+        "contamination": lambda d: deco.contamination(d, spark.createDataFrame([("i", words(40, 1))], "item_id string, text string")),
+    }[operator]
+    rows = run(docs).collect()
+    assert len(rows) >= 25 and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in inner)
+
+
 # ---- preferences
 
 def test_preferences_by_hand(spark):

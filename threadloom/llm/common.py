@@ -80,6 +80,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``df`` without names that begin with ``_``, which operators use inside; the new names, and the way back."""
+    names: dict[str, str] = {}
+    for c in df.columns:
+        if c.startswith("_"):
+            names[c] = fresh(df.withColumnsRenamed(names), "aside" + c)
+    return df.withColumnsRenamed(names), names, lambda out: out.withColumnsRenamed({new: old for old, new in names.items()})
+
+
 def joined_by_weight(rows: DataFrame, lookup: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
     """Inner join with a table of one row per key and the number of ``rows`` each key has.
 

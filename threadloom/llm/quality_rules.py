@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import let, plain_words, stored
+from threadloom.llm.common import aside, let, plain_words, stored
 
 #: Fixed values of the base rules.
 SYMBOLS = r"[#*$%&|<>]"
@@ -203,12 +203,13 @@ def quality_rules(docs: DataFrame, columns: list[str] | None = None) -> DataFram
     ``columns`` names the input columns to carry; leaving ``text`` out keeps the stored
     intermediate table small.
     """
+    docs, renamed, back = aside(docs)
     measured = measure(docs)
-    carry = [c for c in (columns or docs.columns) if c not in MEASURES]
+    carry = [renamed.get(c, c) for c in (columns or docs.columns) if c not in MEASURES]
     keys = [c for c in ("lang", "source") if c not in carry]
     measured = stored(measured.select(*carry, *keys, *MEASURES), "quality")
     limits = stored(thresholds(sketches(measured)), "quality-limits")
-    return judge(measured, limits).drop(*keys)
+    return back(judge(measured, limits).drop(*keys))
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import fresh, let, plain_words, stored
+from threadloom.llm.common import aside, fresh, let, plain_words, stored
 
 WEIGHTS = (3, 1, 2)
 MOST_REPEATS = 2
@@ -148,7 +148,8 @@ def mix(
     ``pieces`` are (pass, block, shard, slot, start, stop): words start to stop, exclusive, of
     the document, at a slot of a shard.
     """
-    carry = [c for c in (columns or docs.columns) if c.lower() not in RESULTS]
+    docs, renamed, back = aside(docs)
+    carry = [renamed.get(c, c) for c in (columns or docs.columns) if c.lower() not in RESULTS]
     key = next((c for c in ("doc_id",) if c in docs.columns), None)
     rank, start, bucket, offset = (fresh(docs, n) for n in ("rank", "start", "bucket", "offset"))
     keyed = [c for c in ("source", key) if c and c not in carry]
@@ -199,7 +200,7 @@ def mix(
     whole = placed.join(
         taken, (F.col(rank) == F.col("_r")) & (F.col(start) == F.col("_at")) & (F.col("size") > 0), "left"
     ).withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
-    return whole.select(*carry, *RESULTS), slots
+    return back(whole.select(*carry, *RESULTS)), slots
 
 
 def _ranges(pieces: Column) -> Column:
@@ -237,16 +238,18 @@ def _mixed(docs: DataFrame) -> DataFrame:
     The mix runs over sizes and row hashes; texts move once, to meet its rows. Equal rows
     share a hash; then one of their copies stands for all, and each keeps its own words.
     """
+    docs, _, back = aside(docs)
     names = [c for c in docs.columns if c.lower() not in RESULTS]
     row = fresh(docs, "row")
-    hashed = docs.withColumn(row, F.xxhash64(*names))
+    # 128 bits, from two seeds
+    hashed = docs.withColumn(row, F.concat_ws("/", F.xxhash64(*names).cast("string"), F.xxhash64(F.lit("row"), *names).cast("string")))
     keys = [c for c in ("doc_id", "source") if c in names]
     mixed, _ = mix(hashed.select(*keys, "text", row), columns=[*keys, row])
     mixed = stored(mixed.filter("taken > 0").select(F.col(row).alias("_row"), *RESULTS), "mixed")
     texts = hashed.select(*names, row)
     if not mixed.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         texts = texts.dropDuplicates([row])
-    return mixed.join(texts, F.col("_row") == F.col(row)).select(*names, *RESULTS)
+    return back(mixed.join(texts, F.col("_row") == F.col(row)).select(*names, *RESULTS))
 
 
 def mixing_stage(docs: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm.common import documents, stored
+from threadloom.llm.common import documents
 from threadloom.llm.decontamination import decontaminated
 from threadloom.llm.ngram_jaccard import jaccard_stage
 from threadloom.llm.quality_rules import quality_stage
 from threadloom.llm.secret_scan import secret_stage
 from threadloom.llm.source_mixing import mixing_stage
+from threadloom.runtime import drop_path, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents; each result is written and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages over the whole documents; each result is written and read again, and dropped once the next is written."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before is not None:
+            drop_path(spark, before)
+        before = path
     return docs

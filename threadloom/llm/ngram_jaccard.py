@@ -41,6 +41,7 @@ STEP = 16
 TOLERANCE = 1e-6
 BLOCK_CLASSES, BLOCK_BYTES = 1024, 16_000_000
 BATCH_BYTES = 2_000_000
+PART_ROWS = 500
 
 _CHAIN = mix64(np.arange(1, 3, dtype=np.uint64)) | np.uint64(1)
 _SEEDS = (mix64(np.arange(7_000, 7_000 + HASHES, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -176,8 +177,15 @@ def similar_pairs(
 SIGNED = "row_key binary, doc_id bigint, set_key binary, n int, bands array<bigint>"
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in parts, so that the shingles of few texts are held at once."""
     for batch in batches:
+        for start in range(0, len(batch), PART_ROWS):
+            yield batch.iloc[start:start + PART_ROWS]
+
+
+def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in _small(batches):
         keys, counts, bands = [], [], []
         for text in batch["text"]:
             found = shingles(text)
@@ -185,12 +193,12 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys.append(set_key(found) if len(found) else None)
             bands.append(band_keys(signature(found)) if len(found) else None)
         yield pd.DataFrame({
-            "row_key": batch["row_key"], "doc_id": batch["doc_id"], "set_key": keys, "n": counts, "bands": bands,
+            "row_key": batch["row_key"].to_numpy(), "doc_id": batch["doc_id"].to_numpy(), "set_key": keys, "n": counts, "bands": bands,
         })
 
 
 def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in _small(batches):
         sets = [shingles(t) for t in batch["text"]]
         yield batch.drop(columns="text").assign(
             shingles=[s.tobytes() for s in sets], signature=[signature(s).tobytes() for s in sets]

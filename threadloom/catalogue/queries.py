@@ -230,7 +230,7 @@ def ingested_messages(spark, sf):
 def ingest_errors(spark, sf):
     """The files that both scans leave out, and the totals of those they read."""
     out = _ingested(spark, sf)
-    errors = spark.read.json([f"{out}/errors", f"{out}/inbox_errors"])
+    errors = spark.read.schema("file_name string, error string").json([f"{out}/errors", f"{out}/inbox_errors"])
     totals = spark.read.json(f"{out}/totals").select("processed_files", "total_messages")
     more = spark.read.json(f"{out}/inbox_totals").select("processed_conversations", "total_messages")
     return errors.select("file_name", "error").unionByName(totals.select(

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -47,6 +48,35 @@ def test_token_counts_like_the_library(library, texts):
     assert counted == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="aabcetnoé", min_size=1, max_size=300), st.integers(1, 4))
+def test_long_pre_tokens_merge_as_short_ones_do(text, times):
+    ready = tc.merger(vocabulary_path())
+    token = (text * times).encode("utf-8")
+    short = tc.LONG_BYTES
+    tc.LONG_BYTES = len(token)
+    try:
+        assert ready.count_long(token) == ready.count_all([token])[0]
+    finally:
+        tc.LONG_BYTES = short
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefghijklmnopqrstuvwxyz"])
+def test_long_pre_tokens_like_the_library_in_linear_time(library, letters):
+    rng = random.Random(7)
+    text = "".join(rng.choices(letters, k=500_000))
+    ready = tc.Merger(vocabulary_path())
+    small, large = text[:20_000], text[:40_000]
+    want = [len(e.ids) for e in library.encode_batch([small, large, f"{small} x {large}"], add_special_tokens=False)]
+    assert ready.count_texts([small, large, f"{small} x {large}"]) == want
+    seconds = []
+    for n in (250_000, 500_000):
+        began = time.process_time()
+        ready.count_long(text[:n].encode())
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 3 * seconds[0] + 0.5
+
+
 def test_token_counts_of_special_cases(spark, library):
     texts = [
         None, "", "a", "aaaaaaaaaaa", "a" * 3000, "  \n\n \t x", "it's we'll  don't", "<|endoftext|>", "x<|endoftext|> y<|endoftext|>",

@@ -3,8 +3,10 @@
 Texts are cut into pre-tokens. The distinct pre-tokens of a batch lie end to end in one
 symbol array. In every round each of them finds its lowest-ranked pair and merges all of
 that pair's occurrences, leftmost first where they overlap; a pre-token without a ranked
-pair is done, and its symbols left are its tokens. Counts are kept per worker in a memory
-of bounded size and summed per text.
+pair is done, and its symbols left are its tokens. A pre-token of more than ``LONG_BYTES``
+takes its rounds alone, on linked arrays that wait by rank: a round touches the places of its
+pair and their neighbours only, so that its cost follows the merges and not the length. Counts
+are kept per worker in a memory of bounded size and summed per text.
 
 The text of a special token counts as one token wherever it stands. A null text counts as
 empty: no bytes, no tokens. Texts of any length are read in bounded runs of pre-tokens;
@@ -15,8 +17,10 @@ named like the results are replaced.
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -32,6 +36,7 @@ PRE_TOKEN = (
 )
 NO_RANK = np.iinfo(np.int64).max
 RUN_TOKENS = 200_000
+LONG_BYTES = 400
 MEMORY_TOKENS = 400_000
 BATCH_BYTES = 4_000_000
 
@@ -72,15 +77,69 @@ class Merger:
         self.pattern = regex.compile(PRE_TOKEN)
         self.memory: dict[str, int] = {}
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols; ``NO_RANK`` where they never merge."""
+        keys = left * self.size + right
+        found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[found] == keys, self.ranks[found], NO_RANK)
+
     def pair_ranks(self, symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Rank of the pair that begins at each symbol; none at the last of a pre-token."""
-        keys = symbols * self.size + np.append(symbols[1:], 0)
-        found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        ranks = np.where((self.keys[found] == keys) & ~last, self.ranks[found], NO_RANK)
-        return ranks
+        return np.where(last, NO_RANK, self.ranks_of(symbols, np.append(symbols[1:], 0)))
+
+    def count_long(self, token: bytes) -> int:
+        """Tokens of one long pre-token: a round per rank, over the places that wait for it."""
+        symbols = self.of_byte[np.frombuffer(token, np.uint8)]
+        end = len(symbols)
+        before, after = np.arange(-1, end - 1), np.arange(1, end + 1)
+        ranks = np.full(end, NO_RANK)
+        waiting: dict[int, list[np.ndarray]] = defaultdict(list)
+        heap: list[int] = []
+
+        def rank_again(places: np.ndarray) -> None:
+            right = after[places]
+            ranks[places] = NO_RANK
+            places, right = places[right < end], right[right < end]
+            ranks[places] = new = self.ranks_of(symbols[places], symbols[right])
+            places, new = places[new != NO_RANK], new[new != NO_RANK]
+            order = np.argsort(new, kind="stable")
+            places, new = places[order], new[order]
+            cuts = np.flatnonzero(np.diff(new)) + 1
+            for rank, group in zip(new[np.append(0, cuts)].tolist() if len(new) else (), np.split(places, cuts), strict=False):
+                if rank not in waiting:
+                    heappush(heap, rank)
+                waiting[rank].append(group)
+
+        rank_again(np.arange(end))
+        count = end
+        while heap:
+            rank = heappop(heap)
+            places = np.unique(np.concatenate(waiting.pop(rank)))
+            places = places[ranks[places] == rank]
+            if not len(places):
+                continue
+            # of overlapping occurrences every other one merges
+            new_run = np.append(True, after[places[:-1]] != places[1:])
+            number = np.arange(len(places))
+            places = places[(number - number[new_run][np.cumsum(new_run) - 1]) % 2 == 0]
+            gone = after[places]
+            beyond = after[gone]
+            symbols[places], after[places], ranks[gone] = self.merged[rank], beyond, NO_RANK
+            before[beyond[beyond < end]] = places[beyond < end]
+            count -= len(places)
+            ahead = before[places]
+            rank_again(np.unique(np.append(places, ahead[ahead >= 0])))
+        return count
 
     def count_all(self, tokens: list[bytes]) -> np.ndarray:
-        """Tokens of each of ``tokens``, none of them empty, merged side by side."""
+        """Tokens of each of ``tokens``, none of them empty, the short ones merged side by side."""
+        long = [i for i, t in enumerate(tokens) if len(t) > LONG_BYTES]
+        if long:
+            result = np.zeros(len(tokens), np.int64)
+            result[long] = [self.count_long(tokens[i]) for i in long]
+            short = np.setdiff1d(np.arange(len(tokens)), long)
+            result[short] = self.count_all([tokens[i] for i in short])
+            return result
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         result = np.zeros(len(tokens), np.int64)
         symbols = self.of_byte[np.frombuffer(b"".join(tokens), np.uint8)]
@@ -145,7 +204,7 @@ class Merger:
             for segment in segments:
                 for run in self._runs(segment):
                     held.append((i, run))
-                    weight += 8 * len(run)
+                    weight += 8 * len(run) + sum(map(len, run))
                     if weight > BATCH_BYTES:
                         settle()
                         weight = 0

@@ -148,7 +148,7 @@ def reference_pairs(rows, year, k=2):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("hot", [{}, {"hot_rows": 5, "small_bytes": -1}])
+@pytest.mark.parametrize("hot", [{}, {"hot_rows": 5}])
 def test_pairs_against_restatement(spark, seed, hot):
     rng = random.Random(seed)
     rows = [

@@ -38,7 +38,7 @@ def history(rows, row, limit):
     return [f"{r[5]}: {r[6]}" for r in sorted(before, key=lambda r: (r[2], r[3]))[-limit:] if not r[7]]
 
 
-@pytest.mark.parametrize("hot", [{}, {"hot_rows": 6, "small_bytes": -1}])
+@pytest.mark.parametrize("hot", [{}, {"hot_rows": 6}])
 def test_history(spark, hot):
     rows = feed()
     found = prompts.with_history(
@@ -118,7 +118,7 @@ def run(writer):
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-@pytest.mark.parametrize("hot", [{}, {"hot_rows": 4, "small_bytes": -1}])
+@pytest.mark.parametrize("hot", [{}, {"hot_rows": 4}])
 def test_live_history_equals_batch(spark, tmp_path, hot):
     rows = feed(60, seed=3)
     base = str(tmp_path)

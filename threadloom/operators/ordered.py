@@ -2,10 +2,18 @@
 
 ``previous_rows`` is a ROWS BETWEEN k PRECEDING AND 1 PRECEDING frame and
 ``global_index`` a running row number. A plain window sorts each group in one
-task. Beyond ``hot_rows`` the rows are range-partitioned by their whole order
-and stored instead: each partition is a chunk of consecutive rows, numbered in
-place. A chunk receives the last k rows (or the row count) of what lies before
-it, so the result is exactly that of the plain window.
+task. Groups are counted first, and where one exceeds ``hot_rows``, it is cut:
+
+* by time, where the order begins with a timestamp: a window runs per group and
+  period of 30 days, and each of them gets the last k rows of the periods before
+  it, however many of those are empty or short;
+* by chunks of consecutive rows, where a period still exceeds ``hot_rows`` (rows
+  without a time form one) or the order begins otherwise: the rows are
+  range-partitioned by their whole order and stored, and each partition gets the last
+  k rows (or the row count) of what lies before it.
+
+The result is exactly that of the plain window. The input is evaluated once for the
+counts, and when cut by time once more for the last rows of the periods.
 
 The order columns must tell any two rows of a group apart; nulls sort first.
 """
@@ -14,12 +22,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
-from threadloom.runtime import estimated_bytes, scratch_path
+from threadloom.runtime import scratch_path
 
-# Groups are not counted where the plan's estimated size is below this.
-SMALL_PLAN_BYTES = 256 << 20
 HOT_ROWS = 1_000_000
+# Counted from the epoch, so that periods follow the order in every time zone.
+PERIOD_SECONDS = 30 * 86_400
 # Offsets, one row per chunk, are broadcast up to this many chunks.
 _BROADCAST_CHUNKS = 100_000
 # The row's place inside its partition, in the lower bits of Spark's increasing ids.
@@ -41,6 +50,47 @@ def _laid_out(df: DataFrame, by: list[str], parts: int) -> DataFrame:
     )
 
 
+def _sizes(df: DataFrame, keys: list[str], period: Column) -> tuple[int, int, int]:
+    """Rows of the largest group, of its largest period, and of the table."""
+    periods = df.groupBy(*keys, period.alias("_period")).agg(F.count(F.lit(1)).alias("_n"))
+    groups = periods.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.max("_n").alias("_most"))
+    found = groups.agg(F.max("_n"), F.max("_most"), F.sum("_n")).first()
+    return tuple(n or 0 for n in found)
+
+
+def _by_period(valued: DataFrame, keys: list[str], order: list[str], k: int,
+               period: Column, name: str) -> DataFrame:
+    """``previous_rows`` with a window per group and period, and rows carried into each."""
+    # Structs, since their null fields are equal in a join.
+    tagged = valued.withColumn("_group", F.struct(F.struct(*keys).alias("keys"), period.alias("period")))
+    others = [c for c in order if c not in keys]
+    newest = Window.partitionBy("_group").orderBy(*[F.desc_nulls_last(c) for c in order])
+    # The rank filter also runs before the shuffle (WindowGroupLimit): k rows per period move.
+    tails = (
+        tagged.select("_group", *keys, *others, "_value").withColumn("_rank", F.row_number().over(newest))
+        .where(F.col("_rank") <= k).withColumn("_keys", F.col("_group.keys"))
+    )
+    in_time = Window.partitionBy("_keys").orderBy(*order)
+    carried = (
+        tails.withColumns({
+            "_carried": F.collect_list(F.struct("_value")).over(in_time.rowsBetween(-k, -1)),
+            "_earlier": F.lag("_group").over(in_time),
+        })
+        # the first of a period's last rows has only rows of earlier periods before it
+        .where(F.col("_earlier").isNotNull() & (F.col("_earlier") != F.col("_group")))
+        .select("_group", "_carried")
+    )
+    inside = Window.partitionBy("_group").orderBy(*order).rowsBetween(-k, -1)
+    # The join finds its rows where the window has put them: one shuffle for both.
+    framed = tagged.withColumn("_inside", F.collect_list(F.struct("_value")).over(inside)).join(
+        carried, "_group", "left")
+    earlier = F.coalesce("_carried", F.slice("_inside", 1, 0))
+    room = F.lit(k) - F.size("_inside")
+    rows = F.concat(F.slice(earlier, F.greatest(F.size(earlier) - room, F.lit(0)) + 1, room), F.col("_inside"))
+    values = F.transform(F.filter(rows, lambda r: r["_value"].isNotNull()), lambda r: r["_value"])
+    return framed.withColumn(name, values)
+
+
 def previous_rows(
     df: DataFrame,
     keys: list[str],
@@ -49,20 +99,20 @@ def previous_rows(
     value: Column,
     name: str,
     hot_rows: int = HOT_ROWS,
-    small_bytes: int = SMALL_PLAN_BYTES,
 ) -> DataFrame:
     """Adds array ``name``: ``value`` of the k rows before each row, oldest first.
 
     A row whose value is null uses up one of the k slots and adds nothing.
     """
     valued = df.withColumn("_value", value)
-    most = total = 0
-    if estimated_bytes(df) > small_bytes:
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        most, total = counts.agg(F.max("_n"), F.sum("_n")).first()
-    if not most or most <= hot_rows:
+    timed = isinstance(df.schema[order[0]].dataType, TimestampType)
+    period = F.floor(F.unix_seconds(order[0]) / PERIOD_SECONDS) if timed else F.lit(0)
+    most, most_in_period, total = _sizes(df, keys, period)
+    if most <= hot_rows:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-k, -1)
         return valued.withColumn(name, F.collect_list("_value").over(frame)).drop("_value")
+    if timed and most_in_period <= hot_rows:
+        return _by_period(valued, keys, order, k, period, name).select(*df.columns, name)
 
     chunk_rows = max(hot_rows // 2, 1)
     laid = _laid_out(valued, [*keys, *order], -(-total // chunk_rows))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import fixed
 from threadloom.functions.text import line, py_strip
 from threadloom.operators.messages import TIME_ORDER, from_author, has_text, of_year
-from threadloom.operators.ordered import HOT_ROWS, SMALL_PLAN_BYTES, previous_rows
+from threadloom.operators.ordered import HOT_ROWS, previous_rows
 from threadloom.runtime import stored
 
 CHAT_SCHEMA = "example_id string, conversations array<struct<role:string,content:string>>"
@@ -22,7 +22,6 @@ def training_pairs(
     year: int | None = None,
     context: int = fixed.CONTEXT_FRAME,
     hot_rows: int = HOT_ROWS,
-    small_bytes: int = SMALL_PLAN_BYTES,
 ) -> DataFrame:
     """Replies of the author, each with the lines of the ``context`` messages before it.
 
@@ -39,7 +38,7 @@ def training_pairs(
         F.when(from_author(author_ids), text).alias("response"),
     )
     framed = previous_rows(
-        slim, ["conv_key"], TIME_ORDER, context, F.col("_line"), "_context", hot_rows, small_bytes
+        slim, ["conv_key"], TIME_ORDER, context, F.col("_line"), "_context", hot_rows
     )
     return framed.where(
         (F.length("response") > 0) & (F.size("_context") > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import fixed
-from threadloom.operators.ordered import HOT_ROWS, SMALL_PLAN_BYTES, previous_rows
+from threadloom.operators.ordered import HOT_ROWS, previous_rows
 
 
 def system_text(assistant_name: str) -> str:
@@ -20,23 +20,21 @@ def history_line(author: Column, text: Column) -> Column:
 
 def with_history(messages: DataFrame, channel: list[str], order: list[str],
                  limit: int = fixed.HISTORY_LIMIT, author: str = "author_name",
-                 content: str = "content", hot_rows: int = HOT_ROWS,
-                 small_bytes: int = SMALL_PLAN_BYTES) -> DataFrame:
+                 content: str = "content", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds ``history``: lines of the channel's last ``limit`` messages, oldest first.
 
     Bots take up places among the ``limit`` but contribute no line.
     """
     person = ~F.coalesce(F.col("is_bot"), F.lit(False))
     said = F.when(person, history_line(F.col(author), F.col(content)))
-    return previous_rows(messages, channel, order, limit, said, "history", hot_rows, small_bytes)
+    return previous_rows(messages, channel, order, limit, said, "history", hot_rows)
 
 
 def with_memory(turns: DataFrame, session: list[str], order: list[str], is_user: Column,
-                text: Column, entries: int = fixed.MEMORY_ENTRIES, hot_rows: int = HOT_ROWS,
-                small_bytes: int = SMALL_PLAN_BYTES) -> DataFrame:
+                text: Column, entries: int = fixed.MEMORY_ENTRIES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds ``memory``: the session's last entries as ``You: …`` and ``Bot: …`` lines."""
     entry = F.concat(F.when(is_user, F.lit("You: ")).otherwise(F.lit("Bot: ")), text)
-    return previous_rows(turns, session, order, entries, entry, "memory", hot_rows, small_bytes)
+    return previous_rows(turns, session, order, entries, entry, "memory", hot_rows)
 
 
 def prompt(user_text: Column, history: Column, contexts: Column, system: str | Column) -> Column:

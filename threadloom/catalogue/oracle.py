@@ -284,6 +284,50 @@ sims AS (SELECT query_id, id, CASE WHEN list_sum(v) = 0 OR list_sum(qv) = 0 THEN
     ELSE round(list_cosine_similarity(qv, v), 9) END AS s FROM q, col),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INTEGER AS rank FROM sims)
 SELECT query_id, id, round(s, 4) AS similarity, rank FROM hits WHERE rank <= 3"""
+_BITS = 4294967296
+
+
+def _number(hex_bytes: str) -> str:
+    """Eight hex digits as a number, lowest byte first."""
+    return "('0x' || " + " || ".join(f"substr({hex_bytes}, {i}, 2)" for i in (7, 5, 3, 1)) + ")::HUGEINT"
+
+
+def _turned(number: str, bits: int) -> str:
+    return f"(({number}) * {1 << bits} % {_BITS} + ({number}) // {1 << (32 - bits)})"
+
+
+def _mixed(number: str) -> str:
+    return f"({_turned(f'({number}) * 3432918353 % {_BITS}', 15)} * 461845907 % {_BITS})"
+
+
+# The 32-bit hash of a word, from its UTF-8 bytes in hex (x), by whole blocks of four and a rest.
+_HASHED = f"""hexed AS (SELECT DISTINCT w, hex(encode(w)) AS x, len(hex(encode(w))) // 2 AS n FROM words),
+blocks AS (SELECT w, x, n, list_reduce(list_transform(range(0, n // 4), lambda i: {_mixed(_number('substr(x, (8 * i + 1)::BIGINT, 8)'))}),
+    lambda h, m: ({_turned('xor(h, m)', 13)} * 5 + 3864292196) % {_BITS}, 42::HUGEINT) AS h FROM hexed),
+rest AS (SELECT w, xor(CASE WHEN n % 4 = 0 THEN h ELSE xor(h, {_mixed(_number("rpad(substr(x, 8 * (n // 4) + 1), 8, '0')"))}) END,
+    n::HUGEINT) AS h FROM blocks),
+once AS (SELECT w, xor(h, h // 65536) * 2246822507 % {_BITS} AS h FROM rest),
+twice AS (SELECT w, xor(h, h // 8192) * 3266489909 % {_BITS} AS h FROM once),
+buckets AS (SELECT w, xor(h, h // 65536) % 256 AS bucket FROM twice)"""
+ORACLE["search_weighted"] = f"""WITH
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark),
+words AS (SELECT side, id, unnest(string_split_regex(rtrim(lower(coalesce(text, '')), {_WS}), '\s')) AS w FROM texts),
+{_HASHED},
+counts AS (SELECT side, id, bucket, count(*) AS c FROM words JOIN buckets USING (w) GROUP BY ALL),
+spread AS (SELECT bucket, count(*) AS d FROM counts WHERE side = 'd' GROUP BY bucket),
+weighted AS (SELECT side, id, bucket, c * ln(((SELECT count(*) FROM documents) + 1) / (coalesce(d, 0) + 1)::DOUBLE) AS v
+  FROM counts LEFT JOIN spread USING (bucket)),
+units AS (SELECT side, id, bucket, (v / sqrt(sum(v * v) OVER (PARTITION BY side, id)))::FLOAT::DOUBLE AS u FROM weighted
+  QUALIFY sum(v * v) OVER (PARTITION BY side, id) > 0),
+norms AS (SELECT side, id, sqrt(sum(u * u)) AS norm FROM units GROUP BY ALL),
+dots AS (SELECT q.id AS query_id, d.id, sum(q.u * d.u) AS dot FROM units q JOIN units d USING (bucket)
+  WHERE q.side = 'q' AND d.side = 'd' GROUP BY ALL),
+sims AS (SELECT query_id, dots.id, round(dot / (a.norm * b.norm), 9) AS s FROM dots
+  JOIN norms a ON a.side = 'q' AND a.id = query_id JOIN norms b ON b.side = 'd' AND b.id = dots.id),
+every AS (SELECT item_id AS query_id, doc_id AS id, coalesce(s, 0) AS s FROM benchmark CROSS JOIN documents
+  LEFT JOIN sims ON sims.query_id = item_id AND sims.id = doc_id),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INTEGER AS rank FROM every)
+SELECT query_id, id, round(s, 4) AS similarity, rank FROM hits WHERE rank <= 3"""
 ORACLE["rebuilt_collection"] = f"""WITH {_MSG}
 SELECT count(*) AS n_documents FROM msg WHERE NOT is_bot AND trim(content, {_WS}) <> ''"""
 ORACLE["incremental_add"] = f"WITH {_COLLECTION} SELECT id, type, document FROM col"

@@ -459,6 +459,16 @@ def search_embedded(spark, sf):
     return _rounded(found.rows)
 
 
+@query
+def search_weighted(spark, sf):
+    """Benchmark texts searched among the documents by words, those of few documents counting more."""
+    docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = views.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    weights = vectors.fit_word_weights(docs, "text")
+    made, wanted = (vectors.embed_hashed(df, "text", weights=weights).drop("text") for df in (docs, asked))
+    return _rounded(vectors.search(made, wanted, 3).rows)
+
+
 @query
 def search_cell_tiles(spark, sf):
     """``search_cells`` where the queries of a cell are too many to broadcast."""

@@ -279,6 +279,28 @@ def test_automaton_like_brute_force(items, text, window):
     assert (hit, names) == (want, owners)
 
 
+def test_many_blocks_read_documents_once(spark, words, tmp_path, monkeypatch):
+    texts = [f"{words(30, i)} {words(25, 1000 + i % 40)} {words(8, i)}" for i in range(60)] + [None, ""]
+    made = frame(spark, texts).repartition(3)
+    made.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    own = [(f"i{n}", words(25, 1000 + n)) for n in range(40)] + [("long", words(900, 5))]
+    items = spark.createDataFrame([*own, *own[:3]], "item_id string, text string")
+    blocks = deco.item_blocks(items, 100)
+    assert len(blocks) >= 10 and len(deco.item_blocks(items, 10_000)) == 1
+    monkeypatch.setattr(deco, "CHUNK_CHARS", 3_000)
+    scan = deco.contamination(docs, items, 100)
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and plan.count("ArrowEvalPython [") == 1
+    known = [(n, brute.folded(t)) for n, t in own]
+    rows = scan.collect()
+    assert len(rows) == len(texts) and any(len(r["items"]) for r in rows)
+    for r in rows:
+        hit, names = brute.word_hits(brute.folded(r["text"]), known)
+        assert {w for h in r["hits"] for w in range(h["start"], h["stop"])} == hit
+        assert set(r["items"]) == names and r["n_words"] == len(brute.folded(r["text"]))
+
+
 def test_decontamination_cases(spark, words):
     long_item, short_item = words(25, 1), "only three words"
     texts = [None, "", words(40, 2), f"{words(20, 3)} {long_item.upper()}! {words(20, 4)}", long_item, "here ONLY: three; words here",

@@ -6,9 +6,10 @@ reaches ten, the last ten words are a window of an item; an item of fewer words
 all of it occurs. Runs of words that no item knows reset the automaton, so only runs of known
 words are walked.
 
-Items are read one by one into blocks of at most ``block_words`` words, a longer item in pieces that
-share all but one word of a window; each block's automaton is broadcast, which bounds it, and
-further blocks take further passes, each adding to what the passes before have found.
+Items are cut into pieces that share all but one word of a window and dealt by hash over blocks of
+about half of ``block_words`` words; up to ``block_words`` words make one block. Tasks build an
+automaton per block, and each is broadcast by itself, packed. Documents are read once: a task holds
+the word numbers of a chunk of texts and scans them with one block's automaton after another.
 
 Null texts have no words and are clean; items without words never occur. Equal items are
 both reported; null item ids are reported as ''. Repeated rows are judged alike, an empty
@@ -18,18 +19,25 @@ results are replaced.
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import folded_words, fresh, stored
+from threadloom.llm.common import folded_words, fresh
 
 WINDOW = 10
+#: Text that a task holds as word numbers where there are several blocks to scan it with.
+CHUNK_CHARS = 64_000_000
+PIECE_SCHEMA = "item string, words binary, n_words bigint"
 FOUND = "n_words bigint, hits array<struct<start:int,stop:int>>, items array<string>"
 #: Words of texts whose upper case still stands.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -55,6 +63,15 @@ class SuffixAutomaton:
         self._own(coded)
         self.anchor = self._anchors()
 
+    def packed(self) -> bytes:
+        return pickle.dumps(vars(self), pickle.HIGHEST_PROTOCOL)
+
+    @classmethod
+    def unpacked(cls, packed: bytes) -> SuffixAutomaton:
+        automaton = cls.__new__(cls)
+        vars(automaton).update(pickle.loads(packed))
+        return automaton
+
     def _clone(self, state: int, length: int) -> int:
         self.next.append(dict(self.next[state]))
         self.link.append(self.link[state])
@@ -125,7 +142,10 @@ class SuffixAutomaton:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Hit runs of words (start, stop), merged, and the items that occur."""
-        ids = np.fromiter(map(self.words.get, words, iter(lambda: -1, None)), np.int64, len(words))
+        return self.scan_ids(np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words)))
+
+    def scan_ids(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+        """``scan`` for words given by their numbers here, -1 for those that no item has."""
         known = np.flatnonzero(np.diff(np.concatenate(([0], (ids >= 0).view(np.int8), [0]))))
         hits: list[tuple[int, int]] = []
         full: set[int] = set()
@@ -184,54 +204,116 @@ def pieces_of(words: list[bytes], most: int, window: int = WINDOW) -> Iterator[l
         yield words[start:start + step + window - 1]
 
 
-def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of bounded size, read one partition at a time."""
-    block: list[tuple[str, list[bytes]]] = []
-    held = 0
-    for row in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").toLocalIterator():
-        for words in pieces_of(folded_words(row["text"]), block_words):
-            if block and held + len(words) > block_words:
-                yield block
-                block, held = [], 0
-            block.append((row["i"], words))
-            held += len(words)
-    yield block
+def item_pieces(items: DataFrame, most: int) -> DataFrame:
+    """The distinct items, without those that have no words, in pieces of ``most`` words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                pieces = [words for words in pieces_of(folded_words(text), most) if words]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([item] * len(pieces), pa.string()), pa.array([b" ".join(words) for words in pieces], pa.binary()),
+                    pa.array([len(words) for words in pieces], pa.int64()),
+                ], names=["item", "words", "n_words"])
+
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    return named.distinct().mapInArrow(cut, PIECE_SCHEMA)
+
+
+def _built(pieces: pd.DataFrame) -> pd.DataFrame:
+    items = [(item, words.split()) for item, words in zip(pieces["item"], pieces["words"], strict=True)]
+    return pd.DataFrame({"automaton": [SuffixAutomaton(items).packed()]})
+
+
+def item_blocks(items: DataFrame, block_words: int) -> list[tuple[str, Broadcast]]:
+    """The automata of all blocks, each with a name, built by tasks and broadcast one at a time."""
+    pieces = item_pieces(items, max(block_words // 64, 2 * WINDOW))
+    total = pieces.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    count = 1 if total <= block_words else -(-2 * total // block_words)
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(count))
+    built = pieces.groupBy(block.alias("block")).applyInPandas(_built, "automaton binary")
+    context = items.sparkSession.sparkContext
+    return [(uuid.uuid4().hex, context.broadcast(bytes(row["automaton"]))) for row in built.toLocalIterator()]
+
+
+#: The automaton that this worker used last.
+_held: dict[str, SuffixAutomaton] = {}
+
+
+def _automaton(name: str, shared: Broadcast) -> SuffixAutomaton:
+    if name not in _held:
+        _held.clear()
+        _held[name] = SuffixAutomaton.unpacked(shared.value)
+        vars(shared).pop("_value", None)  # or the packed form of every block would stay beside it
+    return _held[name]
+
+
+class Chunk:
+    """The texts of some batches as word numbers, and what the blocks have found in them."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.texts: list[np.ndarray] = []
+        self.found: list[tuple[list[tuple[int, int]], set[str]]] = []
+        self.sizes: list[int] = []
+        self.chars = 0
+
+    def add(self, texts: pd.Series) -> None:
+        numbers = self.numbers
+        for text in texts:
+            words = folded_words(text)
+            self.texts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+            self.found.append(([], set()))
+            self.chars += len(text or "")
+        self.sizes.append(len(texts))
+
+    def scan(self, automaton: SuffixAutomaton) -> None:
+        known = np.fromiter((automaton.words.get(w, -1) for w in self.numbers), np.int64, len(self.numbers))
+        for i, numbers in enumerate(self.texts):
+            hits, names = automaton.scan_ids(known[numbers])
+            if hits:
+                before, items = self.found[i]
+                self.found[i] = (merged(before + hits), items | names)
+
+    def results(self) -> Iterator[pd.DataFrame]:
+        at = 0
+        for size in self.sizes:
+            rows = [
+                (len(numbers), [{"start": a, "stop": b} for a, b in hits], sorted(names))
+                for numbers, (hits, names) in zip(self.texts[at:at + size], self.found[at:at + size], strict=True)
+            ]
+            at += size
+            yield pd.DataFrame(rows, columns=["n_words", "hits", "items"])
 
 
-def _scanner(shared):
-    """A UDF (text, hit starts, hit stops, items of earlier passes) over a broadcast automaton."""
+def _scanner(blocks: list[tuple[str, Broadcast]]):
+    """A UDF of texts that scans them with all blocks."""
+    held_chars = CHUNK_CHARS if len(blocks) > 1 else 0
 
     @F.pandas_udf(FOUND)
-    def scanned(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        automaton = shared.value
-        for batch in batches:
-            rows = []
-            for text, starts, stops, items in zip(*batch, strict=True):
-                words = folded_words(text)
-                hits, names = automaton.scan(words)
-                if starts is not None and len(starts):
-                    hits = merged(hits + list(zip(map(int, starts), map(int, stops), strict=True)))
-                    names |= set(items)
-                rows.append((len(words), [{"start": a, "stop": b} for a, b in hits], sorted(names)))
-            yield pd.DataFrame(rows, columns=["n_words", "hits", "items"])
+    def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        chunk = Chunk()
+
+        def settled() -> Iterator[pd.DataFrame]:
+            for name, shared in blocks:
+                chunk.scan(_automaton(name, shared))
+            yield from chunk.results()
+
+        for texts in batches:
+            chunk.add(texts)
+            if chunk.chars >= held_chars:
+                yield from settled()
+                chunk = Chunk()
+        yield from settled()
 
     return scanned
 
 
 def contamination(docs: DataFrame, items: DataFrame, block_words: int = 200_000) -> DataFrame:
     """``docs`` with n_words, hits (runs of word numbers) and items (the ids that occur)."""
-    spark = docs.sparkSession
     docs = docs.drop("n_words", "hits", "items")
     found = fresh(docs, "found")
-    out = docs
-    for number, block in enumerate(item_blocks(items, block_words)):
-        scanned = _scanner(spark.sparkContext.broadcast(SuffixAutomaton(block)))
-        if number:
-            out = stored(out, "decontamination")
-            before = [F.col(found)["hits"]["start"], F.col(found)["hits"]["stop"], F.col(found)["items"]]
-        else:
-            before = [F.lit(None).cast("array<int>"), F.lit(None).cast("array<int>"), F.lit(None).cast("array<string>")]
-        out = out.withColumn(found, scanned("text", *before))
+    out = docs.withColumn(found, _scanner(item_blocks(items, block_words))("text"))
     return out.select(*docs.columns, *(F.col(found)[c].alias(c) for c in ("n_words", "hits", "items")))
 
 

@@ -22,7 +22,9 @@ from __future__ import annotations
 import pickle
 import re
 import uuid
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count, repeat
 
 import numpy as np
 import pandas as pd
@@ -142,7 +144,7 @@ class SuffixAutomaton:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Hit runs of words (start, stop), merged, and the items that occur."""
-        return self.scan_ids(np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words)))
+        return self.scan_ids(np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words)))
 
     def scan_ids(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
         """``scan`` for words given by their numbers here, -1 for those that no item has."""
@@ -229,8 +231,8 @@ def item_blocks(items: DataFrame, block_words: int) -> list[tuple[str, Broadcast
     """The automata of all blocks, each with a name, built by tasks and broadcast one at a time."""
     pieces = item_pieces(items, max(block_words // 64, 2 * WINDOW))
     total = pieces.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    count = 1 if total <= block_words else -(-2 * total // block_words)
-    block = F.pmod(F.xxhash64("item", "words"), F.lit(count))
+    blocks = 1 if total <= block_words else -(-2 * total // block_words)
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
     built = pieces.groupBy(block.alias("block")).applyInPandas(_built, "automaton binary")
     context = items.sparkSession.sparkContext
     return [(uuid.uuid4().hex, context.broadcast(bytes(row["automaton"]))) for row in built.toLocalIterator()]
@@ -252,59 +254,71 @@ class Chunk:
     """The texts of some batches as word numbers, and what the blocks have found in them."""
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = {}
+        self.numbers: dict[bytes, int] = defaultdict(count().__next__)
         self.texts: list[np.ndarray] = []
         self.found: list[tuple[list[tuple[int, int]], set[str]]] = []
         self.sizes: list[int] = []
         self.chars = 0
 
     def add(self, texts: pd.Series) -> None:
-        numbers = self.numbers
+        number = self.numbers.__getitem__
         for text in texts:
             words = folded_words(text)
-            self.texts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+            self.texts.append(np.fromiter(map(number, words), np.int32, len(words)))
             self.found.append(([], set()))
             self.chars += len(text or "")
         self.sizes.append(len(texts))
 
     def scan(self, automaton: SuffixAutomaton) -> None:
-        known = np.fromiter((automaton.words.get(w, -1) for w in self.numbers), np.int64, len(self.numbers))
+        known = np.fromiter(map(automaton.words.get, self.numbers, repeat(-1)), np.int64, len(self.numbers))
         for i, numbers in enumerate(self.texts):
             hits, names = automaton.scan_ids(known[numbers])
             if hits:
                 before, items = self.found[i]
                 self.found[i] = (merged(before + hits), items | names)
 
+    def scanned(self, blocks: list[tuple[str, Broadcast]]) -> Iterator[pd.DataFrame]:
+        for name, shared in blocks:
+            self.scan(_automaton(name, shared))
+        yield from self.results()
+
     def results(self) -> Iterator[pd.DataFrame]:
         at = 0
         for size in self.sizes:
-            rows = [
-                (len(numbers), [{"start": a, "stop": b} for a, b in hits], sorted(names))
-                for numbers, (hits, names) in zip(self.texts[at:at + size], self.found[at:at + size], strict=True)
-            ]
+            part = slice(at, at + size)
+            yield _result(map(len, self.texts[part]), self.found[part])
             at += size
-            yield pd.DataFrame(rows, columns=["n_words", "hits", "items"])
+
+
+def _result(n_words: Iterable[int], found: Iterable[tuple[list[tuple[int, int]], set[str]]]) -> pd.DataFrame:
+    rows = [
+        (n, [{"start": a, "stop": b} for a, b in hits], sorted(names))
+        for n, (hits, names) in zip(n_words, found, strict=True)
+    ]
+    return pd.DataFrame(rows, columns=["n_words", "hits", "items"])
 
 
 def _scanner(blocks: list[tuple[str, Broadcast]]):
-    """A UDF of texts that scans them with all blocks."""
-    held_chars = CHUNK_CHARS if len(blocks) > 1 else 0
+    """A UDF of texts that scans them with all blocks; one block alone needs no numbers of words."""
 
     @F.pandas_udf(FOUND)
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        if len(blocks) < 2:
+            automaton = _automaton(*blocks[0]) if blocks else SuffixAutomaton([])
+            for texts in batches:
+                counts, found = [], []
+                for words in map(folded_words, texts):
+                    counts.append(len(words))
+                    found.append(automaton.scan(words))
+                yield _result(counts, found)
+            return
         chunk = Chunk()
-
-        def settled() -> Iterator[pd.DataFrame]:
-            for name, shared in blocks:
-                chunk.scan(_automaton(name, shared))
-            yield from chunk.results()
-
         for texts in batches:
             chunk.add(texts)
-            if chunk.chars >= held_chars:
-                yield from settled()
+            if chunk.chars >= CHUNK_CHARS:
+                yield from chunk.scanned(blocks)
                 chunk = Chunk()
-        yield from settled()
+        yield from chunk.scanned(blocks)
 
     return scanned
 

@@ -1,5 +1,7 @@
 """Top-k against brute force, cells, embeddings and collection upkeep."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -310,3 +312,67 @@ def test_mixed_context(spark, options):
 def test_keywords(column_of, word):
     texts = [f"a{word.upper()}b", word[:-1] + "_", "nothing"]
     assert column_of(retrieval.wants_docs, texts) == [True, False, False]
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_tiles_of_any_size_give_the_same(spark, monkeypatch, text_ids):
+    """Several blocks and slices per group, more queries than a block holds."""
+    collection, queries, made, asked, name = tables(spark, text_ids=text_ids)
+    monkeypatch.setattr(vectors, "LEAST_PAIRS", 500)
+    monkeypatch.setattr(vectors, "MOST_PAIRS", 500)
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(vectors, "_QUERY_STRIP", 3)
+    monkeypatch.setattr(vectors, "_ROW_CHUNK", 32)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        hits = vectors.search(collection, queries, 4, max_queries=1, tile_rows=50)
+        assert not hits.few and triples(hits) == brute(made, asked, 4, name)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _passed_on(collection, queries, k):
+    return vectors._candidates(
+        collection.select("id", F.lit("*").alias("grp"), "embedding"),
+        queries.select("query_id", "embedding", F.array(F.lit("*")).alias("groups")), {"*": k}, 2, 10,
+    ).rows
+
+
+def test_small_tiles_are_not_cut_further(spark):
+    """Tiles pass on k rows per query and slice: slices of ten rows would pass on nearly everything."""
+    collection, queries, made, asked, name = tables(spark)
+    assert _passed_on(collection, queries, 4).count() <= 2 * 4 * len(asked)
+
+
+def test_every_tile_has_its_task(spark, monkeypatch):
+    """Tiles are of little data and much work, so they are not to be coalesced by size."""
+    monkeypatch.setattr(vectors, "LEAST_PAIRS", 600)
+    monkeypatch.setattr(vectors, "MOST_PAIRS", 600)
+    collection, queries, made, asked, name = tables(spark)
+    found = _passed_on(collection, queries, 4).withColumn("task", F.spark_partition_id())
+    assert found.select("task").distinct().count() >= len(made) * len(asked) / 1200
+
+
+def test_tiles_grow_slower_than_pairs():
+    for n in (10_000, 100_000, 600_000):
+        ((_, blocks, slices, _),) = vectors._grid([("*", n, n)], 50, 50, 64)
+        assert blocks * vectors.BLOCK_QUERIES >= n and blocks * slices <= 300
+        assert n * (blocks + slices) <= 40 * n
+    cells = [(str(i), 450_000, 37_500) for i in range(16)]
+    grid = vectors._grid(cells, 50, 50, 64)
+    assert sum(b * s for _, b, s, _ in grid) <= 400
+    assert [first for *_, first in grid] == [sum(b * s for _, b, s, _ in grid[:i]) for i in range(16)]
+
+
+def test_products_held_are_few(spark):
+    """A task's leaders see rows by chunks, whatever the size of a batch."""
+    rng = np.random.default_rng(3)
+    points = vectors._unit_rows(rng.normal(size=(20_000, 8)))
+    leaders = vectors._Leaders(points[:1024], 5, np.full(1024, -np.inf))
+    ids = np.array(list(map(int, range(len(points)))), dtype=object)
+    tracemalloc.start()
+    try:
+        leaders.offer(ids, points)
+        assert tracemalloc.get_traced_memory()[1] < 80_000_000
+    finally:
+        tracemalloc.stop()

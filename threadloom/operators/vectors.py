@@ -21,22 +21,29 @@ from threadloom.functions.metadata import metadata
 from threadloom.functions.text import is_blank, line, py_strip
 from threadloom.operators.messages import from_person
 from threadloom.operators.ordered import global_index
-from threadloom.runtime import estimated_bytes, stored
+from threadloom.runtime import estimated_bytes
 
 # At most this many query vectors, of this many numbers in all, travel to every task;
 # larger sets go tile by tile.
 MAX_BROADCAST_QUERIES = 8192
 MAX_BROADCAST_VALUES = 1 << 25
-# Per tile: this many collection rows against this many times the broadcast limit of queries,
-# and on either side no more numbers than may be broadcast.
+# Larger query sets are cut into blocks, collections into slices, neither finer than this many
+# rows (this many times the broadcast limit of queries) or a chunk.
 TILE_ROWS = 200_000
 _TILE_BLOCKS = 4
+# A task holds a block, of at most this many queries and numbers, and reads its slice in chunks.
+# A tile, one block against one slice, has a share of all pairs between these bounds.
+BLOCK_QUERIES, BLOCK_VALUES = 32_768, 1 << 23
+TILES, LEAST_PAIRS, MOST_PAIRS = 256, 1 << 27, 1 << 32
 # Collections estimated to be larger are searched in one task of so many first.
 SAMPLE_BYTES = 4 << 30
 SAMPLE_STEP = 32
 # Similarities computed at a time: a strip of queries by a chunk of rows.
 _QUERY_STRIP = 512
-_ROW_CHUNK = 8192
+_ROW_CHUNK = 2048
+_FIRST_CHUNK = 256
+# Where fewer than one pair in so many may matter, these are computed one by one.
+_FEW = 32
 _DECIMALS = 9
 _ANY = "*"
 
@@ -115,38 +122,89 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
 class _Leaders:
     """The k nearest ids so far for each query of one group, none below its floor."""
 
-    def __init__(self, queries: np.ndarray, k: int, floors: np.ndarray):
+    def __init__(self, queries: np.ndarray, k: int, floors: np.ndarray, numeric: bool = False):
         self.queries, self.k, self.floors = queries, k, floors
         self.sims = np.full((len(queries), k), -np.inf)
-        self.ids = np.full((len(queries), k), None, dtype=object)
+        self.ids = np.zeros((len(queries), k), np.int64) if numeric else np.full((len(queries), k), None, dtype=object)
+        # Products in single precision say which rows and queries may matter; unit vectors bound their error.
+        self.thin = queries.astype(np.float32)
+        self.slack = (queries.shape[1] + 8) * 2.0**-23
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """``ids`` ascending, so that leftmost means smallest among equal similarities."""
-        for start in range(0, len(self.queries), _QUERY_STRIP):
-            strip = slice(start, start + _QUERY_STRIP)
-            # Rounded, so that copies of a vector tie wherever they are stored.
-            sims = np.round(self.queries[strip] @ vectors.T, _DECIMALS)
-            bar = np.maximum(self.sims[strip, -1:], self.floors[strip, None])
-            useful = (sims >= bar).any(axis=0)
-            if not useful.any():
-                continue
-            sims, names = sims[:, useful], ids[useful]
-            rows, cols = np.nonzero(_best(sims, self.k))
-            found = len(rows) // len(sims)
-            new_sims = sims[rows, cols].reshape(len(sims), found)
-            new_ids = names[cols].reshape(len(sims), found)
+        # a small first chunk, so that a bar is known for the others
+        starts = [0, *range(_FIRST_CHUNK if np.isneginf(self.sims[:, -1]).any() else _ROW_CHUNK, len(ids), _ROW_CHUNK)]
+        for low, high in zip(starts, [*starts[1:], len(ids)]):
+            chunk = slice(low, high)
+            names, rows, thin = ids[chunk], vectors[chunk], vectors[chunk].astype(np.float32)
+            for start in range(0, len(self.queries), _QUERY_STRIP):
+                strip = np.arange(start, min(start + _QUERY_STRIP, len(self.queries)))
+                bar = np.maximum(self.sims[strip, -1], self.floors[strip])[:, None]
+                close = self.thin[strip] @ thin.T >= (bar - self.slack).astype(np.float32)
+                n_close = np.count_nonzero(close)
+                if n_close > close.size // _FEW:
+                    near, useful = close.any(axis=1), close.any(axis=0)
+                    self._take(strip[near], names[useful], rows[useful])
+                elif n_close:
+                    of, place = np.divmod(np.flatnonzero(close), close.shape[1])
+                    self._take_few(strip[of], names[place], rows[place])
+
+    def _take_few(self, of: np.ndarray, names: np.ndarray, vectors: np.ndarray) -> None:
+        """Single pairs of a query and a row, sorted by query and then by id."""
+        sims = np.round(np.einsum("ij,ij->i", self.queries[of], vectors), _DECIMALS)
+        reached = sims >= np.maximum(self.sims[of, -1], self.floors[of])
+        of, names, sims = of[reached], names[reached], sims[reached]
+        order = np.lexsort((-sims, of))  # stable: the smaller id first among equals
+        of, names, sims = of[order], names[order], sims[order]
+        strip, first, many = np.unique(of, return_index=True, return_counts=True)
+        place = np.arange(len(of)) - np.repeat(first, many)
+        best = place < self.k
+        rows = np.repeat(np.arange(len(strip)), many)[best]
+        width = min(int(many.max(initial=0)), self.k)
+        if width:
+            new_sims = np.full((len(strip), width), -np.inf)
+            new_ids = np.zeros((len(strip), width), self.ids.dtype)
+            new_sims[rows, place[best]], new_ids[rows, place[best]] = sims[best], names[best]
             self._merge(strip, new_sims, new_ids)
 
-    def _merge(self, strip: slice, sims: np.ndarray, ids: np.ndarray) -> None:
+    def _take(self, strip: np.ndarray, names: np.ndarray, vectors: np.ndarray) -> None:
+        # Rounded, so that copies of a vector tie wherever they are stored.
+        sims = np.round(self.queries[strip] @ vectors.T, _DECIMALS)
+        rows, cols = np.nonzero(_best(sims, self.k))
+        found = len(rows) // len(sims)
+        new_sims = sims[rows, cols].reshape(len(sims), found)
+        new_ids = names[cols].reshape(len(sims), found)
+        self._merge(strip, new_sims, new_ids)
+
+    def _merge(self, strip: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
         all_sims = np.concatenate([self.sims[strip], sims], axis=1)
         all_ids = np.concatenate([self.ids[strip], ids], axis=1)
-        filled = np.isfinite(all_sims)
-        names = np.full(all_sims.shape, -1)
-        names[filled] = np.unique(all_ids[filled], return_inverse=True)[1]
+        names = all_ids
+        if all_ids.dtype == object:
+            filled = np.isfinite(all_sims)
+            names = np.full(all_sims.shape, -1)
+            names[filled] = np.unique(all_ids[filled], return_inverse=True)[1]
         order = np.lexsort((names, -all_sims), axis=1)[:, : self.k]
         self.sims[strip] = np.take_along_axis(all_sims, order, axis=1)
         self.ids[strip] = np.take_along_axis(all_ids, order, axis=1)
 
+    def found(self, group: str, query_ids: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        rows, cols = np.nonzero(np.isfinite(self.sims) & (self.sims >= self.floors[:, None]))
+        if len(rows):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(query_ids[rows].tolist(), schema.field(0).type),
+                    pa.array([group] * len(rows), schema.field(1).type),
+                    pa.array(self.ids[rows, cols].tolist(), schema.field(2).type),
+                    pa.array(self.sims[rows, cols], pa.float64()),
+                ],
+                schema=schema,
+            )
+
+
+def _names(column: pa.ChunkedArray, numeric: bool) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=np.int64 if numeric else object)
+
 
 def _scan(batches, query_ids, query_vectors, wanted, limits, schema, floors):
     """Arrow batches of (id, group, embedding) to the local leaders per query and group.
@@ -154,13 +212,15 @@ def _scan(batches, query_ids, query_vectors, wanted, limits, schema, floors):
     ``floors`` holds, for a group, a similarity per query that hits are known to reach.
     """
     leaders: dict = {}
+    numeric = pa.types.is_integer(schema.field("id").type)
+    names = np.array(query_ids, dtype=object)
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table.filter(pc.is_valid(table["embedding"])).combine_chunks()
         if table.num_rows == 0:
             continue
         vectors = _matrix(table["embedding"].combine_chunks())
-        ids = np.array(table["id"].to_pylist(), dtype=object)
+        ids = _names(table["id"], numeric)
         groups = np.array(table["grp"].to_pylist(), dtype=object)
         by_id = np.argsort(ids, kind="stable")
         for group in set(groups):
@@ -169,22 +229,68 @@ def _scan(batches, query_ids, query_vectors, wanted, limits, schema, floors):
             if group not in leaders:
                 leaders[group] = _Leaders(
                     query_vectors[wanted[group]], limits.get(group, limits.get(_ANY)),
-                    floors.get(group, np.full(len(wanted[group]), -np.inf)),
+                    floors.get(group, np.full(len(wanted[group]), -np.inf)), numeric,
                 )
             rows = by_id[groups[by_id] == group]
             leaders[group].offer(ids[rows], vectors[rows])
     for group, found in leaders.items():
-        rows, cols = np.nonzero(np.isfinite(found.sims) & (found.sims >= found.floors[:, None]))
-        if len(rows):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([query_ids[i] for i in wanted[group][rows]], schema.field(0).type),
-                    pa.array([group] * len(rows), schema.field(1).type),
-                    pa.array(list(found.ids[rows, cols]), schema.field(2).type),
-                    pa.array(found.sims[rows, cols], pa.float64()),
-                ],
-                schema=schema,
-            )
+        yield from found.found(group, names[wanted[group]], schema)
+
+
+def _scan_tiles(batches, limits, schema):
+    """Arrow batches sorted by tile, the queries of each before its rows, to the leaders of each tile.
+
+    The queries of one tile are held, rows only batch by batch.
+    """
+    numeric = pa.types.is_integer(schema.field("id").type)
+    tile, group, block, names, leaders = None, None, [], None, None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        marks = table["_tile"].to_numpy() * 2 + table["_row"].to_numpy().astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(marks)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            part = table.slice(a, b - a)
+            if marks[a] // 2 != tile:
+                if leaders is not None:
+                    yield from leaders.found(group, names, schema)
+                tile, group, block, leaders = marks[a] // 2, part["grp"][0].as_py(), [], None
+            if marks[a] % 2 == 0:
+                block.append(part.select(["query_id", "embedding", "floor"]))
+                continue
+            if leaders is None:
+                if not block:
+                    continue  # no query has come to this block
+                held, block = pa.concat_tables(block), []
+                names = np.array(held["query_id"].to_pylist(), dtype=object)
+                leaders = _Leaders(_matrix(held["embedding"].combine_chunks()), limits.get(group, limits.get(_ANY)),
+                                   held["floor"].to_numpy(), numeric)
+            ids = _names(part["id"], numeric)
+            by_id = np.argsort(ids, kind="stable")
+            leaders.offer(ids[by_id], _matrix(part["embedding"].combine_chunks())[by_id])
+    if leaders is not None:
+        yield from leaders.found(group, names, schema)
+
+
+def _grid(sizes: list, max_queries: int, tile_rows: int, dimensions: int) -> list[tuple]:
+    """(group, blocks, slices, first tile) for each (group, queries, rows).
+
+    Blocks are bounded by what a task may hold; beyond that tiles have about the same number of
+    pairs, and the sides are cut so that few copies of queries and rows move.
+    """
+    most = max(min(BLOCK_QUERIES, BLOCK_VALUES // dimensions), 1)
+    pairs = sum(q * n for _, q, n in sizes) / TILES
+    pairs = min(max(pairs, LEAST_PAIRS), MOST_PAIRS)
+    out, first = [], 0
+    for group, asked, rows in sizes:
+        tiles = max(asked * rows / pairs, 1)
+        finest = -(-asked // min(_TILE_BLOCKS * max_queries, _ROW_CHUNK)), -(-rows // min(tile_rows, _ROW_CHUNK))
+        blocks = max(min(round((tiles * asked / rows) ** 0.5), finest[0]), -(-asked // most), 1)
+        slices = max(min(round(tiles / blocks), finest[1]), 1)
+        out.append((group, blocks, slices, first))
+        first += blocks * slices
+    return out
 
 
 def _wanted(groups: list, floors: list | None = None) -> tuple[dict, dict]:
@@ -283,25 +389,21 @@ def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_que
         return Hits(collection.mapInArrow(scan, out), True, searched)
 
     # Both sides large: tiles of bounded size, within each group its query blocks against its
-    # slices. A crowded cell gets more slices, and rows of cells nobody asked for move nowhere.
-    values = max(MAX_BROADCAST_VALUES // dimensions, 1)
-    # New names on this side: both may stem from one table, and a cogroup needs distinct columns.
+    # slices. A crowded cell gets more tiles, and rows of cells nobody asked for move nowhere.
     floors = F.col("floors") if "floors" in queries.columns else F.transform("groups", lambda g: F.lit(float("-inf")))
-    asked = queries.select(
-        F.col("query_id").alias("_query"), F.col("embedding").alias("_vector"),
-        F.inline(F.arrays_zip(F.col("groups").alias("_grp"), floors.alias("_floor"))),
-    )
+    asked = queries.select("query_id", "embedding", F.inline(F.arrays_zip(F.col("groups").alias("grp"), floors.alias("floor"))))
+    collection = collection.where(F.col("embedding").isNotNull())
 
-    def parts(df: DataFrame, group: str, rows: int, name: str) -> DataFrame:
-        counted = F.ceil(F.count(F.lit(1)) / rows).cast("int")
-        return df.groupBy(F.col(group).alias("_of")).agg(counted.alias(name))
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(F.col("grp").alias("_of")).agg(F.count(F.lit(1)).alias(name))
 
-    # One row per group, stored because both sides are laid out by it.
-    sizes = stored(
-        parts(asked, "_grp", min(_TILE_BLOCKS * max_queries, values), "_blocks").join(
-            parts(collection, "grp", min(tile_rows, values), "_slices"), "_of"
-        ), "tiles",
-    )
+    # One row per group: of the size of the limits and the cell model.
+    sizes = counted(asked, "_asked").join(counted(collection, "_rows"), "_of").collect()
+    if not sizes:
+        return Hits(queries.sparkSession.createDataFrame([], out), False)
+    grid = _grid([tuple(r) for r in sorted(sizes)], max_queries, tile_rows, dimensions)
+    tiles = grid[-1][3] + grid[-1][1] * grid[-1][2]
+    grid = F.broadcast(queries.sparkSession.createDataFrame(grid, "_of string, _blocks int, _slices int, _first int"))
 
     def share(n: str, column: str, salt: str) -> Column:
         return F.pmod(F.xxhash64(F.lit(salt), F.col(column)), F.col(n)).cast("int")
@@ -309,30 +411,26 @@ def _candidates(collection: DataFrame, queries: DataFrame, limits: dict, max_que
     def each(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    left = asked.join(sizes, F.col("_grp") == F.col("_of")).select(
-        "_query", "_vector", "_grp", "_floor", share("_blocks", "_query", "q").alias("_block"),
-        each("_slices").alias("_slice"),
+    def placed(df: DataFrame, block: Column, slice_: Column) -> DataFrame:
+        found = df.join(grid, F.col("grp") == F.col("_of")).select("*", block.alias("_block"))
+        found = found.select("*", slice_.alias("_slice"))
+        return found.withColumn("_tile", F.col("_first") + F.col("_block") * F.col("_slices") + F.col("_slice"))
+
+    left = placed(asked, share("_blocks", "query_id", "q"), each("_slices")).select(
+        "_tile", F.lit(False).alias("_row"), "grp", "query_id", F.lit(None).cast(collection.schema["id"].dataType).alias("id"),
+        "embedding", "floor",
     )
-    right = collection.join(sizes, F.col("grp") == F.col("_of")).select(
-        "id", "grp", "embedding", share("_slices", "id", "c").alias("_slice"),
-        each("_blocks").alias("_block"),
+    right = placed(collection, each("_blocks"), share("_slices", "id", "c")).select(
+        "_tile", F.lit(True).alias("_row"), "grp", F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "id",
+        "embedding", F.lit(None).cast("double").alias("floor"),
     )
+    # A partition per tile: hashed keys would share partitions, and small ones would be coalesced.
+    laid = left.unionByName(right).repartitionById(tiles, "_tile").sortWithinPartitions("_tile", "_row")
 
-    def scan_tile(block: pa.Table, tile: pa.Table) -> pa.Table:
-        if block.num_rows == 0 or tile.num_rows == 0:
-            return schema.empty_table()
-        group = block["_grp"][0].as_py()
-        found = _scan(
-            tile.to_batches(max_chunksize=_ROW_CHUNK), block["_query"].to_pylist(),
-            _matrix(block["_vector"].combine_chunks()), {group: np.arange(block.num_rows)},
-            limits, schema, {group: block["_floor"].to_numpy()},
-        )
-        return pa.Table.from_batches(list(found), schema=schema)
-
-    tiles = left.groupBy("_grp", "_block", "_slice").cogroup(
-        right.groupBy("grp", "_block", "_slice")
-    )
-    return Hits(tiles.applyInArrow(scan_tile, out), False)
+    def scan_tiles(batches):
+        yield from _scan_tiles(batches, limits, schema)
+
+    return Hits(laid.mapInArrow(scan_tiles, out), False)
 
 
 def _ranked(candidates: DataFrame, keys: list[str], limit: Column) -> DataFrame:

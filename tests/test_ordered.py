@@ -128,3 +128,12 @@ def test_global_index(spark, hot_rows):
     assert {r["id"]: r["place"] for r in found.collect()} == {
         row[2]: i for i, row in enumerate(order)
     }
+
+
+def test_long_rows_are_numbered_in_chunks(spark):
+    """Few rows, but more bytes than one task is to read."""
+    rows = spark.range(400).select(
+        F.expr("400 - id").alias("id"), F.expr("repeat('x', 5000)").alias("v"), F.array(F.lit(None).cast("string")).alias("a"))
+    found = global_index(rows, ["id"], "place", chunk_bytes=200_000)
+    assert found.columns == ["id", "v", "a", "place"] and "_chunk" in found._jdf.queryExecution().analyzed().toString()
+    assert [(r["id"], r["place"]) for r in found.orderBy("id").collect()] == [(i + 1, i) for i in range(400)]

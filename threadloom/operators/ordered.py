@@ -22,11 +22,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampType
+from pyspark.sql.types import (
+    BinaryType, BooleanType, DatetimeType, NumericType, StringType, TimestampType,
+)
 
 from threadloom.runtime import scratch_path
 
 HOT_ROWS = 1_000_000
+# A chunk of numbered rows holds about so many bytes at most.
+CHUNK_BYTES = 64 << 20
 # Counted from the epoch, so that periods follow the order in every time zone.
 PERIOD_SECONDS = 30 * 86_400
 # Offsets, one row per chunk, are broadcast up to this many chunks.
@@ -147,14 +151,31 @@ def previous_rows(
     )
 
 
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    def width(field) -> Column:
+        if isinstance(field.dataType, (NumericType, DatetimeType, BooleanType)):
+            return F.lit(8)
+        held = F.col(f"`{field.name}`")
+        plain = held if isinstance(field.dataType, (StringType, BinaryType)) else held.cast("string")
+        return F.coalesce(F.octet_length(plain), F.lit(0)) + 8
+
+    return sum((width(f) for f in df.schema), F.lit(0)).cast("bigint")
+
+
 def global_index(
     df: DataFrame,
     order: list[str],
     name: str,
     hot_rows: int = HOT_ROWS,
+    chunk_bytes: int | None = None,
 ) -> DataFrame:
-    """Adds ``name``: the row's position (from 0) in the total order, without one global sort."""
-    parts = -(-df.count() // hot_rows)
+    """Adds ``name``: the row's position (from 0) in the total order, without one global sort.
+
+    Rows are cut into chunks by their number and by their bytes.
+    """
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(_bytes(df))).first()
+    parts = max(-(-rows // hot_rows), -(-(size or 0) // (chunk_bytes or CHUNK_BYTES)))
     if parts <= 1:
         # Counted: one task can number them.
         index = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1

@@ -294,3 +294,32 @@ def test_replies_and_jobs_count_together(spark, tmp_path, monkeypatch):
     run(writer([]))
     assert live.committed(spark, base) == 1
     assert found("replies") == found("image_jobs") and len(found("replies")) > len(first)
+
+
+def test_many_channels_share_states(spark, tmp_path):
+    """2,000 quiet channels take a few state rows, and only the channels of a batch are handed out."""
+    def said(low, high):
+        return spark.range(low, high).select(
+            F.concat(F.lit("m"), "id").alias("message_id"), (F.col("id") % 2000).cast("string").alias("channel"),
+            F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.col("id").cast("int").alias("n"),
+            F.lit("a").alias("author_id"), F.lit("ann").alias("author_name"),
+            F.col("id").cast("string").alias("content"), F.lit(False).alias("is_bot"))
+
+    said(0, 6000).write.parquet(f"{tmp_path}/feed")
+    found = []
+
+    def step(batch, number):
+        batch.persist()  # evaluated once, so that the state's rows count once
+        seen = live.history_step(batch, ["channel"], ["ts", "n"], 2).select("message_id", "history").collect()
+        found.append((batch.where("_tail is not null").count(), {r["message_id"]: r["history"] for r in seen}))
+
+    for _ in range(2):
+        stream = spark.readStream.schema(said(0, 1).schema).parquet(f"{tmp_path}/feed")
+        query = live.with_tails(stream, ["channel"], ["ts", "n"], 2, buckets=16).writeStream.foreachBatch(step).option(
+            "checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.lastProgress.stateOperators[0].numRowsTotal == 16
+        said(6000, 6003).write.mode("append").parquet(f"{tmp_path}/feed")
+    assert found[0][0] == 0 and len(found[0][1]) == 6000
+    assert found[1][0] <= 3 and found[1][1] == {
+        f"m{i}": [f"ann: {i - 4000}", f"ann: {i - 2000}"] for i in (6000, 6001, 6002)}

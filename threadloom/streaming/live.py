@@ -3,7 +3,8 @@
 What must survive between batches, the last messages of every channel, is Spark's own keyed
 state: it is versioned with the checkpoint, so a repeated batch sees what its first run
 saw. Every task first cuts its rows of a channel to the last few, so a busy channel
-sends a few rows a task to its state and no more. The state hands out what it held before
+sends a few rows a task to its state and no more. Channels share states by their hash, so a batch
+of many channels takes few calls. The state hands out what it held of the batch's channels before
 the batch, and history is then an ordinary batch job over these rows and the batch's own, in
 which a busy channel is split between tasks like any hot group. Results are written under the
 batch's number, so a repeated batch overwrites its own.
@@ -29,7 +30,11 @@ from threadloom.plans import replies as reply_plan
 from threadloom.sinks.snapshots import Version, drop_version, publish, versions
 
 # A channel's last rows, packed; null in the messages themselves.
-_TAIL, _TIME = "_tail", "_time"
+_TAIL, _TIME, _BUCKET = "_tail", "_time", "_bucket"
+# Channels are dealt to so many states: one call, sort and write for many channels of a batch.
+BUCKETS = 1024
+# So many rows of a task wait before its channels are cut again.
+_WAITING_ROWS = 1 << 16
 
 
 def _batch(path: str, number: int) -> str:
@@ -61,59 +66,118 @@ def _packed(rows: pa.Table) -> bytes:
     return batches[0].serialize().to_pybytes()
 
 
+def _unpacked(packed: list[bytes], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(p), schema) for p in packed], schema)
+
+
+def _micros(rows: pa.Table, name: str) -> np.ndarray:
+    """Times in microseconds, 0 for those without."""
+    return pc.fill_null(rows[name].cast(pa.timestamp("us", "UTC")).cast(pa.int64()), 0).to_numpy()
+
+
+def _ends(rows: pa.Table, channel: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each channel's last row, and the rows per channel, in rows sorted by channel."""
+    ends = np.append(_channel_starts(rows, channel), rows.num_rows)
+    return ends[1:] - 1, np.diff(ends)
+
+
+def _talking(held: pa.Table, fresh: pa.Table, channel: list[str]) -> pa.Table:
+    """The rows of ``held`` whose channel has a row in ``fresh``."""
+    both = pa.concat_tables([
+        held.append_column("_fresh", pa.array(np.zeros(held.num_rows, bool))),
+        fresh.append_column("_fresh", pa.array(np.ones(fresh.num_rows, bool))),
+    ])
+    both = both.take(pc.sort_indices(both, sort_keys=[(c, "ascending") for c in channel])).combine_chunks()
+    marked = both["_fresh"].to_numpy()
+    starts = _channel_starts(both, channel)
+    sizes = np.diff(np.append(starts, both.num_rows))
+    talking = np.repeat(np.logical_or.reduceat(marked, starts), sizes)
+    return both.filter(pa.array(talking & ~marked)).drop_columns("_fresh").combine_chunks()
+
+
 def with_tails(messages: DataFrame, channel: list[str], order: list[str],
-               limit: int = fixed.HISTORY_LIMIT, keep: str | None = None) -> DataFrame:
+               limit: int = fixed.HISTORY_LIMIT, keep: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The stream ``messages`` and, packed in ``_tail``, its channels' last rows before each batch.
 
     ``keep`` ("30 days") forgets channels whose last message is older, by the first order
     column, than the newest of all by more; a message as late gets no history either.
-    Without it every channel is kept.
+    Without it every channel is kept. ``buckets`` of channels share a state each; a
+    checkpoint stays with the number it began with.
     """
     columns = list(dict.fromkeys([*channel, *order, "author_name", "content", "is_bot"]))
     slim = messages.select(*columns)
     schema = to_arrow_schema(slim.schema)
-    tail_schema = slim.select(*channel).schema.add(_TAIL, "binary")
+    tail_schema = StructType().add(_BUCKET, "integer").add(_TAIL, "binary")
     if keep is not None:
         tail_schema = tail_schema.add(_TIME, "timestamp")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = schema.empty_table()
+        wide = schema.append(pa.field(_BUCKET, pa.int32()))
+        held, waiting, many = wide.empty_table(), [], 0
         for batch in batches:
-            found = pa.Table.from_batches([batch]).cast(schema)
-            held = newest(pa.concat_tables([held, found]), channel, order, limit)
-        starts = _channel_starts(held, channel)
-        ends = np.append(starts, held.num_rows)[1:]
-        packed = [_packed(held.slice(a, b - a)) for a, b in zip(starts.tolist(), ends.tolist())]
-        last = held.take(pa.array(ends - 1)).combine_chunks()
-        arrays = [*(last[c].combine_chunks() for c in channel), pa.array(packed, pa.binary())]
+            waiting.append(pa.Table.from_batches([batch]).cast(wide))
+            many += batch.num_rows
+            # as many rows as are held wait, so that the held ones are sorted a few times only
+            if many > max(held.num_rows, _WAITING_ROWS):
+                held, waiting, many = newest(pa.concat_tables([held, *waiting]), channel, order, limit), [], 0
+        held = newest(pa.concat_tables([held, *waiting]), channel, order, limit)
+        held = held.take(pc.sort_indices(held, sort_keys=[(_BUCKET, "ascending")])).combine_chunks()
+        ends, sizes = _ends(held, [_BUCKET])
+        rows = held.drop_columns(_BUCKET)
+        packed = [_packed(rows.slice(e - n + 1, n)) for e, n in zip(ends.tolist(), sizes.tolist())]
+        arrays = [held[_BUCKET].combine_chunks().take(pa.array(ends)), pa.array(packed, pa.binary())]
         if keep is not None:
-            arrays.append(last[order[0]].combine_chunks().cast(pa.timestamp("us", "UTC")))
+            times = held[order[0]].cast(pa.timestamp("us", "UTC"))
+            last = [pc.max(times.slice(e - n + 1, n)) for e, n in zip(ends.tolist(), sizes.tolist())]
+            arrays.append(pa.array([x.as_py() for x in last], pa.timestamp("us", "UTC")))
         yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in tail_schema])
 
-    def carry(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def since(rows: pa.Table, time: int) -> pa.Table:
+        """Without the channels whose last row, of rows sorted by channel and order, is before ``time``."""
+        ends, sizes = _ends(rows, channel)
+        return rows.filter(pa.array(np.repeat(_micros(rows, order[0])[ends] >= time, sizes))).combine_chunks()
+
+    def hold(state: GroupState, rows: pa.Table) -> None:
+        if not rows.num_rows:
+            if state.exists:
+                state.remove()
             return
-        earlier, last = state.get if state.exists else (None, 0)
-        if keep is not None and last < state.getCurrentWatermarkMs():
-            earlier = None  # idle for too long, but not dropped yet
-        packed = [] if earlier is None else [bytes(earlier)]
-        if packed:
-            yield pd.DataFrame({_TAIL: packed})
-        for part in parts:
-            packed += map(bytes, part[_TAIL])
-            if keep is not None and part[_TIME].notna().any():
-                last = max(last, int(part[_TIME].max().timestamp() * 1000))
-        rows = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(p), schema) for p in packed])
-        state.update((_packed(newest(rows, channel, order, limit)), last))
+        state.update((_packed(rows),))
         if keep is not None:
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+            first = int(_micros(rows, order[0])[_ends(rows, channel)[0]].min()) // 1000
+            state.setTimeoutTimestamp(max(first, state.getCurrentWatermarkMs() + 1))
 
-    tails, timeout = slim.mapInArrow(cut, tail_schema), GroupStateTimeout.NoTimeout
+    def carry(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = _unpacked([bytes(state.get[0])] if state.exists else [], schema)
+        late = 1000 * state.getCurrentWatermarkMs() if keep is not None else 0
+        if late > 0:
+            held = since(held, late)  # idle for too long, but not dropped yet
+        if state.hasTimedOut:
+            hold(state, held)
+            return
+        found = [_unpacked([bytes(p)], schema) for part in parts for p in part[_TAIL]]
+        if late > 0:
+            found = [in_time(f, late) for f in found]
+        fresh = pa.concat_tables([schema.empty_table(), *found])
+        if held.num_rows and fresh.num_rows:
+            tails = _talking(held, fresh, channel)
+            if tails.num_rows:
+                yield pd.DataFrame({_TAIL: [_packed(tails)]})
+        hold(state, newest(pa.concat_tables([held, fresh]), channel, order, limit))
+
+    def in_time(rows: pa.Table, late: int) -> pa.Table:
+        """Without the channels of one task that are as late as the watermark; those without a time stay."""
+        ends, sizes = _ends(rows, channel)
+        last = rows[order[0]].combine_chunks().take(pa.array(ends))
+        kept = (_micros(rows, order[0])[ends] > late) | last.is_null().to_numpy(zero_copy_only=False)
+        return rows.filter(pa.array(np.repeat(kept, sizes)))
+
+    bucket = F.pmod(F.xxhash64(*channel), F.lit(buckets)).cast("int")
+    tails, timeout = slim.withColumn(_BUCKET, bucket).mapInArrow(cut, tail_schema), GroupStateTimeout.NoTimeout
     if keep is not None:
         tails, timeout = tails.withWatermark(_TIME, keep), GroupStateTimeout.EventTimeTimeout
-    carried = tails.groupBy(*channel).applyInPandasWithState(
-        carry, f"{_TAIL} binary", f"{_TAIL} binary, last bigint", "append", timeout)
+    carried = tails.groupBy(_BUCKET).applyInPandasWithState(
+        carry, f"{_TAIL} binary", f"{_TAIL} binary", "append", timeout)
     return messages.withColumn(_TAIL, F.lit(None).cast("binary")).unionByName(carried, allowMissingColumns=True)
 
 

@@ -251,6 +251,16 @@ def test_mixed_texts_hold_the_words_drawn(spark, words):
     assert max(map(sum, size.values())) == 256 and len(size) > 50
 
 
+def test_mix_broadcasts_no_slots_or_pieces(spark, words):
+    """They unfold from tables of a few KB, by whose sizes Catalyst takes them for small whatever their number."""
+    mixed, slots = mixing.mix(frame(spark, [words(n % 90, n) for n in range(200)]), block_words=16, shard_slots=64, bucket_docs=40)
+    taken, given = sum(r["taken"] for r in mixed.collect()), sum(r["take"] for r in slots.collect())
+    assert taken == given > 1000
+    for df, joins in ((mixed, 3), (slots, 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == joins
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 100, 1023])
 def test_permutations_and_their_inverse(spark, size):
     df = spark.range(size).select("id", mixing.permuted(F.col("id"), F.lit(size).cast("long"), F.lit(5).cast("long")).alias("p"))

@@ -12,7 +12,8 @@ slot takes of a document is a piece: a range of its words, at a place in a shard
 is its pieces' words as drawn, cut or repeated; ``mixed_blocks`` gives the pieces by shard.
 
 Only sizes and numbers are shuffled in the draws; texts move once, to meet their pieces. A source of any size is spread by its
-document buckets, slots and blocks; no step gathers a source in one task.
+document buckets, slots and blocks; no step gathers a source in one task. Slots and pieces unfold from small tables, by whose
+sizes Catalyst would broadcast them, through the driver: their joins are merge joins by hint.
 
 Null texts have no words and take none. Sources come in code point order, null last. Equal
 rows are told apart by their place in the stream. All draws are hashes of a seed, so that a
@@ -125,7 +126,7 @@ def slots_of(plan: DataFrame, counts: DataFrame, block_words: int, tasks: int =
     """
     by_shard = Window.partitionBy("rank", "pass").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("before", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
-    opened = placed.join(plan, ["rank", "pass"]).repartition(tasks, "rank", "pass", "shard")
+    opened = placed.join(plan.hint("merge"), ["rank", "pass"]).repartition(tasks, "rank", "pass", "shard")
     opened = opened.withColumn("slot", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
     start = F.col("slot") * block_words - F.when(
         F.col("slot") > F.col("short_at"), block_words - F.col("tail")
@@ -192,13 +193,13 @@ def mix(
         (F.greatest(F.col("start"), at) - F.col("start")).alias("start"),
         (F.least(F.col("start") + F.col("size"), at + t["take"]) - F.col("start")).alias("stop"),
     )), lambda p: p["stop"] > p["start"])
-    taken = pieces.join(takes, ["rank", "block"]).groupBy("rank", "start").agg(
+    taken = pieces.join(takes.hint("merge"), ["rank", "block"]).groupBy("rank", "start").agg(
         F.sort_array(F.flatten(F.collect_list(drawn))).alias("pieces")
     )
     taken = taken.select(F.col("rank").alias("_r"), F.col("start").alias("_at"), "pieces", F.aggregate(
         "pieces", F.lit(0).cast("long"), lambda acc, p: acc + p["stop"] - p["start"]).alias("taken"))
     whole = placed.join(
-        taken, (F.col(rank) == F.col("_r")) & (F.col(start) == F.col("_at")) & (F.col("size") > 0), "left"
+        taken.hint("merge"), (F.col(rank) == F.col("_r")) & (F.col(start) == F.col("_at")) & (F.col("size") > 0), "left"
     ).withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
     return back(whole.select(*carry, *RESULTS)), slots
 
